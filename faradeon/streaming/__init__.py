@@ -1 +1,42 @@
+"""Streams: stage times of a growing run log, and cubes that grow as channels arrive."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import runlog
+
+
+def log_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Events of log files as they come."""
+    return runlog.parse(spark.readStream.text(folder))
+
+
+def stage_windows(events: DataFrame, window: str = "1 minute", late: str = "2 minutes") -> DataFrame:
+    """Events and bytes by stage and event-time window; events later than ``late`` are left out."""
+    timed = events.withColumn("time", F.col("ts").cast("timestamp")).withWatermark("time", late)
+    return timed.groupBy(F.window("time", window).alias("w"), "stage").agg(F.count("*").alias("events"), F.sum("bytes").alias("bytes")).select(F.col("w.start").alias("start"), "stage", "events", "bytes")
+
+
+def partial_sums(samples: DataFrame, channels: DataFrame, depths: DataFrame) -> DataFrame:
+    """Additive sums by pixel and depth of long samples (x, y, chan, q, u, w): a live transform in update mode.
+
+    a, b: sums of the numerators; sq, su, sc, ss, n: sums of q, u, cos, sin and w, with which ``finished`` can also
+    take the means off. The state has a row for each pixel and depth.
+    """
+    wide = samples.join(F.broadcast(channels.select("chan", "lsq")), "chan").join(F.broadcast(depths.select("irm", "rm")))
+    p, w = 2 * F.col("rm") * F.col("lsq"), F.col("w")
+    s = lambda x, name: F.sum(w * x).alias(name)
+    q, u, c, n = F.col("q"), F.col("u"), F.cos(p), F.sin(p)
+    return wide.groupBy("x", "y", "irm", "rm").agg(s(q * c + u * n, "a"), s(u * c - q * n, "b"), s(q, "sq"), s(u, "su"), s(c, "sc"), s(n, "ss"), F.sum("w").alias("n"))
+
+
+def finished(sums: DataFrame, remove_mean: bool = False) -> DataFrame:
+    """re and im from ``partial_sums``."""
+    n = F.nullif("n", F.lit(0))
+    a, b = F.col("a"), F.col("b")
+    if remove_mean:
+        q, u = F.col("sq") / n, F.col("su") / n
+        a, b = a - q * F.col("sc") - u * F.col("ss"), b - u * F.col("sc") + q * F.col("ss")
+    return sums.select("x", "y", "irm", "rm", (a / n).alias("re"), (b / n).alias("im"), F.col("n").cast("int").alias("w"))
