@@ -106,8 +106,9 @@ def clean_spectra(df: DataFrame, axes: Axes, gain: float = 0.1, threshold: float
 
 
 def phase_of_components(values: np.ndarray, lsq: np.ndarray, rm: float) -> float:
-    """Phase from projections on the cosine and sine at a depth."""
-    return math.atan2(float(values @ np.sin(2 * rm * lsq)), float(values @ np.cos(2 * rm * lsq)))
+    """Phase from the least-squares share of the cosine and the sine at a depth."""
+    a, b = np.linalg.lstsq(np.column_stack([np.cos(2 * rm * lsq), np.sin(2 * rm * lsq)]), values, rcond=None)[0]
+    return math.atan2(b, a)
 
 
 def profile_noise(profile: np.ndarray, beam: np.ndarray, first: int = 100) -> float:

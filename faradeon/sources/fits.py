@@ -1,8 +1,9 @@
 """FITS as Spark data sources, read and written in parallel.
 
 ``fits_cube``: Q and U cubes (and I, a mask) as one row a pixel with arrays by channel: x, y, q, u [, i, m]. Each
-partition is a strip of rows of the sky, so spectra need no shuffle. Filters on x, y and columns that aren't
-asked for never reach the files. ``fits_image``: x, y, val of a plane. ``fits_table``: columns of a binary table.
+partition is a strip of rows of the sky, so spectra need no shuffle. Ranges and strides of the sky and of channels
+are options, so that what lies outside is never read. (Filters aren't taken over from queries: Spark 4.1 keeps what a
+Python reader took for later queries on the same DataFrame.) ``fits_image``: x, y, val of a plane. ``fits_table``: columns of a binary table.
 Paths must be open to all executors (a shared file system), as FITS is read by byte ranges.
 """
 
@@ -14,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, ShortType, StringType, StructField, StructType
 
 from .fits_format import BLOCK, KINDS, Box, FitsError, header_bytes, headers, primary_cards, read_box, read_header, read_table, table_columns
@@ -53,20 +54,6 @@ class CubeReader(DataSourceReader):
         with open(some, "rb") as f:
             self.header = read_header(f)
         self.axis = self.header.freq_axis()
-        self.bounds = {"x": [1, self.header.naxes[0]], "y": [1, self.header.naxes[1]]}
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Takes bounds of x and y (as counted from the box's first pixel); gives the rest back."""
-        for f in filters:
-            name = f.attribute[0] if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)) and len(f.attribute) == 1 else ""
-            if name not in self.bounds or not isinstance(f.value, int):
-                yield f
-                continue
-            b = self.bounds[name]
-            if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
-                b[0] = max(b[0], f.value + isinstance(f, GreaterThan))
-            if isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
-                b[1] = min(b[1], f.value - isinstance(f, LessThan))
 
     def _box(self) -> dict[str, tuple[int, int, int]]:
         naxes = self.header.naxes
@@ -77,19 +64,15 @@ class CubeReader(DataSourceReader):
         x0, x1, sx = box["x"]
         y0, y1, sy = box["y"]
         n = (y1 - y0) // sy + 1
-        lo, hi = max(1, self.bounds["y"][0]), min(n, self.bounds["y"][1])
         c0, c1, sc = box["chan"]
         row = ((x1 - x0) // sx + 1) * ((c1 - c0) // sc + 1) * 8 * max(1, len(self.names))
-        return strips(lo, hi, row, int(self.options.get("strip_bytes", STRIP_BYTES))) if lo <= hi else []
+        return strips(1, n, row, int(self.options.get("strip_bytes", STRIP_BYTES)))
 
     def read(self, part: Strip) -> Iterator[pa.RecordBatch]:
         box, naxes = self._box(), self.header.naxes
         (x0, x1, sx), (y0, _, sy), chan = box["x"], box["y"], box["chan"]
-        nx = (x1 - x0) // sx + 1
-        lo, hi = max(1, self.bounds["x"][0]), min(nx, self.bounds["x"][1])
-        if lo > hi:
-            return
-        ranges = [(x0 + (lo - 1) * sx, x0 + (hi - 1) * sx, sx), (y0 + (part.y0 - 1) * sy, y0 + (part.y1 - 1) * sy, sy), *[(1, 1, 1)] * (len(naxes) - 2)]
+        n = (x1 - x0) // sx + 1
+        ranges = [(x0, x1, sx), (y0 + (part.y0 - 1) * sy, y0 + (part.y1 - 1) * sy, sy), *[(1, 1, 1)] * (len(naxes) - 2)]
         ranges[self.axis - 1] = chan
         columns = {}
         for name in self.names:
@@ -99,11 +82,10 @@ class CubeReader(DataSourceReader):
                     raise FitsError(f"{self.paths[name]} has another shape")
                 data = read_box(f, h, Box(ranges))
             # slowest axis first: drop pinned axes, put channels last
-            data = np.moveaxis(data.reshape(data.shape), len(naxes) - self.axis, -1).reshape(part.y1 - part.y0 + 1, hi - lo + 1, -1)
+            data = np.moveaxis(data, len(naxes) - self.axis, -1).reshape(part.y1 - part.y0 + 1, n, -1)
             columns[name] = data
-        n = hi - lo + 1
         for k in range(part.y1 - part.y0 + 1):
-            x, y = np.arange(lo, hi + 1, dtype=np.int32), np.full(n, part.y0 + k, np.int32)
+            x, y = np.arange(1, n + 1, dtype=np.int32), np.full(n, part.y0 + k, np.int32)
             out = {"x": pa.array(x), "y": pa.array(y)}
             for name, data in columns.items():
                 m = np.ascontiguousarray(data[k])
@@ -273,5 +255,6 @@ class FitsOutput(DataSource):
 
 
 def register(spark) -> None:
+    """Make the sources known to a session."""
     for source in (FitsCube, FitsImage, FitsTable, FitsOutput):
         spark.dataSource.register(source)

@@ -109,7 +109,7 @@ def test_run_from_a_configuration(spark, folder):
 
 
 def test_sub_image_and_dry_run(spark, folder):
-    cfg = config.parse(BASE.format(d=folder).replace("subim = n", "subim = y") + "subim_ra_blc=10\nsubim_ra_trc=20\nsubim_ra_inc=2\nsubim_chan_blc=1\nsubim_chan_inc=2\noutput_mode=ri\nrem_mean=1")
+    cfg = config.parse(BASE.format(d=folder).replace("subim = n", "subim = y").replace("rem_mean = 0", "rem_mean = 1") + "subim_ra_blc=10\nsubim_ra_trc=20\nsubim_ra_inc=2\nsubim_chan_blc=1\nsubim_chan_inc=2\noutput_mode=ri")
     p = pipeline.plan(spark, cfg)
     assert p.shape == (6, 32) and len(p.axes.lsq) == 100
     got = {r["metric"]: r["value"] for r in pipeline.dry_run(spark, cfg).collect()}
