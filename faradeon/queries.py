@@ -30,8 +30,8 @@ _CUBE = """raw AS (SELECT CAST((event_id % 25) % 5 AS INT) AS x, CAST((event_id
   avg(value * cos(user_id * 0.1)) AS q0, avg(value * sin(user_id * 0.1)) AS u0, count(*) AS n, sum(value) AS i FROM events GROUP BY 1, 2, 3),
 cube AS (SELECT x, y, chan, n, i, CASE WHEN w = 1 THEN q0 ELSE 0 END AS q, CASE WHEN w = 1 THEN u0 ELSE 0 END AS u, w FROM
   (SELECT *, CASE WHEN chan IN (11, 31) OR i < 40 THEN 0 ELSE 1 END AS w FROM raw))"""
-_AXES = """chans AS (SELECT CAST(range AS INT) AS chan, 700.0 + 4.0 * range AS freq, pow(299.792458 / (700.0 + 4.0 * range), 2) AS lsq FROM range(64)),
-depths AS (SELECT CAST(range AS INT) AS irm, (range - 20) * 2.0 AS rm FROM range(41))"""
+_AXES = """chans AS (SELECT CAST(range AS INT) AS chan, CAST(700 + 4 * range AS DOUBLE) AS freq, pow(299.792458 / (700.0 + 4.0 * range), 2) AS lsq FROM range(64)),
+depths AS (SELECT CAST(range AS INT) AS irm, CAST((range - 20) * 2 AS DOUBLE) AS rm FROM range(41))"""
 _FAR = """far AS (SELECT x, y, irm, rm, sum(w * (q * cos(2 * rm * lsq) + u * sin(2 * rm * lsq))) / nullif(sum(w), 0) AS re,
   sum(w * (u * cos(2 * rm * lsq) - q * sin(2 * rm * lsq))) / nullif(sum(w), 0) AS im, sum(w) AS w
   FROM cube JOIN chans USING (chan) CROSS JOIN depths GROUP BY 1, 2, 3, 4),
@@ -455,9 +455,9 @@ def x10(s, d):
     return rounded(images.ratio_image(pair(s, d)), "val")
 
 
-@query("x11_fractional_polarisation", _with(_CUBE) + "SELECT x, y, chan, round(CASE WHEN i <> 0 AND sqrt(q * q + u * u) <= abs(i) THEN sqrt(q * q + u * u) / i ELSE 1.2 END, 6) + 0.0 AS f, round(CASE WHEN q < 0 THEN 0 ELSE q END, 6) + 0.0 AS p FROM cube")
+@query("x11_fractional_polarisation", _with(_CUBE) + "SELECT x, y, chan, round(CASE WHEN i <> 0 AND sqrt(q * q + u * u) <= abs(1.5 * i) THEN sqrt(q * q + u * u) / (1.5 * i) ELSE 1.2 END, 6) + 0.0 AS f, round(CASE WHEN q < 0 THEN 0 ELSE q END, 6) + 0.0 AS p FROM cube")
 def x11(s, d):
-    return rounded(cube(s, d).select("x", "y", "chan", C.fractional_polarisation(C.linear_polarisation("q", "u"), "i").alias("f"), C.not_negative("q").alias("p")), "f", "p")
+    return rounded(cube(s, d).select("x", "y", "chan", C.fractional_polarisation(C.linear_polarisation("q", "u"), F.col("i") * 1.5).alias("f"), C.not_negative("q").alias("p")), "f", "p")
 
 
 @query("x19_coordinates", """SELECT o_orderkey, round(atan2(sin(ha) * cos(0.3), sin(0.3) * cos(de) - cos(0.3) * sin(de) * cos(ha)), 6) + 0.0 AS parallactic,
@@ -484,7 +484,7 @@ def j7(s, d):
 _SWEEP = """p AS (SELECT tid, stage, epoch_us(t0) AS t, 1 AS d FROM spans UNION ALL SELECT tid, stage, epoch_us(t1), -1 FROM spans)"""
 
 
-@query("w5_active_counts", _with(_LOG, _SWEEP) + "SELECT tid, t, max(active) AS most FROM (SELECT tid, t, sum(d) OVER (PARTITION BY tid ORDER BY t, d DESC ROWS UNBOUNDED PRECEDING) AS active FROM p) GROUP BY 1, 2")
+@query("w5_active_counts", _with(_LOG, _SWEEP) + "SELECT tid, t, CAST(max(active) AS BIGINT) AS most FROM (SELECT tid, t, sum(d) OVER (PARTITION BY tid ORDER BY t, d DESC ROWS UNBOUNDED PRECEDING) AS active FROM p) GROUP BY 1, 2")
 def w5(s, d):
     return runlog.active_counts(spans(s, d), ["tid"]).groupBy("tid", "t").agg(F.max("active").alias("most"))
 
