@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faradeon.llm import decontaminate, language_id, line_dedup, near_dup, packing
-from faradeon.llm._shared import materialise, read, with_key
+from faradeon.llm._shared import materialise, packed, read, with_key
 
 #: Near-duplicates in the pipeline: five words a shingle, similarity 0.8.
 WORDS, PERCENT = 5, 80
@@ -34,7 +34,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each group stays: the one with the least doc_id; of rows that share a doc_id one stays."""
     found = near_dup.near_duplicates(docs, WORDS, PERCENT)
     gone = materialise(with_key(found.where(~F.col("kept")), "doc_id").select("__id").distinct(), "near-duplicates")
-    return with_key(docs, "doc_id").join(gone, "__id", "left_anti").dropDuplicates(["__id"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return packed(docs).join(gone, "__id", "left_anti").dropDuplicates(["__id"]).select("__row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -69,6 +69,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def packed(df: DataFrame, column: str = "doc_id") -> DataFrame:
+    """``__id`` as in with_key, and ``__row``: all columns in a struct, so that none meets a name of an operator's own."""
+    return df.select(F.coalesce(F.col(column).cast("long"), F.lit(-(2**63))).alias("__id"), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__row"))
+
+
 def with_key(df: DataFrame, column: str) -> DataFrame:
     """``__id``: the column as long, null as the least long, so that null rows join and sort like any other."""
     return df.withColumn("__id", F.coalesce(F.col(column).cast("long"), F.lit(-(2**63))))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import bounded_batches, materialise, texts, with_key
+from ._shared import bounded_batches, materialise, packed, texts, with_key
 
 K1, B = 1.2, 0.75
 #: Share of its own score that an item must get from a passage to be retrieved, and items in a block.
@@ -203,6 +203,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents in which an item of ``benchmark`` is found; all columns are kept."""
-    keyed = with_key(docs, "doc_id")
-    bad = materialise(contaminated(keyed.select("__id", F.col("text").cast("string").alias("text")), benchmark).select("__id").distinct(), "contaminated")
-    return keyed.join(bad, "__id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = packed(docs)
+    bad = materialise(contaminated(rows.select("__id", F.col("__row.text").cast("string").alias("text")), benchmark).select("__id").distinct(), "contaminated")
+    return rows.join(bad, "__id", "left_anti").select("__row.*")

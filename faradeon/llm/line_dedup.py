@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import materialise, with_key
+from ._shared import materialise, packed
 
 #: Leading tokens in a line's path; shorter lines than LEAD + 1 tokens have no leaf and stay.
 LEAD = 2
@@ -65,10 +65,10 @@ def drop_recurring_lines(docs: DataFrame, support: int = SUPPORT, short: int = S
     tokens), and two documents at least. The document with the least doc_id keeps its lines of it
     (``keep_first``), all others lose theirs. Repeated lines within one document alone stay. Null text stays null.
     Rows that share a doc_id count as one document; a null doc_id counts as the least. Lines of LEAD tokens or
-    fewer, also empty ones, stay. All columns are kept; an empty table gives an empty result.
+    fewer, also empty ones, stay. All columns are kept (a lines_dropped of the input's own is replaced); an empty table gives an empty result.
     """
-    keyed = with_key(docs, "doc_id")
-    lines = line_templates(keyed.select("__id", "text")).select("__id", "line", "tokens", F.explode("keys").alias("key"))
+    rows = packed(docs).withColumn("__text", F.col("__row.text"))
+    lines = line_templates(rows.select("__id", F.col("__text").alias("text"))).select("__id", "line", "tokens", F.explode("keys").alias("key"))
     # minima, maxima and counts combine before the shuffle: a template in a third of all lines is a row a task
     groups = lines.groupBy("key").agg(F.min("__id").alias("first"), F.max("__id").alias("last"), F.count("*").alias("n"), F.max("tokens").alias("t"))
     recurring = groups.where((F.col("first") < F.col("last")) & (F.col("n") >= F.when(F.col("t") < short, short_support).otherwise(support))).select("key", "first")
@@ -76,9 +76,9 @@ def drop_recurring_lines(docs: DataFrame, support: int = SUPPORT, short: int = S
     if keep_first:
         hits = hits.where(F.col("__id") > F.col("first"))
     dropped = materialise(hits.groupBy("__id").agg(F.collect_set("line").alias("__drop")), "dropped-lines")
-    all_lines = F.split("text", "\n", -1)
-    left = F.filter(all_lines, lambda x: ~F.array_contains("__drop", F.xxhash64(x)))
-    some = F.col("__drop").isNotNull() & F.col("text").isNotNull()
-    out = keyed.join(dropped, "__id", "left").withColumn("__left", F.when(some, left))
+    all_lines = F.split("__text", "\n", -1)
+    some = F.col("__drop").isNotNull() & F.col("__text").isNotNull()
+    out = rows.join(dropped, "__id", "left").withColumn("__left", F.when(some, F.filter(all_lines, lambda x: ~F.array_contains("__drop", F.xxhash64(x)))))
     lost = F.when(some, F.size(all_lines) - F.size("__left")).otherwise(0).cast("long")
-    return out.select(*(F.when(some, F.array_join("__left", "\n")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns), lost.alias("lines_dropped"))
+    text = F.when(some, F.array_join("__left", "\n")).otherwise(F.col("__text"))
+    return out.select(*((text if c == "text" else F.col("__row").getField(c)).alias(c) for c in docs.columns if c != "lines_dropped"), lost.alias("lines_dropped"))
