@@ -58,7 +58,7 @@ def rm_axis(beg: float, end: float, n: int) -> np.ndarray:
     if n <= 1:
         return np.array([float(beg)])
     if n >= 3 and beg < 0 < end:
-        below = min(max(math.floor((n - 1) * -beg / (end - beg) + 0.5), 1), n - 2)
+        below = min(max(math.floor((n - 1) * (-beg / (end - beg)) + 0.5), 1), n - 2)
         step = min(-beg / below, end / (n - 1 - below))
         return (np.arange(n) - below) * step
     return beg + (end - beg) / (n - 1) * np.arange(n)

@@ -67,8 +67,9 @@ def drop_recurring_lines(docs: DataFrame, support: int = SUPPORT, short: int = S
     Rows that share a doc_id count as one document; a null doc_id counts as the least. Lines of LEAD tokens or
     fewer, also empty ones, stay. All columns are kept (a lines_dropped of the input's own is replaced); an empty table gives an empty result.
     """
-    rows = packed(docs).withColumn("__text", F.col("__row.text"))
-    lines = line_templates(rows.select("__id", F.col("__text").alias("text"))).select("__id", "line", "tokens", F.explode("keys").alias("key"))
+    rows, whole = packed(docs), F.col("__row.text")
+    # stored once, as hashes: both the groups and the lines that meet them are read from it
+    lines = materialise(line_templates(rows.select("__id", whole.alias("text"))), "line-templates").select("__id", "line", "tokens", F.explode("keys").alias("key"))
     # minima, maxima and counts combine before the shuffle: a template in a third of all lines is a row a task
     groups = lines.groupBy("key").agg(F.min("__id").alias("first"), F.max("__id").alias("last"), F.count("*").alias("n"), F.max("tokens").alias("t"))
     recurring = groups.where((F.col("first") < F.col("last")) & (F.col("n") >= F.when(F.col("t") < short, short_support).otherwise(support))).select("key", "first")
@@ -76,9 +77,9 @@ def drop_recurring_lines(docs: DataFrame, support: int = SUPPORT, short: int = S
     if keep_first:
         hits = hits.where(F.col("__id") > F.col("first"))
     dropped = materialise(hits.groupBy("__id").agg(F.collect_set("line").alias("__drop")), "dropped-lines")
-    all_lines = F.split("__text", "\n", -1)
-    some = F.col("__drop").isNotNull() & F.col("__text").isNotNull()
+    all_lines = F.split(whole, "\n", -1)
+    some = F.col("__drop").isNotNull() & whole.isNotNull()
     out = rows.join(dropped, "__id", "left").withColumn("__left", F.when(some, F.filter(all_lines, lambda x: ~F.array_contains("__drop", F.xxhash64(x)))))
     lost = F.when(some, F.size(all_lines) - F.size("__left")).otherwise(0).cast("long")
-    text = F.when(some, F.array_join("__left", "\n")).otherwise(F.col("__text"))
+    text = F.when(some, F.array_join("__left", "\n")).otherwise(whole)
     return out.select(*((text if c == "text" else F.col("__row").getField(c)).alias(c) for c in docs.columns if c != "lines_dropped"), lost.alias("lines_dropped"))

@@ -3,8 +3,8 @@
 1. Every document gives its set of word shingles (64-bit hashes), a MinHash, band keys of it, and an odd sketch:
    a bitmap of the parities of the hashed MinHash samples. Documents with equal sets form a class; one
    representative of each goes on.
-2. A band key's documents are linked to a few leaders of the bucket: each takes, of all its leaders, the one
-   whose sketch is most similar (population count of the XOR), and the pair is confirmed on the full sets.
+2. A band key's documents are compared with two leaders of the bucket, its least and its most central member: each
+   takes, of all its leaders, the one whose sketch is most similar (population count of the XOR), and the pair is confirmed on the full sets.
    Connected components follow from confirmed links.
 3. Only members of a bucket that are still in different components are compared further: the members outside the
    bucket's largest component against all others, block by block, by sketches; what may reach the threshold
@@ -29,8 +29,8 @@ WORDS = 3
 PERCENT = 85
 BANDS, ROWS = 32, 6
 SKETCH_BITS = 1024
-#: A pair is confirmed on full sets if its sketches' estimate is no more than this under the threshold: over four standard deviations.
-SLACK = 0.12
+#: A pair is confirmed on full sets if its sketches' estimate is no more than this under the threshold: three and a half standard deviations.
+SLACK = 0.09
 #: Members of a bucket compared at once.
 BLOCK = 512
 
@@ -192,6 +192,11 @@ def _compare(percent: int):
     return run
 
 
+def _tasks(spark) -> int:
+    """Tasks of a stage whose work isn't told by its bytes."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``; other columns are ignored.
 
@@ -209,13 +214,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     # one row a class: the row of its least id
     reps = materialise(some.join(classes.withColumnRenamed("rep", "__id"), ["fp1", "fp2", "__id"]).dropDuplicates(["fp1", "fp2", "__id"]).select(F.col("__id").alias("id"), "n", "bands", "sketch"), "representatives")
     buckets = reps.select("id", F.explode("bands").alias("key"))
-    order = F.xxhash64("id")
-    leaders = buckets.groupBy("key").agg(F.min("id").alias("l0"), F.max("id").alias("l1"), F.min(order).alias("h0"), F.max(order).alias("h1"), F.count("*").alias("m")).where("m > 1")
-    members = materialise(buckets.join(leaders, "key").select("key", "id", "m", "l0", "l1", order.alias("h"), "h0", "h1"), "members")
-    # hashes name leaders too: find their ids within the bucket
-    named = members.where("h = h0 or h = h1").select("key", F.col("id").alias("leader"))
-    ends = members.select("id", F.explode(F.array("l0", "l1")).alias("leader"))
-    star = ends.unionByName(members.where("m > 3").select("key", "id").join(named, "key").select("id", "leader")).where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
+    sizes = buckets.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("l0")).where("m > 1")
+    members = materialise(buckets.join(sizes, "key"), "members")
+    # a text from which others were copied shares more and larger buckets with them than they do with each other
+    central = members.join(members.groupBy("id").agg(F.sum("m").alias("c")), "id")
+    hubs = central.groupBy("key").agg(F.max(F.struct("c", (-F.col("id")).alias("i"))).alias("top")).select("key", (-F.col("top.i")).alias("l1"))
+    star = members.join(hubs, "key").select("id", F.explode(F.array("l0", "l1")).alias("leader")).where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
     sketches = reps.select("id", "sketch", "n")
     both = star.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb")), "b")
     both = both.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b", "sa", "sb").mapInArrow(_estimated, "a long, b long, j double")
@@ -234,7 +238,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     with_major = F.transform(F.sequence(F.lit(0), majors - 1), lambda j: F.struct(own.alias("i"), (-1 - j).alias("j"), F.lit(1).alias("side")))
     from_major = F.transform(F.sequence(F.lit(0), minors - 1), lambda i: F.struct(i.alias("i"), (-1 - own).alias("j"), F.lit(2).alias("side")))
     met = open_.select("key", "id", "n", "comp", "sketch", F.explode(F.when(F.col("minor"), F.concat(with_minor, with_major)).otherwise(from_major)).alias("p")).select("key", "p.i", "p.j", "p.side", "id", "n", "comp", "sketch")
-    pairs = materialise(met.groupBy("key", "i", "j").applyInArrow(_compare(percent), "a long, b long").distinct(), "pairs")
+    pairs = materialise(met.repartition(_tasks(spark), "key", "i", "j").groupBy("key", "i", "j").applyInArrow(_compare(percent), "a long, b long").distinct(), "pairs")
     more = confirmed(pairs, docs, words, percent)
     roots = first.select(F.col("node").alias("a"), F.col("root").alias("ra"))
     more = more.join(roots, "a", "left").join(roots.select(F.col("a").alias("b"), F.col("ra").alias("rb")), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))

@@ -9,6 +9,7 @@ spread of the rates. A document's posterior joins its own evidence with the rate
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from ._shared import bounded_batches, materialise, texts
 
 #: Labelled documents to learn from: so many of each kind (low quality, toxic, neither), of this length at most.
-SAMPLE = 2000
+SAMPLE = 1200
 SAMPLE_CHARS = 20_000
 #: Documents of the sample that must have a feature, and its least z-score.
 LEAST_DF, LEAST_Z = 5, 4.0
@@ -72,6 +73,10 @@ class _Weights(dict):
         return w
 
 
+def _present(text: str) -> set[bytes]:
+    return {f for w in set(text.encode("utf-8", "surrogatepass").split()) for f in features(w)}
+
+
 def _logit(p: float) -> float:
     return float(np.log(p / (1 - p)))
 
@@ -79,14 +84,12 @@ def _logit(p: float) -> float:
 def train(rows: list[tuple[str, int]], l2: float = 1.0, steps: int = 300) -> Model:
     """Logistic regression on features that tell the classes apart by z-score, and on style."""
     y = np.array([r[1] for r in rows], np.float64)
-    split = [(t.encode("utf-8", "surrogatepass").split(), t.encode("utf-8", "surrogatepass")) for t, _ in rows]
     prior = _logit((y.sum() + 1) / (len(y) + 2))
     if not len(y) or y.min() == y.max():
         return Model({}, np.zeros(7), prior, prior)
     df: tuple[Counter, Counter] = (Counter(), Counter())
-    sets = [{f for w in set(words) for f in features(w)} for words, _ in split]
-    for s, k in zip(sets, y.astype(int), strict=True):
-        df[k].update(s)
+    for text, k in rows:  # twice over the sample rather than all its features in memory
+        df[k].update(_present(text))
     n = [(y == 0).sum(), (y == 1).sum()]
     chosen = []
     for f in df[0].keys() | df[1].keys():
@@ -97,9 +100,14 @@ def train(rows: list[tuple[str, int]], l2: float = 1.0, steps: int = 300) -> Mod
                 chosen.append(f)
     chosen.sort()
     at = {f: k for k, f in enumerate(chosen)}
-    pairs = [(i, at[f]) for i, s in enumerate(sets) for f in s if f in at]
-    row, col = (np.array(x, np.int64) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
-    own = np.array([style(w, t) for w, t in split])
+    row, col, own = array("q"), array("q"), []
+    for i, (text, _) in enumerate(rows):
+        own_at = [at[f] for f in _present(text) if f in at]
+        row.extend([i] * len(own_at))
+        col.extend(own_at)
+        data = text.encode("utf-8", "surrogatepass")
+        own.append(style(data.split(), data))
+    row, col, own = np.array(row, np.int64), np.array(col, np.int64), np.array(own)
     mean, spread = own.mean(0), own.std(0) + 1e-6
     own = (own - mean) / spread
     w, s, b = np.zeros(len(chosen)), np.zeros(own.shape[1]), prior

@@ -10,17 +10,27 @@ import numpy as np
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
 _RARE = [c for c in WHITE if c not in " \n"]
 _SEGMENT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-#: Encoded words that a worker keeps, and the longest that it keeps (in characters). They bound memory only.
-CACHE_WORDS = 600_000
+#: Letters, then ASCII marks but the apostrophe, which can begin a contraction.
+_MARKED = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
+#: Encoded words of each of the two generations that a worker keeps, and the longest that it keeps (in characters).
+#: They bound memory only.
+CACHE_WORDS = 400_000
 CACHE_CHARS = 64
 
 
+def _byte_letters() -> dict[int, str]:
+    """Byte-level BPE writes each byte as a printable letter: itself if it is one, else the next from U+0100 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in own)}
+
+
 class Encoder(dict):
     """``encode(text)`` -> little-endian uint32 ids as bytes, equal to those of the tokenizers library.
 
-    The byte-level pattern never joins a non-space character with white space that follows it, so a text may be
-    cut before any white space that follows a non-space character, and each piece encoded by itself. Keys are
-    pieces without their leading space (or with their leading line feed); values are the ids' bytes.
+    The byte-level pattern never joins a non-space character with white space that follows it, nor a letter with
+    marks that follow it, so a text may be cut there and each piece encoded by itself. A run of letters (with a
+    leading space) is one word of the pattern, so the library's model encodes it directly. Keys are pieces
+    without their leading space (or with their leading line feed); values are the ids' bytes.
     """
 
     def __init__(self, path: str):
@@ -29,14 +39,42 @@ class Encoder(dict):
         super().__init__()
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
+        self._model = self._tokenizer.model
+        self._letters = _byte_letters()
+        self._ends = {"\n": self.raw("\n")}
+        self._older: dict[str, bytes] = {}
 
     def raw(self, text: str) -> bytes:
         return np.asarray(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _word(self, word: str, space: str = " ") -> bytes:
+        """Ids of letters alone, after a space or nothing."""
+        mapped = (space + word).encode().decode("latin-1").translate(self._letters)
+        return np.array([t.id for t in self._model.tokenize(mapped)], "<u4").tobytes()
+
+    def _end(self, marks: str) -> bytes:
+        """Ids of a run of marks right after letters."""
+        if marks not in self._ends:
+            if len(self._ends) >= CACHE_WORDS:
+                self._ends = {"\n": self._ends["\n"]}
+            self._ends[marks] = self.raw(marks)
+        return self._ends[marks]
+
     def __missing__(self, piece: str) -> bytes:
-        ids = self.raw(piece if piece[:1] == "\n" else " " + piece)
+        ids = self._older.get(piece)
+        if ids is None:
+            if piece.isalpha():
+                ids = self._word(piece)
+            elif (end := _MARKED.fullmatch(piece)) and end[1].isalpha():
+                ids = self[end[1]] + self._end(end[2])
+            elif piece[:1] == "\n":
+                rest = piece[1:]
+                ids = self._ends["\n"] + self._word(rest, "") if rest.isalpha() else self.raw(piece)
+            else:
+                ids = self.raw(" " + piece)
         if len(piece) <= CACHE_CHARS:
             if len(self) >= CACHE_WORDS:
+                self._older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids

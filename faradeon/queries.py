@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import columns as C
-from .functions.axes import Axes, rm_axis
+from .functions.axes import Axes, auto_rm_range, rm_axis, rm_resolution
 from .operators import cubestat, images, mask, runlog, statistics, synthesis
 
 N_CHAN, BAD = 64, (11, 31)
@@ -250,6 +250,45 @@ def stream_sums(s, d):
     return rounded(finished(partial_sums(cube(s, d), AXES.channels(s), AXES.depths(s))).select("x", "y", "irm", "rm", "re", "im"), "re", "im")
 
 
+@query("p7_auto_rm_axis", "SELECT CAST(range AS INT) AS irm, round((range - 32) * (0.5 * 63 * pi() / (pow(299.792458 / 698, 2) - pow(299.792458 / 954, 2)) / 32), 6) + 0.0 AS rm FROM range(64)")
+def p7(s, d):
+    return rounded(Axes.of(FREQ, rm_axis(*auto_rm_range(FREQ), N_CHAN)).depths(s), "rm")
+
+
+@query("p15_rm_resolution", _with(_AXES) + "SELECT chan, round(pi() * pow(freq * 1e6, 3) / (2 * pow(3e8, 2) * 4e6), 6) AS step, round(64 * pi() * pow(freq * 1e6, 3) / (2 * pow(3e8, 2) * 4e6), 6) AS span FROM chans")
+def p15(s, d):
+    return rounded(s.createDataFrame([(k, *map(float, rm_resolution(f * 1e6, 4e6, N_CHAN))) for k, f in enumerate(FREQ)], "chan int, step double, span double"), "step", "span")
+
+
+def _beam(s, d, parts: str) -> DataFrame:
+    """Each pixel's response, with its own weights, to a unit source at depth 10 with angle 0.3."""
+    angle = 2 * (0.3 + 10 * F.col("lsq"))
+    c = cube(s, d).join(F.broadcast(AXES.channels(s).select("chan", "lsq")), "chan")
+    q, u = (f(angle) if k in parts else F.lit(0.0) for k, f in (("Q", F.cos), ("U", F.sin)))
+    unit = c.select("x", "y", "chan", q.alias("q"), u.alias("u"), "w")
+    return rounded(synthesis.relational(unit, AXES.channels(s), AXES.depths(s)).select("x", "y", "irm", "re", "im"), "re", "im")
+
+
+_UNIT = "SELECT x, y, irm, round(sum(w * ({q} * cos(2 * rm * lsq) + {u} * sin(2 * rm * lsq))) / nullif(sum(w), 0), 6) + 0.0 AS re, round(sum(w * ({u} * cos(2 * rm * lsq) - {q} * sin(2 * rm * lsq))) / nullif(sum(w), 0), 6) + 0.0 AS im FROM cube JOIN chans USING (chan) CROSS JOIN depths GROUP BY 1, 2, 3"
+
+
+@query("p16_dirty_beam", _with(_CUBE, _AXES) + _UNIT.format(q="cos(2 * (0.3 + 10 * lsq))", u="sin(2 * (0.3 + 10 * lsq))"))
+def p16(s, d):
+    return _beam(s, d, "QU")
+
+
+@query("p17_dirty_beam_q", _with(_CUBE, _AXES) + _UNIT.format(q="cos(2 * (0.3 + 10 * lsq))", u="0"))
+def p17(s, d):
+    return _beam(s, d, "Q")
+
+
+@query("p24_component_phase", _with(_CUBE, _AXES) + "SELECT x, y, round(sum(w * q * cos(2 * 6 * lsq)), 6) + 0.0 AS c, round(sum(w * q * sin(2 * 6 * lsq)), 6) + 0.0 AS s FROM cube JOIN chans USING (chan) GROUP BY 1, 2")
+def p24(s, d):
+    c = cube(s, d).join(F.broadcast(AXES.channels(s).select("chan", "lsq")), "chan")
+    part = lambda f: F.sum(F.col("w") * F.col("q") * f(2 * 6 * F.col("lsq")))
+    return rounded(c.groupBy("x", "y").agg(part(F.cos).alias("c"), part(F.sin).alias("s")), "c", "s")
+
+
 @query("p25_first_bins_rms", _with(_CUBE, _AXES, _FAR) + "SELECT x, y, round(stddev_pop(amp), 6) AS rms FROM lng WHERE irm < 10 GROUP BY 1, 2")
 def p25(s, d):
     return rounded(long(s, d).where("irm < 10").groupBy("x", "y").agg(F.stddev_pop("amp").alias("rms")), "rms")
