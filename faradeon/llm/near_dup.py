@@ -7,8 +7,8 @@
    takes, of all its leaders, the one whose sketch is most similar (population count of the XOR), and the pair is confirmed on the full sets.
    Connected components follow from confirmed links.
 3. Only members of a bucket that are still in different components are compared further: the members outside the
-   bucket's largest component against all others, block by block, by sketches; what may reach the threshold
-   is confirmed on the full sets. So no link that bands can find between different components is lost,
+   bucket's largest component against all others, block by block, by sketches and by a parity bitmap of the whole
+   shingle set (made for these members only); what may reach the threshold is confirmed on the full sets. So no link that bands can find between different components is lost,
    and hot buckets cost in proportion to what is unlinked rather than their square.
 """
 
@@ -31,6 +31,8 @@ BANDS, ROWS = 32, 6
 SKETCH_BITS = 1024
 #: A pair is confirmed on full sets if its sketches' estimate is no more than this under the threshold: three and a half standard deviations.
 SLACK = 0.09
+#: Bits of the parity bitmap of a whole shingle set, and the standard deviations that a pair may be over the threshold's expectation.
+PARITY_BITS, PARITY_SIGMAS = 2048, 5
 #: Members of a bucket compared at once.
 BLOCK = 512
 
@@ -106,6 +108,23 @@ def similarity(differing: np.ndarray) -> np.ndarray:
     return np.maximum(1 + SKETCH_BITS / (4 * _K) * np.log(left), 0)
 
 
+def parity_of(shingles: np.ndarray) -> bytes:
+    """Odd sketch of the whole set."""
+    return np.packbits(np.bincount((shingles % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1).tobytes()
+
+
+def most_differing(total: np.ndarray, percent: int) -> np.ndarray:
+    """Bits in which the parity bitmaps of two linked sets can differ; ``total``: the sum of the sets' sizes.
+
+    Linked sets differ in (100 - percent) / (100 + percent) of ``total`` elements at most; the mean and variance
+    are those of the cells with an odd count when so many fall at random.
+    """
+    d = np.asarray(total, np.float64) * (100 - percent) / (100 + percent)
+    left = np.exp(-2 * d / PARITY_BITS)
+    variance = PARITY_BITS / 4 * (1 - left**2) - d * left**2
+    return PARITY_BITS / 2 * (1 - left) + PARITY_SIGMAS * np.sqrt(np.maximum(variance, 0)) + 2
+
+
 SIGNATURES = "__id long, n long, fp1 long, fp2 long, bands array<long>, sketch binary"
 
 
@@ -127,10 +146,10 @@ def _sign(words: int):
     return run
 
 
-def _sets(words: int):
+def _sets(words: int, form=np.ndarray.tobytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingle_set(x, words).tobytes() for x in texts(batch.column(1))]
+            found = [form(shingle_set(x, words)) for x in texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["__id", "s"])
 
     return run
@@ -172,18 +191,24 @@ def _estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compare(percent: int):
-    """Pairs of one block pair whose components differ and whose sizes and sketches allow the threshold."""
+    """Pairs of one block pair whose components differ and whose sizes and sketches allow the threshold.
+
+    A pair comes from the first of the buckets that it shares alone: all of those hold two components, so all are compared.
+    """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(keys: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         ids, n, comp, side = (np.asarray(table[c]) for c in ("id", "n", "comp", "side"))
-        bits = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint64).reshape(len(ids), -1)
+        bits, parities = (np.frombuffer(b"".join(table[c].to_pylist()), np.uint64).reshape(len(ids), -1) for c in ("sketch", "parity"))
+        bands = np.asarray(table["bands"].combine_chunks().flatten()).reshape(len(ids), -1)
         left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
         a, b = [], []
         for i in left.tolist():
             near = right[(comp[right] != comp[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
             if len(near):
                 near = near[similarity(np.bitwise_count(bits[near] ^ bits[i]).sum(1)) >= percent / 100 - SLACK]
+                near = near[np.bitwise_count(parities[near] ^ parities[i]).sum(1) <= most_differing(n[near] + n[i], percent)]
+                near = near[bands[i, (bands[near] == bands[i]).argmax(1)] == keys[0].as_py()]
                 a.append(np.full(len(near), ids[i]))
                 b.append(ids[near])
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
@@ -229,7 +254,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     apart = members.select("key", "id").join(first.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("comp"))
     apart = materialise(apart, "apart")
     sizes = apart.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.sum("c").alias("m"), F.max("c").alias("most")).where("m > most")
-    open_ = apart.join(sizes, "key").join(sketches, "id").withColumn("minor", F.col("comp") != F.col("major"))
+    open_ = materialise(apart.join(sizes, "key"), "open")
+    few = docs.join(open_.select(F.col("id").alias("__id")).distinct(), "__id", "left_semi").select("__id", "text")
+    parities = materialise(few.mapInArrow(_sets(words, parity_of), "__id long, s binary").select(F.col("__id").alias("id"), F.col("s").alias("parity")), "parities")
+    open_ = open_.join(reps.select("id", "n", "sketch", "bands").join(parities, "id"), "id").withColumn("minor", F.col("comp") != F.col("major"))
     minors, majors = (F.ceil(x / F.lit(float(BLOCK))).cast("int") for x in (F.col("m") - F.col("most"), F.col("most")))
     deal = lambda n: F.pmod(F.xxhash64("id"), F.greatest(n, F.lit(1))).cast("int")
     own = F.when(F.col("minor"), deal(minors)).otherwise(deal(majors))
@@ -237,7 +265,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     with_minor = F.transform(F.sequence(F.lit(0), minors - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j"), F.when(own == j, 3).when(own < j, 1).otherwise(2).alias("side")))
     with_major = F.transform(F.sequence(F.lit(0), majors - 1), lambda j: F.struct(own.alias("i"), (-1 - j).alias("j"), F.lit(1).alias("side")))
     from_major = F.transform(F.sequence(F.lit(0), minors - 1), lambda i: F.struct(i.alias("i"), (-1 - own).alias("j"), F.lit(2).alias("side")))
-    met = open_.select("key", "id", "n", "comp", "sketch", F.explode(F.when(F.col("minor"), F.concat(with_minor, with_major)).otherwise(from_major)).alias("p")).select("key", "p.i", "p.j", "p.side", "id", "n", "comp", "sketch")
+    met = open_.select("key", "id", "n", "comp", "sketch", "parity", "bands", F.explode(F.when(F.col("minor"), F.concat(with_minor, with_major)).otherwise(from_major)).alias("p")).select("key", "p.i", "p.j", "p.side", "id", "n", "comp", "sketch", "parity", "bands")
     pairs = materialise(met.repartition(_tasks(spark), "key", "i", "j").groupBy("key", "i", "j").applyInArrow(_compare(percent), "a long, b long").distinct(), "pairs")
     more = confirmed(pairs, docs, words, percent)
     roots = first.select(F.col("node").alias("a"), F.col("root").alias("ra"))
