@@ -317,6 +317,18 @@ def test_odd_sketch_estimates_similarity():
         assert np.std(errors) < 0.04
 
 
+@pytest.mark.parametrize("size", [1, 5, 40, 300, 3000, 40_000])
+def test_parity_bitmaps_keep_pairs_at_the_threshold(size):
+    """Pairs with the least similarity of a link, in odd sizes too, are never rejected."""
+    rng = np.random.default_rng(size)
+    for percent in (80, 85):
+        for _ in range(100):
+            both = -(-percent * 2 * size // (100 + percent))  # the least intersection of two sets of this size
+            x = rng.integers(0, 1 << 63, 2 * size - both, dtype=np.uint64)
+            a, b = (np.frombuffer(near_dup.parity_of(s), np.uint64) for s in (x[:size], x[size - both :]))
+            assert np.bitwise_count(a ^ b).sum() <= near_dup.most_differing(np.array(2 * size), percent)
+
+
 def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(100)] + [(500, 501), (7, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in components.components(links).collect()}
