@@ -317,6 +317,26 @@ def test_odd_sketch_estimates_similarity():
         assert np.std(errors) < 0.04
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_links_at_the_threshold_are_missed_once_in_a_million(percent):
+    """By sketches and by bands, from the exact distributions of equal samples and of odd cells."""
+    samples, cells, j = near_dup.SAMPLES, near_dup.SKETCH_BITS, percent / 100
+    rejected = near_dup.similarity(np.arange(cells + 1)) < j - near_dup.slack(percent)
+    equal = np.ones(1)
+    for _ in range(samples):
+        equal = np.convolve(equal, [1 - j, j])
+    odd_cells, at, missed = np.eye(1, cells + 1)[0], np.arange(cells + 1), 0.0
+    for balls in range(2 * samples + 1):
+        if balls % 2 == 0:
+            missed += equal[samples - balls // 2] * odd_cells[rejected].sum()
+        odd_cells = np.append(0, (odd_cells * (1 - at / cells))[:-1]) + np.append((odd_cells * at / cells)[1:], 0)
+    assert missed < 1e-6
+    rows = near_dup.rows_of(percent)
+    keys = near_dup.band_keys(near_dup.minhash(near_dup.shingle_set("a b c d", 3)), rows)
+    assert len(set(keys.tolist())) == samples // rows
+    assert (1 - j**rows) ** len(keys) < 1e-6
+
+
 @pytest.mark.parametrize("size", [1, 5, 40, 300, 3000, 40_000])
 def test_parity_bitmaps_keep_pairs_at_the_threshold(size):
     """Pairs with the least similarity of a link, in odd sizes too, are never rejected."""
