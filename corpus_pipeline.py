@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faradeon.llm import decontaminate, language_id, line_dedup, near_dup, packing
-from faradeon.llm._shared import materialise, packed, read, with_key
+from faradeon.llm._shared import materialise, packed, read
 
 #: Near-duplicates in the pipeline: five words a shingle, similarity 0.8.
 WORDS, PERCENT = 5, 80
@@ -31,10 +31,21 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the least doc_id; of rows that share a doc_id one stays."""
-    found = near_dup.near_duplicates(docs, WORDS, PERCENT)
-    gone = materialise(with_key(found.where(~F.col("kept")), "doc_id").select("__id").distinct(), "near-duplicates")
-    return packed(docs).join(gone, "__id", "left_anti").dropDuplicates(["__id"]).select("__row.*")
+    """One row of each group stays: the one with the least doc_id, null first, then the least text by its hash.
+
+    Every row is a document of its own, whatever rows share its doc_id; rows without words all stay.
+    """
+    # a number for each row, fixed by writing it: doc_id may be null or shared
+    rows = packed(docs).select("__id", "__row", F.xxhash64("__row.text").alias("__order"), F.monotonically_increasing_id().alias("__key"))
+    rows = materialise(rows, "rows")
+    found = near_dup.near_duplicates(rows.select("__key", F.col("__row.text").alias("__text")), WORDS, PERCENT, "__key", "__text").select(F.col("doc_id").alias("__key"), F.col("component_id").alias("__group"))
+    found = materialise(found, "groups")
+    # groups of two rows or more; minima combine before the shuffle
+    many = found.groupBy("__group").agg(F.count("*").alias("n")).where("n > 1").select("__group")
+    members = found.join(many, "__group").join(rows.select("__key", "__id", "__order"), "__key").select("__group", "__key", F.struct("__id", "__order", "__key").alias("at"))
+    stays = members.groupBy("__group").agg(F.min("at").alias("first"))
+    gone = materialise(members.join(stays, "__group").where("at > first").select("__key"), "near-duplicates")
+    return rows.join(gone, "__key", "left_anti").select("__row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

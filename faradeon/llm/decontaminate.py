@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import bounded_batches, materialise, packed, texts, with_key
+from ._shared import bounded_batches, texts, with_key
 
 K1, B = 1.2, 0.75
 #: Share of its own score that an item must get from a passage to be retrieved, and items in a block.
@@ -171,6 +171,32 @@ def _query(held, threshold: float, overlap: float):
     return run
 
 
+def _clean(held, threshold: float, overlap: float, at: int):
+    """Batches without the rows in whose text (column ``at``) an item is found."""
+    query = _query(held, threshold, overlap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int64()), batch.column(at).cast(pa.string())], names=["__id", "text"])
+            keep = np.ones(batch.num_rows, bool)
+            for hits in query(iter([own])):
+                keep[np.asarray(hits.column(0))] = False
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
+def _indexes(benchmark: DataFrame) -> Iterator:
+    """Broadcast indexes of groups of items; one at least. Null items and items without words take no part."""
+    items = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    groups = max(1, -(-chars // INDEX_CHARS))
+    for g in range(groups):
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g)
+        # a group holds about INDEX_CHARS characters
+        yield benchmark.sparkSession.sparkContext.broadcast(Index.build([(r["item_id"], r["text"]) for r in part.collect()]))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
     """__id, item_id, score, question, answer, passage: documents and the test items found in them.
 
@@ -178,16 +204,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     the shares of their shingles in the passage that starts at word ``passage`` (the best one). Null and empty
     texts match nothing; null items and items without words match nothing. Rows that share an id each count.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    items = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    groups = -(-chars // INDEX_CHARS)
+    bounded_batches(docs.sparkSession)
     out = None
-    for g in range(max(1, groups)):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, groups))) == g)
-        # a group holds about INDEX_CHARS characters
-        held = spark.sparkContext.broadcast(Index.build([(r["item_id"], r["text"]) for r in part.collect()]))
+    for held in _indexes(benchmark):
         hits = docs.select("__id", "text").mapInArrow(_query(held, threshold, overlap), HITS)
         out = hits if out is None else out.unionByName(hits)
     return out
@@ -201,8 +220,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
     return hits.select(shown.alias("doc_id"), "item_id", F.round("h.score", 6).alias("score"), F.round("h.question", 6).alias("question_overlap"), F.round("h.answer", 6).alias("answer_overlap"), F.col("h.passage").alias("passage_start"))
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents in which an item of ``benchmark`` is found; all columns are kept."""
-    rows = packed(docs)
-    bad = materialise(contaminated(rows.select("__id", F.col("__row.text").cast("string").alias("text")), benchmark).select("__id").distinct(), "contaminated")
-    return rows.join(bad, "__id", "left_anti").select("__row.*")
+def decontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
+    """``docs`` without the rows in which an item of ``benchmark`` is found; all columns are kept.
+
+    Each row is decided by its own text, whatever rows share its doc_id. One pass over the scan, without a shuffle.
+    """
+    bounded_batches(docs.sparkSession)
+    at = docs.columns.index("text")
+    for held in _indexes(benchmark):
+        docs = docs.mapInArrow(_clean(held, threshold, overlap, at), docs.schema)
+    return docs

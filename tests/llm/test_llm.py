@@ -589,6 +589,21 @@ def test_pipeline(spark, tables, odd, empty, tmp_path):
         small.collect()
 
 
+def test_stages_decide_each_row_that_shares_a_doc_id(spark, tables):
+    import corpus_pipeline as p
+
+    rng = random.Random(12)
+    own = [words(rng, 80, 5000) for _ in range(6)]
+    rows = [(None, own[0], "en", "a"), (None, own[1], "en", "a"), (7, own[2], "en", "a"), (7, own[3], "en", "a"), (9, own[1], "en", "a"), (7, own[4], "en", "a"), (8, own[4], "en", "a"), (6, own[5], "en", "a"), (6, own[5], "en", "a"), (None, "", "en", "a"), (None, None, "en", "a")]
+    left = sorted(((r["doc_id"], r["text"]) for r in p.drop_near_duplicates(spark, table(spark, rows), tables).collect()), key=str)
+    assert left == sorted([(i, t) for i, t, *_ in rows[:4]] + [(7, own[4]), (6, own[5]), (None, ""), (None, None)], key=str)
+    item = spark.read.parquet(f"{tables}/benchmark.parquet").where("text is not null").first()["text"]
+    rows = [(None, item, "en", "a"), (None, own[0], "en", "a"), (7, f"{own[1]} {item}", "en", "a"), (7, own[2], "en", "a"), (None, None, "en", "a")]
+    out = p.drop_contaminated(spark, table(spark, rows), tables)
+    assert out.columns == table(spark, rows).columns
+    assert {(r["doc_id"], r["text"]) for r in out.collect()} == {(None, own[0]), (7, own[2]), (None, None)}
+
+
 def test_near_dedup_stage_keeps_one_of_each_group(spark, odd_rows, odd, tables):
     import corpus_pipeline as p
 
