@@ -19,9 +19,10 @@ WORDS, PERCENT = 5, 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language ('und': null, empty or without a letter) go; lang becomes the predicted one."""
+    """Documents without a language ('und': null, empty or without a letter) go; lang becomes the predicted one, if any could be learned."""
     found = language_id.identify(docs, language_id.train(language_id.sample(docs)))
-    return found.where(F.col("lang_pred") != language_id.UNDETERMINED).select(*(F.col("lang_pred").alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns))
+    kept = found.where(F.col("lang_pred").isNull() | (F.col("lang_pred") != language_id.UNDETERMINED))
+    return kept.select(*(F.coalesce("lang_pred", "lang").alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from ._shared import bounded_batches, texts
 
 ORDER = 3
-#: The sample: documents a language, and their lengths in characters. It bounds what is learned from, nothing else.
+#: The sample: documents a language, and their lengths in characters. It bounds what is learned from, nothing else: a
+#: language without texts of these lengths is learned from shorter ones, or else from the first part of longer ones.
 PER_LANGUAGE = 400
 SAMPLE_CHARS = (40, 20_000)
 #: Bytes of the resolved tables; more languages get fewer symbols, then a lower order.
@@ -51,11 +52,13 @@ class Model:
             total += self.lengths.take(key, axis=0).sum(0, dtype=np.int64)
         return total
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """(language, its share of the languages' probabilities); ('und', 0.0) without a letter."""
+    def predict(self, text: str | None) -> tuple[str | None, float]:
+        """(language, its share of the languages' probabilities); ('und', 0.0) without a letter, (None, 0.0) without languages."""
         data = (text or "").encode("utf-8", "surrogatepass")
-        if not self.languages or not any(c.isalpha() for c in (text or "")):
+        if not any(c.isalpha() for c in (text or "")):
             return UNDETERMINED, 0.0
+        if not self.languages:
+            return None, 0.0
         bits = self.code_lengths(data) / UNIT
         p = np.exp2(bits.min() - bits)
         return self.languages[int(bits.argmin())], float(p.max() / p.sum())
@@ -116,26 +119,36 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict[str, list[str]]:
-    """The first documents of each language in the order of a hash of doc_id, of those not held out."""
+    """The first documents of each language in the order of a hash of doc_id, of those not held out that have a letter.
+
+    Texts of SAMPLE_CHARS go first; where a language has none, the shorter ones are taken, and where it has none
+    of those either, the longer ones, cut to the bound.
+    """
     lo, hi = SAMPLE_CHARS
-    some = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & F.length("text").between(lo, hi))
+    some = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & F.col("text").rlike(r"\p{L}"))
+    some = some.select("doc_id", "lang", F.substring("text", 1, hi).alias("text"), F.when(F.length("text") < lo, 1).when(F.length("text") > hi, 2).otherwise(0).alias("fit"))
+    some = some.where((F.col("fit") < 2) | F.col("text").rlike(r"\p{L}"))
     order = F.xxhash64("doc_id")
     # two steps, so that no language's documents meet in one task
-    dealt = some.select("doc_id", "lang", order.alias("h"), F.pmod(order, F.lit(256)).alias("salt"))
-    part = F.row_number().over(Window.partitionBy("lang", "salt").orderBy("h", "doc_id"))
-    whole = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    dealt = some.select("doc_id", "lang", "fit", order.alias("h"), F.pmod(order, F.lit(256)).alias("salt"))
+    part = F.row_number().over(Window.partitionBy("lang", "salt").orderBy("fit", "h", "doc_id"))
+    whole = F.row_number().over(Window.partitionBy("lang").orderBy("fit", "h", "doc_id"))
     few = dealt.withColumn("r", part).where(F.col("r") <= per_language).withColumn("r", whole).where(F.col("r") <= per_language)
-    ids = few.select("doc_id", "lang").distinct()
+    ids = few.select("doc_id", "lang", "fit").distinct()
     out: dict[str, list[str]] = {}
+    fit: dict[str, int] = {}
     # per_language rows a language
-    for r in some.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"]).orderBy("lang", "doc_id", "text").collect():
-        out.setdefault(r["lang"], []).append(r["text"])
+    for r in some.join(F.broadcast(ids), ["doc_id", "lang", "fit"]).orderBy("lang", "fit", "doc_id", "text").collect():
+        if r["fit"] == fit.setdefault(r["lang"], r["fit"]):
+            out.setdefault(r["lang"], []).append(r["text"])
     return {k: v[:per_language] for k, v in out.items()}
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with lang_pred and score, for every row; null texts and texts without a letter get 'und' and 0.
 
+    Where no language could be learned, all other texts get null and 0.
+
     Only ``text`` is looked at. All other columns pass through, so a column named lang_pred or score is replaced.
     """
     spark = docs.sparkSession

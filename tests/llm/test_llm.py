@@ -230,6 +230,22 @@ def test_language_id_odd_rows(spark, odd, empty):
     assert language_id.language_id(empty).collect() == []
 
 
+@pytest.mark.parametrize("scale", [1, 2000])
+def test_language_of_short_or_long_texts_alone_is_learned(spark, scale):
+    rows = [(k, "der hund und die katze sind im haus " * 2, "de", "a") for k in range(20)] + [(100 + k, "the cat is out " * (2 if scale == 1 else scale), "en", "a") for k in range(20)] + [(200, "12 34", "xx", "a")]
+    docs = table(spark, rows)
+    assert sorted(language_id.sample(docs)) == ["de", "en"]
+    assert {(r["doc_id"] < 100, r["lang_pred"]) for r in language_id.language_id(docs.where("doc_id < 200")).collect()} == {(True, "de"), (False, "en")}
+
+
+def test_nothing_to_learn_deletes_nothing(spark, tables):
+    import corpus_pipeline as p
+
+    docs = table(spark, [(1, "a text of words", None, "a"), (2, "12 34", None, "a"), (3, None, None, "a")])
+    assert [r["lang_pred"] for r in language_id.language_id(docs).orderBy("doc_id").collect()] == [None, "und", "und"]
+    assert [(r["doc_id"], r["lang"]) for r in p.identify_language(spark, docs, tables).collect()] == [(1, None)]
+
+
 # -- near-duplicates
 
 
