@@ -4,7 +4,7 @@ One pass of the standard library's streaming parser gives lines (a block element
 count of tags and their chain of containers. Lines under containers that are never content (menus, page
 headers and footers, sidebars, notices, adverts, forms, scripts, reader comments) count as without text. The
 text-to-tag ratios are smoothed over neighbouring lines and split into two clusters by a threshold. The
-content region is the innermost container that holds nearly all text of the high cluster; every line of it
+content region is the innermost container that holds all text of the high cluster and the page's heading; every line of it
 that isn't excluded is kept, short ones too, so that no part of an article is dropped for its looks.
 """
 
@@ -37,23 +37,28 @@ MARKS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs pagination pager sidebar aside widget footer header masthead toolbar complementary contentinfo search "
     "comment comments disqus respond replies reply reader discussion related recommended recommendations share sharing social follow subscribe subscription newsletter signup login toc hidden".split()
 )
+#: Of these, words that articles use for parts of their own; within one they tell boilerplate only of text that is mostly links.
+OWN = frozenset("notice notices notification alert banner overlay header toc search widget complementary promotion reader respond reply replies discussion related recommended recommendations follow".split())
+#: Words that make a name tell of a page's layout, not of the element itself.
+LAYOUT = frozenset("with without has no not layout page".split())
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
 #: Gaussian smoothing of the ratios: standard deviation in lines.
 SIGMA = 1.0
-#: Share of the high cluster's text that the region must hold.
-SHARE = 0.9
 
 
 class Lines(HTMLParser):
-    """Parser events to lines: (text, tags, excluded, chain of container numbers)."""
+    """Parser events to lines: (text, tags, excluded, chain of container numbers); names that tell boilerplate are judged at the end."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, bool, tuple[int, ...]]] = []
         self.kinds: dict[int, str] = {0: ""}
-        self._stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # tag, number, silent, excluded
+        self._stack: list[tuple[str, int, bool, bool, tuple[int, ...]]] = [("", 0, False, False, ())]  # tag, number, silent, excluded, named elements
+        self._named: list[dict] = []  # elements whose names tell boilerplate
+        self._lines: list[tuple[int, ...]] = []  # named elements of each line
+        self._articles: list[tuple[int, ...]] = []  # named elements about each article or main element without such a name
         self._text: list[str] = []
         self._tags = 0
         self._made = 0
@@ -62,6 +67,7 @@ class Lines(HTMLParser):
         text = _SPACE.sub(" ", "".join(self._text)).strip()
         if text:
             self.lines.append((text, self._tags, self._stack[-1][3], tuple(x[1] for x in self._stack if x[1] >= 0)))
+            self._lines.append(self._stack[-1][4])
             self._tags = 0
         self._text.clear()
 
@@ -75,10 +81,16 @@ class Lines(HTMLParser):
             return
         if tag in CLOSES:
             self._close_implied(CLOSES[tag])
-        silent, excluded = self._stack[-1][2:]
+        silent, excluded, named = self._stack[-1][2:]
         names = {t[0] for t in self._stack}
-        marked = self._marked(attrs, bool(names & {"article", "main"}))
-        if tag in ("article", "main") and not marked and not any(t[3] and t[0] not in BOILERPLATE for t in self._stack):
+        within = bool(names & {"article", "main"})
+        marked, found, whole = self._hidden(attrs), *self._marks(attrs, within)
+        if tag in ("article", "main") and not found and not marked:
+            self._articles.append(named)
+        if found and (tag not in BOILERPLATE or (tag == "header" and names & {"article", "main", "section"})) and tag not in ("html", "body"):
+            named = (*named, len(self._named))
+            self._named.append({"own": within and found <= OWN, "whole": whole, "text": 0, "links": 0})
+        if tag in ("article", "main") and not marked and not found and not any(t[3] and t[0] not in BOILERPLATE for t in self._stack):
             excluded = False  # content starts here, though a menu or header before it was left open
         elif tag == "header" and names & {"article", "main", "section"}:
             excluded = excluded or marked
@@ -88,19 +100,41 @@ class Lines(HTMLParser):
         if tag in BLOCKS and tag != "p":
             self._made += 1
             number, self.kinds[self._made] = self._made, tag
-        self._stack.append((tag, number, silent or tag in SILENT, excluded))
+        self._stack.append((tag, number, silent or tag in SILENT, excluded, named))
 
     @staticmethod
-    def _marked(attrs: list[tuple[str, str | None]], within: bool) -> bool:
-        """Whether the attributes tell boilerplate. The header of an article (``within``) is part of it."""
+    def _hidden(attrs: list[tuple[str, str | None]]) -> bool:
+        return any(name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and value and re.search(r"display\s*:\s*none", value)) for name, value in attrs)
+
+    @staticmethod
+    def _marks(attrs: list[tuple[str, str | None]], within: bool) -> tuple[set[str], bool]:
+        """Words of the attributes that tell boilerplate, and whether a name has no others. The header of an article (``within``) is part of it."""
+        marks, whole = set(), False
         for name, value in attrs:
-            if name in ("hidden",) or (name == "aria-hidden" and value == "true") or (name == "style" and value and re.search(r"display\s*:\s*none", value)):
-                return True
             if name in ("class", "id", "role", "aria-label") and value:
-                found = MARKS.intersection(_WORD.findall(_CAMEL.sub(" ", value).lower()))
-                if found and not (within and found == {"header"}):
-                    return True
-        return False
+                for token in value.split():
+                    words = set(_WORD.findall(_CAMEL.sub(" ", token).lower()))
+                    found = MARKS & words
+                    if found and not words & LAYOUT and not (within and found == {"header"}):
+                        marks |= found
+                        whole = whole or found == words
+        return marks, whole
+
+    def _judge(self) -> None:
+        """Exclude lines of named elements, but for those that rather hold content.
+
+        These are the elements about all article and main elements of the page, those about most text whose name
+        has other words too, and parts of an article whose name an article may use (OWN) unless mostly links.
+        """
+        total = 0
+        for (text, _, excluded, _), named in zip(self.lines, self._lines, strict=True):
+            if not excluded:
+                total += len(text)
+                for k in named:
+                    self._named[k]["text"] += len(text)
+        about = set.intersection(*map(set, self._articles)) if self._articles else set()
+        void = {k for k, x in enumerate(self._named) if k in about or (not x["whole"] and 2 * x["text"] > total) or (x["own"] and 2 * x["links"] < x["text"])}
+        self.lines = [(text, tags, excluded or not void.issuperset(named), chain) for (text, tags, excluded, chain), named in zip(self.lines, self._lines, strict=True)]
 
     def _close_implied(self, kinds: set[str]) -> None:
         """End open elements of these kinds within the nearest container that can hold them."""
@@ -125,10 +159,14 @@ class Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self._stack[-1][2]:
             self._text.append(data)
+            if self._stack[-1][4] and any(x[0] == "a" for x in self._stack):
+                for k in self._stack[-1][4]:
+                    self._named[k]["links"] += len(data)
 
     def finish(self) -> None:
         self.close()
         self._break()
+        self._judge()
 
 
 def smooth(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -172,13 +210,19 @@ def extract(html: str) -> str:
             total += len(text)
             for c in chain:
                 held[c] += len(text)
-    # containers open in page order, so of those that hold enough the last opened is the innermost
-    region = max((c for c, n in held.items() if n >= SHARE * total and parser.kinds[c] not in HEADINGS), default=0)
+    # containers open in page order, so of those that hold all the last opened is the innermost
+    region = max((c for c, n in held.items() if n == total and parser.kinds[c] not in HEADINGS), default=0)
     above = next(chain[: chain.index(region) + 1] for _, _, _, chain in lines if region in chain)
     for kind in ("article", "main"):  # a page that marks its content up tells the whole region
         if marked := [c for c in above if parser.kinds[c] == kind]:
             region = marked[0]
             break
+    else:  # the region's heading may stand before it: what holds both is taken
+        kinds = [[parser.kinds[c] for c in chain] for _, _, _, chain in lines]
+        top = next((k for k in ("h1", *sorted(HEADINGS)) if any(k in x for x in kinds)), None)
+        heading = next((chain for (_, _, _, chain), x in zip(lines, kinds, strict=True) if top in x), above)
+        if not any(region in chain and top in x for (_, _, _, chain), x in zip(lines, kinds, strict=True)):
+            region = max(set(above) & set(heading))
     return " ".join(text for text, _, _, chain in lines if region in chain)
 
 

@@ -508,6 +508,20 @@ def test_html(html, text):
     assert html_text.extract(html or "") == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<div class='layout with-sidebar'><article><p>Body text.</p></article><div class='sidebar'>s</div></div>", "Body text."),
+        ("<div class='search'><article><p>Body text.</p></article></div>", "Body text."),
+        ("<article><p>One.</p><section id='discussion'><p>Two is talked over.</p></section><div class='related-work'>Three.</div><p class='notice'>Four.</p></article>", "One. Two is talked over. Three. Four."),
+        ("<article><p>One.</p><div class='related'><a href=x>Other</a> <a href=y>pages</a></div></article>", "One."),
+        ("<body><nav>menu</nav><h1>Title</h1><p>lead</p><div>" + "long body of text " * 40 + "</div></body>", "Title lead " + ("long body of text " * 40).strip()),
+    ],
+)
+def test_html_names_are_evidence_only(html, text):
+    assert html_text.extract(html) == text
+
+
 def test_html_pages(spark, tables):
     import re
     from html import unescape
