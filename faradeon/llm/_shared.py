@@ -29,6 +29,17 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{tempfile.gettempdir()}/faradeon-shared"
 
 
+def own_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/faradeon-{label}-{uuid.uuid4().hex}"
+
+
+def temporary(spark: SparkSession, path: str) -> None:
+    """Delete what was written to ``path`` when the driver's JVM ends."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again.
 
@@ -36,11 +47,9 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     from running twice. The table is deleted when the driver's JVM ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/faradeon-{label}-{uuid.uuid4().hex}"
+    path = own_path(spark, label)
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    temporary(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -8,8 +8,11 @@
    Connected components follow from confirmed links.
 3. Only members of a bucket that are still in different components are compared further: the members outside the
    bucket's largest component against all others, block by block, by sketches and by a parity bitmap of the whole
-   shingle set (made for these members only); what may reach the threshold is confirmed on the full sets. So no link that bands can find between different components is lost,
-   and hot buckets cost in proportion to what is unlinked rather than their square.
+   shingle set; what may reach the threshold is confirmed on the full sets. So no link that bands can find between
+   different components is lost, and hot buckets cost in proportion to what is unlinked rather than their square.
+
+Texts move once: the sets of all documents that share a bucket are stored after one shuffle. To confirm links, each
+link takes one of its sets to the other's group, which holds the other set once for ``GROUP`` links.
 """
 
 from __future__ import annotations
@@ -35,24 +38,28 @@ SKETCH_BITS = 1024
 SKETCH_SIGMAS = 6
 #: Bits of the parity bitmap of a whole shingle set, and the standard deviations that a pair may be over the threshold's expectation.
 PARITY_BITS, PARITY_SIGMAS = 2048, 5
-#: Members of a bucket compared at once.
+#: Members of a bucket compared at once, and links of one document confirmed at once.
 BLOCK = 512
+GROUP = 512
 
 _RNG = np.random.default_rng(20240607)
 _K = SAMPLES
 _MUL = _RNG.integers(0, 1 << 32, _K, dtype=np.uint32) | np.uint32(1)
 _ADD = _RNG.integers(0, 1 << 32, _K, dtype=np.uint32)
 _MIX = _RNG.integers(0, 1 << 63, (3, ROWS), dtype=np.uint64) | np.uint64(1)
-CACHE_WORDS = 400_000
+#: Words whose hashes a task keeps, and the longest of them in bytes; they bound memory only.
+CACHE_WORDS, CACHE_BYTES = 100_000, 64
 
 
 class _Words(dict):
     """Hashes of words; bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= CACHE_BYTES:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = h
         return h
 
 
@@ -163,46 +170,66 @@ def _sign(words: int, rows: int):
                 sig, fp = minhash(s), xxhash.xxh3_128_intdigest(s)
                 out.append((doc, len(s), (fp >> 64) - (1 << 63), (fp & ((1 << 64) - 1)) - (1 << 63), band_keys(sig, rows), odd_sketch(sig)))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)] if out else [pa.array([], f.type) for f in schema], schema=schema)
+        _WORDS.clear()
 
     return run
 
 
-def _sets(words: int, form=np.ndarray.tobytes):
+def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [form(shingle_set(x, words)) for x in texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["__id", "s"])
+            found = [shingle_set(x, words) for x in texts(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in found], pa.binary()), pa.array([parity_of(x) for x in found], pa.binary())], names=["__id", "s", "parity"])
+        _WORDS.clear()
 
     return run
 
 
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sets' similarity is ``percent`` / 100 or more."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _confirm(percent: int):
+    """Of rows ordered by (b, salt, a), the first of a group being the set of ``b`` itself (a is null), the links (a, b) that hold."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own = None, []
         for batch in batches:
-            a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            ok = []
-            for x, y in zip(a, b, strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    ok.append(False)
-                    continue
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            ok = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
+            left, right = [], []
+            for b, salt, a, s in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                x = np.frombuffer(s, np.uint64)
+                if at != (b, salt):
+                    at, own = (b, salt), []
+                if a is None:  # one row, unless rows share a doc_id
+                    own.append(x)
+                elif any(linked(x, y, percent) for y in own):
+                    left.append(a)
+                    right.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
     return run
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Of ``pairs`` (a, b) those whose full shingle sets reach the threshold. ``docs``: __id, text.
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of ``pairs`` (a, b; distinct) those whose full shingle sets (``sets``: id, s) reach the threshold.
 
-    Sets are made again from the texts of the documents concerned only; they travel with their pairs.
+    Of each pair the document with more pairs is ``b``: its set goes once to each group of its links, the other's
+    set goes to the group. Groups of a document with many links are dealt over tasks. ``pairs`` should be stored.
     """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("__id")).distinct()
-    sets = materialise(docs.join(ids, "__id", "left_semi").select("__id", "text").mapInArrow(_sets(words), "__id long, s binary"), "shingles")
-    left = pairs.join(sets.select(F.col("__id").alias("a"), F.col("s").alias("sa")), "a")
-    return left.join(sets.select(F.col("__id").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb").mapInArrow(_confirm(percent), "a long, b long")
+    degrees = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("d"))
+    known = pairs.join(degrees.select(F.col("id").alias("a"), F.col("d").alias("da")), "a").join(degrees.select(F.col("id").alias("b"), F.col("d").alias("db")), "b")
+    swap = (F.col("da") > F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
+    links = known.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"), F.ceil(F.greatest("da", "db") / F.lit(float(GROUP))).cast("int").alias("groups"))
+    links = materialise(links.select("a", "b", F.pmod(F.xxhash64("a"), F.col("groups")).cast("int").alias("salt")), "links")
+    # a merge join at every size: sets are too large to be sent to all machines
+    own = links.select("b", "salt").distinct().join(sets.hint("merge"), F.col("b") == F.col("id")).select("b", "salt", F.lit(None).cast("long").alias("a"), "s")
+    others = links.join(sets.hint("merge"), F.col("a") == F.col("id")).select("b", "salt", "a", "s")
+    both = own.unionByName(others).repartition(_tasks(pairs.sparkSession), "b", "salt").sortWithinPartitions("b", "salt", F.asc_nulls_first("a"))
+    return both.mapInArrow(_confirm(percent), "a long, b long")
 
 
 def _estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,6 +291,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     buckets = reps.select("id", F.explode("bands").alias("key"))
     sizes = buckets.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("l0")).where("m > 1")
     members = materialise(buckets.join(sizes, "key"), "members")
+    # the one shuffle of texts. A merge join at every size: the ids of members are as many as the corpus has copies
+    shared = docs.join(members.select(F.col("id").alias("__id")).distinct().hint("merge"), "__id", "left_semi")
+    sets = materialise(shared.mapInArrow(_sets(words), "__id long, s binary, parity binary").select(F.col("__id").alias("id"), "s", "parity"), "shingles")
     # a text from which others were copied shares more and larger buckets with them than they do with each other
     central = members.join(members.groupBy("id").agg(F.sum("m").alias("c")), "id")
     hubs = central.groupBy("key").agg(F.max(F.struct("c", (-F.col("id")).alias("i"))).alias("top")).select("key", (-F.col("top.i")).alias("l1"))
@@ -272,15 +302,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     both = star.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb")), "b")
     both = both.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b", "sa", "sb").mapInArrow(_estimated, "a long, b long, j double")
     nearest = both.where(F.col("j") >= percent / 100 - slack(percent)).groupBy("a").agg(F.max_by("b", F.struct("j", -F.col("b"))).alias("b"))
-    first = components(confirmed(materialise(nearest, "star"), docs, words, percent))
+    first = components(confirmed(materialise(nearest, "star"), sets, percent))
     # what is still apart within a bucket
     apart = members.select("key", "id").join(first.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("comp"))
     apart = materialise(apart, "apart")
     sizes = apart.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.sum("c").alias("m"), F.max("c").alias("most")).where("m > most")
     open_ = materialise(apart.join(sizes, "key"), "open")
-    few = docs.join(open_.select(F.col("id").alias("__id")).distinct(), "__id", "left_semi").select("__id", "text")
-    parities = materialise(few.mapInArrow(_sets(words, parity_of), "__id long, s binary").select(F.col("__id").alias("id"), F.col("s").alias("parity")), "parities")
-    open_ = open_.join(reps.select("id", "n", "sketch", "bands").join(parities, "id"), "id").withColumn("minor", F.col("comp") != F.col("major"))
+    open_ = open_.join(reps.select("id", "n", "sketch", "bands").join(sets.select("id", "parity"), "id"), "id").withColumn("minor", F.col("comp") != F.col("major"))
     minors, majors = (F.ceil(x / F.lit(float(BLOCK))).cast("int") for x in (F.col("m") - F.col("most"), F.col("most")))
     deal = lambda n: F.pmod(F.xxhash64("id"), F.greatest(n, F.lit(1))).cast("int")
     own = F.when(F.col("minor"), deal(minors)).otherwise(deal(majors))
@@ -290,7 +318,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     from_major = F.transform(F.sequence(F.lit(0), minors - 1), lambda i: F.struct(i.alias("i"), (-1 - own).alias("j"), F.lit(2).alias("side")))
     met = open_.select("key", "id", "n", "comp", "sketch", "parity", "bands", F.explode(F.when(F.col("minor"), F.concat(with_minor, with_major)).otherwise(from_major)).alias("p")).select("key", "p.i", "p.j", "p.side", "id", "n", "comp", "sketch", "parity", "bands")
     pairs = materialise(met.repartition(_tasks(spark), "key", "i", "j").groupBy("key", "i", "j").applyInArrow(_compare(percent), "a long, b long").distinct(), "pairs")
-    more = confirmed(pairs, docs, words, percent)
+    more = confirmed(pairs, sets, percent)
     roots = first.select(F.col("node").alias("a"), F.col("root").alias("ra"))
     more = more.join(roots, "a", "left").join(roots.select(F.col("a").alias("b"), F.col("ra").alias("rb")), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
     second = components(more)
