@@ -50,18 +50,28 @@ class EliasFano:
         """The value at place ``i``, from the sample before it and a scan of a few high bytes."""
         if not 0 <= i < self.n:
             raise IndexError(i)
-        at, left = int(np.frombuffer(self.samples, "<u4")[i // SAMPLE]), i % SAMPLE
-        byte, skip = at // 8, at % 8
-        while True:
-            bits = np.unpackbits(np.frombuffer(self.high, np.uint8, offset=byte, count=min(64, len(self.high) - byte)), bitorder="little")
-            ones = np.flatnonzero(bits[skip:]) + skip
-            if left < len(ones):
-                one = byte * 8 + int(ones[left])
-                break
-            left, byte, skip = left - len(ones), byte + 64, 0
-        first = i * self.width
-        word = int.from_bytes(self.low[first // 8 : (first + self.width + 7) // 8], "little") >> first % 8
-        return (one - i << self.width) | (word & ((1 << self.width) - 1))
+        return int(self.selects(np.array([i]))[0])
+
+    def selects(self, places: np.ndarray) -> np.ndarray:
+        """The values at ascending ``places``: runs of places under one sample share its scan."""
+        places = np.asarray(places, np.int64)
+        samples, high = np.frombuffer(self.samples, "<u4"), np.frombuffer(self.high, np.uint8)
+        ones = np.zeros(len(places), np.int64)
+        for k in np.unique(places // SAMPLE).tolist():
+            a, b = np.searchsorted(places, [k * SAMPLE, (k + 1) * SAMPLE])
+            start = int(samples[k])
+            stop = int(samples[k + 1]) if k + 1 < len(samples) else 8 * len(high)
+            bits = np.unpackbits(high[start // 8 : stop // 8 + 1], bitorder="little")[start % 8 :]
+            ones[a:b] = np.flatnonzero(bits)[places[a:b] - k * SAMPLE] + start
+        # the low bits lie in at most eight bytes, as values have at most 56 bits
+        low = np.zeros(len(self.low) + 8, np.uint8)
+        low[: len(self.low)] = np.frombuffer(self.low, np.uint8)
+        first = places * self.width
+        word = np.zeros(len(places), np.uint64)
+        for byte in range(8):
+            word |= low[first // 8 + byte].astype(np.uint64) << np.uint64(8 * byte)
+        word = word >> (first % 8).astype(np.uint64) & np.uint64((1 << self.width) - 1)
+        return (ones - places << self.width) | word.astype(np.int64)
 
     def bits(self) -> int:
         return 8 * (len(self.low) + len(self.high) + len(self.samples))

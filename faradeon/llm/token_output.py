@@ -23,12 +23,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import bounded_batches, shared_dir, texts
+from ._shared import bounded_batches, own_path, temporary, texts
 from .elias_fano import EliasFano
 from .tokenize import encoder, vocabulary
 
 SEGMENT_TOKENS = 2_000_000
 END = 2
+#: Characters of a text that tell where rows of one doc_id may be split.
+HEAD = 32
 
 SEGMENTS = "part int, seg int, n_docs long, n_tokens long, id_bytes int, ids binary, doc_ids binary, nulls binary, ef_top long, ef_width int, ef_low binary, ef_high binary, ef_samples binary"
 ROWS = "part int, seg int, doc_id long, local_start long, n_tokens long, ids_crc32 long"
@@ -66,6 +68,7 @@ def _encode(path: str, end: int, segment_tokens: int):
                     seg, held, ids, docs = seg + 1, 0, [], []
         if ids:
             yield flush()
+        enc.forget()
 
     return run
 
@@ -84,7 +87,9 @@ def write_tokens(docs: DataFrame, out: str, path: str | None = None, end: int =
     together, in the order of their texts. An empty table gives no segments.
     """
     bounded_batches(docs.sparkSession)
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # the text's beginning splits rows that share a doc_id, or have none, over tasks in the order of their texts
+    ordered = rows.repartitionByRange("doc_id", F.substring("text", 1, HEAD)).sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(_encode(path or vocabulary(), end, segment_tokens), SEGMENTS).write.option("compression", "zstd").parquet(out)
 
 
@@ -107,10 +112,10 @@ def document(row: dict, i: int) -> np.ndarray:
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            flat, ends = segment_ids(row), segment_bounds(row).decode()
+            n = row["n_docs"]
+            flat, ends = segment_ids(row), segment_bounds(row).selects(np.arange(n))
             starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
             null = np.unpackbits(np.frombuffer(row["nulls"], np.uint8), bitorder="little")[: row["n_docs"]].astype(bool)
-            n = row["n_docs"]
             crc = [zlib.crc32(flat[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(n, row["part"], np.int32)), pa.array(np.full(n, row["seg"], np.int32)), pa.array(np.frombuffer(row["doc_ids"], "<i8"), mask=null), pa.array(starts), pa.array(ends - starts), pa.array(crc, pa.int64())],
@@ -138,10 +143,13 @@ def read_tokens(spark: SparkSession, out: str) -> DataFrame:
 
 
 def token_output(docs: DataFrame, path: str | None = None, end: int = END) -> DataFrame:
-    """Write ``docs`` to the shared folder in the file format above and read the files back."""
-    import uuid
+    """doc_id, start, n_tokens, ids_crc32: ``docs`` written to the shared folder in the format above and read back.
 
+    Nulls, repeats, ties and empty tables: as in write_tokens. Offsets come from the select structures of the files,
+    which are deleted when the driver's JVM ends; keep them by write_tokens.
+    """
     spark = docs.sparkSession
-    out = f"{shared_dir(spark)}/faradeon-tokens-{uuid.uuid4().hex}"
+    out = own_path(spark, "tokens")
     write_tokens(docs, out, path, end)
+    temporary(spark, out)
     return read_tokens(spark, out)

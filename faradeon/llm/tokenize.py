@@ -12,9 +12,9 @@ _RARE = [c for c in WHITE if c not in " \n"]
 _SEGMENT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 #: Letters, then ASCII marks but the apostrophe, which can begin a contraction.
 _MARKED = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
-#: Encoded words of each of the two generations that a worker keeps, and the longest that it keeps (in characters).
+#: Encoded words of each of the two generations that a task keeps, and the longest that it keeps (in characters).
 #: They bound memory only.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 CACHE_CHARS = 64
 
 
@@ -27,18 +27,22 @@ def _byte_letters() -> dict[int, str]:
 class Encoder(dict):
     """``encode(text)`` -> little-endian uint32 ids as bytes, equal to those of the tokenizers library.
 
+    The strings of special tokens in a text are those tokens, as is the library's default; with ``plain`` they
+    are ordinary text.
+
     The byte-level pattern never joins a non-space character with white space that follows it, nor a letter with
     marks that follow it, so a text may be cut there and each piece encoded by itself. A run of letters (with a
     leading space) is one word of the pattern, so the library's model encodes it directly. Keys are pieces
     without their leading space (or with their leading line feed); values are the ids' bytes.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         from tokenizers import Tokenizer
 
         super().__init__()
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        self._special = [] if plain else [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+        self._tokenizer.encode_special_tokens = plain
         self._model = self._tokenizer.model
         self._letters = _byte_letters()
         self._ends = {"\n": self.raw("\n")}
@@ -82,6 +86,8 @@ class Encoder(dict):
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
+        if any(x in text for x in self._special):
+            return self.raw(text)
         if "  " in text or "\n " in text or " \n" in text or "\n\n" in text or text[-1] in WHITE or text[0] in WHITE or any(c in text for c in _RARE):
             return b"".join(self._segment(x) for x in _SEGMENT.findall(text))
         head, *rest = text.replace("\n", " \n").split(" ")
@@ -94,6 +100,13 @@ class Encoder(dict):
         return self[x] if x[0] == "\n" and x[1:2] and x[1] not in WHITE else self.raw(x)
 
 
+    def forget(self) -> None:
+        """Drop what is cached, as tasks do at their end: a worker process outlives its task."""
+        self.clear()
+        self._older = {}
+        self._ends = {"\n": self._ends["\n"]}
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 

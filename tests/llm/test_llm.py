@@ -53,9 +53,7 @@ def empty(spark):
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokenize.vocabulary())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokenize.vocabulary())
 
 
 # -- tokenising, packing, token output
