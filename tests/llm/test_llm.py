@@ -194,18 +194,68 @@ def test_short_lines_need_more_documents(spark):
 # -- language ID
 
 
-def test_language_tables_are_distributions():
-    m = language_id.train({"a": ["abc abd abc"], "b": ["xyz"]}, order=2)
-    p = np.exp2(-m.lengths.astype(np.float64) / 1024).reshape(-1, m.size, 2).sum(1)
-    assert np.allclose(p, 1, atol=0.02)
-
-
-def test_language_code_length_is_a_sum_over_bytes():
-    m = language_id.train({"a": ["the cat sat on the mat"], "b": ["das ist ein haus"]}, order=2)
-    text = b"The hat, das"
-    s = [0, 0, *m.symbols[list(text)]]
-    want = sum(m.lengths[(int(s[i - 2]) * m.size + int(s[i - 1])) * m.size + int(s[i])].astype(np.int64) for i in range(2, len(s)))
-    assert m.code_lengths(text).tolist() == want.tolist()
+def naive_code_length(samples, text, order):
+    """Bits of ``text`` by escapes and exclusion over whole distributions, context by context."""
+    seen = [defaultdict(Counter) for _ in range(order + 1)]
+    fold = lambda x: b" " * order + language_id.FOLD[np.frombuffer(x, np.uint8)].tobytes()
+    for x in map(fold, samples):
+        for i in range(order, len(x)):
+            for k in range(order + 1):
+                seen[k][x[i - k : i]][x[i]] += 1
+
+    def distribution(context):
+        if context is None:
+            return {int(b): 1 / language_id.SYMBOLS for b in np.unique(language_id.FOLD)}
+        low = distribution(context[1:] if context else None)
+        if not (own := seen[len(context)].get(context)):
+            return low
+        n, kinds = sum(own.values()), len(own)
+        rest = sum(p for b, p in low.items() if b not in own)
+        escape = kinds / (n + kinds) if rest else 0
+        return {b: own[b] / n * (1 - escape) if b in own else escape * p / rest for b, p in low.items()}
+
+    x, bits = fold(text), 0.0
+    for i in range(order, len(x)):
+        p = distribution(x[i - order : i])
+        assert abs(sum(p.values()) - 1) < 1e-9
+        bits -= np.log2(p[x[i]])
+    return bits
+
+
+def test_language_code_lengths_equal_naive_ppm():
+    samples = {"a": ["the cat sat on the mat", "a"], "b": ["das ist ein haus über", "für"], "c": ["дом и кот", "кот"], "d": ["γάτα", "x"]}
+    texts = ["The hat, das", "über дом 漢字", "кот", "zz", "", "ein haus " * 50]
+    for panel in (1, 3, 16):
+        got = language_id.train(samples, panel=panel).code_lengths([t.encode() for t in texts]) / language_id.UNIT
+        for row, text in zip(got, texts, strict=True):
+            for bits, name in zip(row, sorted(samples), strict=True):
+                assert abs(bits - naive_code_length([x.encode() for x in samples[name]], text.encode(), language_id.ORDER)) < 0.01 * (1 + len(text))
+
+
+def test_texts_are_coded_apart_whatever_the_chunk(monkeypatch):
+    m = language_id.train({"a": ["the cat sat on the mat"], "b": ["das ist ein haus"]})
+    texts = [b"the hat", b"", b"das haus ist da", b"cat"]
+    want = [m.code_lengths([t])[0].tolist() for t in texts]
+    monkeypatch.setattr(language_id, "_CHUNK", 5)
+    assert m.code_lengths(texts).tolist() == want
+
+
+@given(st.sets(st.integers(0, 1 << 40), max_size=300), st.lists(st.integers(0, 1 << 40), max_size=50))
+def test_lookup(keys, others):
+    ordered = np.array(sorted(keys), np.int64)
+    asked = np.array([*keys, *others], np.int64)
+    want = {k: i for i, k in enumerate(ordered.tolist())}
+    assert language_id.Lookup(ordered)(asked).tolist() == [want.get(k, -1) for k in asked.tolist()]
+
+
+def test_many_languages_keep_bytes_and_order(spark):
+    """Close languages in one script are told apart beside many others."""
+    cyrillic = {"ru": "мой дом стоит у реки и кот спит", "uk": "мій дім стоїть біля річки і кіт спить", "bg": "моята къща е до реката и котката спи"}
+    others = {f"l{k}": " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 2)}{x}" for x in ("an", "or", "it")) for k in range(20)}
+    rows = [(k * 10 + n, f"{t} {n}", lang, "a") for k, (lang, t) in enumerate((cyrillic | others).items()) for n in range(10)]
+    got = language_id.language_id(table(spark, rows)).collect()
+    by = {i: lang for i, _, lang, _ in rows}
+    assert all(r["lang_pred"] == by[r["doc_id"]] for r in got)
 
 
 def test_language_id_held_out_accuracy(spark, tables):
@@ -228,6 +278,16 @@ def test_language_id_odd_rows(spark, odd, empty):
     assert language_id.language_id(empty).collect() == []
 
 
+def test_sample_is_bounded(spark):
+    rows = [(k, "ab cd " * 10, "en", "a") for k in range(100)] + [(200, "x" * 500, "en", "a")]
+    held = [i for i, *_ in rows if zlib.crc32(str(i).encode()) % 3 == 1]
+    got = language_id.sample(table(spark, rows), per_language=50, most=300)["en"]
+    assert len(got) == 5 and all(len(x) == 60 for x in got)
+    assert len(language_id.sample(table(spark, rows), per_language=7)["en"]) == 7
+    assert [len(x) for x in language_id.sample(table(spark, [(i, "y" * 900, "en", "a") for i in range(20)]), most=300)["en"]] == [300]
+    assert held
+
+
 @pytest.mark.parametrize("scale", [1, 2000])
 def test_language_of_short_or_long_texts_alone_is_learned(spark, scale):
     rows = [(k, "der hund und die katze sind im haus " * 2, "de", "a") for k in range(20)] + [(100 + k, "the cat is out " * (2 if scale == 1 else scale), "en", "a") for k in range(20)] + [(200, "12 34", "xx", "a")]
@@ -546,34 +606,47 @@ def test_smoothing_keeps_constants():
 
 
 def brute_top_k(rows, k):
-    v = {}
+    from fractions import Fraction
+
+    v = []
     for i, e in rows:
         if i is not None and e is not None and all(x is not None and np.isfinite(x) for x in e):
-            x = [int(np.floor(64 * x)) for x in e]
-            v[i] = min(v.get(i, x), x)
-    out = {}
-    for q in v:
+            v.append((i, [int(64 * Fraction(x) // 1) for x in e]))
+    out = defaultdict(list)
+    for a, (q, x) in enumerate(v):
         if q % 20 == 0:
-            scores = sorted((-sum(a * b for a, b in zip(v[q], v[c], strict=False)), c) for c in v if c != q)
-            out[q] = [(c, -s) for s, c in scores[:k]]
-    return out
+            scores = sorted((-sum(p * r for p, r in zip(x, y, strict=False)), c) for b, (c, y) in enumerate(v) if a != b)
+            out[q] += [(c, min(max(-s, -(1 << 63)), (1 << 63) - 1)) for s, c in scores[:k]]
+    return {q: sorted(x) for q, x in out.items()}
 
 
 @pytest.mark.parametrize("block", [16, 4096])
 def test_top_k(spark, block):
     rng = np.random.default_rng(9)
     rows = [(i, (rng.normal(size=12) * rng.choice([0.1, 1, 5, 40])).tolist()) for i in range(700)]
-    rows += [(1000 + i, rows[40][1]) for i in range(100)] + [(41, rows[41][1]), (2000, None), (2020, [None, 1.0]), (2040, [float("nan")] * 12), (2060, [float("inf")] * 12), (None, rows[3][1]), (2080, [0.0] * 12), (2100, []), (2120, [1e9] * 12)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("g", F.lit("x")).withColumn("chunk", F.lit(0)).withColumn("rank", F.lit(1))
-    got = defaultdict(list)
-    for r in topk.top_k(df, block=block, query_block=16, seeds=64).orderBy("query_id", "rank").collect():
-        assert r["rank"] == len(got[r["query_id"]]) + 1
+    rows += [(1000 + i, rows[40][1]) for i in range(100)] + [(41, rows[41][1]), (41, rows[43][1]), (60, rows[44][1]), (2000, None), (2020, [None, 1.0]), (2040, [float("nan")] * 12), (2060, [float("inf")] * 12), (None, rows[3][1]), (2080, [0.0] * 12), (2100, [])]
+    rows += [(2120, [1e9] * 12), (2121, [1e9 + 1] * 12), (2140, [-1e9, 3e5] + [0.5] * 10), (2141, [1.7e308, -1.7e308, 1.0]), (2160, [2.0**60 + 2**10, 1.0]), (2180, [262143.99] * 12), (2181, [262144.0] * 12)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("g", F.lit("x")).withColumn("chunk", F.lit(0)).withColumn("rank", F.lit(1)).withColumn("row", F.lit(1)).withColumn("x", F.lit(1))
+    got, ranks = defaultdict(list), defaultdict(list)
+    for r in topk.top_k(df, block=block, query_block=16, seeds=64).collect():
+        ranks[r["query_id"]].append(r["rank"])
         got[r["query_id"]].append((r["vec_id"], r["score"]))
-    cut = [(i, e if e is None or any(x is None or not np.isfinite(x) for x in e) else [min(x, (1 << 24) / 64) for x in e]) for i, e in rows]
-    assert dict(got) == brute_top_k(cut, 20)
+    assert {q: sorted(x) for q, x in got.items()} == brute_top_k(rows, 20)
+    assert all(sorted(x) == sorted([*range(1, 21)] * (len(x) // 20)) for x in ranks.values())
     assert topk.top_k(df.limit(0)).collect() == []
 
 
+def test_large_components_are_not_cut(spark):
+    df = spark.createDataFrame([(0, [1e6, 0.0]), (1, [1e6, 1.0]), (2, [2e6, 0.0]), (3, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in topk.top_k(df).orderBy("rank").collect()] == [(0, 1, 2, 8192 * 10**12), (0, 2, 1, 4096 * 10**12), (0, 3, 3, 4096 * 10**6)]
+
+
+@given(st.lists(st.integers(-(1 << 80), 1 << 80), min_size=2, max_size=2))
+def test_order_of_scores_of_any_size(pair):
+    a, b = map(topk.order_of, pair)
+    assert (a < b) == (pair[0] < pair[1])
+
+
 def test_top_k_of_few(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (3, [1.0, 0.0]), (5, [1.0, 0.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.top_k(df).orderBy("rank").collect()] == [(0, 1, 3, 4096), (0, 2, 5, 4096)]
@@ -587,7 +660,7 @@ def test_local_pruning_is_exact():
     norm = lambda m: np.sqrt((m**2).sum(1).astype(float))
     exact = q @ c.T
     theta = np.sort(exact, 1)[:, -5]
-    for i, ids, scores in topk.retrieve(q, np.full(40, -1), norm(q), theta, c, np.arange(800), norm(c), 20):
+    for i, ids, scores in topk.retrieve(q, np.full(40, -1), norm(q), theta, c, np.arange(800), np.arange(800), norm(c), 20):
         at = topk.best(exact[i], np.arange(800), 20)
         at = at[exact[i][at] >= theta[i]]
         assert ids.tolist() == at.tolist() and scores.tolist() == exact[i][at].tolist()
