@@ -1,18 +1,21 @@
 """Main text of web pages: parser events, text-to-tag ratio by line, Gaussian smoothing, threshold clustering.
 
 One pass of the standard library's streaming parser gives lines (a block element's text each) with their
-count of tags and their chain of containers. Lines under containers that are never content (menus, page
-headers and footers, sidebars, notices, adverts, forms, scripts, reader comments) count as without text. The
-text-to-tag ratios are smoothed over neighbouring lines and split into two clusters by a threshold. The
-content region is the innermost container that holds all text of the high cluster and the page's heading; every line of it
-that isn't excluded is kept, short ones too, so that no part of an article is dropped for its looks.
+count of tags and their container. The text-to-tag ratios are smoothed over neighbouring lines and split into two
+clusters by a threshold; lines that elements or names tell to be boilerplate (menus, page headers and footers,
+sidebars, notices, adverts, forms, reader comments) count as without text. The content region is the innermost
+container that holds the most of the high cluster's text: containers are followed from the page inwards as long as
+one child has nearly all of it, and the region is widened to the article it is part of and to the page's heading.
+Every line of the region that isn't boilerplate is kept, short ones too, so that no part of an article is dropped for
+its looks; what stands outside goes, however it is named.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import numpy as np
@@ -23,12 +26,11 @@ from pyspark.sql import functions as F
 from ._shared import bounded_batches, texts
 
 # Elements of HTML by what they do to the text.
-SILENT = frozenset("script style noscript template iframe object svg math canvas audio video head title select textarea datalist button".split())
-RAW = frozenset("script style".split())
+SILENT = frozenset("script style template iframe object svg canvas audio video head title select textarea datalist button".split())
 BOILERPLATE = frozenset("nav header footer aside form dialog menu".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 #: Elements that a new one of the given kind closes.
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
 #: Words of class, id, role and label that mark boilerplate.
@@ -37,37 +39,60 @@ MARKS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs pagination pager sidebar aside widget footer header masthead toolbar complementary contentinfo search "
     "comment comments disqus respond replies reply reader discussion related recommended recommendations share sharing social follow subscribe subscription newsletter signup login toc hidden".split()
 )
-#: Of these, words that articles use for parts of their own; within one they tell boilerplate only of text that is mostly links.
+#: Words that add nothing to a name: one that has others than these and MARKS tells of something else, like share-price.
+PLAIN = frozenset("a area bar block body bottom box button buttons container content cta form global group html icons id inner item items left link links list main outer panel primary row right secondary section site slot text top unit user wrap wrapper x".split())
+#: Marks that articles use for parts of their own; within one they tell boilerplate only of text that is mostly links.
 OWN = frozenset("notice notices notification alert banner overlay header toc search widget complementary promotion reader respond reply replies discussion related recommended recommendations follow".split())
-#: Words that make a name tell of a page's layout, not of the element itself.
-LAYOUT = frozenset("with without has no not layout page".split())
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
+_NO_DISPLAY = re.compile(r"display\s*:\s*none")
 #: Gaussian smoothing of the ratios: standard deviation in lines.
 SIGMA = 1.0
+#: A container is entered if it has this share of its parent's text in the high cluster.
+SHARE = 0.9
+
+
+@dataclass(slots=True)
+class Open:
+    """An open element."""
+
+    tag: str
+    container: int
+    silent: bool
+    excluded: bool
+    named: int  # the innermost element about it whose name tells boilerplate; -1: none
+    within: bool  # an article or main element
+    nested: bool  # an article, main or section element
+    linked: bool
 
 
 class Lines(HTMLParser):
-    """Parser events to lines: (text, tags, excluded, chain of container numbers); names that tell boilerplate are judged at the end."""
+    """Parser events to lines: text, tags, whether excluded, container. Containers are numbered in page order.
+
+    Work is linear in the page: open elements are counted by name since the last block, names that tell boilerplate
+    and containers are linked to what encloses them.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool, tuple[int, ...]]] = []
-        self.kinds: dict[int, str] = {0: ""}
-        self._stack: list[tuple[str, int, bool, bool, tuple[int, ...]]] = [("", 0, False, False, ())]  # tag, number, silent, excluded, named elements
+        self.lines: list[tuple[str, int, bool, int]] = []
+        self.kinds, self.parents, self.last = [""], [0], [0]
+        self._stack = [Open("", 0, False, False, -1, False, False, False)]
+        self._open: list[Counter] = [Counter()]  # inline elements by name, for each open block
+        self._blocks: Counter = Counter()  # open blocks by name
         self._named: list[dict] = []  # elements whose names tell boilerplate
-        self._lines: list[tuple[int, ...]] = []  # named elements of each line
-        self._articles: list[tuple[int, ...]] = []  # named elements about each article or main element without such a name
+        self._lines: list[int] = []  # innermost named element of each line
+        self._articles: list[int] = []  # innermost named element about each article or main element without such a name
         self._text: list[str] = []
         self._tags = 0
-        self._made = 0
 
     def _break(self) -> None:
         text = _SPACE.sub(" ", "".join(self._text)).strip()
         if text:
-            self.lines.append((text, self._tags, self._stack[-1][3], tuple(x[1] for x in self._stack if x[1] >= 0)))
-            self._lines.append(self._stack[-1][4])
+            at = self._stack[-1]
+            self.lines.append((text, self._tags, at.excluded, at.container))
+            self._lines.append(at.named)
             self._tags = 0
         self._text.clear()
 
@@ -81,91 +106,117 @@ class Lines(HTMLParser):
             return
         if tag in CLOSES:
             self._close_implied(CLOSES[tag])
-        silent, excluded, named = self._stack[-1][2:]
-        names = {t[0] for t in self._stack}
-        within = bool(names & {"article", "main"})
-        marked, found, whole = self._hidden(attrs), *self._marks(attrs, within)
-        if tag in ("article", "main") and not found and not marked:
+        at = self._stack[-1]
+        excluded, named, container = at.excluded, at.named, at.container
+        hidden, found = self._hidden(attrs), self._marks(attrs, at.within)
+        if tag in ("article", "main") and not found and not hidden:
             self._articles.append(named)
-        if found and (tag not in BOILERPLATE or (tag == "header" and names & {"article", "main", "section"})) and tag not in ("html", "body"):
-            named = (*named, len(self._named))
-            self._named.append({"own": within and found <= OWN, "whole": whole, "text": 0, "links": 0})
-        if tag in ("article", "main") and not marked and not found and not any(t[3] and t[0] not in BOILERPLATE for t in self._stack):
-            excluded = False  # content starts here, though a menu or header before it was left open
-        elif tag == "header" and names & {"article", "main", "section"}:
-            excluded = excluded or marked
-        elif tag in BOILERPLATE or (marked and tag not in ("html", "body")):
+            # content starts here, though a menu or header before it was left open
+            excluded = excluded and any(x.excluded and x.tag not in BOILERPLATE for x in self._stack)
+        elif hidden and tag not in ("html", "body"):
             excluded = True
-        number = -1
-        if tag in BLOCKS and tag != "p":
-            self._made += 1
-            number, self.kinds[self._made] = self._made, tag
-        self._stack.append((tag, number, silent or tag in SILENT, excluded, named))
+        elif tag in BOILERPLATE and not (tag == "header" and at.nested):
+            excluded = True
+        if found and (tag not in BOILERPLATE or (tag == "header" and at.nested)) and tag not in ("html", "body"):
+            self._named.append({"own": at.within and found <= OWN, "text": 0, "links": 0, "about": named})
+            named = len(self._named) - 1
+        if tag in BLOCKS:
+            self._blocks[tag] += 1
+            self._open.append(Counter())
+            if tag != "p":
+                self.kinds.append(tag)
+                self.parents.append(container)
+                self.last.append(0)
+                container = len(self.kinds) - 1
+        else:
+            self._open[-1][tag] += 1
+        within = at.within or tag in ("article", "main")
+        self._stack.append(Open(tag, container, at.silent or tag in SILENT, excluded, named, within, within or at.nested or tag == "section", at.linked or tag == "a"))
 
     @staticmethod
     def _hidden(attrs: list[tuple[str, str | None]]) -> bool:
-        return any(name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and value and re.search(r"display\s*:\s*none", value)) for name, value in attrs)
+        return any(name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and value and _NO_DISPLAY.search(value)) for name, value in attrs)
 
     @staticmethod
-    def _marks(attrs: list[tuple[str, str | None]], within: bool) -> tuple[set[str], bool]:
-        """Words of the attributes that tell boilerplate, and whether a name has no others. The header of an article (``within``) is part of it."""
-        marks, whole = set(), False
+    def _marks(attrs: list[tuple[str, str | None]], within: bool) -> set[str]:
+        """Marks in names that consist of marks and plain words only. The header of an article (``within``) is part of it."""
+        marks: set[str] = set()
         for name, value in attrs:
             if name in ("class", "id", "role", "aria-label") and value:
                 for token in value.split():
                     words = set(_WORD.findall(_CAMEL.sub(" ", token).lower()))
                     found = MARKS & words
-                    if found and not words & LAYOUT and not (within and found == {"header"}):
+                    if found and found | PLAIN >= words and not (within and found == {"header"}):
                         marks |= found
-                        whole = whole or found == words
-        return marks, whole
-
-    def _judge(self) -> None:
-        """Exclude lines of named elements, but for those that rather hold content.
+        return marks
 
-        These are the elements about all article and main elements of the page, those about most text whose name
-        has other words too, and parts of an article whose name an article may use (OWN) unless mostly links.
-        """
-        total = 0
-        for (text, _, excluded, _), named in zip(self.lines, self._lines, strict=True):
-            if not excluded:
-                total += len(text)
-                for k in named:
-                    self._named[k]["text"] += len(text)
-        about = set.intersection(*map(set, self._articles)) if self._articles else set()
-        void = {k for k, x in enumerate(self._named) if k in about or (not x["whole"] and 2 * x["text"] > total) or (x["own"] and 2 * x["links"] < x["text"])}
-        self.lines = [(text, tags, excluded or not void.issuperset(named), chain) for (text, tags, excluded, chain), named in zip(self.lines, self._lines, strict=True)]
+    def _pop(self) -> None:
+        x = self._stack.pop()
+        if x.tag in BLOCKS:
+            self._blocks[x.tag] -= 1
+            self._open.pop()
+            if x.tag != "p":
+                self.last[x.container] = len(self.kinds) - 1
+        else:
+            self._open[-1][x.tag] -= 1
 
     def _close_implied(self, kinds: set[str]) -> None:
-        """End open elements of these kinds within the nearest container that can hold them."""
-        for at in range(len(self._stack) - 1, 0, -1):
-            if self._stack[at][0] in kinds:
-                del self._stack[at:]
-                return
-            if self._stack[at][0] in BLOCKS:
-                return
+        """End the open block if it is of these kinds, and those of them that enclose it directly; inline elements in them end too."""
+        depth = len(self._stack) - 1 - self._open[-1].total()
+        if depth and self._stack[depth].tag in kinds:
+            while len(self._stack) > depth:
+                self._pop()
+            self._close_implied(kinds)
 
     def handle_endtag(self, tag: str) -> None:
         self._tags += 1
         if tag in BLOCKS:
             self._break()
-        for at in range(len(self._stack) - 1, 0, -1):
-            if self._stack[at][0] == tag:
-                del self._stack[at:]
-                return
-            if tag not in BLOCKS and self._stack[at][0] in BLOCKS:
-                return  # an inline element doesn't end a block
+        # an inline element doesn't end a block
+        if (self._blocks if tag in BLOCKS else self._open[-1])[tag] > 0:
+            while self._stack[-1].tag != tag:
+                self._pop()
+            self._pop()
 
     def handle_data(self, data: str) -> None:
-        if not self._stack[-1][2]:
+        at = self._stack[-1]
+        if not at.silent:
             self._text.append(data)
-            if self._stack[-1][4] and any(x[0] == "a" for x in self._stack):
-                for k in self._stack[-1][4]:
-                    self._named[k]["links"] += len(data)
+            if at.linked and at.named >= 0:
+                self._named[at.named]["links"] += len(data)
+
+    def _judge(self) -> None:
+        """Exclude lines of named elements, but for those that rather hold content.
+
+        These are the elements about all article and main elements of the page, and parts of an article whose name an
+        article may use (OWN) unless mostly links.
+        """
+        for (text, _, excluded, _), k in zip(self.lines, self._lines, strict=True):
+            if k >= 0 and not excluded:
+                self._named[k]["text"] += len(text)
+        for x in reversed(self._named):  # inner ones come later
+            if x["about"] >= 0:
+                for what in ("text", "links"):
+                    self._named[x["about"]][what] += x[what]
+        about: Counter = Counter()
+        for k in self._articles:
+            if k >= 0:
+                about[k] += 1
+        for k in range(len(self._named) - 1, -1, -1):
+            if self._named[k]["about"] >= 0:
+                about[self._named[k]["about"]] += about[k]
+        told: list[bool] = []
+        for k, x in enumerate(self._named):
+            holds = (self._articles and about[k] == len(self._articles)) or (x["own"] and 2 * x["links"] < x["text"])
+            told.append(not holds or (x["about"] >= 0 and told[x["about"]]))
+        self.lines = [(text, tags, excluded or (k >= 0 and told[k]), c) for (text, tags, excluded, c), k in zip(self.lines, self._lines, strict=True)]
 
     def finish(self) -> None:
         self.close()
         self._break()
+        while len(self._stack) > 1:
+            self._pop()
+        self.last[0] = len(self.kinds) - 1
         self._judge()
 
 
@@ -193,6 +244,45 @@ def threshold(values: np.ndarray) -> float:
     return t
 
 
+def _path(parents: list[int], c: int) -> list[int]:
+    """Containers from the page down to ``c``."""
+    out = [c]
+    while out[-1]:
+        out.append(parents[out[-1]])
+    return out[::-1]
+
+
+def region_of(parser: Lines, lines: list[tuple[str, int, bool, int]], high: np.ndarray) -> int:
+    """The container that holds the content, told by the high cluster among ``lines`` (those that aren't boilerplate)."""
+    kinds, parents = parser.kinds, parser.parents
+    held = np.zeros(len(kinds), np.int64)
+    for (text, _, _, c), on in zip(lines, high.tolist(), strict=True):
+        if on:
+            held[c] += len(text)
+    for c in range(len(kinds) - 1, 0, -1):  # children come after their parents
+        held[parents[c]] += held[c]
+    best = np.zeros(len(kinds), np.int64)  # of each container, the child that holds most
+    for c in range(len(kinds) - 1, 0, -1):
+        if kinds[c] not in HEADINGS and (not best[parents[c]] or held[c] >= held[best[parents[c]]]):
+            best[parents[c]] = c
+    region = 0
+    while best[region] and held[best[region]] >= SHARE * held[region] > 0:
+        region = int(best[region])
+    above = _path(parents, region)
+    # a page that marks its content up tells the whole region of which the cluster is a part
+    marked = next((c for kind in ("article", "main") for c in above if kinds[c] == kind), None)
+    if marked is not None:
+        return marked
+    # the heading may stand before the region: what holds both is taken, with the lead between them
+    headed = [(kinds[c], c) for _, _, _, c in lines if kinds[c] in HEADINGS]
+    if headed:
+        top = min(k for k, _ in headed)
+        if not any(k == top and region <= c <= parser.last[region] for k, c in headed):
+            path = _path(parents, next(c for k, c in headed if k == top))
+            region = [a for a, b in zip(above, path, strict=False) if a == b][-1]
+    return region
+
+
 def extract(html: str) -> str:
     """The main text of a page; '' if it has none."""
     parser = Lines()
@@ -201,29 +291,10 @@ def extract(html: str) -> str:
     lines = [x for x in parser.lines if not x[2]]
     if not lines:
         return ""
-    ratios = np.array([0.0 if excluded else len(text) / max(1, tags) for text, tags, excluded, _ in parser.lines])
-    level = smooth(ratios)
-    high = level >= threshold(level)
-    held, total = defaultdict(int), 0
-    for (text, _, excluded, chain), on in zip(parser.lines, high.tolist(), strict=True):
-        if on and not excluded:
-            total += len(text)
-            for c in chain:
-                held[c] += len(text)
-    # containers open in page order, so of those that hold all the last opened is the innermost
-    region = max((c for c, n in held.items() if n == total and parser.kinds[c] not in HEADINGS), default=0)
-    above = next(chain[: chain.index(region) + 1] for _, _, _, chain in lines if region in chain)
-    for kind in ("article", "main"):  # a page that marks its content up tells the whole region
-        if marked := [c for c in above if parser.kinds[c] == kind]:
-            region = marked[0]
-            break
-    else:  # the region's heading may stand before it: what holds both is taken
-        kinds = [[parser.kinds[c] for c in chain] for _, _, _, chain in lines]
-        top = next((k for k in ("h1", *sorted(HEADINGS)) if any(k in x for x in kinds)), None)
-        heading = next((chain for (_, _, _, chain), x in zip(lines, kinds, strict=True) if top in x), above)
-        if not any(region in chain and top in x for (_, _, _, chain), x in zip(lines, kinds, strict=True)):
-            region = max(set(above) & set(heading))
-    return " ".join(text for text, _, _, chain in lines if region in chain)
+    level = smooth(np.array([0.0 if excluded else len(text) / max(1, tags) for text, tags, excluded, _ in parser.lines]))
+    high = (level >= threshold(level))[[not x[2] for x in parser.lines]]
+    region = region_of(parser, lines, high)
+    return " ".join(text for text, _, _, c in lines if region <= c <= parser.last[region])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +306,9 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row of ``pages`` (page_id, url, html; other columns are ignored).
 
-    Null or empty html, and pages with boilerplate only, give an empty text. No shuffle: one pass over the scan.
+    Null or empty html, and pages with boilerplate only, give an empty text; repeated rows are kept, with equal texts.
+    Pages of any length are read whole, in time linear in it. Of lines with equal ratios all are in one cluster; of
+    containers that hold as much text the first is taken. An empty table gives an empty result. No shuffle: one pass over the scan.
     """
     bounded_batches(pages.sparkSession)
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
