@@ -1,10 +1,15 @@
 """Line dedup by a log-template tree, in DataFrame functions only.
 
 A line's path in the tree is its count of tokens and its leading tokens, tokens with digits generalised to
-``<*>``. In the leaf, a line stands for its exact template and, if it is long enough, for templates in which one of
-``BLOCKS`` equal runs of the remaining tokens is a variable field. Two lines share a template exactly if
-they differ in variable fields or within one run only, so recurring templates are found by grouping, without
+``<*>``. In the leaf, a line stands for its exact template and for the templates in which one of ``BLOCKS`` equal
+runs of the remaining tokens is a variable field, where there are as many tokens. Two lines share a template exactly
+if they differ in variable fields or within one run only, so recurring templates are found by grouping, without
 comparing lines. Lines of a template that recurs across documents are dropped from all but the first of them.
+
+Tokens are separated by spaces, tabs or carriage returns; longer runs of other characters than ``LONG`` are cut, so
+that lines of scripts without spaces have tokens too. One rule tells what recurs, at any length: a template must
+be held by ``SUPPORT`` documents at least, and by so many that documents times fixed tokens reach ``EVIDENCE``, as
+templates of few fixed tokens coincide by chance.
 """
 
 from __future__ import annotations
@@ -14,15 +19,14 @@ from pyspark.sql import functions as F
 
 from ._shared import materialise, packed
 
-#: Leading tokens in a line's path; shorter lines than LEAD + 1 tokens have no leaf and stay.
+#: Leading tokens in a line's path.
 LEAD = 2
 BLOCKS = 5
-#: Tokens from which one run of tokens may vary.
-WILD_FROM = 12
-#: Documents in which a template must recur; lines under SHORT tokens coincide by chance, so they need more.
+#: Characters of a token at most.
+LONG = 16
+#: Documents in which a template must recur, and the least product of documents and fixed tokens.
 SUPPORT = 2
-SHORT = 8
-SHORT_SUPPORT = 8
+EVIDENCE = 16
 
 
 def _let(value: Column, body) -> Column:
@@ -30,50 +34,55 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _tokens(line: Column) -> Column:
-    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
-
-
-def _keys(line: Column, blocks: int, lead: int, wild_from: int) -> Column:
-    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[^ ]*[0-9][^ ]*", "<*>")).otherwise(line)
+def _keys(line: Column, blocks: int, lead: int) -> Column:
+    """Templates of a line: array of (key, fixed tokens)."""
+    plain = F.translate(line, "\t\r", "  ")
+    masked = F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, "[^ ]*[0-9][^ ]*", "<*>")).otherwise(plain)
+    cut_up = F.when(masked.rlike(f"[^ ]{{{LONG}}}"), F.regexp_replace(masked, f"([^ ]{{{LONG}}})", "$1 ")).otherwise(masked)
     js = F.sequence(F.lit(0), F.lit(blocks - 1))
 
     def of(t: Column) -> Column:
-        n, cut = F.size(t), lambda j: F.floor(F.greatest(F.size(t) - lead, F.lit(0)) * j / F.lit(float(blocks))).cast("int")
+        n, at = F.size(t), lambda j: F.floor(F.greatest(F.size(t) - lead, F.lit(0)) * j / F.lit(float(blocks))).cast("int")
         head = F.xxhash64(n, F.slice(t, 1, lead))
-        runs = F.transform(js, lambda j: F.xxhash64(F.slice(t, cut(j) + lead + 1, cut(j + 1) - cut(j))))
-        return _let(F.struct(n.alias("n"), head.alias("head"), runs.alias("runs")), leaf)
+        run = lambda j: F.slice(t, at(j) + lead + 1, at(j + 1) - at(j))
+        fixed = lambda tokens: F.size(tokens) - F.size(F.filter(tokens, lambda x: x == "<*>"))
+        runs = F.transform(js, lambda j: F.struct(F.xxhash64(run(j)).alias("h"), fixed(run(j)).alias("f")))
+        return _let(F.struct(n.alias("n"), head.alias("head"), runs.alias("runs"), fixed(t).alias("f")), leaf)
 
     def leaf(x: Column) -> Column:
-        whole = F.array(F.xxhash64(F.lit(-1), x["head"], x["runs"]))
-        wild = F.transform(js, lambda j: F.xxhash64(j, x["head"], F.transform(x["runs"], lambda r, i: F.when(i == j, F.lit(0).cast("long")).otherwise(r))))
-        return F.when(x["n"] >= wild_from, F.concat(whole, wild)).otherwise(whole)
+        key = lambda j: F.xxhash64(j, x["head"], F.transform(x["runs"], lambda r, i: F.when(i == j, F.lit(0).cast("long")).otherwise(r["h"])))
+        whole = F.array(F.struct(key(F.lit(-1)).alias("key"), x["f"].alias("fixed")))
+        wild = F.transform(js, lambda j: F.struct(key(j).alias("key"), (x["f"] - F.element_at(x["runs"], j + 1)["f"]).alias("fixed")))
+        return F.when(x["n"] >= lead + blocks, F.concat(whole, wild)).otherwise(whole)
 
-    return _let(F.split(masked, " ", -1), of)
+    return _let(F.split(cut_up, " ", -1), of)
 
 
-def line_templates(docs: DataFrame, lead: int = LEAD, blocks: int = BLOCKS, wild_from: int = WILD_FROM) -> DataFrame:
-    """__id, line (hash), tokens, keys (hashes of templates) of the distinct lines of each document; ``docs``: __id, text."""
-    lines = docs.select("__id", F.explode(F.array_distinct(F.split("text", "\n", -1))).alias("l")).where(_tokens(F.col("l")) > lead)
-    return lines.select("__id", F.xxhash64("l").alias("line"), _tokens(F.col("l")).alias("tokens"), _keys(F.col("l"), blocks, lead, wild_from).alias("keys"))
+def line_templates(docs: DataFrame, lead: int = LEAD, blocks: int = BLOCKS) -> DataFrame:
+    """__id and lines (array of line, templates) of the distinct lines of each row that aren't blank; ``docs``: __id, text."""
+    lines = F.filter(F.array_distinct(F.split("text", "\n", -1)), lambda x: F.trim(F.translate(x, "\t\r", "  ")) != "")
+    return docs.select("__id", F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("line"), _keys(x, blocks, lead).alias("templates"))).alias("lines")).where(F.size("lines") > 0)
 
 
-def drop_recurring_lines(docs: DataFrame, support: int = SUPPORT, short: int = SHORT, short_support: int = SHORT_SUPPORT, keep_first: bool = True) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, support: int = SUPPORT, evidence: int = EVIDENCE, keep_first: bool = True) -> DataFrame:
     """``docs`` with lines of recurring templates taken out of ``text``, and lines_dropped (long).
 
-    A template recurs if it has ``support`` distinct lines of documents (``short_support`` if under ``short``
-    tokens), and two documents at least. The document with the least doc_id keeps its lines of it
-    (``keep_first``), all others lose theirs. Repeated lines within one document alone stay. Null text stays null.
-    Rows that share a doc_id count as one document; a null doc_id counts as the least. Lines of LEAD tokens or
-    fewer, also empty ones, stay. All columns are kept (a lines_dropped of the input's own is replaced); an empty table gives an empty result.
+    A template recurs if two documents at least hold it, of different doc_ids, and ``support`` or more rows do, and
+    their count times its fixed tokens is ``evidence`` or more. The document with the least doc_id keeps its lines of
+    it (``keep_first``), all others lose theirs. Repeated lines within one document alone stay, and so do blank lines.
+    Null text stays null, empty text empty; lines of any length are read whole. Rows that share a doc_id are one document in what they keep; a null
+    doc_id counts as the least. Templates without fixed tokens never recur. All columns are kept (a lines_dropped of
+    the input's own is replaced); an empty table gives an empty result.
     """
     rows, whole = packed(docs), F.col("__row.text")
     # stored once, as hashes: both the groups and the lines that meet them are read from it
-    lines = materialise(line_templates(rows.select("__id", whole.alias("text"))), "line-templates").select("__id", "line", "tokens", F.explode("keys").alias("key"))
-    # minima, maxima and counts combine before the shuffle: a template in a third of all lines is a row a task
-    groups = lines.groupBy("key").agg(F.min("__id").alias("first"), F.max("__id").alias("last"), F.count("*").alias("n"), F.max("tokens").alias("t"))
-    recurring = groups.where((F.col("first") < F.col("last")) & (F.col("n") >= F.when(F.col("t") < short, short_support).otherwise(support))).select("key", "first")
-    hits = lines.select("__id", "line", "key").join(recurring, "key")
+    stored = materialise(line_templates(rows.select("__id", whole.alias("text"))), "line-templates")
+    held = stored.select("__id", F.explode(F.array_distinct(F.flatten(F.transform("lines", lambda x: x["templates"])))).alias("t")).select("__id", "t.key", "t.fixed")
+    # minima, maxima and counts combine before the shuffle: a template in a third of all documents is a row a task
+    groups = held.groupBy("key", "fixed").agg(F.min("__id").alias("first"), F.max("__id").alias("last"), F.count("*").alias("n"))
+    recurring = groups.where((F.col("first") < F.col("last")) & (F.col("n") >= support) & (F.col("n") * F.col("fixed") >= evidence)).select("key", "first")
+    lines = stored.select("__id", F.explode("lines").alias("l")).select("__id", "l.line", F.explode("l.templates.key").alias("key"))
+    hits = lines.join(recurring, "key")
     if keep_first:
         hits = hits.where(F.col("__id") > F.col("first"))
     dropped = materialise(hits.groupBy("__id").agg(F.collect_set("line").alias("__drop")), "dropped-lines")

@@ -53,26 +53,32 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_best_fit_packing, op3_language_id, op4_near_dedup, op5_sharding, op6_decontamination, op7_token_output, op8_quality, op9_html_text, op10_top_k)}
 
 _LINE_DEDUP = r"""
-WITH lines AS (
-  SELECT doc_id, l, string_split(CASE WHEN regexp_matches(l, '[0-9]') THEN regexp_replace(l, '[^ ]*[0-9][^ ]*', '<*>', 'g') ELSE l END, ' ') AS t
-  FROM (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents)
+WITH distinct_lines AS (
+  SELECT DISTINCT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents
+), masked AS (
+  SELECT doc_id, l, regexp_replace(translate(l, chr(9) || chr(13), '  '), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS m FROM distinct_lines WHERE trim(translate(l, chr(9) || chr(13), '  ')) <> ''
+), lines AS (
+  SELECT doc_id, l, string_split(regexp_replace(m, '([^ ]{16})', '\1 ', 'g'), ' ') AS t FROM masked
 ), cut AS (
-  SELECT doc_id, l, t, len(t) AS n, [CAST(floor((len(t) - 2) * j / 5.0) AS INT) FOR j IN range(6)] AS c FROM lines WHERE len(t) > 2
+  SELECT doc_id, l, t, len(t) AS n, [CAST(floor(greatest(len(t) - 2, 0) * j / 5.0) AS INT) FOR j IN range(6)] AS c FROM lines
 ), parts AS (
-  SELECT doc_id, l, n, list_slice(t, 1, 2) AS head, [list_slice(t, c[j] + 3, c[j + 1] + 2) FOR j IN range(1, 6)] AS runs FROM cut
+  SELECT doc_id, l, t, n, list_slice(t, 1, 2) AS head, [list_slice(t, c[j] + 3, c[j + 1] + 2) FOR j IN range(1, 6)] AS runs FROM cut
 ), keys AS (
-  SELECT doc_id, l, n, head, CASE WHEN v.w = 0 THEN runs ELSE [CASE WHEN j = v.w THEN ['<run>', NULL] ELSE runs[j] END FOR j IN range(1, 6)] END AS template, v.w AS w
-  FROM parts CROSS JOIN (SELECT unnest(range(6)) AS w) v WHERE v.w = 0 OR n >= 12
+  SELECT doc_id, l, n, head, CASE WHEN v.w = 0 THEN runs ELSE [CASE WHEN j = v.w THEN ['<run>', NULL] ELSE runs[j] END FOR j IN range(1, 6)] END AS template, v.w AS w,
+    len([x FOR x IN t IF x <> '<*>']) - CASE WHEN v.w = 0 THEN 0 ELSE len([x FOR x IN runs[v.w] IF x <> '<*>']) END AS fixed
+  FROM parts CROSS JOIN (SELECT unnest(range(6)) AS w) v WHERE v.w = 0 OR n >= 7
 ), recurring AS (
-  SELECT n, head, template, w, min(doc_id) AS first FROM keys GROUP BY ALL
-  HAVING min(doc_id) < max(doc_id) AND count(*) >= CASE WHEN n < 8 THEN 8 ELSE 2 END
+  SELECT n, head, template, w, min(doc_id) AS first FROM keys GROUP BY n, head, template, w, fixed
+  HAVING min(doc_id) < max(doc_id) AND count(DISTINCT doc_id) >= 2 AND count(DISTINCT doc_id) * fixed >= 16
 ), dropped AS (
   SELECT DISTINCT k.doc_id, k.l FROM keys k JOIN recurring r ON k.n = r.n AND k.head = r.head AND k.template = r.template AND k.w = r.w WHERE k.doc_id > r.first
 ), placed AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS at FROM documents
 )
-SELECT p.doc_id, coalesce(string_agg(p.l, chr(10) ORDER BY p.at) FILTER (WHERE d.l IS NULL), '') AS text, CAST(count(d.l) AS BIGINT) AS lines_dropped
-FROM placed p LEFT JOIN dropped d ON p.doc_id = d.doc_id AND p.l = d.l GROUP BY p.doc_id
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(p.text, '') END AS text, coalesce(p.lines_dropped, 0) AS lines_dropped FROM documents d LEFT JOIN (
+  SELECT p.doc_id, string_agg(p.l, chr(10) ORDER BY p.at) FILTER (WHERE d.l IS NULL) AS text, CAST(count(d.l) AS BIGINT) AS lines_dropped
+  FROM placed p LEFT JOIN dropped d ON p.doc_id = d.doc_id AND p.l = d.l GROUP BY p.doc_id
+) p ON d.doc_id = p.doc_id
 """
 
 _TOP_K = """

@@ -184,11 +184,27 @@ def test_line_dedup_keeps_columns_and_rows(spark, odd):
     assert out.count() == odd.count()
 
 
-def test_short_lines_need_more_documents(spark):
-    rows = [(k, f"all rights reserved\nbody of number{chr(97 + k)} alone", "en", "a") for k in range(9)]
+@pytest.mark.parametrize(("line", "needs"), [("Ende.", 16), ("two words", 8), ("all rights reserved", 6), ("row 17 of 40", 8), ("one two three four five six seven eight", 2), ("漢" * 40, 6), ("a\tb\tc\td", 4)])
+def test_support_in_documents_by_fixed_tokens(spark, line, needs):
+    rows = [(k, f"{line}\n{line}\nbody of number{chr(97 + k)} alone", "en", "a") for k in range(needs)]
     out = [r["lines_dropped"] for r in line_dedup.drop_recurring_lines(table(spark, rows)).orderBy("doc_id").collect()]
-    assert out == [0] + [1] * 8
-    assert [r["lines_dropped"] for r in line_dedup.drop_recurring_lines(table(spark, rows[:7])).collect()] == [0] * 7
+    assert out == [0] + [2] * (needs - 1)
+    assert [r["lines_dropped"] for r in line_dedup.drop_recurring_lines(table(spark, rows[:-1])).collect()] == [0] * (needs - 1)
+
+
+def test_line_dedup_equals_its_sql(spark, tables, odd_rows):
+    import duckdb
+
+    from faradeon.llm.queries import ORACLE_SQL
+
+    rng = random.Random(3)
+    vocabulary = [words(rng, n, 9) for n in (1, 2, 3, 5, 8, 13) for _ in range(4)] + ["", " ", "\t", "x" * 40, "漢" * 33, "a\tb 7"]
+    rows = [(k, "\n".join(rng.choice(vocabulary) for _ in range(rng.randrange(8))), "en", "a") for k in range(200)] + [(500, None, "en", "a")]
+    documents = table(spark, rows).select("doc_id", "text").toPandas()  # noqa: F841 - read by the query
+    want = sorted((int(i), t, int(n)) for i, t, n in duckdb.sql(ORACLE_SQL["op1_line_dedup"]).fetchall())
+    got = sorted((r["doc_id"], r["text"], r["lines_dropped"]) for r in line_dedup.drop_recurring_lines(table(spark, rows)).collect())
+    assert got == want
+    assert sum(n for *_, n in got) > 50
 
 
 # -- language ID
@@ -580,6 +596,37 @@ def test_html_names_are_evidence_only(html, text):
     assert html_text.extract(html) == text
 
 
+UNMARKED = (
+    "<body><div>" + "".join(f"<div><a href=/{k}>Section number {k}</a></div>" for k in range(40)) + "</div><div><h1>A title</h1>"
+    + "".join(f"<p>Paragraph {k} tells a part of the story at some length, as paragraphs do, and goes on.</p>" for k in range(8))
+    + "<p>Short.</p></div><div>" + "".join(f"<div><a href=/o{k}>Other page {k}</a></div>" for k in range(40)) + "</div></body>"
+)
+
+
+def test_clusters_find_content_without_marks(monkeypatch):
+    want = "A title " + " ".join(f"Paragraph {k} tells a part of the story at some length, as paragraphs do, and goes on." for k in range(8)) + " Short."
+    assert html_text.extract(UNMARKED) == want
+    monkeypatch.setattr(html_text, "threshold", lambda values: -1.0)  # every line is high
+    assert html_text.extract(UNMARKED) != want
+
+
+@pytest.mark.parametrize("part", ["<p class='share-price'>Kept.</p>", "<blockquote class='reply'>Kept.</blockquote>", "<p><math><mi>Kept.</mi></math></p>", "<noscript><p>Kept.</p></noscript>", "<div class='related-work'>Kept.</div>", "<header><p>Kept.</p></header>"])
+def test_parts_of_an_article_stay(part):
+    assert html_text.extract(f"<nav>menu</nav><article><p>One and more.</p>{part}<p>Two.</p></article><div class='ad'>Buy.</div>") == "One and more. Kept. Two."
+
+
+def test_html_takes_linear_time():
+    import time
+
+    def took(n):
+        began = time.process_time()
+        html_text.extract("<div>x" * n + "<i>" * n + "</b>" * n + "<p>a</i>" * n)
+        return time.process_time() - began
+
+    took(500)
+    assert took(16_000) < 16 * max(took(4_000), 0.02)
+
+
 def test_html_pages(spark, tables):
     import re
     from html import unescape
