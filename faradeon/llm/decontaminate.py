@@ -1,15 +1,20 @@
 """Benchmark decontamination: BM25 over an inverted index of test items with block-max WAND, then overlap checks.
 
-Every passage (overlapping windows that cover all of every document) is a query. The index holds, for each term,
-its BM25 impacts on items, divided by the item's score for itself, and their maximum by block of items. A block
-is scored only if the sum of its terms' block maxima reaches the threshold, so a pruned item could not have
-reached it. Retrieved items count as contamination if the question part and the answer part of the item
-overlap with the passage in word shingles.
+Every passage (overlapping windows of one size that cover all of every document) is a query. The index holds, for each
+term, its BM25 impacts on units (an item's words, long items in parts), divided by the unit's score for itself, sorted
+by unit, with the maximum of the list and of each of its blocks. A batch of passages first goes through the
+block bounds: one in which no block's maxima add up to the threshold has no pivot. The others are retrieved by
+block-max WAND: cursors over the sorted lists, a pivot where the lists' maxima reach the threshold, block maxima
+that let a block be skipped, full scores only where both reach it. So nothing above the threshold is missed. Retrieved
+items count as contamination if the question part and the answer part overlap with the passage in word shingles.
+
+Terms' document frequencies and mean lengths are those of all items, whatever groups they are indexed in.
 """
 
 from __future__ import annotations
 
 import string
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,25 +24,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import bounded_batches, texts, with_key
+from ._shared import bounded_batches, materialise, texts, with_key
 
 K1, B = 1.2, 0.75
-#: Share of its own score that an item must get from a passage to be retrieved, and items in a block.
+#: Share of its own score that a unit must get from a passage to be retrieved, and units in a block.
 THRESHOLD = 0.5
-BLOCK = 4
+BLOCK = 2
 #: Words in a shingle, and the share of a part's shingles that a passage must hold.
 WORDS = 5
 OVERLAP = 0.8
 #: Share of an item's words that is its question; the rest is its answer.
 QUESTION = 2 / 3
-#: Words of a passage at least; passages start every half of their length.
+#: Words of a passage; passages start every half of it, and units have half of it at most, so a whole unit is in one.
 PASSAGE = 256
 #: Characters of items in one index. More items are indexed in as many groups, each queried by all passages.
 INDEX_CHARS = 32 << 20
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if chr(c) in string.punctuation else c for c in range(256))
-#: Entries of one accumulator array.
-_DENSE = 1 << 22
+#: Block maxima that are added up at once.
+ENTRIES = 1 << 20
 
 
 def words_of(text: str) -> list[bytes]:
@@ -56,72 +61,158 @@ class _Terms(dict):
         return -1
 
 
+@dataclass
+class Statistics:
+    """Of all units of all items: their number, their mean length in words, and how many hold a term."""
+
+    units: int
+    mean: float
+    frequency: dict[bytes, int]
+
+    @classmethod
+    def of(cls, units: list[list[bytes]]) -> Statistics:
+        return cls(len(units), sum(map(len, units)) / max(1, len(units)), Counter(t for w in units for t in set(w)))
+
+
+def units_of(words: list[bytes]) -> list[list[bytes]]:
+    """An item's words in equal parts of half a passage at most."""
+    parts = max(1, -(-len(words) // (PASSAGE // 2)))
+    cuts = [len(words) * k // parts for k in range(parts + 1)]
+    return [words[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+@dataclass
+class Part:
+    """Shingles of an item's question or answer: of WORDS words, or of all if it has fewer."""
+
+    size: int
+    shingles: set[bytes]
+
+    @classmethod
+    def of(cls, words: list[bytes]) -> Part:
+        return cls(min(WORDS, len(words)), shingles(words))
+
+
 @dataclass
 class Index:
-    ids: list[int]
+    ids: list[int]  # of the item of each unit
+    length: list[int]  # of that item, in words
+    parts: list[tuple[Part, Part]]  # its question and answer
     terms: _Terms
     starts: np.ndarray  # of each term's postings
-    items: np.ndarray
+    units: np.ndarray
     impacts: np.ndarray
+    top: np.ndarray  # of each term
     block_starts: np.ndarray  # of each term's blocks
     blocks: np.ndarray
     block_max: np.ndarray
-    parts: list[tuple[set[bytes], set[bytes]]]  # shingles of question and answer
-    longest: int
+
+    def __post_init__(self):
+        self._lists: dict[int, tuple] = {}
 
     @classmethod
-    def build(cls, items: list[tuple[int, str]], block: int = BLOCK) -> Index:
-        """Index of (id, text); items without words are left out."""
-        split = sorted(((i, words_of(t)) for i, t in items), key=lambda x: (x[1], x[0]))  # similar items share blocks
-        split = [(i, w) for i, w in split if w]
-        df = Counter(t for _, w in split for t in set(w))
-        terms = _Terms((t, k) for k, t in enumerate(sorted(df)))
-        mean = sum(len(w) for _, w in split) / max(1, len(split))
-        term, item, impact = [], [], []
+    def build(cls, items: list[tuple[int, list[bytes]]], known: Statistics | None = None, block: int = BLOCK) -> Index:
+        """Index of (id, words); items without words are left out. ``known``: statistics of all items, if these are a group of them."""
+        whole = sorted(((i, w) for i, w in items if w), key=lambda x: (x[1], x[0]))  # similar items share blocks
+        parts = [(Part.of(w[:cut]), Part.of(w[cut:])) for _, w in whole for cut in [max(1, round(len(w) * QUESTION))]]
+        split = [(k, u) for k, (_, w) in enumerate(whole) for u in units_of(w)]
+        known = known or Statistics.of([u for _, u in split])
+        terms = _Terms((t, k) for k, t in enumerate(sorted({t for _, u in split for t in u})))
+        term, unit, impact = [], [], []
         for k, (_, w) in enumerate(split):
-            tf = Counter(w)
-            score = {t: np.log(1 + (len(split) - df[t] + 0.5) / (df[t] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * len(w) / mean)) for t, n in tf.items()}
+            score = {t: np.log(1 + (known.units - known.frequency[t] + 0.5) / (known.frequency[t] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * len(w) / known.mean)) for t, n in Counter(w).items()}
             own = sum(score.values())
             for t, s in score.items():
                 term.append(terms[t])
-                item.append(k)
+                unit.append(k)
                 impact.append(s / own)
-        term, item, impact = np.array(term, np.int64), np.array(item, np.int64), np.array(impact, np.float64)
-        order = np.lexsort((item, term))
-        term, item, impact = term[order], item[order], impact[order]
-        blocks = item // block
+        term, unit, impact = np.array(term, np.int64), np.array(unit, np.int64), np.array(impact, np.float64)
+        order = np.lexsort((unit, term))
+        term, unit, impact = term[order], unit[order], impact[order]
+        blocks = unit // block
         first = np.flatnonzero(np.concatenate([[True], (np.diff(term) != 0) | (np.diff(blocks) != 0)])) if len(term) else np.zeros(0, np.int64)
-        top = np.maximum.reduceat(impact, first) if len(first) else impact
         at = np.arange(len(terms) + 1)
-        parts = []
-        for _, w in split:
-            cut = round(len(w) * QUESTION) if len(w) >= 2 * WORDS else len(w)
-            parts.append((shingles(w[:cut]), shingles(w[cut:])))
-        return cls([i for i, _ in split], terms, np.searchsorted(term, at), item, impact, np.searchsorted(term[first], at), blocks[first], top, parts, max((len(w) for _, w in split), default=0))
-
-    def retrieve(self, window: np.ndarray, term: np.ndarray, windows: int, threshold: float = THRESHOLD, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(window, item, score) of all that reach ``threshold``, from the distinct (window, term) pairs of ``windows`` passages."""
-        n_blocks = -(-len(self.ids) // block)
-        step = max(1, _DENSE // max(1, n_blocks * block))
-        found = []
-        for a in range(0, windows, step):
-            lo, hi = np.searchsorted(window, [a, a + step])
-            w, t = window[lo:hi] - a, term[lo:hi]
-            if not len(w):
-                continue
-            n = min(step, windows - a)
-            rows, at = _expand(self.block_starts, t)
-            bound = np.bincount(w[rows] * n_blocks + self.blocks[at], self.block_max[at], n * n_blocks)
-            live = bound >= threshold - 1e-9
-            own = live.reshape(n, n_blocks).any(1)[w]
-            w, t = w[own], t[own]
-            rows, at = _expand(self.starts, t)
-            keep = live[w[rows] * n_blocks + self.items[at] // block]
-            rows, at = rows[keep], at[keep]
-            score = np.bincount(w[rows] * len(self.ids) + self.items[at], self.impacts[at], n * len(self.ids))
-            hit = np.flatnonzero(score >= threshold - 1e-9)
-            found.append((hit // len(self.ids) + a, hit % len(self.ids), score[hit]))
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        starts = np.searchsorted(term, at)
+        top, block_max = (np.maximum.reduceat(impact, x) if len(term) else impact for x in (starts[:-1], first))
+        return cls([whole[k][0] for k, _ in split], [len(whole[k][1]) for k, _ in split], [parts[k] for k, _ in split], terms, starts, unit, impact, top, np.searchsorted(term[first], at), blocks[first], block_max)
+
+    def _list(self, t: int) -> tuple[list[int], list[float], list[int], list[float], float]:
+        """A term's units, impacts, blocks, their maxima, and its maximum."""
+        if t not in self._lists:
+            a, b, c, d = self.starts[t], self.starts[t + 1], self.block_starts[t], self.block_starts[t + 1]
+            self._lists[t] = (self.units[a:b].tolist(), self.impacts[a:b].tolist(), self.blocks[c:d].tolist(), self.block_max[c:d].tolist(), float(self.top[t]))
+        return self._lists[t]
+
+    def wand(self, terms: list[int], threshold: float = THRESHOLD, block: int = BLOCK) -> list[tuple[int, float]]:
+        """(unit, score) of all units that get ``threshold`` or more from a passage of these distinct terms."""
+        least, found = threshold - 1e-9, []
+        # a cursor: [unit, place, units, impacts, blocks, block maxima, maximum]
+        cursors = [[x[0][0], 0, *x] for x in map(self._list, terms)]
+        while True:
+            cursors.sort(key=_unit)
+            bound, pivot = 0.0, None
+            for pivot, c in enumerate(cursors):
+                bound += c[6]
+                if bound >= least:
+                    break
+            else:
+                return found
+            at = cursors[pivot][0]
+            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == at:
+                pivot += 1
+            here, bound = at // block, 0.0
+            for c in cursors[: pivot + 1]:
+                k = bisect_left(c[4], here)
+                if k < len(c[4]) and c[4][k] == here:
+                    bound += c[5][k]
+            if bound < least:  # nothing in this block up to the next list's unit
+                to = (here + 1) * block
+                if pivot + 1 < len(cursors):
+                    to = min(to, cursors[pivot + 1][0])
+            elif cursors[0][0] == at:
+                score = sum(c[3][c[1]] for c in cursors[: pivot + 1])
+                if score >= least:
+                    found.append((at, score))
+                to = at + 1
+            else:
+                to = at
+            done = False
+            for c in cursors[: pivot + 1]:
+                if c[0] < to:
+                    c[1] = bisect_left(c[2], to, c[1])
+                    c[0] = c[2][c[1]] if c[1] < len(c[2]) else -1
+                    done = done or c[0] < 0
+            if done:
+                cursors = [c for c in cursors if c[0] >= 0]
+
+    def live(self, window: np.ndarray, term: np.ndarray, threshold: float = THRESHOLD, block: int = BLOCK) -> np.ndarray:
+        """Of passages with distinct (window, term) pairs, by window, those with a block whose maxima reach ``threshold``."""
+        n_blocks, out = -(-len(self.ids) // block), [np.zeros(0, np.int64)]
+        entries = np.concatenate([[0], np.cumsum(self.block_starts[term + 1] - self.block_starts[term])])
+        a = 0
+        while a < len(term):  # as many passages at once as have ENTRIES block maxima, one at least
+            to = int(np.searchsorted(entries, entries[a] + ENTRIES, "right")) - 1
+            b = max(int(np.searchsorted(window, window[min(to, len(term) - 1)])) if to < len(term) else to, int(np.searchsorted(window, window[a], "right")))
+            rows, at = _expand(self.block_starts, term[a:b])
+            key = window[a:b][rows] * n_blocks + self.blocks[at]
+            order = np.argsort(key)
+            key = key[order]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            bound = np.add.reduceat(self.block_max[at[order]], first)
+            out.append(np.unique(key[first[bound >= threshold - 1e-9]] // n_blocks))
+            a = b
+        return np.concatenate(out)
+
+    def retrieve(self, window: np.ndarray, term: np.ndarray, threshold: float = THRESHOLD) -> Iterator[tuple[int, int, float]]:
+        """(window, unit, score) of all that reach ``threshold``, from passages' distinct (window, term) pairs, by window."""
+        live = self.live(window, term, threshold)
+        for w, a, b in zip(live.tolist(), np.searchsorted(window, live).tolist(), np.searchsorted(window, live, "right").tolist(), strict=True):
+            for unit, score in self.wand(term[a:b].tolist(), threshold):
+                yield w, unit, score
+
+
+def _unit(cursor: list) -> int:
+    return cursor[0]
 
 
 def _expand(starts: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,10 +227,10 @@ _HITS = pa.schema([("__id", pa.int64()), ("item_id", pa.int64()), ("score", pa.f
 
 
 def _query(held, threshold: float, overlap: float):
+    half = PASSAGE // 2
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = held.value
-        size = max(PASSAGE, 2 * index.longest)
-        half = size // 2
         for batch in batches:
             ids = batch.column(0).to_pylist()
             split = [words_of(x) for x in texts(batch.column(1))]
@@ -154,18 +245,21 @@ def _query(held, threshold: float, overlap: float):
                 docs += [(d, k * half) for k in range(count)]
                 base += count
             keys = np.unique(np.concatenate(pairs)) if pairs and len(index.terms) else np.zeros(0, np.int64)
-            window, item, score = index.retrieve(keys // max(1, len(index.terms)), keys % max(1, len(index.terms)), base, threshold)
             out, known = {}, {}
-            for w, i, s in zip(window.tolist(), item.tolist(), score.tolist(), strict=True):
+            for w, i, s in index.retrieve(keys // max(1, len(index.terms)), keys % max(1, len(index.terms)), threshold):
                 d, start = docs[w]
-                if w not in known:
-                    known[w] = shingles(split[d][start : start + size])
-                q, a = index.parts[i]
-                shares = len(q & known[w]) / len(q), len(a & known[w]) / len(a) if a else 1.0
-                if min(shares) >= overlap and s > out.get((d, i), (0,))[0]:
-                    out[d, i] = (s, *shares, start)
+                # a long item's parts stand around its unit
+                around = index.length[i] if index.length[i] > half else 0
+                shares = []
+                for part in index.parts[i]:
+                    if (w, around, part.size) not in known:
+                        known[w, around, part.size] = shingles(split[d][max(0, start - around) : start + PASSAGE + around], part.size)
+                    shares.append(len(part.shingles & known[w, around, part.size]) / len(part.shingles) if part.shingles else 1.0)
+                item = index.ids[i]
+                if min(shares) >= overlap and s > out.get((d, item), (0,))[0]:
+                    out[d, item] = (s, *shares, start)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[d] for d, _ in out], pa.int64()), pa.array([index.ids[i] for _, i in out], pa.int64()), *(pa.array([v[k] for v in out.values()], f.type) for k, f in enumerate(list(_HITS)[2:]))], schema=_HITS
+                [pa.array([ids[d] for d, _ in out], pa.int64()), pa.array([i for _, i in out], pa.int64()), *(pa.array([v[k] for v in out.values()], f.type) for k, f in enumerate(list(_HITS)[2:]))], schema=_HITS
             )
 
     return run
@@ -186,23 +280,42 @@ def _clean(held, threshold: float, overlap: float, at: int):
     return run
 
 
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = [words_of(x) for x in texts(batch.column(1))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(words, pa.list_(pa.binary())), pa.array([units_of(w) if w else [] for w in words], pa.list_(pa.list_(pa.binary())))], names=["item_id", "g", "words", "units"])
+
+
 def _indexes(benchmark: DataFrame) -> Iterator:
     """Broadcast indexes of groups of items; one at least. Null items and items without words take no part."""
+    spark = benchmark.sparkSession
     items = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     groups = max(1, -(-chars // INDEX_CHARS))
+    dealt = items.withColumn("g", F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)).cast("int"))
+    split = materialise(dealt.mapInArrow(_split, "item_id long, g int, words array<binary>, units array<array<binary>>"), "benchmark")
+    units = split.select("g", F.explode("units").alias("u"))
+    total = units.agg(F.count("*").alias("n"), F.sum(F.size("u")).alias("words")).first()
+    # of all items, for the terms of a group only: neither the items nor their terms meet in one place
+    terms = units.select("g", F.explode(F.array_distinct("u")).alias("t"))
+    frequency = terms.groupBy("t").agg(F.count("*").alias("n"))
     for g in range(groups):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g)
         # a group holds about INDEX_CHARS characters
-        yield benchmark.sparkSession.sparkContext.broadcast(Index.build([(r["item_id"], r["text"]) for r in part.collect()]))
+        part = split.where(F.col("g") == g).select("item_id", "words").toLocalIterator()
+        held = [(r["item_id"], [bytes(w) for w in r["words"]]) for r in part]
+        own = terms.where(F.col("g") == g).select("t").distinct().join(frequency, "t").toLocalIterator()
+        known = Statistics(total["n"], (total["words"] or 0) / max(1, total["n"]), {bytes(r["t"]): r["n"] for r in own})
+        yield spark.sparkContext.broadcast(Index.build(held, known))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
     """__id, item_id, score, question, answer, passage: documents and the test items found in them.
 
     ``docs``: __id, text. score is the passage's BM25 score of the item over the item's own; question and answer are
-    the shares of their shingles in the passage that starts at word ``passage`` (the best one). Null and empty
-    texts match nothing; null items and items without words match nothing. Rows that share an id each count.
+    the shares of their shingles in the passage that starts at word ``passage`` (the best one; the first of equal
+    ones). A part of fewer words than a shingle must stand in the passage as a whole; an item of one word has no
+    answer. Long texts and long items are read whole. Null and empty texts match nothing; null items and items without words match nothing; of items that
+    share an id the best counts. Rows of ``docs`` that share an id each give their own. An empty table on either side gives an empty result.
     """
     bounded_batches(docs.sparkSession)
     out = None
@@ -213,7 +326,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
-    """doc_id, item_id, score, question_overlap, answer_overlap, passage_start: one row a document and item found in it."""
+    """doc_id, item_id, score, question_overlap, answer_overlap, passage_start: one row a document and item found in it.
+
+    Rows that share a doc_id, a null one too, are one document, of which the best passage is shown (the later of equal
+    ones). Other columns are ignored. Nulls, empty and long texts, and empty tables: as in contaminated.
+    """
     keyed = with_key(docs.select("doc_id", F.col("text").cast("string").alias("text")), "doc_id")
     hits = contaminated(keyed, benchmark, threshold, overlap).groupBy("__id", "item_id").agg(F.max(F.struct("score", "question", "answer", "passage")).alias("h"))
     shown = F.when(F.col("__id") != -(2**63), F.col("__id"))
@@ -223,7 +340,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
 def decontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
     """``docs`` without the rows in which an item of ``benchmark`` is found; all columns are kept.
 
-    Each row is decided by its own text, whatever rows share its doc_id. One pass over the scan, without a shuffle.
+    Each row is decided by its own text, whatever rows share its doc_id; null and empty texts stay, repeated rows stay
+    or go together. Columns of any name pass through. Empty tables: an empty benchmark takes nothing away. One pass over the
+    scan for each group of items, without a shuffle.
     """
     bounded_batches(docs.sparkSession)
     at = docs.columns.index("text")

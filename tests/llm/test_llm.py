@@ -483,23 +483,43 @@ def test_fewer_rows_than_shards(spark):
 
 def test_retrieval_equals_full_scoring():
     rng = random.Random(4)
-    items = [(k, words(rng, rng.randrange(12, 40), 300)) for k in range(60)]
+    items = [(k, decontaminate.words_of(words(rng, rng.choice([1, 12, 25, 40, 300]), 300))) for k in range(60)]
+    units = [u for _, w in items for u in decontaminate.units_of(w)]
+    n, mean = len(units), sum(map(len, units)) / len(units)
+    df = Counter(t for u in units for t in set(u))
+
+    def bm25(unit, terms):
+        tf = Counter(unit)
+        return sum(np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * tf[t] * 2.2 / (tf[t] + 1.2 * (0.25 + 0.75 * len(unit) / mean)) for t in set(terms) if t in tf)
+
     index = decontaminate.Index.build(items)
-    passages = [words(rng, 60, 300) + " " + (rng.choice(items)[1] if k % 2 else "") for k in range(40)]
-    dense = np.zeros((len(index.terms), len(index.ids)))
-    for t in range(len(index.terms)):
-        a, b = index.starts[t], index.starts[t + 1]
-        dense[t, index.items[a:b]] = index.impacts[a:b]
-    pairs, want = set(), set()
-    for w, p in enumerate(passages):
-        own = {index.terms[x] for x in decontaminate.words_of(p)} - {-1}
-        pairs |= {(w, t) for t in own}
-        score = dense[sorted(own)].sum(0)
-        want |= {(w, int(i)) for i in np.flatnonzero(score >= 0.5)}
-    window, term = (np.array(x) for x in zip(*sorted(pairs), strict=True))
-    w, i, _ = index.retrieve(window, term, len(passages))
-    assert set(zip(w.tolist(), i.tolist(), strict=True)) == want
-    assert np.allclose(dense.sum(0), 1)
+    passages = [set(decontaminate.words_of(words(rng, 60, 300))) | set(rng.choice(units) if k % 2 else []) for k in range(60)]
+    want = sorted((k, round(bm25(u, p) / bm25(u, u), 9)) for k, p in enumerate(passages) for u in units if bm25(u, p) / bm25(u, u) >= 0.5)
+    pairs = sorted((k, index.terms[t]) for k, p in enumerate(passages) for t in p if t in index.terms)
+    window, term = (np.array(x) for x in zip(*pairs, strict=True))
+    for decontaminate.ENTRIES in (1, 700, 1 << 20):
+        found = list(index.retrieve(window, term))
+        assert sorted((w, round(s, 9)) for w, _, s in found) == want
+    assert len(want) > 30
+
+
+def test_wand_skips_what_cannot_reach():
+    items = [(k, decontaminate.words_of(f"a{k} b{k} c{k} d{k} common")) for k in range(400)]
+    index = decontaminate.Index.build(items)
+    scored = []
+    index._lists = type("Seen", (dict,), {"__getitem__": lambda self, t: scored.append(t) or dict.__getitem__(self, t)})()
+    assert [u for u, _ in index.wand([index.terms[t] for t in (b"common", b"a7", b"b7", b"c7", b"d9")])] == [index.ids.index(7)]
+
+
+def test_short_and_long_items(spark):
+    rng = random.Random(16)
+    long = words(rng, 900, 100_000)
+    bench = spark.createDataFrame([(1, "four words of item"), (2, long), (3, "solo"), (4, "six words are in this item")], "item_id long, text string")
+    base = words(rng, 400, 9000)
+    texts_ = [f"{base} four words of item {base}", f"{base} four words item of {base}", f"{base} {long} {base}", f"{base} {' '.join(long.split()[:500])}", f"a Solo. {base}", f"{base} six words are in item this", "six words are in this item"]
+    docs = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contamination(docs, bench).collect()}
+    assert got == {(0, 1), (2, 2), (4, 3), (6, 4)}
 
 
 def test_contamination(spark, odd, empty):
@@ -520,9 +540,10 @@ def test_contamination(spark, odd, empty):
 
 def test_items_in_groups_give_the_same(spark, tables, monkeypatch):
     docs, bench = (spark.read.parquet(f"{tables}/{t}.parquet") for t in ("documents", "benchmark"))
-    whole = {(r["doc_id"], r["item_id"]) for r in decontaminate.contamination(docs, bench).collect()}
+    rows = {tuple(r) for r in decontaminate.contamination(docs, bench).collect()}
+    whole = {r[:2] for r in rows}
     monkeypatch.setattr(decontaminate, "INDEX_CHARS", 3000)
-    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contamination(docs, bench).collect()} == whole
+    assert {tuple(r) for r in decontaminate.contamination(docs, bench).collect()} == rows
     texts = {r["doc_id"]: " ".join(r["text"].split()) for r in docs.collect()}
     exact = {(d, r["item_id"]) for r in bench.collect() for d, t in texts.items() if " ".join(r["text"].split()) in t}
     assert exact <= whole
