@@ -29,60 +29,48 @@ SUPPORT = 2
 EVIDENCE = 16
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of ``value``, which is computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def _keys(line: Column, blocks: int, lead: int) -> Column:
-    """Templates of a line: array of (key, fixed tokens)."""
-    plain = F.translate(line, "\t\r", "  ")
+def _tokens(plain: Column) -> Column:
     masked = F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, "[^ ]*[0-9][^ ]*", "<*>")).otherwise(plain)
-    cut_up = F.when(masked.rlike(f"[^ ]{{{LONG}}}"), F.regexp_replace(masked, f"([^ ]{{{LONG}}})", "$1 ")).otherwise(masked)
-    js = F.sequence(F.lit(0), F.lit(blocks - 1))
-
-    def of(t: Column) -> Column:
-        n, at = F.size(t), lambda j: F.floor(F.greatest(F.size(t) - lead, F.lit(0)) * j / F.lit(float(blocks))).cast("int")
-        head = F.xxhash64(n, F.slice(t, 1, lead))
-        run = lambda j: F.slice(t, at(j) + lead + 1, at(j + 1) - at(j))
-        fixed = lambda tokens: F.size(tokens) - F.size(F.filter(tokens, lambda x: x == "<*>"))
-        runs = F.transform(js, lambda j: F.struct(F.xxhash64(run(j)).alias("h"), fixed(run(j)).alias("f")))
-        return _let(F.struct(n.alias("n"), head.alias("head"), runs.alias("runs"), fixed(t).alias("f")), leaf)
-
-    def leaf(x: Column) -> Column:
-        key = lambda j: F.xxhash64(j, x["head"], F.transform(x["runs"], lambda r, i: F.when(i == j, F.lit(0).cast("long")).otherwise(r["h"])))
-        whole = F.array(F.struct(key(F.lit(-1)).alias("key"), x["f"].alias("fixed")))
-        wild = F.transform(js, lambda j: F.struct(key(j).alias("key"), (x["f"] - F.element_at(x["runs"], j + 1)["f"]).alias("fixed")))
-        return F.when(x["n"] >= lead + blocks, F.concat(whole, wild)).otherwise(whole)
-
-    return _let(F.split(cut_up, " ", -1), of)
+    return F.split(F.when(masked.rlike(f"[^ ]{{{LONG}}}"), F.regexp_replace(masked, f"([^ ]{{{LONG}}})", "$1 ")).otherwise(masked), " ", -1)
 
 
 def line_templates(docs: DataFrame, lead: int = LEAD, blocks: int = BLOCKS) -> DataFrame:
-    """__id and lines (array of line, templates) of the distinct lines of each row that aren't blank; ``docs``: __id, text."""
-    lines = F.filter(F.array_distinct(F.split("text", "\n", -1)), lambda x: F.trim(F.translate(x, "\t\r", "  ")) != "")
-    return docs.select("__id", F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("line"), _keys(x, blocks, lead).alias("templates"))).alias("lines")).where(F.size("lines") > 0)
+    """__id, line (hash) and templates (array of key, fixed tokens) of the distinct lines of each row that aren't blank; ``docs``: __id, text."""
+    lines = docs.select("__id", F.explode(F.array_distinct(F.split("text", "\n", -1))).alias("l"))
+    plain = F.when(F.contains("l", F.lit("\t")) | F.contains("l", F.lit("\r")), F.translate("l", "\t\r", "  ")).otherwise(F.col("l"))
+    lines = lines.select("__id", "l", plain.alias("plain")).where(F.trim("plain") != "")
+    split = lines.select("__id", F.xxhash64("l").alias("line"), _tokens(F.col("plain")).alias("t")).withColumn("n", F.size("t"))
+    fixed = lambda tokens: F.size(F.array_remove(tokens, "<*>"))
+    at = [F.floor(F.greatest(F.col("n") - lead, F.lit(0)) * j / F.lit(float(blocks))).cast("int") for j in range(blocks + 1)]
+    runs = split.select("__id", "line", "n", F.xxhash64("n", F.slice("t", 1, lead)).alias("head"), fixed(F.col("t")).alias("f"), *(F.slice("t", at[j] + lead + 1, at[j + 1] - at[j]).alias(f"r{j}") for j in range(blocks)))
+    hashed = runs.select("__id", "line", "n", "head", "f", *(F.xxhash64(f"r{j}").alias(f"h{j}") for j in range(blocks)), *(fixed(F.col(f"r{j}")).alias(f"f{j}") for j in range(blocks)))
+    key = lambda wild: F.xxhash64(F.lit(wild), "head", *(F.lit(0).cast("long") if j == wild else F.col(f"h{j}") for j in range(blocks)))
+    template = lambda wild: F.struct(key(wild).alias("key"), (F.col("f") - (F.col(f"f{wild}") if wild >= 0 else 0)).alias("fixed"))
+    all_ = F.array(*(template(j) for j in range(-1, blocks)))
+    return hashed.select("__id", "line", F.when(F.col("n") >= lead + blocks, all_).otherwise(F.array(template(-1))).alias("templates"))
 
 
 def drop_recurring_lines(docs: DataFrame, support: int = SUPPORT, evidence: int = EVIDENCE, keep_first: bool = True) -> DataFrame:
     """``docs`` with lines of recurring templates taken out of ``text``, and lines_dropped (long).
 
-    A template recurs if two documents at least hold it, of different doc_ids, and ``support`` or more rows do, and
-    their count times its fixed tokens is ``evidence`` or more. The document with the least doc_id keeps its lines of
-    it (``keep_first``), all others lose theirs. Repeated lines within one document alone stay, and so do blank lines.
-    Null text stays null, empty text empty; lines of any length are read whole. Rows that share a doc_id are one document in what they keep; a null
-    doc_id counts as the least. Templates without fixed tokens never recur. All columns are kept (a lines_dropped of
+    A template recurs if ``support`` documents hold it, two at least, and their count times its fixed tokens is
+    ``evidence`` or more. The document with the least doc_id keeps its lines of it (``keep_first``), all others lose
+    theirs. Repeated lines within one document alone stay, and so do blank lines. Null text stays null, empty text
+    empty; lines of any length are read whole. Rows that share a doc_id count as one document; a null doc_id counts as the least. Templates without fixed tokens never recur. All columns are kept (a lines_dropped of
     the input's own is replaced); an empty table gives an empty result.
     """
     rows, whole = packed(docs), F.col("__row.text")
     # stored once, as hashes: both the groups and the lines that meet them are read from it
-    stored = materialise(line_templates(rows.select("__id", whole.alias("text"))), "line-templates")
-    held = stored.select("__id", F.explode(F.array_distinct(F.flatten(F.transform("lines", lambda x: x["templates"])))).alias("t")).select("__id", "t.key", "t.fixed")
-    # minima, maxima and counts combine before the shuffle: a template in a third of all documents is a row a task
-    groups = held.groupBy("key", "fixed").agg(F.min("__id").alias("first"), F.max("__id").alias("last"), F.count("*").alias("n"))
-    recurring = groups.where((F.col("first") < F.col("last")) & (F.col("n") >= support) & (F.col("n") * F.col("fixed") >= evidence)).select("key", "first")
-    lines = stored.select("__id", F.explode("lines").alias("l")).select("__id", "l.line", F.explode("l.templates.key").alias("key"))
-    hits = lines.join(recurring, "key")
+    lines = materialise(line_templates(rows.select("__id", whole.alias("text"))), "line-templates").select("__id", "line", F.explode("templates").alias("t")).select("__id", "line", "t.key", "t.fixed")
+    enough = lambda n: (F.col(n) >= support) & (F.col(n) * F.col("fixed") >= evidence)
+    # minima, maxima and counts combine before the shuffle: a template in a third of all lines is a row a task
+    groups = lines.groupBy("key").agg(F.min("__id").alias("first"), F.max("__id").alias("last"), F.count("*").alias("n"), F.max("fixed").alias("fixed"))
+    # lines are no fewer than documents: of the templates with enough lines, documents are counted
+    some = groups.where((F.col("first") < F.col("last")) & enough("n")).select("key", "first", "fixed")
+    hits = materialise(lines.select("__id", "line", "key").join(some, "key"), "line-hits")
+    sure = F.col("fixed") * max(support, 2) >= evidence if support <= 2 else F.lit(False)  # two documents are enough, and least and last are two
+    counted = hits.where(~sure).select("key", "__id", "fixed").distinct().groupBy("key").agg(F.count("*").alias("documents"), F.max("fixed").alias("fixed")).where(enough("documents")).select("key")
+    hits = hits.where(sure).unionByName(hits.where(~sure).join(counted, "key").select(*hits.columns))
     if keep_first:
         hits = hits.where(F.col("__id") > F.col("first"))
     dropped = materialise(hits.groupBy("__id").agg(F.collect_set("line").alias("__drop")), "dropped-lines")
