@@ -3,7 +3,8 @@
 A logistic model of a document's words, word beginnings and style gives its own evidence. Expected counts of good
 documents are summed by site and by path of a site (grouped sums over all documents); each level's rate is
 shrunk towards the level above it, the more the fewer documents it has, with strengths estimated from the
-spread of the rates. A document's posterior joins its own evidence with the rate of its path without it.
+spread of the rates around the level above. A document's posterior joins its own evidence with the rate of its path,
+which, like that of its site, is taken without the document itself.
 """
 
 from __future__ import annotations
@@ -16,16 +17,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import bounded_batches, materialise, texts
 
-#: Labelled documents to learn from: so many of each kind (low quality, toxic, neither), of this length at most.
-SAMPLE = 1200
-SAMPLE_CHARS = 20_000
+#: Labelled documents to learn from: so many of each kind (low quality, toxic, neither), and the sum of their bytes.
+SAMPLE, SAMPLE_BYTES = 1200, 8 << 20
 #: Documents of the sample that must have a feature, and its least z-score.
-LEAST_DF, LEAST_Z = 5, 4.0
+LEAST_DF, LEAST_Z = 5, 3.5
 #: Beginnings of words that are features, in bytes.
 BEGINNINGS = (4, 5, 6)
 CACHE_WORDS = 300_000
@@ -121,35 +121,38 @@ def train(rows: list[tuple[str, int]], l2: float = 1.0, steps: int = 300) -> Mod
     return Model(dict(zip(chosen, w.tolist(), strict=True)), s / spread, b - float((s * mean / spread).sum()), prior)
 
 
-def sample(docs: DataFrame, labels: DataFrame, each: int = SAMPLE) -> list[tuple[str, int | None, int | None]]:
-    """(text, quality, toxic) of up to 3 * ``each`` labelled documents, the first in the order of a hash of doc_id."""
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+def sample(docs: DataFrame, labels: DataFrame, each: int = SAMPLE, most: int = SAMPLE_BYTES) -> list[tuple[str, int | None, int | None]]:
+    """(text, quality, toxic) of up to ``each`` labelled documents of each kind, the first in the order of a hash of doc_id.
+
+    They have ``most`` bytes a kind in all; a text that is longer alone comes after all others and is cut to that, so
+    it is learned from only where its kind has no other. Of labels that share a doc_id the least quality and
+    the greatest toxic count.
+    """
     known = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    texts_ = docs.where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
-    short = texts_.select("doc_id").join(known, "doc_id")
-    kinds = [F.coalesce(F.col("toxic"), F.lit(0)) == 1, (F.col("quality") == 0) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0), (F.coalesce(F.col("quality"), F.lit(1)) == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)]
-    few = None
-    for k in kinds:
-        part = short.where(k).orderBy(*order).limit(each)
+    size = F.octet_length("text")
+    sizes = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("t"), F.when(size > most, most).otherwise(size).cast("long").alias("size"), (size > most).alias("long")).join(known, "doc_id")
+    toxic = F.coalesce(F.col("toxic"), F.lit(0)) == 1
+    few, order = None, [F.col("long"), F.xxhash64("doc_id"), F.col("doc_id"), F.col("t")]
+    for kind in (toxic, (F.col("quality") == 0) & ~toxic, (F.coalesce(F.col("quality"), F.lit(1)) == 1) & ~toxic):
+        part = sizes.where(kind).orderBy(*order).limit(each)
+        # `each` rows
+        at = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        part = part.withColumn("sum", F.sum("size").over(at)).withColumn("r", F.count("*").over(at)).where((F.col("sum") <= most) | (F.col("r") == 1))
         few = part if few is None else few.unionByName(part)
-    few = materialise(few, "label-sample")  # 3 * each rows
-    return [tuple(r) for r in texts_.select("doc_id", "text").join(F.broadcast(few), "doc_id").orderBy("doc_id", "text").select("text", "quality", "toxic").limit(3 * each).collect()]
-
-
-def _shrunk(table: DataFrame, total: str, n: str, parent: Column, strength: float) -> Column:
-    return (F.col(total) + strength * parent) / (F.col(n) + strength)
+    few = materialise(few.select("doc_id", "t", "quality", "toxic").distinct(), "label-sample")  # 3 * each rows
+    rows = docs.withColumn("t", F.xxhash64("text")).select("doc_id", "t", "text").join(F.broadcast(few), ["doc_id", "t"]).select("doc_id", F.substring("text", 1, most).alias("text"), "quality", "toxic").distinct()
+    return [(r["text"], r["quality"], r["toxic"]) for r in rows.orderBy("doc_id", "text").toLocalIterator()]
 
 
-def _strength(table: DataFrame, total: str, n: str, overall: float) -> float:
-    """Documents that the prior of a level is worth, by the moments of its groups' rates."""
-    rate = F.col(total) / F.col(n)
-    r = table.agg(F.sum(F.col(n) * (rate - overall) ** 2).alias("ss"), F.sum(n).alias("n"), F.count("*").alias("g"), F.sum(F.col(n) * F.col(n)).alias("n2")).first()
-    if not r["g"] or r["g"] < 2 or not 0 < overall < 1:
+def _strength(groups: DataFrame, rate: Column, n: Column, above: Column, n_above: Column) -> float:
+    """Documents that the prior of a level is worth, by the moments of its groups' rates around those of the level above."""
+    within = above * (1 - above)
+    rest = 1 - n / n_above  # a group's part in the rate above it doesn't tell
+    r = groups.agg(F.sum(n * (rate - above) ** 2).alias("ss"), F.sum(within * rest).alias("noise"), F.sum(n * rest).alias("free"), (F.sum(n * within) / F.sum(n)).alias("within")).first()
+    if not r["free"] or not r["within"]:
         return 1e6
-    within = overall * (1 - overall)
-    free = r["n"] - r["n2"] / r["n"]
-    between = max((r["ss"] - (r["g"] - 1) * within) / free, within * 1e-6) if free else within * 1e-6
-    return float(min(max(within / between - 1, 1.0), 1e6))
+    between = max((r["ss"] - r["noise"]) / r["free"], r["within"] * 1e-6)
+    return float(min(max(r["within"] / between - 1, 1.0), 1e6))
 
 
 def score_documents(docs: DataFrame, models: tuple[Model, ...]) -> DataFrame:
@@ -181,7 +184,9 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, pat
 
     ``host`` and ``path`` name a document's site and section: here its source, and its source and language, as the
     table has no addresses. Nulls are groups of their own. kept: quality at least ``threshold`` and toxic below it. A
-    text without words has only its site's rate. Without labels of both kinds a target's score is its prior.
+    null or empty text, or one without words, has only its site's rate. Texts of any length are read whole. Repeated
+    rows and rows that share a doc_id are judged each, with the labels of their doc_id if they are sampled. Without
+    labels of both kinds a target's score is its prior. Other columns are ignored. An empty table gives an empty result.
     """
     host = F.col("source") if host is None else host
     path = F.col("lang") if path is None else path
@@ -197,10 +202,13 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, pat
     own = scored.join(rates, ["host", "path"])
     logit = lambda p: F.log(p / (1 - p))
     clamp = lambda p: F.greatest(F.least(p, F.lit(1 - 1e-6)), F.lit(1e-6))
+    total = F.lit(float(max(1, overall["n"] or 0)))
     for t, m in zip(TARGETS, models, strict=True):
         base = min(max((overall[t] or 0.0) / max(1, overall["n"] or 0), 1e-6), 1 - 1e-6)
-        strong, weak = _strength(hosts, f"h_{t}", "n_host", base), _strength(paths, f"s_{t}", "n", base)
-        site = clamp(_shrunk(own, f"h_{t}", "n_host", F.lit(base), strong))
+        site_rate = F.col(f"h_{t}") / F.col("n_host")
+        strong = _strength(hosts, site_rate, F.col("n_host"), F.lit(base), total)
+        weak = _strength(rates, F.col(f"s_{t}") / F.col("n"), F.col("n"), site_rate, F.col("n_host"))
+        site = clamp((F.col(f"h_{t}") - F.col(f"p_{t}") + strong * F.lit(base)) / (F.col("n_host") - 1 + strong))
         rest = clamp((F.col(f"s_{t}") - F.col(f"p_{t}") + weak * site) / (F.col("n") - 1 + weak))
         z = F.col(f"z_{t}") - m.prior + logit(rest)
         own = own.withColumn(f"site_{t}", rest).withColumn(f"{t}_score", 1 / (1 + F.exp(-z)))
