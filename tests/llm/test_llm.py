@@ -144,6 +144,35 @@ def test_plan_places_every_piece(counts):
     assert sum(b for _, b in plan) <= first_fit_decreasing(counts, 64) * 1.05 + 1
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.dictionaries(st.integers(1, 30), st.integers(1, 4), min_size=1, max_size=8))
+def test_plan_equals_piece_by_piece_packing(counts):
+    """Best-two-fit, one bin and one pair at a time."""
+    left, want = sorted(Counter(counts).elements()), Counter()
+    while left:
+        bin_, gap, rest = [], 30, left.copy()
+        for n in sorted(left, reverse=True):
+            if n <= gap:
+                bin_.append(n)
+                rest.remove(n)
+                gap -= n
+        if gap and len(bin_) > 1:
+            small = min(bin_)
+            pairs = [(rest[i] + rest[j], rest[i], rest[j]) for i in range(len(rest)) for j in range(i + 1, len(rest)) if small < rest[i] + rest[j] <= gap + small]
+            if pairs:
+                most = max(x for x, _, _ in pairs)
+                _, a, b = min(x for x in pairs if x[0] == most)
+                bin_.remove(small)
+                bin_ += [a, b]
+        for n in bin_:
+            left.remove(n)
+        want[sum(bin_)] += 1
+    got = Counter()
+    for lengths, bins in packing.plan_bins(counts, 30):
+        got[sum(lengths)] += bins
+    assert abs(got.total() - want.total()) <= 1 and sum(n * k for n, k in got.items()) == sum(n * k for n, k in want.items())
+
+
 def test_two_replace_the_smallest():
     # greedy: 60 + 3; two pieces of 2 fill the gap of 4
     assert packing.plan_bins({60: 1, 3: 1, 2: 2}, 64)[0] == ([60, 2, 2], 1)
@@ -472,6 +501,27 @@ def test_sharding(spark, odd, odd_rows, empty):
     assert {(r["doc_id"], r["size"]) for r in few} == {(i, len((t or "").encode()) + 1) for i, t, *_ in odd_rows}
 
 
+def test_sharding_equals_brute_force(spark, odd):
+    """Fractional ranks and cuts, sorted in one place."""
+    docs = odd.select("doc_id", "text", "source")
+    keyed = docs.select("doc_id", "text", "source", F.xxhash64(F.lit(sharding.SEED), F.col("doc_id")).alias("h")).collect()
+    names = {r["source"]: "n" if r["source"] is None else "s" + r["source"] for r in keyed}
+    phases = {r["s"]: r["p"] / (1 << 20) for r in spark.createDataFrame([(x,) for x in names.values()], "s string").select("s", F.pmod(F.xxhash64(F.lit(sharding.SEED), F.col("s")), F.lit(1 << 20)).alias("p")).collect()}
+    by, placed = defaultdict(list), []
+    for r in keyed:
+        data = (r["text"] or "").encode()
+        by[names[r["source"]]].append((r["h"] % 2**64, r["h"], -(2**63) if r["doc_id"] is None else r["doc_id"], zlib.crc32(data), len(data) + 1))
+    for s, rows in by.items():
+        placed += [((rank + 1 - phases[s]) / len(rows), s, *x[1:]) for rank, x in enumerate(sorted(rows))]
+    want, n = Counter(), len(placed)
+    cuts = [-(-k * n // 8) for k in range(9)]
+    for p, (_, _, _, i, crc, size) in enumerate(sorted(placed)):
+        shard = p * 8 // n
+        want[i, size, crc, shard, p - cuts[shard]] += 1
+    got = sharding.stratified_shards(docs).collect()
+    assert Counter((-(2**63) if r["doc_id"] is None else r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in got) == want
+
+
 def test_fewer_rows_than_shards(spark):
     got = sharding.stratified_shards(table(spark, [(1, "a", "en", "s"), (2, None, "en", None)])).collect()
     assert len({r["shard"] for r in got}) == 2
@@ -577,9 +627,47 @@ def test_quality_odd_rows(spark, odd):
 
 def test_sparse_sites_shrink_to_the_prior(spark):
     rates = spark.createDataFrame([("a", 900.0, 1000), ("b", 100.0, 1000), ("c", 1.0, 1)], "host string, s double, n long")
-    k = quality._strength(rates, "s", "n", 0.5)
+    k = quality._strength(rates, F.col("s") / F.col("n"), F.col("n"), F.lit(0.5), F.lit(2001.0))
     assert 1 <= k < 20
-    assert quality._strength(rates.limit(1), "s", "n", 0.5) == 1e6
+    assert quality._strength(rates.limit(1), F.col("s") / F.col("n"), F.col("n"), F.lit(0.9), F.lit(1000.0)) == 1e6
+
+
+def test_posteriors_equal_brute_force(spark, monkeypatch):
+    """Site and path levels by loops over all documents; a site of bad documents pulls a doubtful one down."""
+    rng = random.Random(21)
+    rows = []
+    for k in range(400):
+        site = "abc"[k % 3]
+        p = {"a": 0.9, "b": 0.3, "c": 0.6}[site] + (0.08 if k % 2 else -0.08)
+        rows.append((k, None if site == "c" and k % 2 else site, "xy"[k % 2], *([min(max(rng.gauss(p, 0.05), 0.01), 0.99) for _ in range(2)])))
+    docs = spark.createDataFrame([(i, "w", lang, host) for i, host, lang, *_ in rows], "doc_id long, text string, lang string, source string")
+    scores = spark.createDataFrame([(i, p, t) for i, _, _, p, t in rows], "doc_id long, p double, t double")
+    z = lambda c: F.log(F.col(c) / (1 - F.col(c)))
+    monkeypatch.setattr(quality, "sample", lambda *a: [])
+    monkeypatch.setattr(quality, "score_documents", lambda d, m: d.join(scores, "doc_id").select("doc_id", "host", "path", z("p").alias("z_quality"), F.col("p").alias("p_quality"), z("t").alias("z_toxic"), F.col("t").alias("p_toxic")))
+    got = {r["doc_id"]: r for r in quality.classify(docs, None).collect()}
+
+    def strength(groups):  # (rate, n, rate above, n above)
+        ss = sum(n * (r - m) ** 2 for r, n, m, _ in groups)
+        noise, free = sum(m * (1 - m) * (1 - n / a) for _, n, m, a in groups), sum(n * (1 - n / a) for _, n, _, a in groups)
+        within = sum(n * m * (1 - m) for _, n, m, _ in groups) / sum(n for _, n, _, _ in groups)
+        return min(max(within / max((ss - noise) / free, within * 1e-6) - 1, 1), 1e6)
+
+    for at, name in ((3, "quality"), (4, "toxic")):
+        base = sum(r[at] for r in rows) / len(rows)
+        sites, paths = defaultdict(list), defaultdict(list)
+        for r in rows:
+            sites[r[1]].append(r[at])
+            paths[r[1], r[2]].append(r[at])
+        rate = lambda x: sum(x) / len(x)
+        strong = strength([(rate(x), len(x), base, len(rows)) for x in sites.values()])
+        weak = strength([(rate(x), len(x), rate(sites[h]), len(sites[h])) for (h, _), x in paths.items()])
+        for r in rows:
+            s, p = sites[r[1]], paths[r[1], r[2]]
+            site = (sum(s) - r[at] + strong * base) / (len(s) - 1 + strong)
+            rest = (sum(p) - r[at] + weak * site) / (len(p) - 1 + weak)
+            logit = np.log(r[at] / (1 - r[at])) + np.log(rest / (1 - rest))
+            assert abs(got[r[0]][f"{name}_score"] - 1 / (1 + np.exp(-logit))) < 2e-6
 
 
 # -- HTML
@@ -751,11 +839,22 @@ def test_pipeline(spark, tables, odd, empty, tmp_path):
         seen.append(docs.count())
     assert seen[0] <= 200 and seen[1] >= seen[2] >= seen[3]
     assert p.run(spark, tables).count() == seen[-1]
-    for rows in (odd, empty):
-        small = rows.select("doc_id", "text", "lang", "source", "n_chars")
-        for _, stage in p.STAGES:
-            small = stage(spark, small, tables)
-        small.collect()
+    small = odd.select("doc_id", "text", "lang", "source", "n_chars")
+    for name, stage in p.STAGES:
+        before = Counter(r["doc_id"] for r in small.collect())
+        small = stage(spark, small, tables)
+        left = Counter(r["doc_id"] for r in small.collect())
+        if name == "language_id":  # null, empty and letterless texts go, nothing else
+            assert before - left == Counter([1, 2, 3, 8])
+        elif name == "decontamination":
+            assert left == before
+        elif name == "best_fit_packing":
+            assert set(left) == set(before)
+        assert left <= before or name == "best_fit_packing"
+    none = empty.select("doc_id", "text", "lang", "source", "n_chars")
+    for _, stage in p.STAGES:
+        none = stage(spark, none, tables)
+        assert none.collect() == []
 
 
 def test_stages_decide_each_row_that_shares_a_doc_id(spark, tables):
