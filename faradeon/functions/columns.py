@@ -67,10 +67,10 @@ def linear_polarisation(q: Col, u: Col) -> Column:
     return amplitude(q, u)
 
 
-def qu_from_angle(lp: Col, angle: Col) -> tuple[Column, Column]:
-    """Q and U of polarised intensity and polarisation angle (radians); 0 where either is missing."""
+def qu_from_angle(lp: Col, angle: Col, doubled: bool = False) -> tuple[Column, Column]:
+    """Q and U of polarised intensity and phase angle (radians), or of the polarisation angle, half of it (``doubled``); 0 where either is missing."""
     ok = valid(lp) & valid(angle)
-    return tuple(F.when(ok, _c(lp) * f(2 * _c(angle))).otherwise(0.0) for f in (F.cos, F.sin))
+    return tuple(F.when(ok, _c(lp) * f((2 if doubled else 1) * _c(angle))).otherwise(0.0) for f in (F.cos, F.sin))
 
 
 def leakage_corrected(stokes: Col, intensity: Col, leakage: Col) -> Column:

@@ -1,7 +1,7 @@
 """Faraday synthesis: relational form, Arrow form, mean removal, output modes.
 
 Relational: one row a sample and depth, partial sums before the shuffle; for SQL users, few depths, or samples
-that come late. Arrow: spectra as arrays, two matrix products a batch, no shuffle; the default for whole cubes.
+that come late. Arrow: spectra as arrays, a matrix product a batch, no shuffle; the default for whole cubes.
 """
 
 from __future__ import annotations
@@ -16,8 +16,9 @@ from pyspark.sql import types as T
 
 from ..functions.axes import Axes, templates
 
-#: Depths of one matrix product; bounds a worker's memory.
+#: Depths of one matrix product, and bytes of spectra in a batch; they bound a worker's memory.
 DEPTH_BLOCK = 256
+BATCH_BYTES = 16 << 20
 
 
 def mean_removed(df: DataFrame) -> DataFrame:
@@ -47,28 +48,53 @@ def spectra(df: DataFrame, n_chan: int) -> DataFrame:
     return rows.select("x", "y", at.alias("s")).select("x", "y", F.col("s.q").alias("q"), F.col("s.u").alias("u"), F.col("s.w").alias("w"))
 
 
-def transform(q: np.ndarray, u: np.ndarray, w: np.ndarray, axes: Axes, remove_mean: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(re, im, total weight) of (pixel, channel) arrays; NaN where no sample is good. Masked samples count as 0."""
-    w = np.where(axes.good, w, 0).astype(np.float64)
-    q, u = (np.where(w > 0, x, 0.0) for x in (q, u))
-    total = w.sum(1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        if remove_mean:
-            q, u = ((x - np.nan_to_num((w * x).sum(1, keepdims=True) / total[:, None])) * w for x in (q, u))
-        re, im = np.empty((len(q), len(axes.rm))), np.empty((len(q), len(axes.rm)))
+class Kernel:
+    """The transform of one run's axes: templates are built once, and masked samples take no part.
+
+    A block of depths is one matrix product, [q u] by [[c, -s], [s, c]], in ``dtype``. Templates are computed in doubles.
+    """
+
+    def __init__(self, axes: Axes, dtype: type = np.float64):
+        self.axes, self.dtype, self.good = axes, dtype, np.flatnonzero(axes.good)
+        lsq = np.asarray(axes.lsq)[self.good]
+        self.blocks = []
         for a in range(0, len(axes.rm), DEPTH_BLOCK):
-            c, s = templates(axes.rm[a : a + DEPTH_BLOCK], axes.lsq)
-            re[:, a : a + DEPTH_BLOCK] = (q @ c.T + u @ s.T) / total[:, None]
-            im[:, a : a + DEPTH_BLOCK] = (u @ c.T - q @ s.T) / total[:, None]
-    empty = total == 0
-    re[empty] = im[empty] = np.nan
-    return re, im, total
+            c, s = templates(axes.rm[a : a + DEPTH_BLOCK], lsq)
+            self.blocks.append((slice(a, a + len(c)), np.block([[c.T, -s.T], [s.T, c.T]]).astype(dtype)))
+
+    def __call__(self, q: np.ndarray, u: np.ndarray, w: np.ndarray, remove_mean: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(re, im, total weight) of (pixel, channel) arrays; NaN where no sample is good."""
+        n = len(self.good)
+        w = (w if self.axes.good.all() else w[:, self.good]).astype(self.dtype)
+        both = np.empty((len(w), 2 * n), self.dtype)
+        for x, part in ((q, both[:, :n]), (u, both[:, n:])):
+            part[:] = x if n == x.shape[1] else x[:, self.good]
+            part[w <= 0] = 0
+        total = w.sum(1, dtype=np.float64)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            if remove_mean:
+                for part in (both[:, :n], both[:, n:]):
+                    mean = np.nan_to_num((w * part).sum(1, dtype=np.float64) / total).astype(self.dtype)
+                    part -= mean[:, None]
+                    part *= w
+            both *= (1 / total).astype(self.dtype)[:, None]
+        both[total == 0] = np.nan
+        re, im = (np.empty((len(w), len(self.axes.rm)), self.dtype) for _ in range(2))
+        for at, m in self.blocks:
+            out = both @ m
+            re[:, at], im[:, at] = out[:, : m.shape[1] // 2], out[:, m.shape[1] // 2 :]
+        return re, im, total
 
 
-def matrix(column: pa.Array) -> np.ndarray:
-    """Equal-length rows of a list column as a matrix of doubles."""
+def transform(q: np.ndarray, u: np.ndarray, w: np.ndarray, axes: Axes, remove_mean: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(re, im, total weight) of (pixel, channel) arrays in doubles; NaN where no sample is good. Masked samples count as 0."""
+    return Kernel(axes)(q, u, w, remove_mean)
+
+
+def matrix(column: pa.Array, dtype: type | None = np.float64) -> np.ndarray:
+    """Equal-length rows of a list column as a matrix, of doubles unless ``dtype`` says otherwise (None: as it is)."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype).reshape(len(column), -1)
 
 
 def rows_of(values: np.ndarray, kind: pa.DataType = pa.float32()) -> pa.Array:
@@ -76,25 +102,36 @@ def rows_of(values: np.ndarray, kind: pa.DataType = pa.float32()) -> pa.Array:
     return pa.ListArray.from_arrays(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1], flat)
 
 
+def bounded_spectra(spark, n_chan: int) -> None:
+    """Lower the session's rows of an Arrow batch, if need be, so that a batch of spectra has BATCH_BYTES at most."""
+    key, most = "spark.sql.execution.arrow.maxRecordsPerBatch", max(64, BATCH_BYTES // (20 * n_chan))
+    now = int(spark.conf.get(key))
+    if not 0 < now <= most:
+        spark.conf.set(key, str(most))
+
+
 def synthesise(df: DataFrame, axes: Axes, mode: str = "ap", angle: str = "phase", remove_mean: bool = False, precision: str = "float") -> DataFrame:
     """x, y, then amp and ang (mode 'ap'; angle 'phase' or 'pol') or re and im ('ri') arrays by depth, and nvalid.
 
-    ``df`` has x, y and arrays q, u, w by channel. One pass without a shuffle; a batch costs two matrix products.
+    ``df`` has x, y and arrays q, u, w by channel. One pass without a shuffle; templates are built once a task, and a
+    batch (BATCH_BYTES of spectra at most) costs one matrix product a block of depths, in ``precision``.
     """
     if mode not in ("ap", "ri") or angle not in ("phase", "pol"):
         raise ValueError(f"unknown mode {mode} or angle {angle}")
     names = ("amp", "ang") if mode == "ap" else ("re", "im")
-    kind = pa.float32() if precision == "float" else pa.float64()
+    kind, dtype = (pa.float32(), np.float32) if precision == "float" else (pa.float64(), np.float64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kernel = Kernel(axes, dtype)
         for b in batches:
             if not b.num_rows:
                 continue
-            q, u, w = (matrix(b.column(k)) for k in (2, 3, 4))
-            re, im, total = transform(q, u, w, axes, remove_mean)
-            first, second = (np.hypot(re, im), np.arctan2(im, re) * (0.5 if angle == "pol" else 1)) if mode == "ap" else (re, im)
+            q, u, w = (matrix(b.column(k), None) for k in (2, 3, 4))
+            re, im, total = kernel(q, u, w, remove_mean)
+            first, second = (np.sqrt(re * re + im * im), np.arctan2(im, re) * dtype(0.5 if angle == "pol" else 1)) if mode == "ap" else (re, im)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), rows_of(first, kind), rows_of(second, kind), pa.array(total.astype(np.int32))], names=["x", "y", *names, "nvalid"])
 
+    bounded_spectra(df.sparkSession, len(axes.lsq))
     return df.select(F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), "q", "u", "w").mapInArrow(run, f"x int, y int, {names[0]} array<{precision}>, {names[1]} array<{precision}>, nvalid int")
 
 

@@ -2,25 +2,32 @@
 
 from __future__ import annotations
 
+import json
 import os
+import time
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.axes import Axes, auto_rm_range, channel_frequencies, frequency_unit, lambda_squared, rm_axis
+from ..functions.axes import C_MHZ, Axes, auto_rm_range, channel_frequencies, frequency_unit, lambda_squared, rm_axis
 from ..operators import cubestat
 from ..operators.mask import SENTINEL, check_range, compatible
-from ..operators.synthesis import synthesise
-from ..sources.fits import register
+from ..operators.synthesis import Kernel, bounded_spectra, matrix, rows_of, synthesise
+from ..sources.fits import STRIP_BYTES, register, row_bytes
 from ..sources.fits_format import Header, read_header
-from ..sources.text import bad_channels
+from ..sources.text import append_timing, bad_channels, timing_record
 from . import wcs
 from .config import RunConfig
 
 #: Speeds at which the cost model quotes run times, in 10^9 operations a second; fixed values.
 SPEEDS = (1, 2, 4, 8, 12)
+#: Maps of peaks, in the order of cubestat.peak_of.
+MAPS = ("peak", "rm_peak", "ang_peak", "snr")
 
 
 @dataclass(frozen=True)
@@ -82,7 +89,7 @@ def plan(spark: SparkSession, cfg: RunConfig, compat: bool = False) -> Plan:
     return Plan(cfg, q, box, Axes(lambda_squared(own), rm, good), int((~good).sum()))
 
 
-def load(spark: SparkSession, p: Plan) -> DataFrame:
+def load(spark: SparkSession, p: Plan, compat: bool = False) -> DataFrame:
     """x, y and arrays q, u, w by channel: bias and mask applied, straight from the files' strips."""
     register(spark)
     cfg, reader = p.cfg, spark.read.format("fits_cube")
@@ -91,7 +98,7 @@ def load(spark: SparkSession, p: Plan) -> DataFrame:
     for name, (first, last, step) in p.box.items():
         for key, value in (("first", first), ("last", last), ("step", step)):
             reader = reader.option(f"{name}_{key}", value)
-    return weighted_spectra(reader.load(), cfg, p.axes.good)
+    return weighted_spectra(reader.load(), cfg, p.axes.good, compat)
 
 
 def weighted_spectra(df: DataFrame, cfg: RunConfig, good: np.ndarray, compat: bool = False) -> DataFrame:
@@ -130,57 +137,109 @@ def outputs(cfg: RunConfig) -> dict[str, str]:
     return out
 
 
-def run(spark: SparkSession, cfg: RunConfig) -> dict[str, str]:
-    """Make all products of a configuration; a product that exists already stops the run before anything is written."""
-    p, targets = plan(spark, cfg), outputs(cfg)
+def products(df: DataFrame, p: Plan, names: list[str]) -> DataFrame:
+    """x, y and the named products of pixels with arrays q, u, w, all from one transform; maps are of the amplitude."""
+    cfg, axes = p.cfg, p.axes
+    kinds = {k: "array<float>" for k in ("amp", "ang", "re", "im")} | {"w": "array<tinyint>", "nvalid": "int"} | {k: "float" for k in MAPS}
+    bounded_spectra(df.sparkSession, len(axes.lsq))
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kernel = Kernel(axes, np.float64 if cfg.cubestat else np.float32)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            q, u, w = (matrix(b.column(k), None) for k in (2, 3, 4))
+            re, im, total = kernel(q, u, w, cfg.rem_mean > 0)
+            out: dict[str, pa.Array] = {"w": rows_of(np.where(axes.good, w, 0), pa.int8()), "nvalid": pa.array(total.astype(np.int32))}
+            if cfg.output_mode == "ap" or cfg.cubestat:
+                amp, ang = np.hypot(re, im), np.arctan2(im, re) * (0.5 if cfg.ap_angle_mode == "pol" else 1)
+                out |= {"amp": rows_of(amp), "ang": rows_of(ang)}
+                if cfg.cubestat:
+                    out |= {k: pa.array(v, pa.float32()) for k, v in zip(MAPS, cubestat.peak_of(amp, ang, axes.rm), strict=True)}
+            out |= {"re": rows_of(re), "im": rows_of(im)} if cfg.output_mode == "ri" else {}
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(out[k] for k in names)], names=["x", "y", *names])
+
+    return df.select(F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), "q", "u", "w").mapInArrow(make, ", ".join(["x int", "y int", *(f"{k} {kinds[k]}" for k in names)]))
+
+
+def run(spark: SparkSession, cfg: RunConfig, compat: bool = False) -> dict[str, str]:
+    """Make all products of a configuration; a product that exists already stops the run before anything is written.
+
+    The cubes are read once and transformed once, and all products are written from that pass. Counts of valid
+    channels are 16-bit, unless there are more channels than that holds. Beside the products, the axes are written as text, and with
+    ``timing_enabled`` a timing record is appended to ``timing_csv_file``; with ``dry_run`` only its two reports are.
+    """
+    began = time.time()
+    if cfg.dry_run:
+        return write_reports(spark, cfg, compat)
+    p, targets = plan(spark, cfg, compat), outputs(cfg)
     if there := [t for t in targets.values() if os.path.exists(t)]:
         raise FileExistsError(", ".join(there))
     nx, ny = p.shape
     head = dict(p.header.cards)
     x, y = ((p.box[k][0], p.box[k][2]) for k in ("x", "y"))
-    origin = wcs.provenance(cfg.mask_input_cube_file or "none", p.n_bad, True, cfg.mask_trust_mode, cfg.cubestat)
+    origin = wcs.provenance(cfg.mask_input_cube_file or "none", p.n_bad, not (compat and cfg.mask_trust_mode == "strict"), cfg.mask_trust_mode, cfg.cubestat)
     axis = p.header.freq_axis()
     unit = "MHz" if frequency_unit(float(head[f"CRVAL{axis}"])) == 1 else "Hz"
     freq = wcs.frequency_axis(float(head[f"CRVAL{axis}"]), float(head.get(f"CRPIX{axis}", 1)), float(head[f"CDELT{axis}"]), p.box["chan"][0], p.box["chan"][2], unit)
 
-    def save(df: DataFrame, name: str, bitpix: int, third: dict | None, n: int) -> None:
-        cards = wcs.output_cards(head, x, y, third) | origin
-        out = df.select("x", "y", name).write.format("fits_output").mode("append").option("path", targets[name]).option("naxes", f"{nx},{ny},{n}" if third else f"{nx},{ny}").option("bitpix", bitpix).option("column", name)
-        for k, v in cards.items():
-            out = out.option(f"card.{k}", str(v))
-        out.save()
-
-    # the transform runs once; its products are written from the stored table
-    cube = faraday(spark, p).persist()
-    try:
-        for name in [n for n in ("amp", "ang", "re", "im") if n in targets]:
-            save(cube, name, -32, wcs.depth_axis(p.axes.rm), len(p.axes.rm))
-        if "nvalid" in targets:
-            save(cube, "nvalid", 32, None, 1)
-    finally:
-        cube.unpersist()
-    if "w" in targets:
-        save(load(spark, p), "w", 8, freq, len(p.axes.lsq))
-    if cfg.cubestat:
-        stats = maps(spark, p).persist()
-        for name in ("peak", "rm_peak", "ang_peak", "snr"):
-            save(stats.withColumn(name, F.coalesce(name, F.lit(float("nan")))), name, -32, None, 1)
-        stats.unpersist()
+    def product(name: str) -> dict:
+        third, n = (freq, len(p.axes.lsq)) if name == "w" else (wcs.depth_axis(p.axes.rm), len(p.axes.rm)) if name in ("amp", "ang", "re", "im") else (None, 1)
+        bitpix = 8 if name == "w" else (16 if len(p.axes.lsq) < 1 << 15 else 32) if name == "nvalid" else -32
+        return {"path": targets[name], "column": name, "naxes": [nx, ny, n] if third else [nx, ny], "bitpix": bitpix, "cards": wcs.output_cards(head, x, y, third) | origin}
+
+    planned = time.time()
+    made = products(load(spark, p, compat), p, list(targets))
+    made.write.format("fits_output").mode("append").option("products", json.dumps([product(name) for name in targets])).save()
+    ended = time.time()
+    write_axes(p, os.path.dirname(cfg.outfile) or ".")
+    if cfg.timing_enabled and cfg.timing_csv_file:
+        size = {"cube_nx": nx, "cube_ny": ny, "cube_nchan": len(p.axes.lsq), "cube_nrm": len(p.axes.rm), "tile_ra": nx, "tile_dec": strip_rows(p)}
+        times = {"stage_total_sec": time.time() - began, "header_sec": planned - began, "tile_total_sec": ended - planned, "finalize_sec": time.time() - ended}
+        io = {"io_read_bytes": nx * ny * len(p.axes.lsq) * 4 * len(input_paths(cfg)), "io_write_bytes": sum(os.path.getsize(t) for t in targets.values())}
+        append_timing(timing_record(spark, {"run_id": uuid.uuid4().hex, "mode": "spark"} | size | times | io), cfg.timing_csv_file)
     return targets
 
 
-def strip_rows(nx: int, n_chan: int, n_rm: int, target: int = 128 << 20) -> int:
-    """Rows of the sky in a partition, so that input and output of a strip take about ``target`` bytes."""
-    return max(1, target // (nx * (2 * 8 * n_chan + 2 * 4 * n_rm)))
+def write_axes(p: Plan, folder: str) -> None:
+    """sampled_RM.txt and sampled_freq.txt: the depths, and the channels with their wavelengths squared and flags."""
+    cfg = p.cfg
+    with open(os.path.join(folder, "sampled_RM.txt"), "w", encoding="utf-8") as f:
+        f.writelines(f"# {k}: {v}\n" for k, v in (("ofac", cfg.ofac), ("ngood_chan", int(p.axes.good.sum())), ("nrm_out", len(p.axes.rm)), ("fac", cfg.fac), ("beg_rm", float(p.axes.rm[0]))))
+        f.writelines(f"{v!r}\n" for v in p.axes.rm.tolist())
+    with open(os.path.join(folder, "sampled_freq.txt"), "w", encoding="utf-8") as f:
+        f.write("# freq       L_sq       flag (1=good, 0=bad)\n")
+        f.writelines(f"{C_MHZ / v**0.5!r} {v!r} {int(g)}\n" for v, g in zip(p.axes.lsq.tolist(), p.axes.good.tolist(), strict=True))
+
+
+def strip_rows(p: Plan) -> int:
+    """Rows of the sky in a partition of the reader."""
+    return max(1, STRIP_BYTES // max(1, row_bytes(p.shape[0], len(p.axes.lsq), len(input_paths(p.cfg)))))
 
 
-def dry_run(spark: SparkSession, cfg: RunConfig) -> DataFrame:
+def dry_run(spark: SparkSession, cfg: RunConfig, compat: bool = False) -> DataFrame:
     """metric, value: sizes, partitions and a lower bound of the operations of a run; nothing is read but headers."""
-    p = plan(spark, cfg)
+    p = plan(spark, cfg, compat)
     nx, ny = p.shape
     n_good, n_rm, pixels = int(p.axes.good.sum()), len(p.axes.rm), nx * ny
     work = 8 * pixels * n_good * n_rm + (12 if cfg.output_mode == "ap" else 4) * pixels * n_rm
-    rows = strip_rows(nx, len(p.axes.lsq), n_rm)
+    rows = strip_rows(p)
     out = [("pixels", pixels), ("channels", len(p.axes.lsq)), ("good_channels", n_good), ("depths", n_rm), ("strip_rows", rows), ("partitions", -(-ny // rows)), ("input_bytes", pixels * len(p.axes.lsq) * 8), ("output_bytes", pixels * n_rm * 8), ("operations", work)]
     out += [(f"seconds_at_{s}_gflops", work / s / 1e9) for s in SPEEDS]
     return spark.createDataFrame([(k, float(v)) for k, v in out], "metric string, value double")
+
+
+def write_reports(spark: SparkSession, cfg: RunConfig, compat: bool = False) -> dict[str, str]:
+    """Files of a dry run: tile_autotune.cfg, keys for a configuration of the same cut, and runtime_estimate.txt."""
+    p = plan(spark, cfg, compat)
+    folder, rows = os.path.dirname(cfg.outfile) or ".", strip_rows(p)
+    (x0, x1, _), (y0, y1, dy) = p.box["x"], p.box["y"]
+    hints = {"tile_auto": "n", "tile_ra": p.shape[0], "tile_dec": min(rows, p.shape[1]), "mem_frac_ram": cfg.mem_frac_ram, "mem_frac_vram": cfg.mem_frac_vram, "gpu_vram_mib": cfg.gpu_vram_mib}
+    hints |= {"subim_ra_blc": x0, "subim_ra_trc": x1, "subim_dec_blc": y0, "subim_dec_trc": min(y1, y0 + (rows - 1) * dy)}
+    out = {"tile_autotune": os.path.join(folder, "tile_autotune.cfg"), "runtime_estimate": os.path.join(folder, "runtime_estimate.txt")}
+    with open(out["tile_autotune"], "w", encoding="utf-8") as f:
+        f.write("# Keys of a partition's cut of the sky\n")
+        f.writelines(f"{k}={v}\n" for k, v in hints.items())
+    with open(out["runtime_estimate"], "w", encoding="utf-8") as f:
+        f.writelines(f"{r['metric']}: {r['value']:.15g}\n" for r in dry_run(spark, cfg, compat).collect())
+    return out

@@ -4,13 +4,16 @@
 partition is a strip of rows of the sky, so spectra need no shuffle. Ranges and strides of the sky and of channels
 are options, so that what lies outside is never read. (Filters aren't taken over from queries: Spark 4.1 keeps what a
 Python reader took for later queries on the same DataFrame.) ``fits_image``: x, y, val of a plane. ``fits_table``: columns of a binary table.
-Paths must be open to all executors (a shared file system), as FITS is read by byte ranges.
+``fits_output`` writes one product or several of one pass over the rows. Paths must be open to the driver and all
+executors (a shared file system), as FITS is read and written by byte ranges.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
+from contextlib import ExitStack
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,6 +39,11 @@ def strips(y0: int, y1: int, row_bytes: int, target: int = STRIP_BYTES) -> list[
     return [Strip(a, min(a + high - 1, y1)) for a in range(y0, y1 + 1, high)]
 
 
+def row_bytes(nx: int, n_chan: int, cubes: int) -> int:
+    """Bytes of a row of the sky in memory, of all cubes."""
+    return nx * n_chan * 8 * max(1, cubes)
+
+
 def _range(options: dict, name: str, size: int) -> tuple[int, int, int]:
     """[first, last] and step of an axis; last 0 (also by default) is its end."""
     first, last, step = (int(options.get(f"{name}_{k}", d)) for k, d in (("first", 1), ("last", 0), ("step", 1)))
@@ -65,7 +73,7 @@ class CubeReader(DataSourceReader):
         y0, y1, sy = box["y"]
         n = (y1 - y0) // sy + 1
         c0, c1, sc = box["chan"]
-        row = ((x1 - x0) // sx + 1) * ((c1 - c0) // sc + 1) * 8 * max(1, len(self.names))
+        row = row_bytes((x1 - x0) // sx + 1, (c1 - c0) // sc + 1, len(self.names))
         return strips(1, n, row, int(self.options.get("strip_bytes", STRIP_BYTES)))
 
     def read(self, part: Strip) -> Iterator[pa.RecordBatch]:
@@ -193,45 +201,74 @@ class Written(WriterCommitMessage):
     rows: int
 
 
+@dataclass
+class Product:
+    """A file of known size: rows x, y (from 1) of ``column``, an array by plane or a number, land at their own bytes."""
+
+    path: str
+    column: str
+    naxes: list[int]
+    bitpix: int = -32
+    cards: dict | None = None
+
+    def __post_init__(self):
+        self.head = header_bytes(primary_cards(self.bitpix, self.naxes, self.cards or {}))
+        self.kind = np.dtype(KINDS[self.bitpix])
+
+    def create(self) -> None:
+        size = int(np.prod(self.naxes)) * self.kind.itemsize
+        with open(self.path, "wb") as f:  # undefined pixels: NaN, or 0 of integers
+            f.write(self.head)
+            f.truncate(len(self.head) + -(-size // BLOCK) * BLOCK)
+
+    def put(self, f, x: np.ndarray, y: np.ndarray, data: np.ndarray, runs: list[tuple[int, int]]) -> None:
+        """Write planes of pixels; ``runs`` are neighbours, which are written together."""
+        plane = self.naxes[0] * self.naxes[1] * self.kind.itemsize
+        for a, z in runs:
+            at = len(self.head) + ((y[a] - 1) * self.naxes[0] + x[a] - 1) * self.kind.itemsize
+            block = np.ascontiguousarray(data[a:z].T, self.kind)
+            for k, values in enumerate(block):
+                f.seek(int(at + k * plane))
+                f.write(values.tobytes())
+
+
 class CubeWriter(DataSourceArrowWriter):
-    """Rows x, y (from 1) and an array by plane (or a number): each lands at its own bytes of a file of known size."""
+    """Writes all products from one pass over the rows; their files are made before and removed if the job fails."""
 
     def __init__(self, schema: StructType, options: dict, overwrite: bool):
-        self.options = options
-        self.naxes = [int(n) for n in options["naxes"].split(",")]
-        self.bitpix = int(options.get("bitpix", -32))
-        self.column = options.get("column", next(f.name for f in schema if f.name not in ("x", "y")))
-        if os.path.exists(options["path"]) and not overwrite:
-            raise FitsError(f"{options['path']} exists")
-        cards = {k[5:].upper(): _number(v) for k, v in options.items() if k.startswith("card.")}
-        self.head = header_bytes(primary_cards(self.bitpix, self.naxes, cards))
-        size = int(np.prod(self.naxes)) * abs(self.bitpix) // 8
-        with open(options["path"], "wb") as f:  # undefined pixels: NaN, or 0 of integers
-            f.write(self.head)
-            f.truncate(len(self.head) + -(-size // BLOCK) * BLOCK)
+        if "products" in options:
+            self.products = [Product(**p) for p in json.loads(options["products"])]
+        else:
+            cards = {k[5:].upper(): _number(v) for k, v in options.items() if k.startswith("card.")}
+            column = options.get("column", next(f.name for f in schema if f.name not in ("x", "y")))
+            self.products = [Product(options["path"], column, [int(n) for n in options["naxes"].split(",")], int(options.get("bitpix", -32)), cards)]
+        for p in self.products:
+            if os.path.exists(p.path) and not overwrite:
+                raise FitsError(f"{p.path} exists")
+        for p in self.products:
+            p.create()
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
-        kind, n = np.dtype(KINDS[self.bitpix]), 0
-        nx, plane = self.naxes[0], self.naxes[0] * self.naxes[1] * np.dtype(KINDS[self.bitpix]).itemsize
-        with open(self.options["path"], "r+b") as f:
+        n = 0
+        with ExitStack() as stack:
+            files = [stack.enter_context(open(p.path, "r+b")) for p in self.products]
             for b in batches:
                 x, y = (np.asarray(b.column(b.schema.get_field_index(c)), np.int64) for c in ("x", "y"))
-                col = b.column(b.schema.get_field_index(self.column))
-                data = np.asarray(col.flatten().to_numpy(zero_copy_only=False) if pa.types.is_list(col.type) else col.to_numpy(zero_copy_only=False)).reshape(len(x), -1)
                 order = np.lexsort((x, y))
-                x, y, data = x[order], y[order], data[order].astype(kind)
-                runs = np.flatnonzero(np.concatenate([[True], (np.diff(y) != 0) | (np.diff(x) != 1)])) if len(x) else []
-                for a, z in zip(runs, [*runs[1:], len(x)], strict=True):  # neighbours are written together
-                    at = len(self.head) + ((y[a] - 1) * nx + x[a] - 1) * kind.itemsize
-                    for k in range(data.shape[1]):
-                        f.seek(int(at + k * plane))
-                        f.write(np.ascontiguousarray(data[a:z, k]).tobytes())
+                x, y = x[order], y[order]
+                first = np.flatnonzero(np.concatenate([[True], (np.diff(y) != 0) | (np.diff(x) != 1)])).tolist() if len(x) else []
+                runs = list(zip(first, [*first[1:], len(x)], strict=True))
+                for p, f in zip(self.products, files, strict=True):
+                    col = b.column(b.schema.get_field_index(p.column))
+                    data = np.asarray(col.flatten().to_numpy(zero_copy_only=False) if pa.types.is_list(col.type) else col.to_numpy(zero_copy_only=False)).reshape(len(x), -1)
+                    p.put(f, x, y, data[order], runs)
                 n += len(x)
         return Written(n)
 
     def abort(self, messages) -> None:
-        if os.path.exists(self.options["path"]):
-            os.remove(self.options["path"])
+        for p in self.products:
+            if os.path.exists(p.path):
+                os.remove(p.path)
 
 
 def _number(text: str):
@@ -244,7 +281,7 @@ def _number(text: str):
 
 
 class FitsOutput(DataSource):
-    """Sink. Options: path, naxes ('nx,ny,n'), bitpix, column, card.KEY = value."""
+    """Sink. Options: path, naxes ('nx,ny,n'), bitpix, column, card.KEY = value; or products, a JSON list of Product's fields."""
 
     @classmethod
     def name(cls) -> str:

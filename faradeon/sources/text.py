@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Columns of a timing record and their types; fixed values.
@@ -28,10 +28,18 @@ def bad_channels(spark: SparkSession, path: str, n_chan: int) -> list[int]:
 
 
 def column(spark: SparkSession, path: str, place: int) -> DataFrame:
-    """line (from 0), value of one column (from 1) of a file of columns divided by white space, after a header line."""
-    rows = spark.read.text(path).where(~F.lower("value").rlike("[a-df-z]") & (F.trim("value") != ""))
-    parts = F.split(F.trim("value"), r"\s+")
-    return rows.select(F.monotonically_increasing_id().alias("line"), F.try_element_at(parts, F.lit(place)).cast("double").alias("value"))
+    """line (from 0, without gaps over all partitions), value of one column (from 1) of a file of columns divided by white space.
+
+    A line whose column is no number (a header, a comment) is left out; nan and inf are numbers.
+    """
+    value = F.try_element_at(F.split(F.trim("value"), r"\s+"), F.lit(place))
+    rows = spark.read.text(path).select(value.alias("v")).selectExpr("try_cast(v AS double) AS value")
+    rows = rows.where("value is not null").withColumn("__at", F.monotonically_increasing_id())
+    # places in two steps: rows before a partition, then within it; the first has one row a partition
+    part = F.shiftright("__at", 33)
+    sizes = rows.groupBy(part.alias("__part")).agg(F.count("*").alias("n"))
+    before = sizes.select("__part", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    return rows.withColumn("__part", part).join(before, "__part").select((F.col("__before") + F.row_number().over(Window.partitionBy("__part").orderBy("__at")) - 1).alias("line"), "value")
 
 
 def write_axis(values: DataFrame, path: str) -> None:
@@ -39,6 +47,13 @@ def write_axis(values: DataFrame, path: str) -> None:
     values.coalesce(1).selectExpr(f"string({values.columns[0]}) value").write.text(path)
 
 
+def timing_record(spark: SparkSession, known: dict) -> DataFrame:
+    """One row of TIMING; what isn't known is 0."""
+    kinds = dict(c.split() for c in TIMING.split(", "))
+    empty = {"string": "", "int": 0, "long": 0, "double": 0.0}
+    return spark.createDataFrame([tuple(known.get(k, empty[t]) for k, t in kinds.items())], TIMING)
+
+
 def append_timing(record: DataFrame, path: str) -> None:
     record.select(*(c.split()[0] for c in TIMING.split(", "))).write.mode("append").option("header", True).csv(path)
 

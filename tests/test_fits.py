@@ -106,6 +106,35 @@ def test_run_from_a_configuration(spark, folder):
     assert (w[50], w[6], w[8], w.sum()) == (0, 0, 0, 197)
     with pytest.raises(FileExistsError):
         pipeline.run(spark, cfg)
+    with open(targets["nvalid"], "rb") as f:
+        h = fits_format.read_header(f)
+        n = fits_format.read_box(f, h, fits_format.Box([(1, 32, 1), (1, 32, 1)]))
+    assert h["BITPIX"] == 16 and n.reshape(32, 32)[25, 25] == 0 and n.reshape(32, 32)[10, 12] == 197
+    with open(targets["rm_peak"], "rb") as f:
+        h = fits_format.read_header(f)
+        found = fits_format.read_box(f, h, fits_format.Box([(13, 13, 1), (11, 11, 1)])).ravel()[0]
+    assert found == pytest.approx(stats[13, 11]["rm_peak"])
+    folder_ = os.path.dirname(cfg.outfile)
+    depths = [float(x) for x in open(f"{folder_}/sampled_RM.txt") if x[0] != "#"]
+    assert np.allclose(depths, p.axes.rm)
+    rows = [x.split() for x in open(f"{folder_}/sampled_freq.txt") if x[0] != "#"]
+    assert len(rows) == 200 and sum(int(r[2]) for r in rows) == 198 and np.allclose([float(r[1]) for r in rows], p.axes.lsq)
+
+
+def test_timing_record_and_reports(spark, folder, tmp_path):
+    text_ = BASE.format(d=folder).replace(f"{folder}/out", f"{tmp_path}/out")
+    assert str(tmp_path) in text_
+    cfg = config.parse(text_ + f"timing_enabled = y\ntiming_csv_file = {tmp_path}/timing.csv\noutput_mode = ri\ncubestat = y\n")
+    targets = pipeline.run(spark, cfg)
+    assert {"re", "im", "peak"} <= set(targets)
+    r = text.read_timing(spark, f"{tmp_path}/timing.csv").collect()
+    assert len(r) == 1 and (r[0]["cube_nx"], r[0]["cube_nchan"], r[0]["cube_nrm"]) == (32, 200, 201) and r[0]["stage_total_sec"] >= r[0]["tile_total_sec"] > 0
+    dry = config.parse(BASE.format(d=folder).replace(f"{folder}/out", f"{tmp_path}/dry") + "dry_run = y\n")
+    files = pipeline.run(spark, dry)
+    hints = dict(x.strip().split("=") for x in open(files["tile_autotune"]) if x[0] != "#")
+    assert (hints["subim_ra_blc"], hints["subim_ra_trc"], hints["tile_auto"]) == ("1", "32", "n")
+    assert "depths: 201" in open(files["runtime_estimate"]).read()
+    assert not os.path.exists(f"{tmp_path}/dry.AMP.RMCUBE.FITS")
 
 
 def test_sub_image_and_dry_run(spark, folder):
@@ -121,7 +150,6 @@ def test_sub_image_and_dry_run(spark, folder):
 def test_strips():
     assert [(s.y0, s.y1) for s in fits.strips(1, 10, 100, 400)] == [(1, 4), (5, 8), (9, 10)]
     assert len(fits.strips(1, 3, 10**12)) == 3
-    assert pipeline.strip_rows(1000, 288, 800) >= 1
 
 
 @pytest.mark.parametrize(
@@ -153,8 +181,11 @@ def test_text_files(spark, tmp_path):
     assert text.bad_channels(spark, str(tmp_path / "none"), 200) == []
     with pytest.raises(ValueError):
         text.bad_channels(spark, str(tmp_path / "b"), 2)
-    (tmp_path / "c").write_text("chan value\n1 2.5\n2 3.5\n")
-    assert [r["value"] for r in text.column(spark, str(tmp_path / "c"), 2).collect()] == [2.5, 3.5]
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "1").write_text("chan value\n1 2.5\n2 nan\n")
+    (tmp_path / "c" / "2").write_text("3 -1d\n\n4 7e2 x\n")
+    got = sorted((r["line"], r["value"]) for r in text.column(spark, str(tmp_path / "c"), 2).collect())
+    assert [i for i, _ in got] == list(range(len(got))) and {repr(v) for _, v in got} >= {"2.5", "nan", "700.0"}
     names = [c.split() for c in text.TIMING.split(", ")]
     row = spark.createDataFrame([tuple("r" if t == "string" else 1 if t in ("int", "long") else 0.5 for _, t in names)], text.TIMING)
     for _ in range(2):
