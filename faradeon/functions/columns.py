@@ -119,6 +119,11 @@ def cyclic_shift(values: Col, by: int) -> Column:
     return F.when(n == 0, v).otherwise(F.concat(F.slice(v, n - k + 1, k), F.slice(v, F.lit(1), n - k)))
 
 
+def noisy(value: Col, sigma: float, seed: int) -> Column:
+    """Value plus normal noise; the same for the same rows in the same partitions."""
+    return _c(value) + sigma * F.randn(seed)
+
+
 def trimmed_length(text: Col) -> Column:
     """Place of the last character that is no space, tab or NUL."""
     return F.length(F.regexp_replace(_c(text), "[ \t\\x00]+$", ""))
@@ -171,20 +176,30 @@ def greenwich_sidereal_degrees(julian_day: Col) -> Column:
     return F.pmod(280.46061837 + 360.98564736629 * d + 0.000387933 * t * t - t * t * t / 38710000.0, F.lit(360.0))
 
 
-def precession_angles(from_year: float, to_year: float) -> tuple[float, float, float]:
-    """IAU 1976 angles zeta, z, theta between two Julian epochs."""
-    big, t = (from_year - 2000.0) / 100, (to_year - from_year) / 100
+#: Precession angles in seconds of arc: constant and slope (by centuries from the system's epoch) of the linear terms,
+#: then the quadratic and cubic terms of zeta, z, theta. IAU 1976 for FK5, Newcomb for FK4; fixed values.
+PRECESSION = {
+    "FK5": {"epoch": 2000.0, "first": (2306.2181, 1.39656, -0.000139), "zeta": (0.30188, -0.000344, 0.017998), "z": (1.09468, 0.000066, 0.018203), "theta": (2004.3109, -0.85330, -0.000217, -0.42665, -0.000217, -0.041833)},
+    "FK4": {"epoch": 1900.0, "first": (2304.250, 1.396, 0.0), "zeta": (0.302, 0.0, 0.018), "z": (1.093, 0.0, 0.018), "theta": (2004.682, -0.853, 0.0, -0.426, 0.0, -0.042)},
+}
+
+
+def precession_angles(from_year: float, to_year: float, system: str = "FK5") -> tuple[float, float, float]:
+    """Angles zeta, z, theta in radians between two epochs: Julian ones of FK5 (J2000), Besselian ones of FK4 (B1950)."""
+    k = PRECESSION[system]
+    big, t = (from_year - k["epoch"]) / 100, (to_year - from_year) / 100
     arc = math.pi / 180 / 3600
-    first = (2306.2181 + 1.39656 * big - 0.000139 * big * big) * t
-    zeta = first + (0.30188 - 0.000344 * big) * t**2 + 0.017998 * t**3
-    z = first + (1.09468 + 0.000066 * big) * t**2 + 0.018203 * t**3
-    theta = (2004.3109 - 0.85330 * big - 0.000217 * big * big) * t - (0.42665 + 0.000217 * big) * t**2 - 0.041833 * t**3
+    a, b, c = k["first"]
+    first = (a + b * big + c * big * big) * t
+    zeta, z = (first + (k[n][0] + k[n][1] * big) * t**2 + k[n][2] * t**3 for n in ("zeta", "z"))
+    a, b, c, d, e, f = k["theta"]
+    theta = (a + b * big + c * big * big) * t + (d + e * big) * t**2 + f * t**3
     return zeta * arc, z * arc, theta * arc
 
 
-def precessed(ra: Col, dec: Col, from_year: float, to_year: float) -> tuple[Column, Column]:
+def precessed(ra: Col, dec: Col, from_year: float, to_year: float, system: str = "FK5") -> tuple[Column, Column]:
     ra, dec = _c(ra), _c(dec)
-    zeta, z, theta = precession_angles(from_year, to_year)
+    zeta, z, theta = precession_angles(from_year, to_year, system)
     a = F.cos(dec) * F.sin(ra + zeta)
     b = math.cos(theta) * F.cos(dec) * F.cos(ra + zeta) - math.sin(theta) * F.sin(dec)
     c = math.sin(theta) * F.cos(dec) * F.cos(ra + zeta) + math.cos(theta) * F.sin(dec)

@@ -12,9 +12,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.axes import C_MHZ, Axes
-from .synthesis import matrix, rows_of, transform
+from .synthesis import Kernel, matrix, rows_of, transform
+
+#: Patterns of weights whose beams a task keeps.
+BEAMS = 256
 
 
 def dirty_beam(axes: Axes, rm0: float = 0.0, phase0: float = 0.0, w: np.ndarray | None = None, stokes: str = "QU", rm: np.ndarray | None = None) -> np.ndarray:
@@ -34,25 +38,31 @@ class Cleaned:
     iterations: int
 
 
-def clean(spectrum: np.ndarray, axes: Axes, w: np.ndarray | None = None, gain: float = 0.1, threshold: float = 3.0, niter: int = 1000, stokes: str = "QU") -> Cleaned:
-    """Subtract gain times the beam at the residual's peak until the peak is within threshold rms of its mean, or niter."""
+def wide_beam(axes: Axes, w: np.ndarray | None = None, stokes: str = "QU") -> np.ndarray | None:
+    """Responses on the grid of differences, so that a peak's beam is a slice; a grid that isn't even, or one Stokes parameter, has none."""
+    step, k = np.diff(axes.rm), len(axes.rm) - 1
+    if not len(step) or not np.allclose(step, step[0]) or stokes != "QU":
+        return None
+    return dirty_beam(axes, w=w, rm=step[0] * np.arange(-k, k + 1))
+
+
+def clean(spectrum: np.ndarray, axes: Axes, w: np.ndarray | None = None, gain: float = 0.1, threshold: float = 3.0, niter: int = 1000, stokes: str = "QU", wide: np.ndarray | None = None) -> Cleaned:
+    """Subtract gain times the beam at the residual's peak until the peak is within threshold rms of its mean, or niter.
+
+    ``wide``: the beam of ``wide_beam``, if it is known.
+    """
     residual, parts = np.array(spectrum, complex), np.zeros(len(spectrum), complex)
     n = 0
     if not np.isfinite(residual).all():
         return Cleaned(parts, residual, 0)
-    # responses on the grid of differences, so that a peak's beam is a slice; a grid that isn't even gets its own
-    step = np.diff(axes.rm)
-    even = len(step) > 0 and np.allclose(step, step[0]) and stokes == "QU"
-    if even:
-        k = len(axes.rm) - 1
-        wide = dirty_beam(axes, w=w, rm=step[0] * np.arange(-k, k + 1))
+    wide, k = wide_beam(axes, w, stokes) if wide is None else wide, len(axes.rm) - 1
     while n < niter:
         size = np.abs(residual)
         at = int(size.argmax())
         if abs(size[at] - size.mean()) <= threshold * size.std():
             break
         peak = gain * residual[at]
-        beam = wide[k - at : 2 * k + 1 - at] * peak if even else np.abs(peak) * dirty_beam(axes, axes.rm[at], np.angle(peak) / 2, w, stokes)
+        beam = wide[k - at : 2 * k + 1 - at] * peak if wide is not None else np.abs(peak) * dirty_beam(axes, axes.rm[at], np.angle(peak) / 2, w, stokes)
         residual = residual - beam
         parts[at] += peak
         n += 1
@@ -84,20 +94,30 @@ def beam_width(beam: np.ndarray) -> float:
     return edges[1] - edges[0]
 
 
-def clean_spectra(df: DataFrame, axes: Axes, gain: float = 0.1, threshold: float = 3.0, niter: int = 1000, fwhm_bins: float | None = None, compat: bool = False) -> DataFrame:
-    """x, y, re, im, iterations: synthesised, cleaned and restored spectra of pixels with arrays q, u, w by channel."""
+def clean_spectra(df: DataFrame, axes: Axes, gain: float = 0.1, threshold: float = 3.0, niter: int = 1000, fwhm_bins: float | None = None, compat: bool = False, stokes: str = "QU") -> DataFrame:
+    """x, y, re, im, iterations: synthesised, cleaned and restored spectra of pixels with arrays q, u, w by channel.
+
+    ``stokes`` 'Q' or 'U' takes one parameter alone. Beams and their widths are made once for each pattern of weights.
+    """
     names = "x int, y int, re array<double>, im array<double>, iterations int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kernel, beams = Kernel(axes), {}
         for b in batches:
             if not b.num_rows:
                 continue
             q, u, w = (matrix(b.column(k)) for k in (2, 3, 4))
-            re, im, _ = transform(q, u, w, axes)
+            re, im, _ = kernel(q * ("Q" in stokes), u * ("U" in stokes), w)
             out, done = np.empty(re.shape, complex), []
             for k in range(len(q)):
-                c = clean(re[k] + 1j * im[k], axes, w[k], gain, threshold, niter)
-                width = fwhm_bins or beam_width(dirty_beam(axes, axes.rm[len(axes.rm) // 2], w=w[k]))
+                pattern = w[k].tobytes()
+                if pattern not in beams:
+                    if len(beams) >= BEAMS:
+                        beams.clear()
+                    wide = wide_beam(axes, w[k], stokes)
+                    beams[pattern] = wide, fwhm_bins or beam_width(dirty_beam(axes, axes.rm[len(axes.rm) // 2], w=w[k], stokes=stokes))
+                wide, width = beams[pattern]
+                c = clean(re[k] + 1j * im[k], axes, w[k], gain, threshold, niter, stokes, wide)
                 out[k] = restore(c.components, width, compat) + c.residual
                 done.append(c.iterations)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), rows_of(out.real, pa.float64()), rows_of(out.imag, pa.float64()), pa.array(done, pa.int32())], names=["x", "y", "re", "im", "iterations"])
@@ -105,6 +125,20 @@ def clean_spectra(df: DataFrame, axes: Axes, gain: float = 0.1, threshold: float
     return df.select("x", "y", "q", "u", "w").mapInArrow(run, names)
 
 
+def depolarisation_corrected(df: DataFrame, axes: Axes, width_mhz: float, order: int = 3, index: float = -1.5) -> DataFrame:
+    """x, y, re, im by depth, divided by the loss that channels of finite width cause at each depth."""
+    freq = C_MHZ / np.sqrt(axes.lsq[axes.good])
+    loss = depolarisation_weight(axes.rm, freq, width_mhz, order, index)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                whole = (matrix(b.column(2)) + 1j * matrix(b.column(3))) / loss
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), rows_of(whole.real, pa.float64()), rows_of(whole.imag, pa.float64())], names=["x", "y", "re", "im"])
+
+    return df.select("x", "y", "re", "im").mapInArrow(run, "x int, y int, re array<double>, im array<double>")
+
+
 def phase_of_components(values: np.ndarray, lsq: np.ndarray, rm: float) -> float:
     """Phase from the least-squares share of the cosine and the sine at a depth."""
     a, b = np.linalg.lstsq(np.column_stack([np.cos(2 * rm * lsq), np.sin(2 * rm * lsq)]), values, rcond=None)[0]
@@ -116,6 +150,22 @@ def profile_noise(profile: np.ndarray, beam: np.ndarray, first: int = 100) -> fl
     return float(np.std((profile - np.max(np.abs(profile)) * beam)[:first]))
 
 
+def component_phases(samples: DataFrame, value: str, rm: float, by: list[str] = ("x", "y")) -> DataFrame:
+    """by, phase: ``phase_of_components`` of each group of long samples (``value``, lsq, w), from five sums."""
+    angle = 2 * rm * F.col("lsq")
+    v, c, s, w = F.col(value), F.cos(angle), F.sin(angle), F.col("w")
+    sums = samples.groupBy(*by).agg(*(F.sum(w * x).alias(n) for n, x in (("cc", c * c), ("ss", s * s), ("cs", c * s), ("vc", v * c), ("vs", v * s))))
+    a, b = F.col("vc") * F.col("ss") - F.col("vs") * F.col("cs"), F.col("vs") * F.col("cc") - F.col("vc") * F.col("cs")
+    return sums.select(*by, F.when(F.col("cc") * F.col("ss") > F.col("cs") * F.col("cs"), F.atan2(b, a)).alias("phase"))
+
+
+def profile_noises(profiles: DataFrame, beam: DataFrame, column: str = "amp", first: int = 100, by: list[str] = ("x", "y")) -> DataFrame:
+    """by, rms: ``profile_noise`` of each group of long profiles (irm, ``column``). ``beam`` (irm, beam) is an axis."""
+    peaks = profiles.groupBy(*by).agg(F.max(F.abs(column)).alias("_peak"))
+    left = profiles.where(F.col("irm") < first).join(F.broadcast(beam), "irm").join(peaks, [*by])
+    return left.groupBy(*by).agg(F.stddev_pop(F.col(column) - F.col("_peak") * F.col("beam")).alias("rms"))
+
+
 # -- peak interpolation: (place in bins, complex or real value there)
 
 

@@ -20,11 +20,24 @@ def aligned(*images: DataFrame, how: str = "inner", check: bool = False) -> Data
     return out
 
 
+def rules(a: float = 1.0, b: float = 1.0) -> dict[str, Column]:
+    """Image algebra of v1 and v2: sum, difference, linear combination, product, quotient."""
+    one, two = F.col("v1"), F.col("v2")
+    return {"SUM": one + two, "DIFF": one - two, "LIN": a * one + b * two, "MULT": one * two, "DIV": one / F.nullif(two, F.lit(0.0))}
+
+
+def summaries(pair: DataFrame, a: float = 1.0, b: float = 1.0) -> DataFrame:
+    """op, n, mean, rms of all combinations of a pair, from one pass over it."""
+    every = rules(a, b)
+    valid_ = {op: F.when(~F.isnan(v), v) for op, v in every.items()}
+    sums = pair.agg(*(f(v).alias(f"{name}_{op}") for op, v in valid_.items() for name, f in (("n", F.count), ("mean", F.avg), ("rms", F.stddev_pop))))
+    rows = F.array(*(F.struct(F.lit(op).alias("op"), *(F.col(f"{name}_{op}").alias(name) for name in ("n", "mean", "rms"))) for op in every))
+    return sums.select(F.explode(rows).alias("r")).select("r.*")
+
+
 def combine(pair: DataFrame, op: str, a: float = 1.0, b: float = 1.0) -> DataFrame:
     """x, y, val: SUM, DIFF, LIN (a v1 + b v2), MULT or DIV of v1 and v2."""
-    one, two = F.col("v1"), F.col("v2")
-    rules: dict[str, Column] = {"SUM": one + two, "DIFF": one - two, "LIN": a * one + b * two, "MULT": one * two, "DIV": one / F.nullif(two, F.lit(0.0))}
-    return pair.select("x", "y", rules[op.upper()].alias("val"))
+    return pair.select("x", "y", rules(a, b)[op.upper()].alias("val"))
 
 
 def summary(image: DataFrame) -> DataFrame:
@@ -52,6 +65,12 @@ def ratio_image(pair: DataFrame) -> DataFrame:
     return pair.select("x", "y", ratio_or_zero("v1", "v2").alias("val"))
 
 
+def half_shifted(image: DataFrame, nx: int, ny: int) -> DataFrame:
+    """Quadrants exchanged, so that pixel (0, 0) goes to the centre: x and y (from 0) move by half of their sizes."""
+    moved = [F.pmod(F.col(c) + n // 2, F.lit(n)).cast("int").alias(c) for c, n in (("x", nx), ("y", ny))]
+    return image.select(*moved, *(c for c in image.columns if c not in ("x", "y")))
+
+
 def brightest(images: DataFrame) -> DataFrame:
     """image, x, y, val of the brightest pixel of each image (ties: least y, then x)."""
     best = F.max(F.when(valid("val"), F.struct("val", (-F.col("y")).alias("y"), (-F.col("x")).alias("x"))))

@@ -12,6 +12,9 @@ SUBBLOCK = r"(prep|send|start|done)\s+(\d+)/(\d+)\s+y:\[(\d+),(\d+)\]"
 BOUNDS = r"\b(start|done)\b.*x:\[(\d+),(\d+)\]\s+y:\[(\d+),(\d+)\]"
 THREAD = r"thread_timing\s+stage=cpu_extract\s+event=(start|done)\s+tid=(\d+)\s+rm_block=(\d+)\s+nrm_now=(\d+)"
 
+#: Seconds of a log that one task orders.
+RANGE_SECONDS = 3600
+
 
 def _field(text: str, pattern: str, group: int, kind: str = "string") -> Column:
     found = F.regexp_extract(text, pattern, group)
@@ -62,10 +65,13 @@ def select_run(events: DataFrame, which: str | int) -> DataFrame:
     return events.join(F.broadcast(runs), "run", "left_semi")  # one row
 
 
-def intervals(events: DataFrame, by: list[str] = ("run", "stage"), start: str = "start", end: str = "done") -> DataFrame:
-    """The k-th start with the k-th end of each group, where the end is later: by, k, t0, t1, seconds, bytes."""
-    rank = F.row_number().over(Window.partitionBy(*by, "event").orderBy("ts"))
-    numbered = events.where(F.col("event").isin(start, end)).withColumn("k", rank)
+def intervals(events: DataFrame, by: list[str] = ("run", "stage"), start: str = "start", end: str = "done", ties: list[str] = ("bytes",), range_seconds: int = RANGE_SECONDS) -> DataFrame:
+    """The k-th start with the k-th end of each group, where the end is later: by, k, t0, t1, seconds, bytes.
+
+    Events of one time are ordered by ``ties``. Ranks are counted by time ranges, so a long log is many tasks.
+    """
+    some = events.where(F.col("event").isin(start, end)).withColumn("_one", F.lit(1).cast("long"))
+    numbered = _running(some, [*by, "event"], F.unix_micros(F.col("ts").cast("timestamp")), ["ts", *ties], {"k": "_one"}, range_seconds)
     first = numbered.where(F.col("event") == start).select(*by, "k", F.col("ts").alias("t0"), F.col("bytes").alias("b0"))
     last = numbered.where(F.col("event") == end).select(*by, "k", F.col("ts").alias("t1"), F.col("bytes").alias("b1"))
     seconds = F.unix_micros(F.col("t1").cast("timestamp")) / 1e6 - F.unix_micros(F.col("t0").cast("timestamp")) / 1e6
@@ -83,27 +89,52 @@ def _sweep(spans: DataFrame, by: list[str], extra: list[Column]) -> DataFrame:
     return spans.select(*by, *extra, F.explode(F.array(one("t0", 1), one("t1", -1))).alias("p")).select(*by, *[c for c in spans.columns if c == "_tag"], "p.t", "p.d")
 
 
-def active_counts(spans: DataFrame, by: list[str] = ("run",)) -> DataFrame:
-    """by, t (microseconds), active: how many spans are open after each start or end."""
-    w = Window.partitionBy(*by).orderBy("t", F.desc("d")).rowsBetween(Window.unboundedPreceding, 0)
-    return _sweep(spans, list(by), []).withColumn("active", F.sum("d").over(w)).select(*by, "t", "d", "active")
+def _running(rows: DataFrame, by: list[str], micros: Column, order: list, sums: dict[str, str], range_seconds: int) -> DataFrame:
+    """``rows`` with running sums (new name: column) in ``order`` within groups, over time ranges of so many seconds.
+
+    A range's rows are summed in one task, and what came before it is added from a table of one row a group and range.
+    """
+    at = rows.withColumn("_range", F.floor(micros / (range_seconds * 1_000_000)))
+    keys = [*by, "_range"]
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = at.groupBy(*keys).agg(*(F.sum(c).alias(f"_t_{n}") for n, c in sums.items())).select(*keys, *(F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums))
+    own = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    totals = totals.select(*(F.col(k).alias(f"_k_{k}") for k in keys), *(f"_b_{n}" for n in sums))
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    whole = at.select("*", *(F.sum(c).over(own).alias(f"_o_{n}") for n, c in sums.items())).join(totals, same)
+    return whole.select(*(c for c in rows.columns if c not in sums), *((F.col(f"_b_{n}") + F.col(f"_o_{n}")).alias(n) for n in sums), "_range")
+
+
+def _until_next(points: DataFrame, by: list[str], order: list) -> DataFrame:
+    """``points`` (with _range, t) with ``next``: the time of the next point of the group, maybe in a later range."""
+    keys = [*by, "_range"]
+    firsts = points.groupBy(*keys).agg(F.min("t").alias("_f")).select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.lead("_f").over(Window.partitionBy(*by).orderBy("_range")).alias("_later"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    own = Window.partitionBy(*keys).orderBy(*order)
+    return points.withColumn("_next", F.lead("t").over(own)).join(firsts, same).withColumn("next", F.coalesce("_next", "_later")).select(*points.columns, "next")
+
+
+def active_counts(spans: DataFrame, by: list[str] = ("run",), range_seconds: int = RANGE_SECONDS) -> DataFrame:
+    """by, t (microseconds), d, active: how many spans are open after each start or end."""
+    points = _sweep(spans, list(by), [])
+    return _running(points, list(by), F.col("t"), ["t", F.desc("d")], {"active": "d"}, range_seconds).select(*by, "t", "d", "active")
 
 
-def self_overlap(spans: DataFrame, by: list[str] = ("run",)) -> DataFrame:
+def self_overlap(spans: DataFrame, by: list[str] = ("run",), range_seconds: int = RANGE_SECONDS) -> DataFrame:
     """Seconds during which two spans or more are open."""
-    w = Window.partitionBy(*by).orderBy("t", F.desc("d"))
-    rows = active_counts(spans, by).withColumn("next", F.lead("t").over(w))
+    order = ["t", F.desc("d")]
+    rows = _until_next(_running(_sweep(spans, list(by), []), list(by), F.col("t"), order, {"active": "d"}, range_seconds), list(by), order)
     return rows.groupBy(*by).agg(F.coalesce(F.sum(F.when(F.col("active") >= 2, (F.col("next") - F.col("t")) / 1e6)), F.lit(0.0)).alias("seconds"))
 
 
-def cross_overlap(spans: DataFrame, kind: str, a: str, b: str, by: list[str] = ("run",)) -> DataFrame:
+def cross_overlap(spans: DataFrame, kind: str, a: str, b: str, by: list[str] = ("run",), range_seconds: int = RANGE_SECONDS) -> DataFrame:
     """Seconds during which a span of kind ``a`` and one of kind ``b`` are open."""
     tagged = spans.where(F.col(kind).isin(a, b)).withColumn("_tag", F.col(kind))
     points = _sweep(tagged, list(by), [F.col("_tag")])
-    w = Window.partitionBy(*by).orderBy("t", F.desc("d"), "_tag")
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    count = lambda k: F.sum(F.when(F.col("_tag") == k, F.col("d")).otherwise(0)).over(run)
-    rows = points.withColumn("na", count(a)).withColumn("nb", count(b)).withColumn("next", F.lead("t").over(w))
+    order = ["t", F.desc("d"), "_tag"]
+    step = lambda k: F.when(F.col("_tag") == k, F.col("d")).otherwise(0)
+    counted = _running(points.withColumn("_a", step(a)).withColumn("_z", step(b)), list(by), F.col("t"), order, {"na": "_a", "nb": "_z"}, range_seconds)
+    rows = _until_next(counted, list(by), order)
     both = (F.col("na") > 0) & (F.col("nb") > 0)
     return rows.groupBy(*by).agg(F.coalesce(F.sum(F.when(both, (F.col("next") - F.col("t")) / 1e6)), F.lit(0.0)).alias("seconds"))
 

@@ -6,7 +6,7 @@ from ``lineitem``. Names start with the operator's number in the survey.
 
 from __future__ import annotations
 
-
+import json
 from collections.abc import Callable
 
 import numpy as np
@@ -102,7 +102,7 @@ def log_events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def spans(spark: SparkSession, d: str) -> DataFrame:
-    return runlog.intervals(log_events(spark, d), ["tid", "stage"])
+    return runlog.intervals(log_events(spark, d), ["tid", "stage"], ties=["event_id"])
 
 
 def rounded(df: DataFrame, *names: str, n: int = 6) -> DataFrame:
@@ -282,16 +282,20 @@ def p17(s, d):
     return _beam(s, d, "Q")
 
 
-@query("p24_component_phase", _with(_CUBE, _AXES) + "SELECT x, y, round(sum(w * q * cos(2 * 6 * lsq)), 6) + 0.0 AS c, round(sum(w * q * sin(2 * 6 * lsq)), 6) + 0.0 AS s FROM cube JOIN chans USING (chan) GROUP BY 1, 2")
+@query("p24_component_phase", _with(_CUBE, _AXES) + "SELECT x, y, round(cos(p), 6) + 0.0 AS c, round(sin(p), 6) + 0.0 AS s FROM (SELECT x, y, atan2(vs * cc - vc * cs, vc * ss - vs * cs) AS p FROM (SELECT x, y, sum(w * q * cos(12 * lsq)) AS vc, sum(w * q * sin(12 * lsq)) AS vs, sum(w * cos(12 * lsq) * cos(12 * lsq)) AS cc, sum(w * sin(12 * lsq) * sin(12 * lsq)) AS ss, sum(w * cos(12 * lsq) * sin(12 * lsq)) AS cs FROM cube JOIN chans USING (chan) GROUP BY 1, 2))")
 def p24(s, d):
+    from .operators.clean import component_phases
+
     c = cube(s, d).join(F.broadcast(AXES.channels(s).select("chan", "lsq")), "chan")
-    part = lambda f: F.sum(F.col("w") * F.col("q") * f(2 * 6 * F.col("lsq")))
-    return rounded(c.groupBy("x", "y").agg(part(F.cos).alias("c"), part(F.sin).alias("s")), "c", "s")
+    return rounded(component_phases(c, "q", 6.0).select("x", "y", F.cos("phase").alias("c"), F.sin("phase").alias("s")), "c", "s")
 
 
-@query("p25_first_bins_rms", _with(_CUBE, _AXES, _FAR) + "SELECT x, y, round(stddev_pop(amp), 6) AS rms FROM lng WHERE irm < 10 GROUP BY 1, 2")
+@query("p25_profile_noise", _with(_CUBE, _AXES, _FAR, "beam AS (SELECT irm, sqrt(pow(avg(cos(2 * rm * lsq)), 2) + pow(avg(sin(2 * rm * lsq)), 2)) AS beam FROM chans CROSS JOIN depths WHERE chan NOT IN (11, 31) GROUP BY 1)", "tops AS (SELECT x, y, max(amp) AS peak FROM lng GROUP BY 1, 2)") + "SELECT x, y, round(stddev_pop(amp - peak * beam), 6) AS rms FROM lng JOIN tops USING (x, y) JOIN beam USING (irm) WHERE irm < 30 GROUP BY 1, 2")
 def p25(s, d):
-    return rounded(long(s, d).where("irm < 10").groupBy("x", "y").agg(F.stddev_pop("amp").alias("rms")), "rms")
+    from .operators.clean import dirty_beam, profile_noises
+
+    beam = s.createDataFrame([(k, float(v)) for k, v in enumerate(np.abs(dirty_beam(AXES)))], "irm int, beam double")
+    return rounded(profile_noises(long(s, d), beam, first=30), "rms")
 
 
 # -- joins
@@ -463,25 +467,22 @@ def x1(s, d):
     return read(s, d, "part").select("p_partkey", C.trimmed_length(F.concat("p_name", F.lit("  "))).alias("n"), F.lower("p_name").alias("low"), F.upper("p_name").alias("up"), C.flag("p_name").alias("flag"))
 
 
-@query("x5_linspace", "SELECT p_partkey, round(list_sum([1 + (p_size - 1) / nullif(CASE WHEN n < 1 THEN 100 ELSE n END - 1.0, 0) * k FOR k IN range(CASE WHEN n < 1 THEN 100 ELSE n END)]), 6) AS total FROM (SELECT *, CAST(p_size % 7 AS INT) AS n FROM part) WHERE n <> 1")
+@query("x5_linspace", "SELECT p_partkey, round(CASE WHEN n = 1 THEN p_size ELSE list_sum([1 + (p_size - 1) / nullif(CASE WHEN n < 1 THEN 100 ELSE n END - 1.0, 0) * k FOR k IN range(CASE WHEN n < 1 THEN 100 ELSE n END)]) END, 6) AS total FROM (SELECT *, CAST(p_size % 7 AS INT) AS n FROM part)")
 def x5(s, d):
-    rows = read(s, d, "part").withColumn("n", (F.col("p_size") % 7).cast("int")).where("n <> 1")
+    rows = read(s, d, "part").withColumn("n", (F.col("p_size") % 7).cast("int"))
     return rounded(rows.select("p_partkey", F.aggregate(C.linspace_array(F.lit(1.0), "p_size", "n"), F.lit(0.0), lambda a, x: a + x).alias("total")), "total")
 
 
-@query("x7_angle_to_qu", _with(_CUBE) + "SELECT x, y, chan, round(sqrt(q * q + u * u) * cos(atan2(u, q)), 6) + 0.0 AS q, round(sqrt(q * q + u * u) * sin(atan2(u, q)), 6) + 0.0 AS u FROM cube")
+@query("x7_angle_to_qu", "SELECT l_orderkey, l_linenumber, round(l_quantity * cos(10 * l_discount), 6) + 0.0 AS q, round(l_quantity * sin(10 * l_discount), 6) + 0.0 AS u, round(l_quantity * cos(20 * l_tax), 6) + 0.0 AS q2 FROM lineitem")
 def x7(s, d):
-    q, u = C.qu_from_angle(C.linear_polarisation("q", "u"), C.pol_angle("q", "u"))
-    return rounded(cube(s, d).select("x", "y", "chan", q.alias("q"), u.alias("u")), "q", "u")
+    q, u = C.qu_from_angle("l_quantity", 10 * F.col("l_discount"))
+    q2, _ = C.qu_from_angle("l_quantity", 10 * F.col("l_tax"), doubled=True)
+    return rounded(read(s, d, "lineitem").select("l_orderkey", "l_linenumber", q.alias("q"), u.alias("u"), q2.alias("q2")), "q", "u", "q2")
 
 
 @query("x8_image_algebra", _with(_IMG, "r AS (SELECT 'SUM' AS op, v1 + v2 AS v FROM pair UNION ALL SELECT 'DIFF', v1 - v2 FROM pair UNION ALL SELECT 'LIN', 2 * v1 - 3 * v2 FROM pair UNION ALL SELECT 'MULT', v1 * v2 FROM pair UNION ALL SELECT 'DIV', v1 / nullif(v2, 0) FROM pair)") + "SELECT op, count(v) AS n, round(avg(v), 5) AS mean, round(stddev_pop(v), 5) AS rms FROM r GROUP BY 1")
 def x8(s, d):
-    p, out = pair(s, d), None
-    for op in ("SUM", "DIFF", "LIN", "MULT", "DIV"):
-        one = images.summary(images.combine(p, op, 2.0, -3.0)).select(F.lit(op).alias("op"), "n", "mean", "rms")
-        out = one if out is None else out.unionByName(one)
-    return rounded(out, "mean", "rms", n=5)
+    return rounded(images.summaries(pair(s, d), 2.0, -3.0), "mean", "rms", n=5)
 
 
 @query("x9_leakage", _with(_CUBE) + "SELECT x, y, chan, round(q - 0.02 * i, 6) + 0.0 AS q FROM cube")
@@ -611,11 +612,14 @@ def r2(s, d):
     return bandpass_flags(cube(s, d).select("x", "y", "chan", "q"), ["x", "y"], "chan", "q", 0.0)
 
 
-@query("w1_moving_median")
+@query("w1_moving_median", _with(_CUBE) + """, v AS (SELECT x, y, list(i ORDER BY chan) AS v, list(chan ORDER BY chan) AS c FROM cube GROUP BY 1, 2),
+m AS (SELECT x, y, v, c, [list_sort(v[4 * b + 1 : 4 * b + 8])[5] FOR b IN range(greatest((len(v) - 8) // 4 + 1, 0))] AS med FROM v),
+e AS (SELECT *, CASE WHEN len(med) = 0 THEN 0 ELSE 4 * len(med) + 4 END AS done FROM m)
+SELECT x, y, unnest(c) AS chan, unnest(v) AS i, round(unnest([CASE WHEN p < done THEN list_avg([med[b + 1] FOR b IN range(len(med)) IF 4 * b <= p AND p < 4 * b + 8]) ELSE list_sort(v[done + 1 :])[(len(v) - done) // 2 + 1] END FOR p IN range(len(v))]), 6) AS fit FROM e""")
 def w1(s, d):
     from .operators.fitting import median_smoothed
 
-    return median_smoothed(cube(s, d), ["x", "y"], "chan", "i", 8, 4)
+    return rounded(median_smoothed(cube(s, d), ["x", "y"], "chan", "i", 8, 4), "fit")
 
 
 @query("w2_moving_fit")
@@ -639,11 +643,149 @@ def x15_auto(s, d):
     return autocorrelations(planes(s, d).withColumnRenamed("chan", "irm"))
 
 
-@query("s8_run_log")
+@query("s8_run_log", _with(_LOG) + "SELECT date_trunc('millisecond', ts) AS ts, 'info' AS level, stage, tid, event, CAST(event_id % 50 AS INT) AS y_beg, bytes, CASE WHEN event_id % 5 = 0 THEN CAST(event_id % 3 AS INT) END AS slot FROM (SELECT event_id, ts, stage, tid, CASE WHEN event_id % 5 = 0 THEN 'enqueue' ELSE event END AS event, CASE WHEN event_id % 5 = 0 THEN NULL ELSE bytes END AS bytes FROM ev)".replace("CAST(event_id % 50 AS INT) AS y_beg", "CASE WHEN event_id % 5 <> 0 THEN CAST(event_id % 50 AS INT) END AS y_beg"))
 def s8(s, d):
-    from .functions.generators import run_log
+    e = log_events(s, d)
+    span = F.format_string("%s tile x:[1,10] y:[%d,%d] bytes=%d", "event", F.col("event_id") % 50, F.col("event_id") % 50 + 9, "bytes")
+    message = F.when(F.col("event_id") % 5 == 0, F.format_string("async enqueue compute slot=%d sub=1", F.col("event_id") % 3)).otherwise(span)
+    lines = e.select(F.format_string("%s [info] [%s] [tid=%d] %s", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS"), "stage", "tid", message).alias("value"))
+    return runlog.parse(lines).select("ts", "level", "stage", "tid", "event", "y_beg", "bytes", "slot")
+
+
+# -- FITS files: the cube is written, read and run through; maps come back from the products
+
+
+def _fits(spark: SparkSession, d: str, extra: str = "") -> str:
+    """A folder that driver and executors share, with the cube as Q.FITS and U.FITS and a configuration run.cfg."""
+    import os
+    import tempfile
+    import uuid
+
+    from .sources import fits
+
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    folder = os.path.join((shared or tempfile.gettempdir()).removeprefix("file://"), f"faradeon-fits-{uuid.uuid4().hex}")
+    os.makedirs(folder)
+    fits.register(spark)
+    cards = {"CTYPE1": "RA---SIN", "CTYPE2": "DEC--SIN", "CTYPE3": "FREQ", "CRVAL3": float(FREQ[0]), "CRPIX3": 1.0, "CDELT3": float(FREQ[1] - FREQ[0]), "CRVAL1": 10.0, "CRVAL2": -30.0, "CRPIX1": 1.0, "CRPIX2": 1.0, "CDELT1": -0.01, "CDELT2": 0.01}
+    masked = lambda c: F.zip_with(c, "w", lambda v, w: F.when(w > 0, v).otherwise(F.lit(mask.SENTINEL)).cast("float")).alias(c)
+    rows = synthesis.spectra(cube(spark, d), N_CHAN).select((F.col("x") + 1).alias("x"), (F.col("y") + 1).alias("y"), masked("q"), masked("u"))
+    products = [{"path": f"{folder}/{c.upper()}.FITS", "column": c, "naxes": [5, 5, N_CHAN], "bitpix": -32, "cards": cards} for c in "qu"]
+    rows.write.format("fits_output").mode("append").option("products", json.dumps(products)).save()
+    with open(f"{folder}/bad.txt", "w", encoding="utf-8") as f:
+        f.writelines(f"{b + 1}\n" for b in BAD)
+    with open(f"{folder}/run.cfg", "w", encoding="utf-8") as f:
+        f.write(RUN.format(d=folder) + extra)
+    return folder
+
+
+RUN = """path = {d}
+infileq = Q.FITS
+infileu = U.FITS
+outfile = {d}/out
+remove_badchan = y
+global_badchan_file = {d}/bad.txt
+subim = n
+rem_mean = 0
+remove_qu_bias = n
+resiQ = 0
+slopeQ = 0
+resiU = 0
+slopeU = 0
+ofac = 1
+fac = 3.14159265
+use_auto_rm_range = 0
+beg_rm = -40
+end_rm = 40
+nrm = 41
+cubestat = y
+"""
+
+
+def _map(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("fits_image").option("path", path).load().select((F.col("x") - 1).alias("x"), (F.col("y") - 1).alias("y"), "val")
+
+
+@query("s2_fits_cube", _with(_CUBE) + "SELECT x, y, CAST((chan - 4) // 3 AS INT) AS k, round(q, 3) + 0.0 AS q FROM cube WHERE w = 1 AND x BETWEEN 1 AND 3 AND chan BETWEEN 4 AND 49 AND (chan - 4) % 3 = 0")
+def s2(s, d):
+    folder = _fits(s, d)
+    reader = s.read.format("fits_cube").option("q", f"{folder}/Q.FITS").option("u", f"{folder}/U.FITS")
+    for k, v in {"x_first": 2, "x_last": 4, "chan_first": 5, "chan_last": 50, "chan_step": 3}.items():
+        reader = reader.option(k, v)
+    rows = reader.load().select((F.col("x") + 0).cast("int").alias("x"), (F.col("y") - 1).cast("int").alias("y"), F.posexplode("q").alias("k", "q"))
+    return rounded(rows.where(F.col("q") > mask.SENTINEL + 1).withColumn("q", F.col("q").cast("double")), "q", n=3)
+
+
+@query("k3_run_nvalid", _with(_CUBE) + "SELECT x, y, CAST(sum(w) AS DOUBLE) AS nvalid FROM cube GROUP BY 1, 2")
+def k3(s, d):
+    from .plans import config, pipeline
+
+    targets = pipeline.run(s, config.load(f"{_fits(s, d)}/run.cfg"))
+    return _map(s, targets["nvalid"]).select("x", "y", F.col("val").cast("double").alias("nvalid"))
+
+
+@query("k4_run_peaks", _with(_CUBE, _AXES, _FAR) + "SELECT x, y, round(max(amp), 2) AS peak FROM lng GROUP BY 1, 2")
+def k4(s, d):
+    from .plans import config, pipeline
+
+    targets = pipeline.run(s, config.load(f"{_fits(s, d)}/run.cfg"))
+    return rounded(_map(s, targets["peak"]).select("x", "y", F.col("val").cast("double").alias("peak")), "peak", n=2)
+
+
+@query("w6_shift_2d", _with(_IMG) + "SELECT CAST((x + 16) % 32 AS INT) AS x, CAST((y + 16) % 32 AS INT) AS y, round(val, 6) AS val FROM img")
+def w6_2d(s, d):
+    return rounded(images.half_shifted(image(s, d), 32, 32), "val")
+
+
+_SKY = "sky AS (SELECT o_orderkey, (o_orderkey % 360) * pi() / 180 AS ra, (o_orderkey % 120 - 60) * pi() / 180 AS de, 2451545.0 + o_orderkey % 10000 AS jd FROM orders)"
+
+
+def _sky(s, d):
+    k = F.col("o_orderkey")
+    return read(s, d, "orders").select("o_orderkey", F.radians((k % 360).cast("double")).alias("ra"), F.radians((k % 120 - 60).cast("double")).alias("de"), (k % 10000 + 2451545.0).alias("jd"))
+
+
+@query("x19_greenwich_sidereal", _with(_SKY) + "SELECT o_orderkey, round(g - 360 * floor(g / 360), 5) AS gmst FROM (SELECT o_orderkey, 280.46061837 + 360.98564736629 * (jd - 2451545.0) + 0.000387933 * pow((jd - 2451545.0) / 36525.0, 2) - pow((jd - 2451545.0) / 36525.0, 3) / 38710000.0 AS g FROM sky)")
+def x19_gmst(s, d):
+    return rounded(_sky(s, d).select("o_orderkey", C.greenwich_sidereal_degrees("jd").alias("gmst")), "gmst", n=5)
+
+
+@query("x19_equatorial", _with(_SKY) + "SELECT o_orderkey, round(cos(ra), 6) + 0.0 AS c, round(sin(ra), 6) + 0.0 AS s, round(de, 6) + 0.0 AS de, round(cos(2.0), 6) AS lst FROM sky")
+def x19_equatorial(s, d):
+    """From directions back to where they came from, and the sidereal time of both."""
+    az, za = C.azimuth_zenith(F.lit(2.0) - F.col("ra"), "de", F.lit(0.5))
+    seen = _sky(s, d).select("o_orderkey", "ra", az.alias("az"), za.alias("za"))
+    ra, de = C.equatorial("az", "za", F.lit(0.5), F.lit(2.0))
+    lst = C.sidereal_time("az", "za", F.lit(0.5), "ra")
+    return rounded(seen.select("o_orderkey", F.cos(ra).alias("c"), F.sin(ra).alias("s"), de.alias("de"), F.cos(lst).alias("lst")), "c", "s", "de", "lst")
+
+
+_TURN = "SELECT o_orderkey, round(cos(de) * sin(ra + {z0}), 6) + 0.0 AS a, round({c} * cos(de) * cos(ra + {z0}) - {s} * sin(de), 6) + 0.0 AS b, round({s} * cos(de) * cos(ra + {z0}) + {c} * sin(de), 6) + 0.0 AS c FROM sky"
+_Z0, _Z1, _TH = C.precession_angles(1950.0, 2000.0, "FK4")
+
+
+@query("x19_precession_fk4", _with(_SKY) + _TURN.format(z0=_Z0, c=float(np.cos(_TH)), s=float(np.sin(_TH))))
+def x19_precession(s, d):
+    """Unit vectors of precessed places, turned back by z."""
+    ra, de = C.precessed("ra", "de", 1950.0, 2000.0, "FK4")
+    v = _sky(s, d).select("o_orderkey", (ra - _Z1).alias("ra"), de.alias("de"))
+    return rounded(v.select("o_orderkey", (F.cos("de") * F.sin("ra")).alias("a"), (F.cos("de") * F.cos("ra")).alias("b"), F.sin("de").alias("c")), "a", "b", "c")
+
+
+@query("p19_clean_q")
+def p19(s, d):
+    from .operators.clean import clean_spectra
+
+    return clean_spectra(synthesis.spectra(cube(s, d), N_CHAN), AXES, stokes="Q", niter=50)
+
+
+@query("p21_depolarisation")
+def p21(s, d):
+    from .operators.clean import depolarisation_corrected
 
-    return runlog.parse(s.createDataFrame([(x,) for x in run_log()], "value string"))
+    return depolarisation_corrected(synthesis.synthesise(synthesis.spectra(cube(s, d), N_CHAN), AXES, "ri", precision="double"), AXES, 4.0)
 
 
 @query("r3_significant_pixels", _with(_CUBE) + "SELECT x, y, chan, round(lp, 6) AS lp FROM (SELECT *, sqrt(q * q + u * u) AS lp FROM cube WHERE w = 1) JOIN (SELECT x, y, avg(sqrt(q * q + u * u)) + 2 * stddev_pop(sqrt(q * q + u * u)) AS cut FROM cube WHERE w = 1 GROUP BY 1, 2) USING (x, y) WHERE lp > cut")

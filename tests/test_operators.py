@@ -235,6 +235,46 @@ def test_run_log(spark):
     assert kinds == {"tile_async": "enqueue", "tile_compute": "gpu_send"}
 
 
+def test_time_ranges_do_not_change_sweeps_and_ranks(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(300):
+        t = int(rng.integers(0, 5000))
+        for event, at in (("start", t), ("done", t + int(rng.integers(1, 400)))):
+            rows.append((None if k % 3 == 0 else k % 3, "ab"[k % 2], event, at, int(rng.integers(0, 9))))
+    events = spark.createDataFrame(rows, "run int, stage string, event string, s long, bytes long").select("run", "stage", "event", F.timestamp_seconds("s").cast("timestamp_ntz").alias("ts"), "bytes")
+    whole = 10**9
+
+    def both(f):
+        a, b = ([tuple(r) for r in f(n).collect()] for n in (60, whole))
+        assert sorted(map(str, a)) == sorted(map(str, b)) and a
+
+    both(lambda n: runlog.intervals(events, range_seconds=n))
+    spans = runlog.intervals(events)
+    both(lambda n: runlog.active_counts(spans, range_seconds=n))
+    both(lambda n: runlog.self_overlap(spans, range_seconds=n).select("run", F.round("seconds", 6)))
+    both(lambda n: runlog.cross_overlap(spans, "stage", "a", "b", range_seconds=n).select("run", F.round("seconds", 6)))
+
+
+def test_clean_of_one_stokes_and_depolarisation(spark):
+    ax = Axes.of(300 + 4 * np.arange(64), rm_axis(-100.0, 100.0, 201))
+    angle = 2 * (0.2 + 40 * ax.lsq)
+    df = spark.createDataFrame([(1, 1, np.cos(angle).tolist(), np.sin(angle).tolist(), [1] * 64)], "x int, y int, q array<double>, u array<double>, w array<int>")
+    one = clean.clean_spectra(df, ax, stokes="Q", niter=200).first()
+    at = ax.rm[np.abs(np.array(one["re"]) + 1j * np.array(one["im"])).argmax()]
+    assert abs(abs(at) - 40) <= 8 and one["iterations"] > 0  # a real signal has both signs of depth
+    loss = clean.depolarisation_weight(ax.rm, 300 + 4 * np.arange(64), 4.0)
+    flat = spark.createDataFrame([(1, 1, loss.real.tolist(), loss.imag.tolist())], "x int, y int, re array<double>, im array<double>")
+    r = clean.depolarisation_corrected(flat, ax, 4.0).first()
+    assert np.allclose(r["re"], 1) and np.allclose(r["im"], 0)
+
+
+def test_fk4_precession():
+    """B1950 to B2000, against the rotation of the equinox by general precession: about 50.26 arc seconds a year."""
+    zeta, z, theta = C.precession_angles(1950.0, 2000.0, "FK4")
+    assert np.degrees(zeta + z) * 3600 / 50 == pytest.approx(46.1, abs=0.05) and np.degrees(theta) * 3600 / 50 == pytest.approx(20.04, abs=0.02)
+
+
 def test_macro_timing_and_speed_up(spark):
     t = spark.createDataFrame([("total", 10.0), ("a", 4.0), ("b", 3.0)], "stage string, seconds double")
     assert {r["stage"]: r["percent"] for r in runlog.macro_timing(t).collect()} == {"total": 100, "a": 40, "b": 30, "other": 30}
