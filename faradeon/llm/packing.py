@@ -46,7 +46,6 @@ def _cut(path: str, end: int, capacity: int):
                         out[k].append(v)
                     a, b, piece = b, b + capacity, piece + 1
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in _PIECES], schema=_PIECES)
-        enc.forget()
 
     return run
 

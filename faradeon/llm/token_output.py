@@ -68,7 +68,6 @@ def _encode(path: str, end: int, segment_tokens: int):
                     seg, held, ids, docs = seg + 1, 0, [], []
         if ids:
             yield flush()
-        enc.forget()
 
     return run
 

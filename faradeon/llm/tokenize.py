@@ -12,9 +12,9 @@ _RARE = [c for c in WHITE if c not in " \n"]
 _SEGMENT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 #: Letters, then ASCII marks but the apostrophe, which can begin a contraction.
 _MARKED = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
-#: Encoded words of each of the two generations that a task keeps, and the longest that it keeps (in characters).
+#: Encoded words of each of the two generations that a worker keeps, and the longest that it keeps (in characters).
 #: They bound memory only.
-CACHE_WORDS = 100_000
+CACHE_WORDS = 200_000
 CACHE_CHARS = 64
 
 
@@ -100,13 +100,6 @@ class Encoder(dict):
         return self[x] if x[0] == "\n" and x[1:2] and x[1] not in WHITE else self.raw(x)
 
 
-    def forget(self) -> None:
-        """Drop what is cached, as tasks do at their end: a worker process outlives its task."""
-        self.clear()
-        self._older = {}
-        self._ends = {"\n": self._ends["\n"]}
-
-
 _ENCODERS: dict[str, Encoder] = {}
 
 
