@@ -39,18 +39,34 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return parse(spark.read.text(path))
 
 
-def split_runs(events: DataFrame, gap_seconds: float = 300.0, by: list[str] = ()) -> DataFrame:
+def split_runs(events: DataFrame, gap_seconds: float = 300.0, by: list[str] = (), range_seconds: int = RANGE_SECONDS) -> DataFrame:
     """Add ``run`` (from 0): a log with start markers begins a run at each, one without after every longer gap.
 
-    ``by`` names the logs (files) that are split apart; events of one log are ordered in one task.
+    ``by`` names the logs (files) that are split apart. Events are ordered within time ranges; the last time and
+    the number of runs before a range come from tables of one row a log and range.
     """
-    w = Window.partitionBy(*by).orderBy("ts")
-    marked = events.withColumn("_mark", (F.coalesce("event", F.lit("")) == "run_start").cast("int")).withColumn("_any", F.max("_mark").over(Window.partitionBy(*by)))
-    gap = (F.col("ts").cast("timestamp").cast("double") - F.lag("ts").over(w).cast("timestamp").cast("double")) > gap_seconds
-    cut = F.when(F.col("_any") == 1, F.col("_mark")).otherwise(F.coalesce(gap, F.lit(False)).cast("int"))
-    runs = marked.withColumn("_cut", cut).withColumn("run", F.sum("_cut").over(w.rangeBetween(Window.unboundedPreceding, 0)) - F.col("_any"))
+    keys = [*by, "_range"]
+    log, own = Window.partitionBy(*by), Window.partitionBy(*keys).orderBy("ts")
+    before = log.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    marked = events.withColumn("_mark", (F.coalesce("event", F.lit("")) == "run_start").cast("int")).withColumn("_range", F.floor(_micros("ts") / (range_seconds * 1_000_000)))
+    ranges = marked.groupBy(*keys).agg(F.max("_mark").alias("_m"), F.max("ts").alias("_last"))
+    known = _beside(marked, ranges.select(*keys, F.max("_m").over(log).alias("_any"), F.max("_last").over(before).alias("_before")), keys)
+    gap = (_micros("ts") - _micros(F.coalesce(F.lag("ts").over(own), "_before"))) > gap_seconds * 1_000_000
+    cut = known.withColumn("_cut", F.when(F.col("_any") == 1, F.col("_mark")).otherwise(F.coalesce(gap, F.lit(False)).cast("int")))
+    cuts = cut.groupBy(*keys).agg(F.sum("_cut").alias("_c")).select(*keys, F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_earlier"))
+    run = F.col("_earlier") + F.sum("_cut").over(own.rangeBetween(Window.unboundedPreceding, 0)) - F.col("_any")
     # what comes before the first marker belongs to no run
-    return runs.where("run >= 0").withColumn("run", F.col("run").cast("int")).drop("_mark", "_any", "_cut")
+    return _beside(cut, cuts, keys).withColumn("run", run).where("run >= 0").select(*events.columns, F.col("run").cast("int").alias("run"))
+
+
+def _micros(time: str | Column) -> Column:
+    return F.unix_micros((F.col(time) if isinstance(time, str) else time).cast("timestamp"))
+
+
+def _beside(rows: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the columns of the row of ``ranges`` that has the same keys; nulls are equal."""
+    other = ranges.select(*(F.col(c).alias(f"_k_{c}" if c in keys else c) for c in ranges.columns))
+    return rows.join(other, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]).drop(*(f"_k_{k}" for k in keys))
 
 
 def select_run(events: DataFrame, which: str | int) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import nan_to_null
@@ -69,14 +69,59 @@ def covariance(df: DataFrame, a: str, b: str, by: list[str] = ()) -> DataFrame:
     return df.groupBy(*by).agg(F.covar_samp(a, b).alias("covariance"))
 
 
+def order_statistic(rows: DataFrame, column: str, k: int, n: int, accuracy: int = 10_000, few: int = 100_000) -> float:
+    """The k-th smallest (from 0) of the ``n`` values of a column without nulls.
+
+    Approximate quantiles on both sides of the rank close in on it until few values are left between them; each
+    step is an aggregation that combines before the shuffle, so no task holds all distinct values.
+    """
+    v = F.col(column)
+    part, below, size, margin = rows, 0, n, 2 / accuracy
+    while size > few:
+        p = (k - below) / (size - 1)
+        low, high = part.agg(F.percentile_approx(v, [max(p - margin, 0.0), min(p + margin, 1.0)], accuracy).alias("p")).first()["p"]
+        inside = (v > low) & (v < high)
+        less, lows, between, highs = part.agg(*(F.count_if(c) for c in (v < low, v == low, inside, v == high))).first()
+        at = k - below - less
+        if 0 <= at < lows:
+            return low
+        if lows <= at < lows + between:
+            part, below, size = part.where(inside), below + less + lows, between
+        elif 0 <= at - lows - between < highs:
+            return high
+        else:
+            margin *= 4
+    counts = part.groupBy(v.alias("v")).agg(F.count("*").alias("c"))
+    return counts.withColumn("upto", F.sum("c").over(Window.orderBy("v"))).where(F.col("upto") > k - below).agg(F.min("v")).first()[0]
+
+
+def percentile(rows: DataFrame, column: str, fraction: float) -> float | None:
+    """Value at ``fraction`` (0 to 1) of the way through the sorted values of a column without nulls, between two of them in proportion."""
+    n = rows.count()
+    if not n:
+        return None
+    at = fraction * (n - 1)
+    k = int(at)
+    low = order_statistic(rows, column, k, n)
+    if at == k:
+        return low
+    upto, above = rows.agg(F.count_if(F.col(column) <= low), F.min(F.when(F.col(column) > low, F.col(column)))).first()
+    high = low if upto > k + 1 else above
+    return (k + 1 - at) * low + (at - k) * high
+
+
 def trimmed_histogram(df: DataFrame, column: str, bins: int, percent: float = 0.0) -> DataFrame:
     """bin (from 1), lo, hi, n, and the mean and rms of what is left after ``percent`` of the values go at each end.
 
-    Counts are of [lo, hi); the last bin takes its upper end too. The cut values are exact order statistics.
+    Counts are of [lo, hi); the last bin takes its upper end too. The cut values are exact percentiles,
+    in proportion between two values.
     """
-    rows = df.select(nan_to_null(column).alias("v")).where("v is not null")
-    cut = percent / 100
-    ends = rows.agg(F.percentile("v", F.lit(cut)).alias("lo"), F.percentile("v", F.lit(1 - cut)).alias("hi")) if cut else rows.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    rows = df.select(nan_to_null(column).cast("double").alias("v")).where("v is not null")
+    if percent:
+        low, high = percentile(rows, "v", percent / 100), percentile(rows, "v", 1 - percent / 100)
+        ends = df.sparkSession.range(1).select(F.lit(low).cast("double").alias("lo"), F.lit(high).cast("double").alias("hi"))
+    else:
+        ends = rows.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     kept = rows.crossJoin(F.broadcast(ends)).where("v between lo and hi")  # `ends` is one row
     width = (F.col("hi") - F.col("lo")) / bins
     at = F.least(F.greatest(F.floor((F.col("v") - F.col("lo")) / F.nullif(width, F.lit(0.0))) + 1, F.lit(1)), F.lit(bins))

@@ -179,6 +179,18 @@ def test_robust_moments(spark):
     assert (r["mean"], r["rms"], r["n"]) == (pytest.approx(mean), pytest.approx(rms), n)
 
 
+def test_order_statistics_close_in_on_ranks(spark):
+    rng = np.random.default_rng(4)
+    for v in (np.concatenate([rng.normal(size=3000), [7.0] * 900, [1e300, -1e300]]), np.repeat([1.0, 2.0], 1000), np.array([3.0])):
+        df, s = spark.createDataFrame([(float(x),) for x in v], "v double").cache(), np.sort(v)
+        for k in {0, len(v) // 3, len(v) // 2, 3 * len(v) // 4, len(v) - 1}:
+            assert statistics.order_statistic(df, "v", k, len(v), 50, 20) == s[k]
+        assert statistics.percentile(df, "v", 0.13) == pytest.approx(np.percentile(v, 13))
+        df.unpersist()
+    assert statistics.percentile(df.where("false"), "v", 0.5) is None
+    assert statistics.trimmed_histogram(df.where("false"), "v", 3, 10.0).agg(F.sum("n")).first()[0] == 0
+
+
 def test_fourier(spark):
     rng = np.random.default_rng(2)
     a = rng.normal(size=(8, 8))
@@ -231,6 +243,9 @@ def test_run_log(spark):
     assert cross == pytest.approx(6 * 1.5)
     gaps = runlog.split_runs(events.where("event <> 'run_start'"))
     assert gaps.select("run").distinct().count() == 2
+    for log in (events, events.where("event <> 'run_start'"), events.where("level is null")):
+        ranged, whole = (sorted(map(str, runlog.split_runs(log, 300.0, by, n).collect())) for by, n in (((), 7), ((), 10**9)))
+        assert ranged == whole
     kinds = {r["value"]: r["event"] for r in runlog.parse(spark.createDataFrame([("2026-01-01T00:00:00.000 [debug] [tile_async] [tid=3] async enqueue compute slot=1 sub=2",), ("2026-01-01T00:00:00.000 [debug] [tile_compute] [tid=3] gpu send",)], "value string")).selectExpr("stage value", "event").collect()}
     assert kinds == {"tile_async": "enqueue", "tile_compute": "gpu_send"}
 
