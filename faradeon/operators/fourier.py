@@ -1,10 +1,15 @@
-"""Fourier transforms of planes: power spectrum, autocorrelation, convolution, alignment. One plane is one group."""
+"""Fourier transforms of planes: power spectrum, autocorrelation, convolution, alignment.
+
+Spectra and autocorrelations of cubes go line by line along one axis, then along the other, so a task holds one
+line. ``per_plane`` takes any kernel, with a whole plane in one group.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def fft(values: np.ndarray, inverse: bool = False, shift: bool = False) -> np.ndarray:
@@ -69,9 +74,49 @@ def per_plane(cube: DataFrame, index: str, kernel) -> DataFrame:
     return rows.groupBy(index).applyInArrow(run, f"{index} int, x int, y int, val double")
 
 
+def _planes(cube: DataFrame, index: str) -> DataFrame:
+    """index, x and y from 0, re, im, and the first place and size of the plane on both axes."""
+    rows = cube.selectExpr(f"int({index}) {index}", "int(x) x", "int(y) y", "nanvl(coalesce(double(val), 0D), 0D) re")
+    size = lambda c: (F.max(c) - F.min(c) + 1).cast("int").alias(f"n{c}")
+    planes = rows.groupBy(F.col(index).alias("_plane")).agg(F.min("x").alias("x0"), size("x"), F.min("y").alias("y0"), size("y"))
+    return rows.join(planes, F.col(index).eqNullSafe(F.col("_plane"))).select(index, (F.col("x") - F.col("x0")).alias("x"), (F.col("y") - F.col("y0")).alias("y"), "re", F.lit(0.0).alias("im"), "x0", "nx", "y0", "ny")
+
+
+def _along(planes: DataFrame, index: str, axis: str, inverse: bool = False) -> DataFrame:
+    """Transform of every line along an axis; places that no row has are 0."""
+    other = "y" if axis == "x" else "x"
+
+    def run(keys: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        n = table[f"n{axis}"][0].as_py()
+        line = np.zeros(n, complex)
+        line[table[axis].to_numpy()] = table["re"].to_numpy() + 1j * table["im"].to_numpy()
+        out = np.fft.ifft(line) if inverse else np.fft.fft(line)
+        found = {axis: pa.array(np.arange(n, dtype=np.int32)), "re": pa.array(out.real.copy()), "im": pa.array(out.imag.copy())}
+        # all else is the same in a line's rows
+        return pa.table([found[c] if c in found else pa.repeat(table[c][0], n) for c in table.column_names], names=table.column_names)
+
+    return planes.groupBy(index, other).applyInArrow(run, planes.schema)
+
+
+def _power(cube: DataFrame, index: str) -> DataFrame:
+    """Planes of |FFT / N|^2 of each plane less its mean, frequency 0 first."""
+    n = F.col("nx").cast("double") * F.col("ny")
+    power = (F.col("re") * F.col("re") + F.col("im") * F.col("im")) / (n * n)
+    # taking off the mean changes frequency 0 alone
+    return _along(_along(_planes(cube, index), index, "x"), index, "y").withColumn("re", F.when((F.col("x") == 0) & (F.col("y") == 0), 0.0).otherwise(power)).withColumn("im", F.lit(0.0))
+
+
+def _centred(planes: DataFrame, index: str, value) -> DataFrame:
+    place = lambda c: ((F.col(c) + F.floor(F.col(f"n{c}") / 2)) % F.col(f"n{c}") + F.col(f"{c}0")).cast("int").alias(c)
+    return planes.select(index, place("x"), place("y"), value.alias("val"))
+
+
 def power_spectra(cube: DataFrame, index: str = "irm") -> DataFrame:
-    return per_plane(cube, index, power_spectrum)
+    """index, x, y, val: ``power_spectrum`` of every plane of long rows (index, x, y, val); missing pixels are 0."""
+    return _centred(_power(cube, index), index, F.col("re"))
 
 
 def autocorrelations(cube: DataFrame, index: str = "irm") -> DataFrame:
-    return per_plane(cube, index, autocorrelation)
+    """index, x, y, val: ``autocorrelation`` of every plane of long rows (index, x, y, val); missing pixels are 0."""
+    lags = _along(_along(_power(cube, index), index, "x", inverse=True), index, "y", inverse=True)
+    return _centred(lags, index, F.col("re") * F.col("nx") * F.col("ny"))

@@ -203,6 +203,16 @@ def test_fourier(spark):
     assert fourier.convolve(np.array([1.0, 2]), np.array([1.0, 1])).tolist() == [1, 3, 2]
 
 
+def test_spectra_of_planes_by_lines(spark):
+    rng = np.random.default_rng(6)
+    cube = [(k, x, y, float(rng.normal())) for k, nx, ny in ((None, 4, 5), (0, 7, 6), (3, 1, 8)) for x in range(3, 3 + nx) for y in range(-2, ny - 2) if (x, y) != (4, 0) and not (k == 0 and x == 5)]
+    df = spark.createDataFrame([*cube, (9, 0, 0, None), (9, 1, 0, float("nan"))], "irm int, x int, y int, val double")
+    for lines, kernel in ((fourier.power_spectra, fourier.power_spectrum), (fourier.autocorrelations, fourier.autocorrelation)):
+        a, b = ({(r["irm"], r["x"], r["y"]): r["val"] for r in rows.collect()} for rows in (lines(df), fourier.per_plane(df, "irm", kernel)))
+        assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-12) for k in a)
+    assert fourier.power_spectra(df.where("false")).count() == 0
+
+
 def test_image_operators(spark):
     img = spark.createDataFrame([(x, y, float(x + 10 * y)) for x in range(1, 6) for y in range(1, 6)], "x int, y int, val double")
     with pytest.raises(ValueError):
