@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -112,4 +113,24 @@ WITH RECURSIVE split AS (
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d JOIN roots USING (doc_id) LEFT JOIN sizes USING (doc_id)
 """
 
-ORACLE_SQL = {"op1_line_dedup": _LINE_DEDUP, "op4_near_dedup": _NEAR_DEDUP, "op10_top_k": _TOP_K}
+#: The table of CRC-32 by its rule: eight steps of the reflected polynomial.
+_CRC = [functools.reduce(lambda c, _: (c >> 1) ^ (0xEDB88320 * (c & 1)), range(8), k) for k in range(256)]
+
+_SHARDING = f"""
+WITH docs AS (
+  SELECT doc_id, source, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS s, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size,
+    xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], [CAST('0x' || x AS BIGINT) FOR x IN regexp_extract_all(hex(coalesce(text, '')), '..')]),
+      lambda c, b: xor(list_extract(CAST({_CRC} AS BIGINT[]), (xor(c, b) & 255) + 1), c >> 8))) AS text_crc32,
+    CAST('0x' || substr(md5(concat_ws(':', '{sharding.SEED}', doc_id)), 1, 15) AS BIGINT) AS h
+  FROM documents
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY s ORDER BY h, doc_id NULLS FIRST, text_crc32, size) AS r, count(*) OVER (PARTITION BY s) AS n,
+    CAST('0x' || substr(md5('{sharding.SEED}:' || s), 1, 5) AS BIGINT) / CAST(1048576 AS DOUBLE) AS phase
+  FROM docs
+), placed AS (
+  SELECT *, row_number() OVER (ORDER BY (r - phase) / n, s, h, doc_id NULLS FIRST, text_crc32, size) - 1 AS p, count(*) OVER () AS total FROM ranked
+)
+SELECT doc_id, size, text_crc32, source, 'rows' AS law, CAST(p * 8 // total AS INT) AS shard, p - (p * 8 // total * total + 7) // 8 AS slot, CAST(NULL AS INT) AS grown_shard FROM placed
+"""
+
+ORACLE_SQL = {"op1_line_dedup": _LINE_DEDUP, "op4_near_dedup": _NEAR_DEDUP, "op5_sharding": _SHARDING, "op10_top_k": _TOP_K}

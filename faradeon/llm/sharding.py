@@ -20,6 +20,11 @@ SEED = 17
 BUCKETS = 4096
 
 
+def _bits(digits: int, *parts: Column) -> Column:
+    """The first hexadecimal digits of the md5 of the joined parts, as a number: a hash that SQL has too. Null parts are left out."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *(x.cast("string") for x in parts))), 1, digits), 16, 10).cast("long")
+
+
 def _before(column: str, *, by: list[Column], order: Column) -> Column:
     w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return F.coalesce(F.sum(column).over(w), F.lit(0))
@@ -34,18 +39,18 @@ def stratified_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, b
     columns are ignored.
     """
     text = F.coalesce("text", F.lit(""))
-    key = F.xxhash64(F.lit(seed), F.col("doc_id"))
+    key = _bits(15, F.lit(seed), F.col("doc_id").cast("long"))
     # a null source must not meet a source that has the stand-in's name
     strata = F.when(F.col(stratum).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(stratum).cast("string")))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col(stratum).alias("source"), strata.alias("s"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        key.alias("h"), F.shiftrightunsigned(key, 52).cast("int").alias("b") if buckets == 4096 else F.pmod(F.shiftrightunsigned(key, 20), F.lit(buckets)).cast("int").alias("b"),
+        key.alias("h"), F.shiftright(F.shiftright(key, 28) * buckets, 32).cast("int").alias("b"),  # buckets follow the order of h
     )
     counts = rows.groupBy("s", "b").agg(F.count("*").alias("n"))
     firsts = counts.select("s", "b", _before("n", by=[F.col("s")], order=F.col("b")).alias("first"), F.sum("n").over(Window.partitionBy("s")).alias("all"))
     own = Window.partitionBy("s", "b").orderBy("h", "doc_id", "text_crc32", "size")
     # each source starts at its own phase, so that many small sources don't meet at the same place
-    phase = F.pmod(F.xxhash64(F.lit(seed), F.col("s")), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    phase = _bits(5, F.lit(seed), F.col("s")) / F.lit(float(1 << 20))
     place = (F.col("first") + F.col("r") - phase) / F.col("all")
     placed = (
         rows.withColumn("r", F.row_number().over(own)).join(firsts, ["s", "b"]).withColumn("place", place)

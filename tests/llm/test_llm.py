@@ -1,5 +1,6 @@
 """Each operator against brute force, and on nulls, empty and long texts, ties, repeated rows, empty tables, extra columns."""
 
+import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -504,15 +505,16 @@ def test_sharding(spark, odd, odd_rows, empty):
 def test_sharding_equals_brute_force(spark, odd):
     """Fractional ranks and cuts, sorted in one place."""
     docs = odd.select("doc_id", "text", "source")
-    keyed = docs.select("doc_id", "text", "source", F.xxhash64(F.lit(sharding.SEED), F.col("doc_id")).alias("h")).collect()
+    bits = lambda digits, *parts: int(hashlib.md5(":".join(str(x) for x in (sharding.SEED, *parts) if x is not None).encode()).hexdigest()[:digits], 16)
+    keyed = docs.collect()
     names = {r["source"]: "n" if r["source"] is None else "s" + r["source"] for r in keyed}
-    phases = {r["s"]: r["p"] / (1 << 20) for r in spark.createDataFrame([(x,) for x in names.values()], "s string").select("s", F.pmod(F.xxhash64(F.lit(sharding.SEED), F.col("s")), F.lit(1 << 20)).alias("p")).collect()}
+    phases = {s: bits(5, s) / (1 << 20) for s in names.values()}
     by, placed = defaultdict(list), []
     for r in keyed:
         data = (r["text"] or "").encode()
-        by[names[r["source"]]].append((r["h"] % 2**64, r["h"], -(2**63) if r["doc_id"] is None else r["doc_id"], zlib.crc32(data), len(data) + 1))
+        by[names[r["source"]]].append((bits(15, r["doc_id"]), -(2**63) if r["doc_id"] is None else r["doc_id"], zlib.crc32(data), len(data) + 1))
     for s, rows in by.items():
-        placed += [((rank + 1 - phases[s]) / len(rows), s, *x[1:]) for rank, x in enumerate(sorted(rows))]
+        placed += [((rank + 1 - phases[s]) / len(rows), s, *x) for rank, x in enumerate(sorted(rows))]
     want, n = Counter(), len(placed)
     cuts = [-(-k * n // 8) for k in range(9)]
     for p, (_, _, _, i, crc, size) in enumerate(sorted(placed)):
@@ -522,6 +524,22 @@ def test_sharding_equals_brute_force(spark, odd):
     assert Counter((-(2**63) if r["doc_id"] is None else r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in got) == want
 
 
+def test_sharding_equals_its_sql(spark, tables, tmp_path, odd):
+    """On the documents, and on rows with nulls, empty and long texts and repeats."""
+    import duckdb
+
+    from faradeon.llm.queries import ORACLE_SQL, QUERIES
+
+    odd.write.parquet(str(tmp_path / "documents.parquet"))
+    for folder, files in ((tables, "documents.parquet"), (str(tmp_path), "documents.parquet/*.parquet")):
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/{files}'")
+        want = con.execute(ORACLE_SQL["op5_sharding"])
+        names = [c[0] for c in want.description]
+        got = Counter(tuple(r[c] for c in names) for r in QUERIES["op5_sharding"](spark, folder).collect())
+        assert got == Counter(want.fetchall())
+
+
 def test_fewer_rows_than_shards(spark):
     got = sharding.stratified_shards(table(spark, [(1, "a", "en", "s"), (2, None, "en", None)])).collect()
     assert len({r["shard"] for r in got}) == 2
