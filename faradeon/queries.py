@@ -367,9 +367,12 @@ def a7(s, d):
     return rounded(rows.select("x", "y", C.upper_median("a").alias("upper"), C.lower_median("a").alias("lower")), "upper", "lower")
 
 
-@query("a8_robust_mean_rms")
+@query("a8_robust_mean_rms", """WITH RECURSIVE v AS (SELECT user_id % 8 AS g, value FROM events WHERE value IS NOT NULL AND NOT isnan(value)),
+cuts AS (SELECT g, avg(value) AS mean, stddev_pop(value) AS rms, count(*) AS n, false AS done, 0 AS step FROM v GROUP BY g
+UNION ALL SELECT c.g, avg(value), stddev_pop(value), count(*), c.rms = 0 OR abs(stddev_pop(value) / nullif(c.rms, 0) - 1) < 0.05, c.step + 1 FROM cuts c JOIN v ON v.g = c.g AND abs(value - c.mean) <= 4 * c.rms WHERE NOT c.done AND c.step < 50 GROUP BY c.g, c.mean, c.rms, c.step)
+SELECT g, round(arg_max(mean, step), 6) + 0.0 AS mean, round(arg_max(rms, step), 6) + 0.0 AS rms, arg_max(n, step) AS n FROM cuts GROUP BY g""")
 def a8(s, d):
-    return statistics.robust_moments(read(s, d, "events").select((F.col("user_id") % 8).alias("g"), "value"), "value", ["g"])
+    return rounded(statistics.robust_moments(read(s, d, "events").select((F.col("user_id") % 8).alias("g"), "value"), "value", ["g"]), "mean", "rms")
 
 
 @query("a10_correlation", _with(_CUBE) + "SELECT x, y, round(coalesce(CASE WHEN stddev_pop(q) * stddev_pop(i) > 0 THEN corr(q, i) END, 0), 6) + 0.0 AS r, round(CASE WHEN sum(q * q + u * u) = 0 THEN 0 ELSE sum(q * i) / sqrt(sum(q * q + u * u) * sum(i * i)) END, 6) + 0.0 AS re FROM cube GROUP BY 1, 2")
@@ -629,18 +632,27 @@ def w2(s, d):
     return fitted(cube(s, d), ["x", "y"], "chan", "i", window=32)
 
 
-@query("x15_power_spectrum")
+#: Power of every plane by the sums that define it; (kx, ky): frequencies from 0.
+_POWER = """extent AS (SELECT chan AS irm, min(x) AS x0, max(x) - min(x) + 1 AS nx, min(y) AS y0, max(y) - min(y) + 1 AS ny FROM planes GROUP BY 1),
+waves AS (SELECT irm, x0, nx, y0, ny, kx, ky, val, 2 * pi() * (kx * (x - x0) / CAST(nx AS DOUBLE) + ky * (y - y0) / CAST(ny AS DOUBLE)) AS arg FROM extent JOIN planes ON chan = irm JOIN (SELECT range AS kx FROM range(8)) ON kx < nx JOIN (SELECT range AS ky FROM range(8)) ON ky < ny),
+power AS (SELECT irm, x0, nx, y0, ny, kx, ky, CASE WHEN kx = 0 AND ky = 0 THEN 0 ELSE (pow(sum(val * cos(arg)), 2) + pow(sum(val * sin(arg)), 2)) / pow(nx * ny, 2) END AS p FROM waves GROUP BY irm, x0, nx, y0, ny, kx, ky)"""
+
+
+@query("x15_power_spectrum", _with(_PLANES, _POWER) + "SELECT irm, CAST((kx + nx // 2) % nx + x0 AS INT) AS x, CAST((ky + ny // 2) % ny + y0 AS INT) AS y, pow(round(sqrt(p), 6), 2) AS val FROM power")
 def x15(s, d):
     from .operators.fourier import power_spectra
 
-    return power_spectra(planes(s, d).withColumnRenamed("chan", "irm"))
+    # powers of integers over 64 pixels may lie half-way between decimals, their roots don't
+    root = F.round(F.sqrt("val"), 6)
+    return power_spectra(planes(s, d).withColumnRenamed("chan", "irm")).withColumn("val", root * root)
 
 
-@query("x15_autocorrelation")
+@query("x15_autocorrelation", _with(_PLANES, _POWER) + """SELECT irm, CAST((lx + nx // 2) % nx + x0 AS INT) AS x, CAST((ly + ny // 2) % ny + y0 AS INT) AS y, round(sum(p * cos(2 * pi() * (kx * lx / CAST(nx AS DOUBLE) + ky * ly / CAST(ny AS DOUBLE)))), 6) + 0.0 AS val
+FROM power JOIN (SELECT range AS lx FROM range(8)) ON lx < nx JOIN (SELECT range AS ly FROM range(8)) ON ly < ny GROUP BY irm, x0, nx, y0, ny, lx, ly""")
 def x15_auto(s, d):
     from .operators.fourier import autocorrelations
 
-    return autocorrelations(planes(s, d).withColumnRenamed("chan", "irm"))
+    return rounded(autocorrelations(planes(s, d).withColumnRenamed("chan", "irm")), "val")
 
 
 @query("s8_run_log", _with(_LOG) + "SELECT date_trunc('millisecond', ts) AS ts, 'info' AS level, stage, tid, event, CAST(event_id % 50 AS INT) AS y_beg, bytes, CASE WHEN event_id % 5 = 0 THEN CAST(event_id % 3 AS INT) END AS slot FROM (SELECT event_id, ts, stage, tid, CASE WHEN event_id % 5 = 0 THEN 'enqueue' ELSE event END AS event, CASE WHEN event_id % 5 = 0 THEN NULL ELSE bytes END AS bytes FROM ev)".replace("CAST(event_id % 50 AS INT) AS y_beg", "CASE WHEN event_id % 5 <> 0 THEN CAST(event_id % 50 AS INT) END AS y_beg"))
