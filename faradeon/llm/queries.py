@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, language_id, line_dedup, near_dup, packing, quality, sharding, token_output, topk, whitening
+from . import collocations, decontaminate, html_text, language_id, line_dedup, near_dup, packing, quality, sharding, token_output, topk, whitening
 from ._shared import read
 
 
@@ -51,11 +51,15 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_best_fit_packing, op3_language_id, op4_near_dedup, op5_sharding, op6_decontamination, op7_token_output, op8_quality, op9_html_text, op10_top_k, op13_whitening)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_best_fit_packing, op3_language_id, op4_near_dedup, op5_sharding, op6_decontamination, op7_token_output, op8_quality, op9_html_text, op10_top_k, op12_collocations, op13_whitening)}
 
 _LINE_DEDUP = r"""
 WITH distinct_lines AS (
@@ -117,6 +121,32 @@ WITH RECURSIVE split AS (
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d JOIN roots USING (doc_id) LEFT JOIN sizes USING (doc_id)
 """
 
+_COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), split AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), grams AS (
+  SELECT lang, m, unnest([array_to_string(w[i:i + m - 1], ' ') FOR i IN range(1, len(w) - m + 2)]) AS phrase FROM split CROSS JOIN (SELECT unnest(range(1, 4)) AS m)
+), f AS (
+  SELECT lang, m, phrase, count(*) AS n FROM grams GROUP BY ALL
+), candidates AS (
+  SELECT lang, m, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND n >= 10
+), cuts AS (
+  SELECT lang, m, phrase, a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:m], ' ') AS rest FROM candidates CROSS JOIN (SELECT unnest([1, 2]) AS k) WHERE k < m
+), scored AS (
+  SELECT c.lang, c.m, c.phrase, c.a, k, x.n AS l, y.n AS r, CAST(CAST(1000000 AS HUGEINT) * c.a * c.a // (CAST(x.n AS HUGEINT) * y.n) AS BIGINT) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.head JOIN f y ON y.lang = c.lang AND y.phrase = c.rest
+), lowest AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM scored
+), covered AS (
+  SELECT DISTINCT s.lang, s.phrase FROM candidates s JOIN candidates t ON s.lang = t.lang AND s.m = 2 AND t.m = 3 AND (s.w = t.w[1:2] OR s.w = t.w[2:3]) AND 100 * t.a >= 50 * s.a
+), ranked AS (
+  SELECT lang, phrase, a, l, r, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM lowest ANTI JOIN covered USING (lang, phrase) WHERE place = 1
+)
+SELECT lang, rank, phrase, a, l, r, CAST((SELECT sum(n) FROM f WHERE f.lang = ranked.lang AND m = 1) AS BIGINT) AS n, score FROM ranked WHERE rank <= 2000
+"""
+
 #: The table of CRC-32 by its rule: eight steps of the reflected polynomial.
 _CRC = [functools.reduce(lambda c, _: (c >> 1) ^ (0xEDB88320 * (c & 1)), range(8), k) for k in range(256)]
 
@@ -137,4 +167,4 @@ WITH docs AS (
 SELECT doc_id, size, text_crc32, source, 'rows' AS law, CAST(p * 8 // total AS INT) AS shard, p - (p * 8 // total * total + 7) // 8 AS slot, CAST(NULL AS INT) AS grown_shard FROM placed
 """
 
-ORACLE_SQL = {"op1_line_dedup": _LINE_DEDUP, "op4_near_dedup": _NEAR_DEDUP, "op5_sharding": _SHARDING, "op10_top_k": _TOP_K}
+ORACLE_SQL = {"op1_line_dedup": _LINE_DEDUP, "op4_near_dedup": _NEAR_DEDUP, "op5_sharding": _SHARDING, "op10_top_k": _TOP_K, "op12_collocations": _COLLOCATIONS}
