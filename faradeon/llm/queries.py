@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import collocations, decontaminate, html_text, language_id, line_dedup, near_dup, packing, quality, sharding, token_output, topk, whitening
+from . import bpe, collocations, decontaminate, html_text, language_id, line_dedup, near_dup, packing, quality, sharding, token_output, topk, whitening
 from ._shared import read
 
 
@@ -51,6 +51,10 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings"))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(bpe.decode(bpe.encode(read(spark, sf_dir, "documents"))))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(read(spark, sf_dir, "documents"))
 
@@ -59,7 +63,7 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_best_fit_packing, op3_language_id, op4_near_dedup, op5_sharding, op6_decontamination, op7_token_output, op8_quality, op9_html_text, op10_top_k, op12_collocations, op13_whitening)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_best_fit_packing, op3_language_id, op4_near_dedup, op5_sharding, op6_decontamination, op7_token_output, op8_quality, op9_html_text, op10_top_k, op11_bpe, op12_collocations, op13_whitening)}
 
 _LINE_DEDUP = r"""
 WITH distinct_lines AS (
