@@ -20,6 +20,7 @@ from ..operators.mask import SENTINEL, check_range, compatible
 from ..operators.synthesis import Kernel, bounded_spectra, matrix, rows_of, synthesise
 from ..sources.fits import STRIP_BYTES, register, row_bytes
 from ..sources.fits_format import Header, read_header
+from ..sources.strips import write_strips
 from ..sources.text import append_timing, bad_channels, timing_record
 from . import wcs
 from .config import RunConfig
@@ -137,14 +138,14 @@ def outputs(cfg: RunConfig) -> dict[str, str]:
     return out
 
 
-def products(df: DataFrame, p: Plan, names: list[str]) -> DataFrame:
+def products(df: DataFrame, p: Plan, names: list[str], precision: str = "float") -> DataFrame:
     """x, y and the named products of pixels with arrays q, u, w, all from one transform; maps are of the amplitude."""
-    cfg, axes = p.cfg, p.axes
-    kinds = {k: "array<float>" for k in ("amp", "ang", "re", "im")} | {"w": "array<tinyint>", "nvalid": "int"} | {k: "float" for k in MAPS}
+    cfg, axes, real = p.cfg, p.axes, pa.float64() if precision == "double" else pa.float32()
+    kinds = {k: f"array<{precision}>" for k in ("amp", "ang", "re", "im")} | {"w": "array<tinyint>", "nvalid": "int"} | {k: precision for k in MAPS}
     bounded_spectra(df.sparkSession, len(axes.lsq))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kernel = Kernel(axes, np.float64 if cfg.cubestat else np.float32)
+        kernel = Kernel(axes, np.float64 if cfg.cubestat or precision == "double" else np.float32)
         for b in batches:
             if not b.num_rows:
                 continue
@@ -153,10 +154,10 @@ def products(df: DataFrame, p: Plan, names: list[str]) -> DataFrame:
             out: dict[str, pa.Array] = {"w": rows_of(np.where(axes.good, w, 0), pa.int8()), "nvalid": pa.array(total.astype(np.int32))}
             if cfg.output_mode == "ap" or cfg.cubestat:
                 amp, ang = np.hypot(re, im), np.arctan2(im, re) * (0.5 if cfg.ap_angle_mode == "pol" else 1)
-                out |= {"amp": rows_of(amp), "ang": rows_of(ang)}
+                out |= {"amp": rows_of(amp, real), "ang": rows_of(ang, real)}
                 if cfg.cubestat:
-                    out |= {k: pa.array(v, pa.float32()) for k, v in zip(MAPS, cubestat.peak_of(amp, ang, axes.rm), strict=True)}
-            out |= {"re": rows_of(re), "im": rows_of(im)} if cfg.output_mode == "ri" else {}
+                    out |= {k: pa.array(v, real) for k, v in zip(MAPS, cubestat.peak_of(amp, ang, axes.rm), strict=True)}
+            out |= {"re": rows_of(re, real), "im": rows_of(im, real)} if cfg.output_mode == "ri" else {}
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(out[k] for k in names)], names=["x", "y", *names])
 
     return df.select(F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), "q", "u", "w").mapInArrow(make, ", ".join(["x int", "y int", *(f"{k} {kinds[k]}" for k in names)]))
@@ -201,6 +202,20 @@ def run(spark: SparkSession, cfg: RunConfig, compat: bool = False) -> dict[str,
     return targets
 
 
+def run_strips(spark: SparkSession, cfg: RunConfig, path: str, rows: int | None = None, compat: bool = False, precision: str = "float") -> str:
+    """The products of a configuration as Parquet by strips of the sky at ``path``, from one read and one transform.
+
+    A strip has as many rows as a partition of the reader, unless ``rows`` says otherwise; nothing is shuffled. The
+    depths and the channels are written beside it, at ``path`` and -depths and -channels.
+    """
+    p = plan(spark, cfg, compat)
+    made = products(load(spark, p, compat), p, list(outputs(cfg)), precision)
+    write_strips(made, path, rows or min(strip_rows(p), p.shape[1]), dealt=True)
+    p.axes.depths(spark).write.parquet(f"{path}-depths")
+    p.axes.channels(spark).write.parquet(f"{path}-channels")
+    return path
+
+
 def write_axes(p: Plan, folder: str) -> None:
     """sampled_RM.txt and sampled_freq.txt: the depths, and the channels with their wavelengths squared and flags."""
     cfg = p.cfg

@@ -349,8 +349,18 @@ g AS (SELECT x, y, peak, rm_peak, t.a AS a, t.a[(len(t.a) + 1) // 2] AS q50, t.a
 h AS (SELECT *, list_sort([abs(v - q50) FOR v IN a])[(len(a) + 1) // 2] AS mad FROM g)"""
 
 
-@query("a6_peak_snr", _with(_CUBE, _AXES, _FAR, _TAIL) + "SELECT x, y, round(peak, 6) AS peak, rm_peak, round(peak / greatest(CASE WHEN q50 - q16 > 0 THEN (q50 - q16) / 0.67449 ELSE 1.4826 * mad END, 1e-12), 6) AS snr FROM h")
+_PEAK_SNR = _with(_CUBE, _AXES, _FAR, _TAIL) + "SELECT x, y, round(peak, 6) AS peak, rm_peak, round(peak / greatest(CASE WHEN q50 - q16 > 0 THEN (q50 - q16) / 0.67449 ELSE 1.4826 * mad END, 1e-12), 6) AS snr FROM h"
+
+
+@query("a6_peak_snr", _PEAK_SNR)
 def a6(s, d):
+    """The flagship: spectra once, one matrix product a batch, peaks and noise of arrays."""
+    arrays = synthesis.synthesise(synthesis.spectra(cube(s, d), N_CHAN), AXES, precision="double")
+    return rounded(cubestat.peak_maps(arrays, RM).where("peak is not null").select("x", "y", "peak", "rm_peak", "snr"), "peak", "snr")
+
+
+@query("a6_peak_snr_relational", _PEAK_SNR)
+def a6_relational(s, d):
     return rounded(cubestat.peaks(long(s, d)).where("peak is not null").select("x", "y", "peak", "rm_peak", "snr"), "peak", "snr")
 
 
@@ -587,6 +597,51 @@ def a21(s, d):
 # -- fits and kernels without an SQL form
 
 
+#: Beams of each pixel's weights on the grids of differences and of sums of depths (steps of 2, the first -40).
+_BEAMS = """near AS (SELECT x, y, k, sum(w * cos(4 * k * lsq)) / nullif(sum(w), 0) AS b, -sum(w * sin(4 * k * lsq)) / nullif(sum(w), 0) AS c FROM cube JOIN chans USING (chan) CROSS JOIN (SELECT range AS k FROM range(-40, 41)) GROUP BY 1, 2, 3),
+mirror AS (SELECT x, y, k, sum(w * cos(2 * (2 * k - 80) * lsq)) / nullif(sum(w), 0) AS b, -sum(w * sin(2 * (2 * k - 80) * lsq)) / nullif(sum(w), 0) AS c FROM cube JOIN chans USING (chan) CROSS JOIN (SELECT range AS k FROM range(81)) GROUP BY 1, 2, 3)"""
+
+
+def _cleaned_sql(niter: int, stokes: str = "QU") -> str:
+    """``niter`` steps of CLEAN: the peak of each residual, and a tenth of the beam there taken off."""
+    u = 1 if stokes == "QU" else 0
+    steps = [f"""r0 AS (SELECT x, y, irm, sum(w * (q * cos(2 * rm * lsq) + {u} * u * sin(2 * rm * lsq))) / nullif(sum(w), 0) AS re, sum(w * ({u} * u * cos(2 * rm * lsq) - q * sin(2 * rm * lsq))) / nullif(sum(w), 0) AS im
+  FROM cube JOIN chans USING (chan) CROSS JOIN depths GROUP BY 1, 2, 3)"""]
+    for k in range(niter):
+        steps.append(f"p{k} AS (SELECT x, y, arg_max(irm, sqrt(re * re + im * im)) AS place, 0.1 * arg_max(re, re * re + im * im) AS pr, 0.1 * arg_max(im, re * re + im * im) AS pi FROM r{k} GROUP BY 1, 2 HAVING abs(max(sqrt(re * re + im * im)) - avg(sqrt(re * re + im * im))) > 0.5 * stddev_pop(sqrt(re * re + im * im)))")
+        own = "n.b * pr - n.c * pi", "n.b * pi + n.c * pr"
+        if stokes == "Q":
+            own = tuple(f"(({a}) + ({b})) / 2" for a, b in zip(own, ("m.b * pr + m.c * pi", "m.c * pr - m.b * pi"), strict=True))
+        steps.append(f"r{k + 1} AS (SELECT r.x, r.y, r.irm, r.re - coalesce({own[0]}, 0) AS re, r.im - coalesce({own[1]}, 0) AS im FROM r{k} r LEFT JOIN p{k} p ON r.x = p.x AND r.y = p.y LEFT JOIN near n ON n.x = p.x AND n.y = p.y AND n.k = r.irm - p.place LEFT JOIN mirror m ON m.x = p.x AND m.y = p.y AND m.k = r.irm + p.place)")
+    parts = " UNION ALL ".join(f"SELECT x, y, place AS irm, pr, pi FROM p{k}" for k in range(niter))
+    steps.append(f"parts AS (SELECT x, y, irm, sum(pr) AS component_re, sum(pi) AS component_im FROM ({parts}) GROUP BY 1, 2, 3)")
+    return _with(_CUBE, _AXES, _BEAMS, *steps) + f"SELECT x, y, irm, round(coalesce(component_re, 0), 6) + 0.0 AS component_re, round(coalesce(component_im, 0), 6) + 0.0 AS component_im, round(re, 6) + 0.0 AS re, round(im, 6) + 0.0 AS im FROM r{niter} LEFT JOIN parts USING (x, y, irm)"
+
+
+def _clean_rows(s, d, niter: int, stokes: str = "QU") -> DataFrame:
+    from .operators.clean import clean_components
+
+    arrays = clean_components(synthesis.spectra(cube(s, d), N_CHAN), AXES, threshold=0.5, niter=niter, stokes=stokes).drop("iterations")
+    names = ("component_re", "component_im", "re", "im")
+    rows = synthesis.exploded(arrays, AXES.depths(s)).select("x", "y", "irm", *names)
+    return rounded(rows.withColumns({c: C.nan_to_null(c) for c in names}), *names)
+
+
+@query("p18_clean_once", _cleaned_sql(1))
+def p18_once(s, d):
+    return _clean_rows(s, d, 1)
+
+
+@query("p18_clean_steps", _cleaned_sql(3))
+def p18_steps(s, d):
+    return _clean_rows(s, d, 3)
+
+
+@query("p19_clean_q_steps", _cleaned_sql(3, "Q"))
+def p19_steps(s, d):
+    return _clean_rows(s, d, 3, "Q")
+
+
 @query("p18_clean")
 def p18(s, d):
     from .operators.clean import clean_spectra
@@ -594,11 +649,16 @@ def p18(s, d):
     return clean_spectra(synthesis.spectra(cube(s, d), N_CHAN), AXES, niter=200)
 
 
-@query("p22_interpolated_peaks")
+_LOGS = """size AS (SELECT x, y, irm, sqrt(re * re + im * im) AS v FROM far),
+tops AS (SELECT x, y, arg_max(irm, v) AS place, max(v) AS v FROM size GROUP BY 1, 2),
+logs AS (SELECT t.x, t.y, t.place, t.v, log10(l.v) AS a, log10(t.v) AS b, log10(h.v) AS c FROM tops t LEFT JOIN size l ON l.x = t.x AND l.y = t.y AND l.irm = t.place - 1 LEFT JOIN size h ON h.x = t.x AND h.y = t.y AND h.irm = t.place + 1)"""
+
+
+@query("p22_interpolated_peaks", _with(_CUBE, _AXES, _FAR, _LOGS) + "SELECT x, y, round(-40 + 2 * (place + coalesce(0.5 * (a - c) / (a - 2 * b + c), 0)), 6) AS rm_peak, round(coalesce(pow(10, b - 0.125 * (a - c) * (a - c) / (a - 2 * b + c)), v), 6) AS peak FROM logs")
 def p22(s, d):
     from .operators.clean import interpolated_peaks
 
-    return interpolated_peaks(synthesis.synthesise(synthesis.spectra(cube(s, d), N_CHAN), AXES, "ri", precision="double"), RM)
+    return rounded(interpolated_peaks(synthesis.synthesise(synthesis.spectra(cube(s, d), N_CHAN), AXES, "ri", precision="double"), RM), "rm_peak", "peak")
 
 
 @query("r1_outliers")
@@ -667,7 +727,7 @@ def s8(s, d):
 # -- FITS files: the cube is written, read and run through; maps come back from the products
 
 
-def _fits(spark: SparkSession, d: str, extra: str = "") -> str:
+def _fits(spark: SparkSession, d: str, extra: str = "", bitpix: int = -32) -> str:
     """A folder that driver and executors share, with the cube as Q.FITS and U.FITS and a configuration run.cfg."""
     import os
     import tempfile
@@ -682,9 +742,9 @@ def _fits(spark: SparkSession, d: str, extra: str = "") -> str:
     os.makedirs(folder)
     fits.register(spark)
     cards = {"CTYPE1": "RA---SIN", "CTYPE2": "DEC--SIN", "CTYPE3": "FREQ", "CRVAL3": float(FREQ[0]), "CRPIX3": 1.0, "CDELT3": float(FREQ[1] - FREQ[0]), "CRVAL1": 10.0, "CRVAL2": -30.0, "CRPIX1": 1.0, "CRPIX2": 1.0, "CDELT1": -0.01, "CDELT2": 0.01}
-    masked = lambda c: F.zip_with(c, "w", lambda v, w: F.when(w > 0, v).otherwise(F.lit(mask.SENTINEL)).cast("float")).alias(c)
+    masked = lambda c: F.zip_with(c, "w", lambda v, w: F.when(w > 0, v).otherwise(F.lit(mask.SENTINEL))).alias(c)
     rows = synthesis.spectra(cube(spark, d), N_CHAN).select((F.col("x") + 1).alias("x"), (F.col("y") + 1).alias("y"), masked("q"), masked("u"))
-    products = [{"path": f"{folder}/{c.upper()}.FITS", "column": c, "naxes": [5, 5, N_CHAN], "bitpix": -32, "cards": cards} for c in "qu"]
+    products = [{"path": f"{folder}/{c.upper()}.FITS", "column": c, "naxes": [5, 5, N_CHAN], "bitpix": bitpix, "cards": cards} for c in "qu"]
     rows.write.format("fits_output").mode("append").option("products", json.dumps(products)).save()
     with open(f"{folder}/bad.txt", "w", encoding="utf-8") as f:
         f.writelines(f"{b + 1}\n" for b in BAD)
@@ -730,6 +790,43 @@ def s2(s, d):
     return rounded(rows.where(F.col("q") > mask.SENTINEL + 1).withColumn("q", F.col("q").cast("double")), "q", n=3)
 
 
+@query("k5_committed_cube", _with(_CUBE) + "SELECT x, y, chan, round(q, 3) + 0.0 AS q, round(u, 3) + 0.0 AS u, true AS q_sum_ok, true AS u_sum_ok FROM cube WHERE w = 1")
+def k5(s, d):
+    """All samples of the committed files, and whether their data sums, taken again, are those in their headers."""
+    from .sources import fits
+
+    folder = _fits(s, d)
+    rows = s.read.format("fits_cube").option("q", f"{folder}/Q.FITS").option("u", f"{folder}/U.FITS").load()
+    long = rows.select((F.col("x") - 1).alias("x"), (F.col("y") - 1).alias("y"), F.posexplode(F.arrays_zip("q", "u")).alias("chan", "v")).select("x", "y", "chan", "v.q", "v.u")
+    for k in "qu":
+        long = long.crossJoin(F.broadcast(fits.verified(s, f"{folder}/{k.upper()}.FITS").select(F.col("ok").alias(f"{k}_sum_ok"))))  # one row
+    return rounded(long.where(F.col("q") > mask.SENTINEL + 1), "q", "u", n=3)
+
+
+@query("k1_strip_cube", _with(_CUBE, _AXES, _FAR) + "SELECT x, y, irm, round(re, 6) + 0.0 AS re, round(im, 6) + 0.0 AS im FROM far WHERE y IN (2, 3) AND x >= 1")
+def k1(s, d):
+    """A strip of a Faraday cube that a run has written as Parquet by strips of the sky."""
+    from .plans import config, pipeline
+    from .sources.strips import read_strips
+
+    folder = _fits(s, d, "output_mode = ri\n", -64)
+    path = pipeline.run_strips(s, config.load(f"{folder}/run.cfg"), f"{folder}/strips", rows=2, precision="double")
+    rows = read_strips(s, path, x=(2, 5), y=(3, 4)).select((F.col("x") - 1).alias("x"), (F.col("y") - 1).alias("y"), F.posexplode(F.arrays_zip("re", "im")).alias("irm", "v"))
+    return rounded(rows.select("x", "y", "irm", *(C.nan_to_null(F.col(f"v.{c}")).alias(c) for c in ("re", "im"))), "re", "im")
+
+
+@query("k4_run_maps", _with(_CUBE, _AXES, _FAR, _TAIL) + "SELECT x, y, nvalid, round(peak, 6) AS peak, rm_peak, round(cos(ang), 5) + 0.0 AS c, round(sin(ang), 5) + 0.0 AS s, round(peak / greatest(CASE WHEN q50 - q16 > 0 THEN (q50 - q16) / 0.67449 ELSE 1.4826 * mad END, 1e-12), 4) AS snr FROM h JOIN (SELECT x, y, arg_max(ang, amp) AS ang, CAST(max(w) AS INT) AS nvalid FROM lng GROUP BY 1, 2) USING (x, y)")
+def k4_maps(s, d):
+    """All maps of a run from files: counts, peaks, their depths and angles, and signal to noise."""
+    from .plans import config, pipeline
+    from .sources.strips import read_strips
+
+    folder = _fits(s, d, bitpix=-64)
+    path = pipeline.run_strips(s, config.load(f"{folder}/run.cfg"), f"{folder}/strips", rows=2, precision="double")
+    rows = read_strips(s, path).select((F.col("x") - 1).alias("x"), (F.col("y") - 1).alias("y"), "nvalid", "peak", F.round("rm_peak", 9).alias("rm_peak"), F.cos("ang_peak").alias("c"), F.sin("ang_peak").alias("s"), "snr")
+    return rounded(rounded(rounded(rows, "peak"), "c", "s", n=5), "snr", n=4)
+
+
 @query("k3_run_nvalid", _with(_CUBE) + "SELECT x, y, CAST(sum(w) AS DOUBLE) AS nvalid FROM cube GROUP BY 1, 2")
 def k3(s, d):
     from .plans import config, pipeline
@@ -793,11 +890,19 @@ def p19(s, d):
     return clean_spectra(synthesis.spectra(cube(s, d), N_CHAN), AXES, stokes="Q", niter=50)
 
 
-@query("p21_depolarisation")
+#: Mean over each channel's width by Simpson's rule on 64 intervals, of the phase's series to the third order.
+_LOSS = """node AS (SELECT (range - 32) / 64.0 * 4.0 AS d, CASE WHEN range IN (0, 64) THEN 1 WHEN range % 2 = 1 THEN 4 ELSE 2 END / 192.0 AS g FROM range(65)),
+share AS (SELECT chan, freq, lsq, pow(freq, -1.5) / (SELECT sum(pow(freq, -1.5)) FROM chans WHERE chan NOT IN (11, 31)) AS h FROM chans WHERE chan NOT IN (11, 31)),
+loss AS (SELECT irm, sum(h * g * cos(2 * rm * e)) AS b, sum(h * g * sin(2 * rm * e)) AS c FROM (SELECT h, g, lsq * (-2 * (d / freq) + 3 * pow(d / freq, 2) - 4 * pow(d / freq, 3)) AS e FROM share CROSS JOIN node) CROSS JOIN depths GROUP BY 1)"""
+
+
+@query("p21_depolarisation", _with(_CUBE, _AXES, _FAR, _LOSS) + "SELECT x, y, irm, round((re * b + im * c) / (b * b + c * c), 6) + 0.0 AS re, round((im * b - re * c) / (b * b + c * c), 6) + 0.0 AS im FROM far JOIN loss USING (irm)")
 def p21(s, d):
     from .operators.clean import depolarisation_corrected
 
-    return depolarisation_corrected(synthesis.synthesise(synthesis.spectra(cube(s, d), N_CHAN), AXES, "ri", precision="double"), AXES, 4.0)
+    arrays = depolarisation_corrected(synthesis.synthesise(synthesis.spectra(cube(s, d), N_CHAN), AXES, "ri", precision="double"), AXES, 4.0)
+    rows = synthesis.exploded(arrays, AXES.depths(s)).select("x", "y", "irm", "re", "im")
+    return rounded(rows.withColumns({c: C.nan_to_null(c) for c in ("re", "im")}), "re", "im")
 
 
 @query("r3_significant_pixels", _with(_CUBE) + "SELECT x, y, chan, round(lp, 6) AS lp FROM (SELECT *, sqrt(q * q + u * u) AS lp FROM cube WHERE w = 1) JOIN (SELECT x, y, avg(sqrt(q * q + u * u)) + 2 * stddev_pop(sqrt(q * q + u * u)) AS cut FROM cube WHERE w = 1 GROUP BY 1, 2) USING (x, y) WHERE lp > cut")

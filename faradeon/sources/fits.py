@@ -12,8 +12,9 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 from collections.abc import Iterator
-from contextlib import ExitStack
+from contextlib import ExitStack, suppress
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,6 +26,10 @@ from .fits_format import BLOCK, KINDS, Box, FitsError, header_bytes, headers, pr
 
 #: Bytes of a partition's data.
 STRIP_BYTES = 64 << 20
+#: Bytes of rows that a writing task gathers, so that neighbours are written together.
+FLUSH_BYTES = 32 << 20
+#: End of the names of files that no commit has named yet.
+STAGED = ".staged"
 
 
 @dataclass
@@ -198,12 +203,18 @@ class FitsTable(DataSource):
 
 @dataclass
 class Written(WriterCommitMessage):
-    rows: int
+    """What a task has written: pixels by row of the sky (count, sum of x, sum of x * x), and each product's data sum."""
+
+    rows: dict[int, tuple[int, int, int]]
+    sums: list[int]
 
 
 @dataclass
 class Product:
-    """A file of known size: rows x, y (from 1) of ``column``, an array by plane or a number, land at their own bytes."""
+    """A file of known size: rows x, y (from 1) of ``column``, an array by plane or a number, land at their own bytes.
+
+    The file is staged beside ``path`` under a name of its job's own, and gets its own name by the commit alone.
+    """
 
     path: str
     column: str
@@ -212,28 +223,91 @@ class Product:
     cards: dict | None = None
 
     def __post_init__(self):
-        self.head = header_bytes(primary_cards(self.bitpix, self.naxes, self.cards or {}))
         self.kind = np.dtype(KINDS[self.bitpix])
+        self.planes = int(np.prod(self.naxes[2:]))
+
+    def head(self, datasum: int = 0) -> bytes:
+        return header_bytes(primary_cards(self.bitpix, self.naxes, (self.cards or {}) | {"DATASUM": f"{datasum:<10d}"}))
 
-    def create(self) -> None:
+    def staged(self, job: str) -> str:
+        folder, name = os.path.split(self.path)
+        return os.path.join(folder, f".{name}.{job}{STAGED}")
+
+    def create(self, job: str) -> None:
         size = int(np.prod(self.naxes)) * self.kind.itemsize
-        with open(self.path, "wb") as f:  # undefined pixels: NaN, or 0 of integers
-            f.write(self.head)
-            f.truncate(len(self.head) + -(-size // BLOCK) * BLOCK)
+        with open(self.staged(job), "xb") as f:
+            f.write(self.head())
+            f.truncate(f.tell() + -(-size // BLOCK) * BLOCK)
+
+    def put(self, f, at: np.ndarray, data: np.ndarray) -> int:
+        """Write planes of pixels at rising places within a plane; the sum of what was written. Neighbours go together."""
+        if data.shape[1] != self.planes:
+            raise FitsError(f"{self.column} has {data.shape[1]} planes, and {self.path} has {self.planes}")
+        plane, base, total, size = self.naxes[0] * self.naxes[1], len(self.head()), 0, self.kind.itemsize
+        cuts = [0, *(np.flatnonzero(np.diff(at) != 1) + 1).tolist(), len(at)]
+        with np.errstate(invalid="ignore"):
+            block = np.ascontiguousarray(data.T).astype(self.kind)
+        for a, z in zip(cuts, cuts[1:], strict=False):
+            for k in range(self.planes):
+                place = (int(at[a]) + k * plane) * size
+                values = block[k, a:z].tobytes()
+                f.seek(base + place)
+                f.write(values)
+                total += data_sum(values, place)
+        return total
+
+    def finish(self, job: str, datasum: int, overwrite: bool) -> None:
+        """The data sum goes into the header, and the file gets its name; a file that has it by now is an error."""
+        staged = self.staged(job)
+        with open(staged, "r+b") as f:
+            f.write(self.head(datasum))
+            f.flush()
+            os.fsync(f.fileno())
+        if overwrite:
+            os.replace(staged, self.path)
+            return
+        try:
+            os.link(staged, self.path)  # never over another file
+        except FileExistsError:
+            raise FitsError(f"{self.path} exists") from None
+        except OSError:  # a file system without links
+            if os.path.exists(self.path):
+                raise FitsError(f"{self.path} exists") from None
+            os.rename(staged, self.path)
+        else:
+            os.remove(staged)
 
-    def put(self, f, x: np.ndarray, y: np.ndarray, data: np.ndarray, runs: list[tuple[int, int]]) -> None:
-        """Write planes of pixels; ``runs`` are neighbours, which are written together."""
-        plane = self.naxes[0] * self.naxes[1] * self.kind.itemsize
-        for a, z in runs:
-            at = len(self.head) + ((y[a] - 1) * self.naxes[0] + x[a] - 1) * self.kind.itemsize
-            block = np.ascontiguousarray(data[a:z].T, self.kind)
-            for k, values in enumerate(block):
-                f.seek(int(at + k * plane))
-                f.write(values.tobytes())
+    def discard(self, job: str | None = None) -> None:
+        """Remove what a job has staged, or what all jobs have."""
+        folder, name = os.path.split(self.path)
+        names = [self.staged(job)] if job else [os.path.join(folder, n) for n in os.listdir(folder or ".") if n.startswith(f".{name}.") and n.endswith(STAGED)]
+        for n in names:
+            with suppress(FileNotFoundError):
+                os.remove(n)
+
+
+def data_sum(values: bytes, place: int) -> int:
+    """The FITS data sum of bytes at ``place`` of the data; sums of parts add up (see ``folded``)."""
+    before = place % 4
+    padded = b"\0" * before + values + b"\0" * (-(before + len(values)) % 4)
+    return int(np.frombuffer(padded, ">u4").sum(dtype=np.uint64))
+
+
+def folded(total: int) -> int:
+    """A sum in ones' complement of 32 bits."""
+    while total >> 32:
+        total = (total & 0xFFFFFFFF) + (total >> 32)
+    return total
 
 
 class CubeWriter(DataSourceArrowWriter):
-    """Writes all products from one pass over the rows; their files are made before and removed if the job fails."""
+    """Writes all products from one pass over the rows, and commits them in two phases.
+
+    Tasks write into staged files and tell what they wrote, by row of the sky; attempts that fail or run twice write the
+    same bytes to the same places. The commit checks that every pixel was written once, puts the merged data sums into
+    the headers and gives the files their names. A job that fails, or whose driver is lost, leaves no file of that name;
+    what lost jobs have staged goes with the next commit of the same file.
+    """
 
     def __init__(self, schema: StructType, options: dict, overwrite: bool):
         if "products" in options:
@@ -242,33 +316,107 @@ class CubeWriter(DataSourceArrowWriter):
             cards = {k[5:].upper(): _number(v) for k, v in options.items() if k.startswith("card.")}
             column = options.get("column", next(f.name for f in schema if f.name not in ("x", "y")))
             self.products = [Product(options["path"], column, [int(n) for n in options["naxes"].split(",")], int(options.get("bitpix", -32)), cards)]
+        self.overwrite, self.gaps, self.job = overwrite, str(options.get("gaps", "error")).lower() == "allow", uuid.uuid4().hex
+        self.nx, self.ny = self.products[0].naxes[:2]
         for p in self.products:
+            if p.naxes[:2] != [self.nx, self.ny]:
+                raise FitsError(f"{p.path} has another sky than {self.products[0].path}")
             if os.path.exists(p.path) and not overwrite:
                 raise FitsError(f"{p.path} exists")
         for p in self.products:
-            p.create()
+            p.create(self.job)
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
-        n = 0
+        rows: dict[int, np.ndarray] = {}
+        sums, held, size = [0] * len(self.products), [], 0
         with ExitStack() as stack:
-            files = [stack.enter_context(open(p.path, "r+b")) for p in self.products]
+            files = [stack.enter_context(open(p.staged(self.job), "r+b")) for p in self.products]
+
+            def flush() -> None:
+                table = pa.Table.from_batches(held)
+                x, y = (np.asarray(table[c], np.int64) for c in ("x", "y"))
+                if len(x) and (x.min() < 1 or x.max() > self.nx or y.min() < 1 or y.max() > self.ny):
+                    raise FitsError(f"a pixel lies outside of {self.nx} x {self.ny}")
+                at = (y - 1) * self.nx + x - 1
+                order = np.argsort(at, kind="stable")
+                for k, (p, f) in enumerate(zip(self.products, files, strict=True)):
+                    col = table[p.column].combine_chunks()
+                    if pa.types.is_list(col.type):
+                        flat = col.flatten().to_numpy(zero_copy_only=False)
+                        if len(flat) != len(x) * p.planes:
+                            raise FitsError(f"{p.column} hasn't {p.planes} planes in every row")
+                        data = flat.reshape(len(x), p.planes)
+                    else:
+                        data = col.to_numpy(zero_copy_only=False).reshape(-1, 1)
+                    sums[k] += p.put(f, at[order], data[order])
+                for row in np.unique(y).tolist():
+                    own = x[y == row]
+                    rows[row] = rows.get(row, 0) + np.array([len(own), own.sum(), (own * own).sum()])
+
             for b in batches:
-                x, y = (np.asarray(b.column(b.schema.get_field_index(c)), np.int64) for c in ("x", "y"))
-                order = np.lexsort((x, y))
-                x, y = x[order], y[order]
-                first = np.flatnonzero(np.concatenate([[True], (np.diff(y) != 0) | (np.diff(x) != 1)])).tolist() if len(x) else []
-                runs = list(zip(first, [*first[1:], len(x)], strict=True))
-                for p, f in zip(self.products, files, strict=True):
-                    col = b.column(b.schema.get_field_index(p.column))
-                    data = np.asarray(col.flatten().to_numpy(zero_copy_only=False) if pa.types.is_list(col.type) else col.to_numpy(zero_copy_only=False)).reshape(len(x), -1)
-                    p.put(f, x, y, data[order], runs)
-                n += len(x)
-        return Written(n)
+                held.append(b)
+                size += b.nbytes
+                if size >= FLUSH_BYTES:
+                    flush()
+                    held, size = [], 0
+            if held:
+                flush()
+        return Written({y: tuple(map(int, v)) for y, v in rows.items()}, sums)
+
+    def commit(self, messages: list) -> None:
+        done = []
+        try:
+            self._whole(messages)
+            for k, p in enumerate(self.products):
+                p.finish(self.job, folded(sum(m.sums[k] for m in messages if m is not None)), self.overwrite)
+                done.append(p)
+        except BaseException:
+            for p in done if not self.overwrite else ():  # of several products all are there or none
+                os.remove(p.path)
+            self.abort(messages)
+            raise
+        for p in self.products:
+            p.discard()
+
+    def _whole(self, messages: list) -> None:
+        """Every pixel of every row was written, and none twice: counts and sums of x are those of 1 to nx."""
+        n = self.nx
+        want = np.array([n, n * (n + 1) // 2, n * (n + 1) * (2 * n + 1) // 6])
+        seen = np.zeros((self.ny + 1, 3), np.int64)
+        for m in messages:
+            for y, v in (m.rows if m is not None else {}).items():
+                seen[y] += v
+        bad = np.flatnonzero((seen[1:] > want).any(1) if self.gaps else (seen[1:] != want).any(1)) + 1
+        if len(bad):
+            raise FitsError(f"pixels are missing or written twice in {len(bad)} of {self.ny} rows, the first of them {bad[0]}: {int(seen[bad[0]][0])} of {n}")
 
     def abort(self, messages) -> None:
         for p in self.products:
-            if os.path.exists(p.path):
-                os.remove(p.path)
+            p.discard(self.job)
+
+
+def verified(spark, path: str, chunk: int = 4 << 20):
+    """sum, stated, ok (one row): the data sum of a file, of chunks read by tasks, and what its header states."""
+    from pyspark.sql import functions as F
+
+    with open(path, "rb") as f:
+        h = read_header(f)
+    size = h.next_at - h.data_at
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with open(path, "rb") as f:
+            for b in batches:
+                total = 0
+                for k in b.column(0).to_pylist():
+                    f.seek(h.data_at + k * chunk)
+                    total += data_sum(f.read(min(chunk, size - k * chunk)), 0)
+                yield pa.RecordBatch.from_arrays([pa.array([folded(total)], pa.int64())], names=["s"])
+
+    # each part's sum is under 2^32, so 2^31 parts fit a long
+    sums = spark.range(-(-size // chunk)).mapInArrow(part, "s long").agg(F.coalesce(F.sum("s"), F.lit(0)).alias("s"))
+    low = lambda c: c.bitwiseAND(F.lit(0xFFFFFFFF)) + F.shiftright(c, 32)
+    stated = int(str(h.get("DATASUM", "-1")))
+    return sums.select(low(low(F.col("s"))).alias("sum"), F.lit(stated).cast("long").alias("stated")).withColumn("ok", F.col("sum") == F.col("stated"))
 
 
 def _number(text: str):
@@ -281,7 +429,10 @@ def _number(text: str):
 
 
 class FitsOutput(DataSource):
-    """Sink. Options: path, naxes ('nx,ny,n'), bitpix, column, card.KEY = value; or products, a JSON list of Product's fields."""
+    """Sink. Options: path, naxes ('nx,ny,n'), bitpix, column, card.KEY = value; or products, a JSON list of Product's fields.
+
+    Every pixel must be given once; with gaps = allow, pixels may be missing, which are zeros.
+    """
 
     @classmethod
     def name(cls) -> str:

@@ -195,3 +195,141 @@ def test_text_files(spark, tmp_path):
     assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "axis")).collect()) == ["0", "1", "2"]
     text.export_long(spark.range(2), str(tmp_path / "long"))
     assert os.path.isdir(tmp_path / "long")
+
+
+def pixels(spark, nx, ny, planes, partitions=3):
+    from pyspark.sql import functions as F
+
+    k = F.col("id")
+    values = F.transform(F.sequence(F.lit(1), F.lit(planes)), lambda p: (k * 10 + p).cast("float"))
+    return spark.range(nx * ny).repartition(partitions).select((k % nx + 1).cast("int").alias("x"), (F.floor(k / nx) + 1).cast("int").alias("y"), values.alias("v"), (k % 251).cast("int").alias("n"))
+
+
+def sink(df, products, mode="append", **options):
+    import json
+
+    w = df.write.format("fits_output").mode(mode).option("products", json.dumps(products))
+    for k, v in options.items():
+        w = w.option(k, v)
+    w.save()
+
+
+def product(path, column="v", naxes=(7, 5, 4), bitpix=-32):
+    return {"path": str(path), "column": column, "naxes": list(naxes), "bitpix": bitpix}
+
+
+def test_commit_names_whole_files_with_their_sums(spark, tmp_path, monkeypatch):
+    fits.register(spark)
+    two = [product(tmp_path / "v.fits"), product(tmp_path / "n.fits", "n", (7, 5), 8)]
+    (tmp_path / ".v.fits.lostjob.staged").write_text("of a job that was lost")
+    sink(pixels(spark, 7, 5, 4), two)
+    assert sorted(os.listdir(tmp_path)) == ["n.fits", "v.fits"]
+    for name in ("v.fits", "n.fits"):
+        r = fits.verified(spark, str(tmp_path / name), chunk=8).first()
+        with open(tmp_path / name, "rb") as f:
+            h = fits_format.read_header(f)
+            f.seek(h.data_at)
+            words = np.frombuffer(f.read(), ">u4").astype(object).sum()
+        assert r["ok"] and r["stated"] == fits.folded(int(words)) == int(h["DATASUM"]) > 0
+    with open(tmp_path / "v.fits", "rb") as f:
+        got = fits_format.read_box(f, fits_format.read_header(f), fits_format.Box([(1, 7, 1), (1, 5, 1), (1, 4, 1)]))
+    assert got.tolist() == (np.arange(35).reshape(1, 5, 7) * 10 + np.arange(1, 5)[:, None, None]).tolist()
+    with open(tmp_path / "v.fits", "r+b") as f:  # a byte that changes later shows
+        f.seek(h.data_at + 9)
+        f.write(b"\x55")
+    assert not fits.verified(spark, str(tmp_path / "v.fits")).first()["ok"]
+    with pytest.raises(Exception, match="exists"):
+        sink(pixels(spark, 7, 5, 4), two)
+    sink(pixels(spark, 7, 5, 4), two, "overwrite")
+    assert fits.verified(spark, str(tmp_path / "v.fits")).first()["ok"] and len(os.listdir(tmp_path)) == 2
+
+
+@pytest.mark.parametrize("change, says", [("gap", "written twice in 1 of 5 rows, the first of them 3"), ("twice", "written twice in 5 of 5"), ("outside", "outside of 7 x 5"), ("planes", "hasn't 4 planes"), ("task", "lost task")])
+def test_what_is_not_whole_leaves_no_file(spark, tmp_path, change, says):
+    from pyspark.sql import functions as F
+
+    df = pixels(spark, 7, 5, 3 if change == "planes" else 4)
+    if change == "gap":
+        df = df.where("not (x = 2 and y = 3)")
+    if change == "twice":
+        df = df.unionByName(df)
+    if change == "outside":
+        df = df.withColumn("y", F.col("y") + 1)
+    if change == "task":
+
+        def broken(batches):
+            for b in batches:
+                if 9 in b.column(0).to_pylist():
+                    raise RuntimeError("lost task")
+                yield b
+
+        df = df.withColumn("z", F.col("x") + 7 * (F.col("y") - 1)).select("z", "x", "y", "v", "n").mapInArrow(broken, "z int, x int, y int, v array<float>, n int").drop("z")
+    with pytest.raises(Exception, match=says):
+        sink(df, [product(tmp_path / "v.fits"), product(tmp_path / "n.fits", "n", (7, 5), 16)])
+    assert os.listdir(tmp_path) == []
+    if change == "gap":
+        sink(df, [product(tmp_path / "v.fits")], gaps="allow")
+        assert fits.verified(spark, str(tmp_path / "v.fits")).first()["ok"]
+
+
+def test_of_several_products_all_are_there_or_none(spark, tmp_path):
+    """Another job has put a file of that name there between the start and the commit."""
+
+    def late(batches):
+        (tmp_path / "n.fits").write_text("another's")
+        yield from batches
+
+    df = pixels(spark, 7, 5, 4).mapInArrow(late, "x int, y int, v array<float>, n int")
+    with pytest.raises(Exception, match="n.fits exists"):
+        sink(df, [product(tmp_path / "v.fits"), product(tmp_path / "n.fits", "n", (7, 5), 8)])
+    assert os.listdir(tmp_path) == ["n.fits"] and (tmp_path / "n.fits").read_text() == "another's"
+
+
+def test_a_lost_driver_leaves_no_final_file(spark, tmp_path):
+    import signal
+    import subprocess
+    import sys
+    import time
+
+    code = f"""
+import sys, time
+sys.path.insert(0, {str(os.path.dirname(os.path.dirname(os.path.abspath(fits.__file__))).rsplit('/', 1)[0])!r})
+from pyspark.sql import SparkSession
+from faradeon.sources import fits
+s = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+fits.register(s)
+def slow(batches):
+    for b in batches:
+        yield b
+        open({str(tmp_path / 'began')!r}, "w").close()
+        time.sleep(600)
+df = s.range(35).selectExpr("int(id % 7 + 1) x", "int(id / 7 + 1) y", "float(id) v").mapInArrow(slow, "x int, y int, v float")
+df.write.format("fits_output").mode("append").option("path", {str(tmp_path / 'v.fits')!r}).option("naxes", "7,5").option("column", "v").save()
+"""
+    run = subprocess.Popen([sys.executable, "-c", code], start_new_session=True, stdout=subprocess.DEVNULL, stderr=subprocess.DEVNULL)
+    until = time.time() + 120
+    while not (tmp_path / "began").exists() and run.poll() is None and time.time() < until:
+        time.sleep(0.2)
+    os.killpg(run.pid, signal.SIGKILL)
+    run.wait()
+    assert (tmp_path / "began").exists() and not (tmp_path / "v.fits").exists()
+    assert any(n.endswith(fits.STAGED) for n in os.listdir(tmp_path))
+    sink(pixels(spark, 7, 5, 1).selectExpr("x", "y", "float(n) v"), [product(tmp_path / "v.fits", naxes=(7, 5))])
+    assert sorted(os.listdir(tmp_path)) == ["began", "v.fits"]
+
+
+def test_strips_are_pruned(spark, tmp_path):
+    from faradeon.sources.strips import read_strips, write_strips
+
+    path = str(tmp_path / "s")
+    write_strips(pixels(spark, 9, 40, 2), path, rows=8)
+    assert sorted(os.listdir(f"{path}/rows=8")) == [f"y0={k}" for k in (1, 17, 25, 33, 9)]
+    part = read_strips(spark, path, x=(2, 3), y=(20, 26))
+    assert {f.split("y0=")[1].split("/")[0] for f in part.inputFiles()} <= {"1", "9", "17", "25", "33"}
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "y0" in plan.split("PartitionFilters: [")[1].split("]")[0] and "GreaterThanOrEqual(y,20)" in plan
+    rows = part.collect()
+    assert {(r["x"], r["y"]) for r in rows} == {(x, y) for x in (2, 3) for y in range(20, 27)} and part.columns == ["x", "y", "v", "n"]
+    assert read_strips(spark, path).count() == 360
+    with pytest.raises(Exception, match="already exists"):
+        write_strips(pixels(spark, 9, 40, 2), path, rows=8)
