@@ -1,10 +1,11 @@
 """Byte-level BPE encoding and decoding with a transducer of frequent words.
 
 A text is cut before single spaces and line feeds that stand between other characters, where the pattern of byte-level
-BPE never joins characters, so each unit is encoded by itself. Units are counted over all documents; those that occur
-most, with their ids, are compiled into a minimal acyclic transducer, written to the shared folder and handed to the
-executors by Spark, where workers memory-map it. A batch's distinct units are looked up together; the others are cut
-by the library's pre-tokeniser and merged here, by rank, exactly. So the lexicon decides the speed and never the ids.
+BPE never joins characters, so each unit is encoded by itself. Words (units without the marks at their end) are counted
+over all documents; those that occur most, with their ids, are compiled into a minimal acyclic transducer, written to
+the shared folder and handed to the executors by Spark, where workers memory-map it. A batch's distinct units are looked
+up together, then the words of units that aren't there; what is left is cut by the library's pre-tokeniser and merged
+here, by rank, exactly. So the lexicon decides the speed and never the ids.
 """
 
 from __future__ import annotations
@@ -24,10 +25,17 @@ from ._shared import bounded_batches, materialise, own_path, temporary, texts
 from .lexicon import Lexicon, compiled
 from .tokenize import _RARE, _SEGMENT, WHITE, _byte_letters, vocabulary
 
-#: Units in the lexicon at most, their least count, and their longest size in bytes; they bound memory only.
-UNITS, LEAST, LONGEST = 1 << 16, 3, 48
-#: Units merged here that a worker keeps.
-KEPT = 200_000
+#: Words in the lexicon at most, their least count, and their longest size in bytes; they bound memory only.
+UNITS, LEAST, LONGEST = 1 << 17, 3, 48
+#: Words merged here that a worker keeps.
+KEPT = 100_000
+#: Marks that never join the letters before them; the apostrophe can.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: A word and the marks at its end. Letters of scripts whose list of letters is long closed; others go to the pre-tokeniser.
+_MARKED = re.compile(r"([ \n]?)([A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0386\u0388-\u038a\u038c\u038e-\u03a1\u03a3-\u03f5\u0400-\u0481]+)([!-&(-/:-@\[-`{-~]*)")
+#: Symbols from which pairs stand in a heap.
+HEAP_FROM = 40
+_NONE = 1 << 62
 
 ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
@@ -48,47 +56,79 @@ class Bpe:
         self.specials = {t["content"]: t["id"] for t in added}
         self._special = re.compile("|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) or r"(?!)")
         self._letters = vocab
-        self._rank = {}
+        self._pairs = {}  # (left, right): rank * 2^24 + the joined id
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self._rank[vocab[a], vocab[b]] = rank, vocab[a + b]
+            self._pairs[vocab[a], vocab[b]] = rank << 24 | vocab[a + b]
         self._cut = Tokenizer.from_file(path).pre_tokenizer
         back = {letter: byte for byte, letter in _byte_letters().items()}
         self.bytes = {i: bytes(back[c] for c in t) if all(c in back for c in t) else t.encode() for t, i in [*vocab.items(), *self.specials.items()]}
+        self._shown = _byte_letters()
         self.kept: dict[str, list[int]] = {}
+        self._ends: dict[str, list[int]] = {}
+        self.feed = self.unit("\n")
 
     def merge(self, letters: str) -> list[int]:
         """Ids of one word, given as byte letters: the pair of least rank is joined first, the leftmost of equal ones."""
-        ids, rank = [self._letters[c] for c in letters], self._rank
-        n = len(ids)
+        ids = [self._letters[c] for c in letters]
+        if len(ids) >= HEAP_FROM:
+            return self._merge_long(ids)
+        known = self._pairs.get
+        pairs = [known(p, _NONE) for p in zip(ids, ids[1:], strict=False)]
+        while pairs and (least := min(pairs)) < _NONE:
+            i, new = pairs.index(least), least & 0xFFFFFF
+            ids[i : i + 2] = [new]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = known((ids[i - 1], new), _NONE)
+            if i < len(pairs):
+                pairs[i] = known((new, ids[i + 1]), _NONE)
+        return ids
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """The same by a heap of pairs over linked symbols."""
+        n, known = len(ids), self._pairs
         after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
-        heap = [(found[0], i, found[1], ids[i], ids[i + 1]) for i in range(n - 1) if (found := rank.get((ids[i], ids[i + 1])))]
+        heap = [(found, i, ids[i], ids[i + 1]) for i in range(n - 1) if (found := known.get((ids[i], ids[i + 1]))) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, new, a, b = heapq.heappop(heap)
+            found, i, a, b = heapq.heappop(heap)
             j = after[i]
             if ids[i] != a or j >= n or ids[j] != b:
                 continue  # one of the two has been joined to another
-            ids[i], ids[j] = new, -1
+            ids[i], ids[j] = found & 0xFFFFFF, -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
             for x, y in ((before[i], i), (i, k)):
-                if x >= 0 and y < n and (found := rank.get((ids[x], ids[y]))):
-                    heapq.heappush(heap, (found[0], x, found[1], ids[x], ids[y]))
+                if x >= 0 and y < n and (found := known.get((ids[x], ids[y]))) is not None:
+                    heapq.heappush(heap, (found, x, ids[x], ids[y]))
         return [x for x in ids if x >= 0]
 
-    def unit(self, text: str) -> list[int]:
-        """Ids of a unit that isn't in the lexicon."""
+    def word(self, text: str) -> list[int]:
+        """Ids of letters alone, after a space or nothing."""
         ids = self.kept.get(text)
         if ids is None:
-            ids = [i for letters, _ in self._cut.pre_tokenize_str(text) for i in self.merge(letters)]
+            ids = self.merge(text.encode("utf-8").decode("latin-1").translate(self._shown))
             if len(text) <= LONGEST:
                 if len(self.kept) >= KEPT:
                     self.kept.clear()
                 self.kept[text] = ids
         return ids
 
+    def unit(self, text: str) -> list[int]:
+        """Ids of any unit."""
+        return [i for letters, _ in self._cut.pre_tokenize_str(text) for i in self.merge(letters)]
+
+    def marks(self, text: str) -> list[int]:
+        """Ids of marks that follow a word."""
+        ids = self._ends.get(text)
+        if ids is None:
+            if len(self._ends) >= KEPT:
+                self._ends.clear()
+            ids = self._ends[text] = self.unit(text) if text else []
+        return ids
+
     def marked(self, text: str) -> bool:
         """Whether a special token's string is in it."""
         return any(s in text for s in self.specials)
@@ -140,6 +180,30 @@ def _units(text: str, spaced: _Spaced, plain: _Plain) -> list[int]:
     return [plain[head], *map(spaced.__getitem__, rest)]
 
 
+def find(lexicon: Lexicon, units: list[str]) -> np.ndarray:
+    """Places in the lexicon; -1 where a unit isn't there or is longer than what is."""
+    return lexicon.find([u.encode("utf-8") if len(u) <= LONGEST else b"" for u in units]) if units else np.zeros(0, np.int64)
+
+
+def _unseen(bpe: Bpe, lexicon: Lexicon, units: list[str]) -> list[list[int]]:
+    """Ids of units that the lexicon lacks: of a word in it and the marks after the word, or merged."""
+    split = [_MARKED.fullmatch(u) for u in units]
+    words = list({m[1].replace("\n", "") + m[2] for m in split if m and (m[3] or m[1] == "\n")})
+    ids, ends = lexicon.ids, lexicon.ends
+    known = {w: ids[ends[p] : ends[p + 1]].tolist() for w, p in zip(words, find(lexicon, words).tolist(), strict=True) if p >= 0}
+    out = []
+    for u, m in zip(units, split, strict=True):
+        if m:
+            feed = m[1] == "\n"
+            word = m[2] if feed else m[1] + m[2]
+            found = known.get(word)
+            found = bpe.word(word) if found is None else found
+            out.append([*(bpe.feed if feed else ()), *found, *bpe.marks(m[3])] if feed or m[3] else found)
+        else:
+            out.append([bpe.specials[u]] if u in bpe.specials else bpe.unit(u))
+    return out
+
+
 def encode_batch(bpe: Bpe, lexicon: Lexicon, documents: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the documents in turn, and where each document's begin (one more than documents)."""
     units: list[str] = []
@@ -151,9 +215,9 @@ def encode_batch(bpe: Bpe, lexicon: Lexicon, documents: list[str]) -> tuple[np.n
         else:
             own = _units(text, spaced, plain) if text else []
         codes.append(np.array(own, np.int64))
-    places = lexicon.find([u.encode("utf-8") if len(u) <= LONGEST else b"" for u in units]) if units else np.zeros(0, np.int64)
+    places = find(lexicon, units)
     unseen = np.flatnonzero(places < 0).tolist()
-    merged = [[bpe.specials[units[k]]] if units[k] in bpe.specials else bpe.unit(units[k]) for k in unseen]
+    merged = _unseen(bpe, lexicon, [units[k] for k in unseen])
     known = places >= 0
     # each unit's run of ids: in the lexicon, or behind it
     starts, sizes = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
@@ -186,14 +250,13 @@ def _lexicon(name: str) -> Lexicon:
 
 
 def frequent_units(docs: DataFrame, most: int = UNITS, least: int = LEAST) -> DataFrame:
-    """unit, count: the units of all of ``docs`` with the largest counts, ``most`` of them at most; all of a count or none.
+    """unit, count: the words of all of ``docs``, each with the space before it, with the largest counts, ``most`` of them at most; all of a count or none.
 
     Where to cut is read off a histogram of counts (eight bins an octave), so nothing is sorted in one task.
     """
-    piece = F.explode(F.split(F.replace(F.col("text").cast("string"), F.lit("\n"), F.lit(" \n")), " ", -1))
-    pieces = docs.select(piece.alias("p")).where((F.col("p") != "") & (F.octet_length("p") < LONGEST))
-    unit = F.when(F.startswith("p", F.lit("\n")), F.col("p")).otherwise(F.concat(F.lit(" "), "p"))
-    counts = pieces.groupBy("p").agg(F.count("*").alias("count")).where(F.col("count") >= least).select(unit.alias("unit"), "count", F.floor(F.log2("count") * 8).cast("int").alias("bin"))
+    piece = F.explode(F.split(F.translate(F.col("text").cast("string"), "\n", " "), " ", -1))
+    word = docs.select(piece.alias("p")).select(F.rtrim("p", F.lit(MARKS)).alias("p")).where((F.col("p") != "") & (F.octet_length("p") < LONGEST))
+    counts = word.groupBy("p").agg(F.count("*").alias("count")).where(F.col("count") >= least).select(F.concat(F.lit(" "), "p").alias("unit"), "count", F.floor(F.log2("count") * 8).cast("int").alias("bin"))
     counts = materialise(counts, "units")
     cut, held = 0, 0
     for r in counts.groupBy("bin").agg(F.count("*").alias("n")).orderBy(F.desc("bin")).collect():  # at most 8 bins for each of 63 octaves
@@ -263,7 +326,8 @@ def _decode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(path)
         for batch in batches:
-            found = [None if x is None else bpe.decode(x) for x in batch.column(1).to_pylist()]
+            column = batch.column(1)
+            found = [bpe.decode(x.values.to_pylist()) if x.is_valid else None for x in column]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string())], names=["doc_id", "ids", "text"])
 
     return run

@@ -65,9 +65,9 @@ def test_empty_table_and_no_frequent_word(spark, library):
 
 def test_lexicon_holds_the_most_frequent_units_of_all_documents(spark):
     df = table(spark, [(k, "often often rare " + f"u{k}") for k in range(40)] + [(99, "x often\nline " * 5)])
-    assert {(r["unit"], r["count"]) for r in bpe.frequent_units(df, 5, 3).collect()} == {(" often", 85), (" rare", 40), ("\nline", 5), (" x", 5)}
+    assert {(r["unit"], r["count"]) for r in bpe.frequent_units(df, 5, 3).collect()} == {(" often", 85), (" rare", 40), (" line", 5), (" x", 5)}
     held = bpe.read_lexicon(spark, bpe.build_lexicon(df, vocabulary()))
-    assert (held.find([b" often", b" rare", b"\nline"]) >= 0).all() and held.find([b" u7"])[0] == -1
+    assert (held.find([b" often", b" rare", b" line"]) >= 0).all() and held.find([b" u7"])[0] == -1
     few = {r["unit"] for r in bpe.frequent_units(df, 2, 3).collect()}
     assert " often" in few and len(few) <= 2
 
