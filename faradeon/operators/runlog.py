@@ -88,10 +88,11 @@ def intervals(events: DataFrame, by: list[str] = ("run", "stage"), start: str =
     """
     some = events.where(F.col("event").isin(start, end)).withColumn("_one", F.lit(1).cast("long"))
     numbered = _running(some, [*by, "event"], F.unix_micros(F.col("ts").cast("timestamp")), ["ts", *ties], {"k": "_one"}, range_seconds)
-    first = numbered.where(F.col("event") == start).select(*by, "k", F.col("ts").alias("t0"), F.col("bytes").alias("b0"))
-    last = numbered.where(F.col("event") == end).select(*by, "k", F.col("ts").alias("t1"), F.col("bytes").alias("b1"))
+    # one event of each kind has a number, so both meet in a grouping, which moves each row once
+    of = lambda kind, c: F.max(F.when(F.col("event") == kind, F.col(c)))
+    paired = numbered.groupBy(*by, "k").agg(of(start, "ts").alias("t0"), of(end, "ts").alias("t1"), of(start, "bytes").alias("b0"), of(end, "bytes").alias("b1"))
     seconds = F.unix_micros(F.col("t1").cast("timestamp")) / 1e6 - F.unix_micros(F.col("t0").cast("timestamp")) / 1e6
-    return first.join(last, [*by, "k"]).where("t1 > t0").select(*by, "k", "t0", "t1", F.round(seconds, 6).alias("seconds"), F.coalesce("b0", "b1").alias("bytes"))
+    return paired.where("t1 > t0").select(*by, "k", "t0", "t1", F.round(seconds, 6).alias("seconds"), F.coalesce("b0", "b1").alias("bytes"))
 
 
 def stage_totals(spans: DataFrame, by: list[str] = ("run", "stage")) -> DataFrame:
@@ -109,25 +110,38 @@ def _running(rows: DataFrame, by: list[str], micros: Column, order: list, sums:
     """``rows`` with running sums (new name: column) in ``order`` within groups, over time ranges of so many seconds.
 
     A range's rows are summed in one task, and what came before it is added from a table of one row a group and range.
+    Both are dealt by the same key, a struct, in which nulls are equal; so rows move once.
     """
-    at = rows.withColumn("_range", F.floor(micros / (range_seconds * 1_000_000)))
-    keys = [*by, "_range"]
-    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = at.groupBy(*keys).agg(*(F.sum(c).alias(f"_t_{n}") for n, c in sums.items())).select(*keys, *(F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums))
-    own = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    totals = totals.select(*(F.col(k).alias(f"_k_{k}") for k in keys), *(f"_b_{n}" for n in sums))
-    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
-    whole = at.select("*", *(F.sum(c).over(own).alias(f"_o_{n}") for n, c in sums.items())).join(totals, same)
-    return whole.select(*(c for c in rows.columns if c not in sums), *((F.col(f"_b_{n}") + F.col(f"_o_{n}")).alias(n) for n in sums), "_range")
+    at = rows.withColumn("_range", F.floor(micros / (range_seconds * 1_000_000))).withColumn("_key", F.struct(*by, "_range"))
+    groups = [F.col("_key").getField(c) for c in by]
+    before = Window.partitionBy(*groups).orderBy(F.col("_key._range")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = at.groupBy("_key").agg(*(F.sum(c).alias(f"_t_{n}") for n, c in sums.items())).select("_key", *(F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums))
+    own = Window.partitionBy("_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    whole = at.select("*", *(F.sum(c).over(own).alias(f"_o_{n}") for n, c in sums.items())).join(totals, "_key")
+    return whole.select(*(c for c in rows.columns if c not in sums), *((F.col(f"_b_{n}") + F.col(f"_o_{n}")).alias(n) for n in sums))
 
 
-def _until_next(points: DataFrame, by: list[str], order: list) -> DataFrame:
-    """``points`` (with _range, t) with ``next``: the time of the next point of the group, maybe in a later range."""
-    keys = [*by, "_range"]
-    firsts = points.groupBy(*keys).agg(F.min("t").alias("_f")).select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.lead("_f").over(Window.partitionBy(*by).orderBy("_range")).alias("_later"))
-    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
-    own = Window.partitionBy(*keys).orderBy(*order)
-    return points.withColumn("_next", F.lead("t").over(own)).join(firsts, same).withColumn("next", F.coalesce("_next", "_later")).select(*points.columns, "next")
+def _levels(points: DataFrame, by: list[str], steps: list[str], order: list, range_seconds: int) -> DataFrame:
+    """by, seconds, and for each of ``steps`` (columns of +1, -1 or 0) how many are open then; one row a time range and level.
+
+    Within a time range one window gives each point's level, counted from the range's start, and the time to the next
+    point; both are summed by level in place. What is left, a row a range and level, is all that meets by group: it
+    gives the counts at a range's start and the time from its last point to the next range's first.
+    """
+    at = points.withColumn("_range", F.floor(F.col("t") / (range_seconds * 1_000_000)))
+    own = Window.partitionBy(*by, "_range").orderBy(*order)
+    local = at.select(*by, "_range", "t", *steps, (F.lead("t").over(own) - F.col("t")).alias("_to"), *(F.sum(c).over(own.rowsBetween(Window.unboundedPreceding, 0)).alias(f"_l{c}") for c in steps))
+    level = local.groupBy(*by, "_range", *(f"_l{c}" for c in steps)).agg(F.sum("_to").alias("_to"), F.min("t").alias("_first"), F.max("t").alias("_last"), *(F.sum(c).alias(f"_s{c}") for c in steps))
+    group = Window.partitionBy(*by).orderBy("_range")
+    here = group.rangeBetween(0, 0)
+    known = level.select(
+        "*", *(F.coalesce(F.sum(f"_s{c}").over(group.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"_b{c}") for c in steps), *(F.sum(f"_s{c}").over(here).alias(f"_t{c}") for c in steps),
+        (F.min("_first").over(group.rangeBetween(1, Window.unboundedFollowing)) - F.max("_last").over(here)).alias("_gap"), F.min(F.struct(*(f"_l{c}" for c in steps))).over(here).alias("_least"),
+    )
+    inside = F.struct(F.col("_to").alias("us"), *((F.col(f"_b{c}") + F.col(f"_l{c}")).alias(c) for c in steps))
+    after = F.struct(F.col("_gap").alias("us"), *((F.col(f"_b{c}") + F.col(f"_t{c}")).alias(c) for c in steps))
+    both = F.when(F.col("_least") == F.struct(*(f"_l{c}" for c in steps)), F.array(inside, after)).otherwise(F.array(inside))
+    return known.select(*by, F.explode(both).alias("v")).select(*by, (F.col("v.us") / 1e6).alias("seconds"), *(F.col(f"v.{c}").alias(c) for c in steps))
 
 
 def active_counts(spans: DataFrame, by: list[str] = ("run",), range_seconds: int = RANGE_SECONDS) -> DataFrame:
@@ -138,21 +152,18 @@ def active_counts(spans: DataFrame, by: list[str] = ("run",), range_seconds: int
 
 def self_overlap(spans: DataFrame, by: list[str] = ("run",), range_seconds: int = RANGE_SECONDS) -> DataFrame:
     """Seconds during which two spans or more are open."""
-    order = ["t", F.desc("d")]
-    rows = _until_next(_running(_sweep(spans, list(by), []), list(by), F.col("t"), order, {"active": "d"}, range_seconds), list(by), order)
-    return rows.groupBy(*by).agg(F.coalesce(F.sum(F.when(F.col("active") >= 2, (F.col("next") - F.col("t")) / 1e6)), F.lit(0.0)).alias("seconds"))
+    rows = _levels(_sweep(spans, list(by), []), list(by), ["d"], ["t", F.desc("d")], range_seconds)
+    return rows.groupBy(*by).agg(F.coalesce(F.sum(F.when(F.col("d") >= 2, F.col("seconds"))), F.lit(0.0)).alias("seconds"))
 
 
 def cross_overlap(spans: DataFrame, kind: str, a: str, b: str, by: list[str] = ("run",), range_seconds: int = RANGE_SECONDS) -> DataFrame:
     """Seconds during which a span of kind ``a`` and one of kind ``b`` are open."""
     tagged = spans.where(F.col(kind).isin(a, b)).withColumn("_tag", F.col(kind))
     points = _sweep(tagged, list(by), [F.col("_tag")])
-    order = ["t", F.desc("d"), "_tag"]
     step = lambda k: F.when(F.col("_tag") == k, F.col("d")).otherwise(0)
-    counted = _running(points.withColumn("_a", step(a)).withColumn("_z", step(b)), list(by), F.col("t"), order, {"na": "_a", "nb": "_z"}, range_seconds)
-    rows = _until_next(counted, list(by), order)
+    rows = _levels(points.withColumn("na", step(a)).withColumn("nb", step(b)), list(by), ["na", "nb"], ["t", F.desc("d"), "_tag"], range_seconds)
     both = (F.col("na") > 0) & (F.col("nb") > 0)
-    return rows.groupBy(*by).agg(F.coalesce(F.sum(F.when(both, (F.col("next") - F.col("t")) / 1e6)), F.lit(0.0)).alias("seconds"))
+    return rows.groupBy(*by).agg(F.coalesce(F.sum(F.when(both, F.col("seconds"))), F.lit(0.0)).alias("seconds"))
 
 
 def macro_timing(stages: DataFrame, total: str = "total") -> DataFrame:

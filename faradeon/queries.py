@@ -913,3 +913,45 @@ def r3(s, d):
     return rounded(rows.withColumn("cut", cut).where("lp > cut").select("x", "y", "chan", "lp"), "lp")
 
 
+# -- the same by functions called from SQL
+
+
+def _samples_view(s, d) -> str:
+    """Name of a view of the samples with their wavelengths squared; the functions are known to the session after it."""
+    from .functions import sql
+
+    sql.register(s)
+    cube(s, d).join(F.broadcast(AXES.channels(s).select("chan", "lsq")), "chan").select("chan", "x", "y", "u", "q", "w", "lsq").createOrReplaceTempView("faradeon_samples")
+    return "faradeon_samples"
+
+
+_AXIS = "beg => -40D, end => 40D, n => 41"
+
+
+@query("sql_rm_synthesis", _SPECTRUM)
+def sql_synthesis(s, d):
+    rows = s.sql(f"SELECT x, y, irm, rm, re, im FROM rm_synthesis(TABLE({_samples_view(s, d)}) PARTITION BY (x, y), {_AXIS})")
+    return rounded(rows, "re", "im")
+
+
+@query("sql_peak_map", _with(_CUBE, _AXES, _FAR, _TAIL) + "SELECT x, y, round(peak, 5) AS peak, rm_peak, round(peak / greatest(CASE WHEN q50 - q16 > 0 THEN (q50 - q16) / 0.67449 ELSE 1.4826 * mad END, 1e-12), 4) AS snr FROM h")
+def sql_peaks(s, d):
+    rows = s.sql(f"SELECT x, y, peak, rm_peak, snr FROM peak_map(TABLE(SELECT * FROM rm_synthesis(TABLE({_samples_view(s, d)}) PARTITION BY (x, y), {_AXIS})) PARTITION BY (x, y)) WHERE peak IS NOT NULL")
+    return rounded(rounded(rows, "peak", n=5), "snr", n=4)
+
+
+@query("sql_rm_clean", _cleaned_sql(3))
+def sql_clean(s, d):
+    names = ("component_re", "component_im", "re", "im")
+    rows = s.sql(f"SELECT x, y, irm, {', '.join(names)} FROM rm_clean(TABLE({_samples_view(s, d)}) PARTITION BY (x, y), {_AXIS}, threshold => 0.5D, niter => 3)")
+    return rounded(rows, *names)
+
+
+@query("sql_scalar_functions", _with(_CUBE, _AXES) + "SELECT x, y, chan, round(sqrt(q * q + u * u), 6) AS amp, round(cos(2 * (0.5 * atan2(u, q))), 6) + 0.0 AS c, round(lsq, 9) AS lsq, round(sqrt(q * q + u * u) / i, 9) AS p FROM cube JOIN chans USING (chan) WHERE w = 1")
+def sql_scalars(s, d):
+    from .functions import sql
+
+    sql.register(s)
+    cube(s, d).join(F.broadcast(AXES.channels(s).select("chan", "freq")), "chan").createOrReplaceTempView("faradeon_cube")
+    rows = s.sql("SELECT x, y, chan, amplitude(q, u) AS amp, cos(2 * pol_angle(q, u)) AS c, lambda_squared(freq) AS lsq, fractional_polarisation(q, u, i) AS p FROM faradeon_cube WHERE w = 1")
+    return rounded(rounded(rows, "amp", "c"), "lsq", "p", n=9)
