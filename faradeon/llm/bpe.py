@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,8 @@ KEPT = 100_000
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: A word and the marks at its end. Letters of scripts whose list of letters is long closed; others go to the pre-tokeniser.
 _MARKED = re.compile(r"([ \n]?)([A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0386\u0388-\u038a\u038c\u038e-\u03a1\u03a3-\u03f5\u0400-\u0481]+)([!-&(-/:-@\[-`{-~]*)")
+#: Bytes of texts that are encoded at once; they bound memory only.
+SLICE_BYTES = 3 << 20
 #: Symbols from which pairs stand in a heap.
 HEAP_FROM = 40
 _NONE = 1 << 62
@@ -298,16 +301,36 @@ def build_lexicon(docs: DataFrame, path: str, most: int = UNITS, least: int = LE
     return out.rpartition("/")[2]
 
 
-def _encode(path: str, name: str):
+def _encode(path: str, name: str, decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, lexicon = _bpe(path), _lexicon(name)
-        for batch in batches:
-            ids, starts = encode_batch(bpe, lexicon, texts(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids))], schema=ENCODED)
+        for whole in batches:
+            for batch in _slices(whole):
+                ids, starts = encode_batch(bpe, lexicon, texts(batch.column(1)))
+                columns = [batch.column(0), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids))]
+                if decoded:
+                    columns.append(pa.array([bpe.decode(ids[a:b].tolist()) for a, b in zip(starts.tolist(), starts[1:].tolist(), strict=False)], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "text"][: len(columns)])
 
     return run
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch, about SLICE_BYTES of text at once, one row at least."""
+    size = np.cumsum(np.asarray(pc.binary_length(batch.column(1).fill_null("")), np.int64))
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + SLICE_BYTES, "right")))
+        yield batch.slice(a, b - a)
+        a = b
+
+
+def _rows(docs: DataFrame, path: str, name: str | None) -> tuple[DataFrame, str]:
+    name = name or build_lexicon(docs, path)
+    bounded_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), name
+
+
 def encode(docs: DataFrame, path: str | None = None, name: str | None = None) -> DataFrame:
     """doc_id, ids (array<int>): every whole text of ``docs`` (doc_id, text) encoded as the tokenizers library does by default.
 
@@ -316,10 +339,15 @@ def encode(docs: DataFrame, path: str | None = None, name: str | None = None) ->
     text are those tokens. ``name``: a lexicon from build_lexicon, else one is built from ``docs``.
     """
     path = path or vocabulary()
-    name = name or build_lexicon(docs, path)
-    bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_encode(path, name), "doc_id long, ids array<int>")
+    rows, name = _rows(docs, path, name)
+    return rows.mapInArrow(_encode(path, name, False), "doc_id long, ids array<int>")
+
+
+def round_trip(docs: DataFrame, path: str | None = None, name: str | None = None) -> DataFrame:
+    """doc_id, ids, text: ``encode`` and then ``decode`` of each document's ids, in the same tasks."""
+    path = path or vocabulary()
+    rows, name = _rows(docs, path, name)
+    return rows.mapInArrow(_encode(path, name, True), "doc_id long, ids array<int>, text string")
 
 
 def _decode(path: str):

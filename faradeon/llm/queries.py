@@ -52,7 +52,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(bpe.decode(bpe.encode(read(spark, sf_dir, "documents"))))
+    return bpe.digests(bpe.round_trip(read(spark, sf_dir, "documents")))
 
 
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
