@@ -119,9 +119,33 @@ def cyclic_shift(values: Col, by: int) -> Column:
     return F.when(n == 0, v).otherwise(F.concat(F.slice(v, n - k + 1, k), F.slice(v, F.lit(1), n - k)))
 
 
-def noisy(value: Col, sigma: float, seed: int) -> Column:
-    """Value plus normal noise; the same for the same rows in the same partitions."""
-    return _c(value) + sigma * F.randn(seed)
+def _digits(seed: int, keys: tuple[Col, ...]) -> Column:
+    """32 hexadecimal digits that belong to a seed and a row's keys; a null key is its own value."""
+    text = [F.coalesce(F.concat(F.lit("k"), _c(k).cast("string")), F.lit("n")) for k in keys]
+    return F.md5(F.concat_ws(":", F.lit(str(int(seed))), *text).cast("binary"))
+
+
+def _fraction(digits: Column, first: int) -> Column:
+    """13 of the digits as a number from 0 to 1, without 1."""
+    return F.conv(F.substring(digits, first, 13), 16, 10).cast("long").cast("double") / float(1 << 52)
+
+
+def uniform(seed: int, *keys: Col) -> Column:
+    """A number from [0, 1) that follows from the seed and the row's keys alone, whatever partition the row is in."""
+    return _fraction(_digits(seed, keys), 1)
+
+
+def normal(seed: int, *keys: Col) -> Column:
+    """A standard normal number (Box and Muller's form) that follows from the seed and the row's keys alone."""
+    d = _digits(seed, keys)
+    return F.sqrt(-2 * F.ln(1 - _fraction(d, 1))) * F.cos(2 * math.pi * _fraction(d, 14))
+
+
+def noisy(value: Col, sigma: float, seed: int, *keys: Col) -> Column:
+    """Value plus normal noise that belongs to the row's keys."""
+    if not keys:
+        raise ValueError("noise belongs to rows by their keys: name the columns that tell rows apart")
+    return _c(value) + sigma * normal(seed, *keys)
 
 
 def trimmed_length(text: Col) -> Column:

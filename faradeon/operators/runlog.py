@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .scan import running
+
 #: Patterns of log lines; fixed values.
 LINE = r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}).*?\[(\w+)\]\s+\[([^\]]+)\]\s+\[tid=(\d+)\]\s+(.*)$"
 ASYNC = r"async\s+(enqueue|start|done)\s+(compute|scatter)\s+slot=(\d+)\s+sub=(\d+)"
@@ -107,18 +109,8 @@ def _sweep(spans: DataFrame, by: list[str], extra: list[Column]) -> DataFrame:
 
 
 def _running(rows: DataFrame, by: list[str], micros: Column, order: list, sums: dict[str, str], range_seconds: int) -> DataFrame:
-    """``rows`` with running sums (new name: column) in ``order`` within groups, over time ranges of so many seconds.
-
-    A range's rows are summed in one task, and what came before it is added from a table of one row a group and range.
-    Both are dealt by the same key, a struct, in which nulls are equal; so rows move once.
-    """
-    at = rows.withColumn("_range", F.floor(micros / (range_seconds * 1_000_000))).withColumn("_key", F.struct(*by, "_range"))
-    groups = [F.col("_key").getField(c) for c in by]
-    before = Window.partitionBy(*groups).orderBy(F.col("_key._range")).rowsBetween(Window.unboundedPreceding, -1)
-    totals = at.groupBy("_key").agg(*(F.sum(c).alias(f"_t_{n}") for n, c in sums.items())).select("_key", *(F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums))
-    own = Window.partitionBy("_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    whole = at.select("*", *(F.sum(c).over(own).alias(f"_o_{n}") for n, c in sums.items())).join(totals, "_key")
-    return whole.select(*(c for c in rows.columns if c not in sums), *((F.col(f"_b_{n}") + F.col(f"_o_{n}")).alias(n) for n in sums))
+    """``scan.running`` over time ranges of so many seconds."""
+    return running(rows, by, F.floor(micros / (range_seconds * 1_000_000)), order, sums)
 
 
 def _levels(points: DataFrame, by: list[str], steps: list[str], order: list, range_seconds: int) -> DataFrame:

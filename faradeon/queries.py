@@ -661,13 +661,6 @@ def p22(s, d):
     return rounded(interpolated_peaks(synthesis.synthesise(synthesis.spectra(cube(s, d), N_CHAN), AXES, "ri", precision="double"), RM), "rm_peak", "peak")
 
 
-@query("r1_outliers")
-def r1(s, d):
-    from .operators.fitting import outliers
-
-    return outliers(cube(s, d), ["x", "y"], "chan", "i")
-
-
 @query("r2_bandpass_flags")
 def r2(s, d):
     from .operators.fitting import bandpass_flags
@@ -955,3 +948,155 @@ def sql_scalars(s, d):
     cube(s, d).join(F.broadcast(AXES.channels(s).select("chan", "freq")), "chan").createOrReplaceTempView("faradeon_cube")
     rows = s.sql("SELECT x, y, chan, amplitude(q, u) AS amp, cos(2 * pol_angle(q, u)) AS c, lambda_squared(freq) AS lsq, fractional_polarisation(q, u, i) AS p FROM faradeon_cube WHERE w = 1")
     return rounded(rounded(rows, "amp", "c"), "lsq", "p", n=9)
+
+
+# -- Fourier transforms of lines and planes, convolution, alignment
+
+
+_WAVE = "2 * pi() * k * chan / 64.0"
+
+
+@query("x14_fourier_lines", _with(_CUBE) + f"SELECT x, y, CAST(k AS INT) AS chan, round(sum(q * cos({_WAVE}) + u * sin({_WAVE})), 6) + 0.0 AS re, round(sum(u * cos({_WAVE}) - q * sin({_WAVE})), 6) + 0.0 AS im FROM cube CROSS JOIN (SELECT range AS k FROM range(64)) GROUP BY 1, 2, 3")
+def x14_lines(s, d):
+    """Lines longer than a task may hold (16 points here), in four steps."""
+    from .operators.transforms import fourier
+
+    return rounded(fourier(cube(s, d), ["x", "y"], "chan", 64, "q", "u", line=16), "re", "im")
+
+
+@query("x14_fourier_inverse", _with(_CUBE) + f"SELECT x, y, CAST(k AS INT) AS chan, round(sum(q * cos({_WAVE}) - u * sin({_WAVE})) / 64, 6) + 0.0 AS re, round(sum(u * cos({_WAVE}) + q * sin({_WAVE})) / 64, 6) + 0.0 AS im FROM cube CROSS JOIN (SELECT range AS k FROM range(64)) GROUP BY 1, 2, 3")
+def x14_inverse(s, d):
+    from .operators.transforms import fourier
+
+    return rounded(fourier(cube(s, d), ["x", "y"], "chan", 64, "q", "u", inverse=True), "re", "im")
+
+
+_FOURIER = """wave AS (SELECT chan, kx, ky, sum(val * cos(2 * pi() * (kx * x + ky * y) / 8.0)) AS re, -sum(val * sin(2 * pi() * (kx * x + ky * y) / 8.0)) AS im FROM planes CROSS JOIN (SELECT range AS kx FROM range(8)) CROSS JOIN (SELECT range AS ky FROM range(8)) GROUP BY 1, 2, 3)"""
+
+
+@query("x14_fourier_planes", _with(_PLANES, _FOURIER) + "SELECT chan, CAST(kx AS INT) AS x, CAST(ky AS INT) AS y, round(re, 5) + 0.0 AS re, round(im, 5) + 0.0 AS im FROM wave")
+def x14_planes(s, d):
+    from .operators.transforms import fourier_2d
+
+    return rounded(fourier_2d(planes(s, d), ["chan"], 8, 8, "val", None), "re", "im", n=5)
+
+
+@query("x18_offsets", _with(_PLANES) + """SELECT chan, CAST(arg_max(((lx + 4) % 8) - 4, c) AS INT) AS dx, CAST(arg_max(((ly + 4) % 8) - 4, c) AS INT) AS dy FROM (
+  SELECT a.chan, (a.x - (b.x + b.chan) % 8 + 8) % 8 AS lx, (a.y - (b.y + 3 * b.chan) % 8 + 8) % 8 AS ly, sum(a.val * b.val) AS c FROM planes a JOIN planes b USING (chan) GROUP BY 1, 2, 3) GROUP BY 1""")
+def x18(s, d):
+    """By how much planes that were moved around their edges must move back; SQL sums the correlation itself."""
+    from .operators.transforms import offsets
+
+    a = planes(s, d)
+    b = a.select("chan", ((F.col("x") + F.col("chan")) % 8).alias("x"), ((F.col("y") + 3 * F.col("chan")) % 8).alias("y"), "val")
+    return offsets(a, b, ["chan"], 8, 8)
+
+
+@query("x18_moved", _with(_PLANES, _FOURIER) + """, turned AS (SELECT chan, kx, ky, re, im, -2 * pi() * (CASE WHEN kx <= 4 THEN kx ELSE kx - 8 END * 0.25 * chan + CASE WHEN ky <= 4 THEN ky ELSE ky - 8 END * -1.5) / 8.0 AS p FROM wave)
+SELECT chan, CAST(x AS INT) AS x, CAST(y AS INT) AS y, round(sum((re * cos(p) - im * sin(p)) * cos(2 * pi() * (kx * x + ky * y) / 8.0) - (re * sin(p) + im * cos(p)) * sin(2 * pi() * (kx * x + ky * y) / 8.0)) / 64, 5) + 0.0 AS val FROM turned CROSS JOIN (SELECT range AS x FROM range(8)) CROSS JOIN (SELECT range AS y FROM range(8)) GROUP BY 1, 2, 3""")
+def x18_moved(s, d):
+    from .operators.transforms import moved
+
+    p = planes(s, d)
+    shifts = p.select("chan").distinct().select("chan", (F.col("chan") * 0.25).alias("dx"), F.lit(-1.5).alias("dy"))
+    return rounded(moved(p, shifts, ["chan"], 8, 8), "val", n=5)
+
+
+@query("x16_convolved", """WITH t AS (SELECT unnest([0, 1, 2, 3, 4]) AS k, unnest([0.25, 0.5, -1.0, 2.0, 0.125]) AS w)
+SELECT CAST(user_id % 4 AS INT) AS tid, event_id + k AS event_id, round(sum(value * w), 6) + 0.0 AS value FROM events CROSS JOIN t GROUP BY 1, 2""")
+def x16(s, d):
+    """Series of four logs over ranges of 100 places; what a range needs of the one before comes as its halo."""
+    from .operators.transforms import convolved
+
+    e = read(s, d, "events").select((F.col("user_id") % 4).cast("int").alias("tid"), "event_id", "value")
+    return rounded(convolved(e, ["tid"], "event_id", "value", [0.25, 0.5, -1.0, 2.0, 0.125], block=100), "value")
+
+
+# -- scans, sums that merge, random columns, matrices
+
+
+@query("p5_bias_stateful", _with(_CUBE) + """SELECT x, y, chan, round(q - (i * 0.01 * CASE WHEN turns_q % 2 = 0 THEN 1 ELSE -1 END + 0.5), 6) + 0.0 AS q, round(u - (i * 0.02 * CASE WHEN turns_u % 2 = 0 THEN 1 ELSE -1 END - 0.25), 6) + 0.0 AS u FROM (
+  SELECT *, sum(CASE WHEN q >= 0.5 THEN 0 ELSE 1 END) OVER w AS turns_q, sum(CASE WHEN u >= -0.25 THEN 0 ELSE 1 END) OVER w AS turns_u FROM cube WHERE w = 1 WINDOW w AS (ORDER BY y, x, chan DESC ROWS UNBOUNDED PRECEDING))""")
+def p5_stateful(s, d):
+    """The published form, whose sign carries over from sample to sample and pixel to pixel."""
+    from .operators.scan import bias_corrected
+
+    c = cube(s, d).where("w = 1").select("x", "y", "chan", "q", "u", "i")
+    return rounded(bias_corrected(c, {"q": (0.01, 0.5), "u": (0.02, -0.25)}).drop("i"), "q", "u")
+
+
+_MD5 = "CAST('0x' || substr(md5('7:k' || o_orderkey || ':k' || o_custkey), {}, 13) AS BIGINT) / 4503599627370496.0"
+
+
+@query("x20_random", f"SELECT o_orderkey, round({_MD5.format(1)}, 9) AS u, round(sqrt(-2 * ln(1 - {_MD5.format(1)})) * cos(2 * pi() * {_MD5.format(14)}), 9) + 0.0 AS n, round(o_totalprice + 3 * sqrt(-2 * ln(1 - {_MD5.format(1)})) * cos(2 * pi() * {_MD5.format(14)}), 6) AS noisy FROM orders")
+def x20(s, d):
+    keys = ("o_orderkey", "o_custkey")
+    rows = read(s, d, "orders").repartition(7).select("o_orderkey", C.uniform(7, *keys).alias("u"), C.normal(7, *keys).alias("n"), C.noisy("o_totalprice", 3.0, 7, *keys).alias("noisy"))
+    return rounded(rounded(rows, "u", "n", n=9), "noisy")
+
+
+def _tables_of(s, d) -> tuple[DataFrame, DataFrame]:
+    """Two sets of matrices by return flag: 20 by 30 and 30 by 7."""
+    li = read(s, d, "lineitem")
+    of = lambda i, n, j, m, v: li.groupBy("l_returnflag", (F.col(i) % n).cast("int").alias("i"), (F.col(j) % m).cast("int").alias("j")).agg(F.sum(v).alias("v"))
+    return of("l_suppkey", 20, "l_partkey", 30, "l_discount"), of("l_partkey", 30, "l_linenumber", 7, "l_tax")
+
+
+@query("x13_product", "WITH a AS (SELECT l_returnflag, l_suppkey % 20 AS i, l_partkey % 30 AS k, sum(l_discount) AS v FROM lineitem GROUP BY 1, 2, 3), b AS (SELECT l_returnflag, l_partkey % 30 AS k, l_linenumber % 7 AS j, sum(l_tax) AS v FROM lineitem GROUP BY 1, 2, 3) SELECT l_returnflag, CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(sum(a.v * b.v), 5) AS v FROM a JOIN b USING (l_returnflag, k) GROUP BY 1, 2, 3")
+def x13(s, d):
+    from .operators.matrices import product
+
+    return rounded(product(*_tables_of(s, d), ["l_returnflag"], block=8), "v", n=5)
+
+
+_TWO = "SELECT l_suppkey, sum(l_quantity) AS a, sum(l_discount) AS b, sum(l_tax) AS c, CAST(count(*) AS DOUBLE) AS d FROM lineitem GROUP BY 1"
+
+
+@query("x13_inverse", f"SELECT l_suppkey, CAST(k // 2 AS INT) AS i, CAST(k % 2 AS INT) AS j, round(CASE k WHEN 0 THEN d WHEN 1 THEN -b WHEN 2 THEN -c ELSE a END / (a * d - b * c), 9) + 0.0 AS v FROM ({_TWO}) CROSS JOIN (SELECT range AS k FROM range(4))")
+def x13_inverse(s, d):
+    from .operators.matrices import inverse
+
+    two = read(s, d, "lineitem").groupBy("l_suppkey").agg(F.array(F.sum("l_quantity"), F.sum("l_discount"), F.sum("l_tax"), F.count("*").cast("double")).alias("m"))
+    rows = two.select("l_suppkey", F.posexplode("m").alias("p", "v")).select("l_suppkey", F.floor(F.col("p") / 2).cast("int").alias("i"), (F.col("p") % 2).cast("int").alias("j"), "v")
+    return rounded(inverse(rows, 2, ["l_suppkey"]), "v", n=9)
+
+
+#: Gauss and Jordan's elimination of each row's augmented matrix m of {n} rows, step by step.
+_SOLVED = """solved AS (SELECT {keys}, 0 AS step, m FROM gram UNION ALL
+  SELECT {keys}, step + 1, [CASE WHEN i = step + 1 THEN [v / m[step + 1][step + 1] FOR v IN m[step + 1]] ELSE [m[i][j] - m[i][step + 1] * m[step + 1][j] / m[step + 1][step + 1] FOR j IN range(1, {n} + 2)] END FOR i IN range(1, {n} + 1)] FROM solved WHERE step < {n})"""
+_SERIES = """point AS (SELECT x, y, chan, i, 2 * (chan - a) / CASE WHEN b > a THEN b - a ELSE 1.0 END - 1 AS s FROM cube JOIN (SELECT x, y, min(chan) AS a, max(chan) AS b FROM cube GROUP BY 1, 2) USING (x, y)),
+base AS (SELECT x, y, chan, i, [1, s, s * s, s * s * s, cos(pi() * (s + 1)), sin(pi() * (s + 1)), cos(2 * pi() * (s + 1)), sin(2 * pi() * (s + 1)), cos(3 * pi() * (s + 1)), sin(3 * pi() * (s + 1)), i] AS e FROM point),
+cell AS (SELECT x, y, p, r, sum(e[p] * e[r]) AS v FROM base CROSS JOIN (SELECT unnest(range(1, 11)) AS p) CROSS JOIN (SELECT unnest(range(1, 12)) AS r) GROUP BY 1, 2, 3, 4),
+gram AS (SELECT x, y, list(row ORDER BY p) AS m FROM (SELECT x, y, p, list(v ORDER BY r) AS row FROM cell GROUP BY 1, 2, 3) GROUP BY 1, 2)"""
+
+
+@query("r1_outliers", "WITH RECURSIVE " + ",\n".join([_CUBE, _SERIES, _SOLVED.format(keys="x, y", n=10)]) + """, off AS (SELECT x, y, chan, i, i - list_sum([e[k] * m[k][11] FOR k IN range(1, 11)]) AS residual FROM base JOIN solved USING (x, y) WHERE step = 10)
+SELECT x, y, chan, round(i, 6) AS i, round(residual, 4) + 0.0 AS residual FROM off JOIN (SELECT x, y, sqrt(avg(residual * residual)) AS rms FROM off GROUP BY 1, 2) USING (x, y) WHERE abs(residual) > 2 * rms""")
+def r1(s, d):
+    """Channels far from a fit by merged sums; SQL eliminates the same normal equations."""
+    from .operators.least_squares import residual_outliers
+
+    return rounded(rounded(residual_outliers(cube(s, d), ["x", "y"], "chan", "i").select("x", "y", "chan", "i", "residual"), "i"), "residual", n=4)
+
+
+@query("x17_plane_fits", "WITH RECURSIVE " + ",\n".join([_PLANES, """point AS (SELECT chan, [1, x, y, x * y, val] AS e FROM planes),
+cell AS (SELECT chan, p, r, sum(e[p] * e[r]) AS v FROM point CROSS JOIN (SELECT unnest(range(1, 5)) AS p) CROSS JOIN (SELECT unnest(range(1, 6)) AS r) GROUP BY 1, 2, 3),
+gram AS (SELECT chan, list(row ORDER BY p) AS m FROM (SELECT chan, p, list(v ORDER BY r) AS row FROM cell GROUP BY 1, 2) GROUP BY 1)""", _SOLVED.format(keys="chan", n=4)]) + " SELECT chan, round(m[1][5], 5) + 0.0 AS c0, round(m[2][5], 5) + 0.0 AS c1, round(m[3][5], 5) + 0.0 AS c2, round(m[4][5], 5) + 0.0 AS c3 FROM solved WHERE step = 4")
+def x17_planes(s, d):
+    from .operators.least_squares import least_squares
+
+    x, y = F.col("x"), F.col("y")
+    fit = least_squares(planes(s, d), ["chan"], [F.lit(1.0), x, y, x * y], F.col("val"))
+    return rounded(fit.select("chan", *(F.col("coefficients")[k].alias(f"c{k}") for k in range(4))), "c0", "c1", "c2", "c3", n=5)
+
+
+@query("x17_ellipses")
+def x17_ellipses(s, d):
+    """Ellipses through all of a log's points, laid on an ellipse of the log's own with the events' values as noise."""
+    from .operators.least_squares import ellipses
+
+    e, t = read(s, d, "events"), F.col("event_id") * 0.37
+    tid, off = F.col("user_id") % 4, (F.col("value") % 1 - 0.5) * 0.02
+    px, py = (5 + tid) * F.cos(t) * (1 + off), (2 + 0.5 * tid) * F.sin(t) * (1 + off)
+    points = e.select(tid.cast("int").alias("tid"), (10 * tid + px * F.cos(F.lit(0.4)) - py * F.sin(F.lit(0.4))).alias("x"), (px * F.sin(F.lit(0.4)) + py * F.cos(F.lit(0.4)) - tid).alias("y"))
+    return ellipses(points, ["tid"])
