@@ -27,15 +27,15 @@ from .lexicon import Lexicon, compiled
 from .tokenize import _RARE, _SEGMENT, WHITE, _byte_letters, vocabulary
 
 #: Words in the lexicon at most, their least count, and their longest size in bytes; they bound memory only.
-UNITS, LEAST, LONGEST = 1 << 17, 3, 48
-#: Words merged here that a worker keeps.
-KEPT = 100_000
+UNITS, LEAST, LONGEST = 1 << 18, 3, 48
+#: Runs of marks that a worker keeps, and words that are merged at once.
+KEPT, MERGED = 100_000, 1 << 14
 #: Marks that never join the letters before them; the apostrophe can.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: A word and the marks at its end. Letters of scripts whose list of letters is long closed; others go to the pre-tokeniser.
 _MARKED = re.compile(r"([ \n]?)([A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0386\u0388-\u038a\u038c\u038e-\u03a1\u03a3-\u03f5\u0400-\u0481]+)([!-&(-/:-@\[-`{-~]*)")
 #: Bytes of texts that are encoded at once; they bound memory only.
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 4 << 20
 #: Symbols from which pairs stand in a heap.
 HEAP_FROM = 40
 _NONE = 1 << 62
@@ -63,11 +63,14 @@ class Bpe:
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self._pairs[vocab[a], vocab[b]] = rank << 24 | vocab[a + b]
+        left, right = np.array([*self._pairs], np.int64).reshape(-1, 2).T
+        order = np.argsort(left << 24 | right)
+        self._keys, self._values = (left << 24 | right)[order], np.array([*self._pairs.values()], np.int64)[order]
+        shown = _byte_letters()
+        self._of_byte = np.array([vocab[shown[b]] for b in range(256)], np.int64)
         self._cut = Tokenizer.from_file(path).pre_tokenizer
         back = {letter: byte for byte, letter in _byte_letters().items()}
         self.bytes = {i: bytes(back[c] for c in t) if all(c in back for c in t) else t.encode() for t, i in [*vocab.items(), *self.specials.items()]}
-        self._shown = _byte_letters()
-        self.kept: dict[str, list[int]] = {}
         self._ends: dict[str, list[int]] = {}
         self.feed = self.unit("\n")
 
@@ -108,16 +111,54 @@ class Bpe:
                     heapq.heappush(heap, (found, x, ids[x], ids[y]))
         return [x for x in ids if x >= 0]
 
-    def word(self, text: str) -> list[int]:
-        """Ids of letters alone, after a space or nothing."""
-        ids = self.kept.get(text)
-        if ids is None:
-            ids = self.merge(text.encode("utf-8").decode("latin-1").translate(self._shown))
-            if len(text) <= LONGEST:
-                if len(self.kept) >= KEPT:
-                    self.kept.clear()
-                self.kept[text] = ids
-        return ids
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank and joined id of pairs of ids, _NONE where they don't join; negative ids join nothing."""
+        key = left << 24 | right
+        at = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
+        return np.where((self._keys[at] == key) & (left >= 0) & (right >= 0), self._values[at], _NONE)
+
+    def words(self, words: list[str]) -> list[list[int]]:
+        """Ids of many words, each of letters alone after a space or nothing: a step joins one pair of every word."""
+        data = [w.encode("utf-8") for w in words]
+        size = np.fromiter(map(len, data), np.int64, len(data))
+        out: list[list[int]] = [[]] * len(data)
+        for k in np.flatnonzero(size >= HEAP_FROM).tolist():
+            out[k] = self._merge_long(self._of_byte[np.frombuffer(data[k], np.uint8)].tolist())
+        own = np.flatnonzero(size < HEAP_FROM)
+        own = own[np.argsort(size[own], kind="stable")]
+        for part in np.array_split(own, -(-len(own) // MERGED)) if len(own) else ():  # of like lengths
+            n = size[part]
+            at = np.arange(int(n[-1])) < n[:, None]
+            ids = np.full(at.shape, -1, np.int64)
+            ids[at] = self._of_byte[np.frombuffer(b"".join(data[k] for k in part.tolist()), np.uint8)]
+            for k, x, m in zip(part.tolist(), *self._joined(ids, n), strict=True):
+                out[k] = x[:m]
+        return out
+
+    def _joined(self, ids: np.ndarray, n: np.ndarray) -> tuple[list[list[int]], list[int]]:
+        n, width = n.copy(), ids.shape[1]
+        edge = np.full((len(ids), 1), _NONE)
+        rank = np.concatenate([self._ranks(ids[:, :-1], ids[:, 1:]), edge], 1)
+        active, place = np.arange(len(ids)), np.arange(width)
+        while True:
+            least = rank[active].argmin(1)
+            value = rank[active, least]
+            go = value < _NONE
+            active, least, value = active[go], least[go], value[go]
+            if not len(active):
+                return ids.tolist(), n.tolist()
+            # what stands right of the pair moves a place to the left
+            moved = np.minimum(place + (place > least[:, None]), width - 1)
+            own, ranks = np.take_along_axis(ids[active], moved, 1), np.take_along_axis(rank[active], np.minimum(place + (place >= least[:, None]), width - 1), 1)
+            own[:, -1], ranks[:, -1] = -1, _NONE
+            rows = np.arange(len(active))
+            own[rows, least] = value & 0xFFFFFF
+            after = np.where(least + 1 < width, own[rows, np.minimum(least + 1, width - 1)], -1)
+            ranks[rows, least] = self._ranks(own[rows, least], after)
+            some = least > 0
+            ranks[rows[some], least[some] - 1] = self._ranks(own[rows[some], least[some] - 1], own[rows[some], least[some]])
+            ids[active], rank[active] = own, ranks
+            n[active] -= 1
 
     def unit(self, text: str) -> list[int]:
         """Ids of any unit."""
@@ -194,13 +235,13 @@ def _unseen(bpe: Bpe, lexicon: Lexicon, units: list[str]) -> list[list[int]]:
     words = list({m[1].replace("\n", "") + m[2] for m in split if m and (m[3] or m[1] == "\n")})
     ids, ends = lexicon.ids, lexicon.ends
     known = {w: ids[ends[p] : ends[p + 1]].tolist() for w, p in zip(words, find(lexicon, words).tolist(), strict=True) if p >= 0}
+    rest = list({w for m in split if m and (w := m[1].replace("\n", "") + m[2]) not in known})
+    known |= zip(rest, bpe.words(rest), strict=True)
     out = []
     for u, m in zip(units, split, strict=True):
         if m:
             feed = m[1] == "\n"
-            word = m[2] if feed else m[1] + m[2]
-            found = known.get(word)
-            found = bpe.word(word) if found is None else found
+            found = known[m[2] if feed else m[1] + m[2]]
             out.append([*(bpe.feed if feed else ()), *found, *bpe.marks(m[3])] if feed or m[3] else found)
         else:
             out.append([bpe.specials[u]] if u in bpe.specials else bpe.unit(u))
@@ -253,12 +294,13 @@ def _lexicon(name: str) -> Lexicon:
 
 
 def frequent_units(docs: DataFrame, most: int = UNITS, least: int = LEAST) -> DataFrame:
-    """unit, count: the words of all of ``docs``, each with the space before it, with the largest counts, ``most`` of them at most; all of a count or none.
+    """unit, count: the words of all of ``docs`` (cut at white space and marks), each with a space before it, with the largest counts, ``most`` of them at most; all of a count or none.
 
     Where to cut is read off a histogram of counts (eight bins an octave), so nothing is sorted in one task.
     """
-    piece = F.explode(F.split(F.translate(F.col("text").cast("string"), "\n", " "), " ", -1))
-    word = docs.select(piece.alias("p")).select(F.rtrim("p", F.lit(MARKS)).alias("p")).where((F.col("p") != "") & (F.octet_length("p") < LONGEST))
+    marks = MARKS + "\n"
+    piece = F.explode(F.split(F.translate(F.col("text").cast("string"), marks, " " * len(marks)), " ", -1))
+    word = docs.select(piece.alias("p")).where((F.col("p") != "") & (F.octet_length("p") < LONGEST))
     counts = word.groupBy("p").agg(F.count("*").alias("count")).where(F.col("count") >= least).select(F.concat(F.lit(" "), "p").alias("unit"), "count", F.floor(F.log2("count") * 8).cast("int").alias("bin"))
     counts = materialise(counts, "units")
     cut, held = 0, 0

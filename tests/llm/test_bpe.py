@@ -110,6 +110,20 @@ def test_merges_equal_the_library(text):
     assert _KEEP[1].unit(text) == _KEEP[0].encode(text, add_special_tokens=False).ids if not _KEEP[1].marked(text) else True
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="abcdeinrstégЖ", max_size=14) | st.text(alphabet="ab", min_size=40, max_size=70), max_size=30), st.integers(1, 9))
+def test_words_merged_at_once_equal_the_library(words, at_once):
+    from tokenizers import Tokenizer
+
+    _KEEP[:] = _KEEP or [Tokenizer.from_file(vocabulary()), bpe.Bpe(vocabulary())]
+    before, bpe.MERGED = bpe.MERGED, at_once
+    try:
+        spaced = [w if k % 2 else " " + w for k, w in enumerate(words)]
+        assert _KEEP[1].words(spaced) == [_KEEP[0].encode(w, add_special_tokens=False).ids for w in spaced]
+    finally:
+        bpe.MERGED = before
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.sets(st.binary(min_size=1, max_size=5).map(lambda b: bytes(x % 3 + 97 for x in b)), max_size=30), st.lists(st.binary(max_size=6).map(lambda b: bytes(x % 3 + 97 for x in b)), max_size=30))
 def test_transducer(words, others):
