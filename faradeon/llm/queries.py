@@ -82,7 +82,7 @@ WITH distinct_lines AS (
   FROM parts CROSS JOIN (SELECT unnest(range(6)) AS w) v WHERE v.w = 0 OR n >= 7
 ), recurring AS (
   SELECT n, head, template, w, min(doc_id) AS first FROM keys GROUP BY n, head, template, w, fixed
-  HAVING min(doc_id) < max(doc_id) AND count(DISTINCT doc_id) >= 2 AND count(DISTINCT doc_id) * fixed >= 16
+  HAVING min(doc_id) < max(doc_id) AND count(DISTINCT doc_id) >= 2 AND fixed > 0 AND (w = 0 OR count(DISTINCT doc_id) * fixed >= 16)
 ), dropped AS (
   SELECT DISTINCT k.doc_id, k.l FROM keys k JOIN recurring r ON k.n = r.n AND k.head = r.head AND k.template = r.template AND k.w = r.w WHERE k.doc_id > r.first
 ), placed AS (
