@@ -2,9 +2,9 @@
 
 Every passage (overlapping windows of one size that cover all of every document) is a query. The index holds, for each
 term, its BM25 impacts on units (an item's words, long items in parts), divided by the unit's score for itself, sorted
-by unit, with the maximum of the list and of each of its blocks. A batch of passages first goes through the
-block bounds: one in which no block's maxima add up to the threshold has no pivot. The others are retrieved by
-block-max WAND: cursors over the sorted lists, a pivot where the lists' maxima reach the threshold, block maxima
+by unit, with the maximum of the list and of each of its blocks; units of like lengths have lists of their own. Of a
+passage's lists those whose maxima together stay under the threshold are never read for candidates; a passage in which
+no block of the others can reach it has no pivot. What is left is retrieved by block-max WAND: cursors over the sorted lists, a pivot where the lists' maxima reach the threshold, block maxima
 that let a block be skipped, full scores only where both reach it. So nothing above the threshold is missed. Retrieved
 items count as contamination if the question part and the answer part overlap with the passage in word shingles.
 
@@ -29,7 +29,9 @@ from ._shared import bounded_batches, materialise, texts, with_key
 K1, B = 1.2, 0.75
 #: Share of its own score that a unit must get from a passage to be retrieved, and units in a block.
 THRESHOLD = 0.5
-BLOCK = 2
+BLOCK = 4
+#: Bands of units' lengths: up to 8 words, then 16, 32, 64 and more. A word's share of a unit's score falls with its length.
+BANDS = 5
 #: Words in a shingle, and the share of a part's shingles that a passage must hold.
 WORDS = 5
 OVERLAP = 0.8
@@ -56,6 +58,11 @@ def shingles(words: list[bytes], n: int = WORDS) -> set[bytes]:
     return {b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
 
 
+def band_of(words: int) -> int:
+    """Number of the band of a unit's length."""
+    return min(BANDS - 1, max(0, (words - 1).bit_length() - 3))
+
+
 class _Terms(dict):
     def __missing__(self, word: bytes) -> int:
         return -1
@@ -83,14 +90,29 @@ def units_of(words: list[bytes]) -> list[list[bytes]]:
 
 @dataclass
 class Part:
-    """Shingles of an item's question or answer: of WORDS words, or of all if it has fewer."""
+    """Shingles of an item's question or answer: of WORDS words, or its single words if it has fewer."""
 
     size: int
     shingles: set[bytes]
 
     @classmethod
     def of(cls, words: list[bytes]) -> Part:
-        return cls(min(WORDS, len(words)), shingles(words))
+        size = WORDS if len(words) >= WORDS else 1
+        return cls(size, shingles(words, size))
+
+
+def answer_from(text: str, n: int) -> int:
+    """How many of an item's ``n`` words are its question.
+
+    It ends at the last question mark that words follow, or else at the last line feed that words stand on both sides of, or
+    else after two thirds of the words; an item of one word is a question alone.
+    """
+    for mark in ("?", "\n"):
+        at = len(text)
+        while (at := text.rfind(mark, 0, at)) > 0:
+            if 0 < (before := len(words_of(text[:at]))) < n:
+                return before
+    return max(1, round(n * QUESTION))
 
 
 @dataclass
@@ -109,21 +131,26 @@ class Index:
 
     def __post_init__(self):
         self._lists: dict[int, tuple] = {}
+        self._place = np.empty(len(self.top), np.int64)  # of a list among all, by rising maximum
+        self._by_top = np.argsort(self.top, kind="stable")
+        self._place[self._by_top] = np.arange(len(self.top))
+        self.touched = 0  # block maxima that were read
 
     @classmethod
-    def build(cls, items: list[tuple[int, list[bytes]]], known: Statistics | None = None, block: int = BLOCK) -> Index:
-        """Index of (id, words); items without words are left out. ``known``: statistics of all items, if these are a group of them."""
-        whole = sorted(((i, w) for i, w in items if w), key=lambda x: (x[1], x[0]))  # similar items share blocks
-        parts = [(Part.of(w[:cut]), Part.of(w[cut:])) for _, w in whole for cut in [max(1, round(len(w) * QUESTION))]]
-        split = [(k, u) for k, (_, w) in enumerate(whole) for u in units_of(w)]
+    def build(cls, items: list[tuple[int, list[bytes], int]], known: Statistics | None = None, block: int = BLOCK) -> Index:
+        """Index of (id, words, words of its question); items without words are left out. ``known``: statistics of all items, if these are a group of them."""
+        whole = sorted((x for x in items if x[1]), key=lambda x: (x[1], x[0]))
+        parts = [(Part.of(w[:cut]), Part.of(w[cut:])) for _, w, cut in whole]
+        # units of like lengths stand together, similar ones in the same blocks
+        split = sorted(((k, u) for k, (_, w, _) in enumerate(whole) for u in units_of(w)), key=lambda x: band_of(len(x[1])))
         known = known or Statistics.of([u for _, u in split])
         terms = _Terms((t, k) for k, t in enumerate(sorted({t for _, u in split for t in u})))
-        term, unit, impact = [], [], []
+        term, unit, impact = [], [], []  # a term's list in a band of lengths has the number band * terms + term
         for k, (_, w) in enumerate(split):
             score = {t: np.log(1 + (known.units - known.frequency[t] + 0.5) / (known.frequency[t] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * len(w) / known.mean)) for t, n in Counter(w).items()}
             own = sum(score.values())
             for t, s in score.items():
-                term.append(terms[t])
+                term.append(band_of(len(w)) * len(terms) + terms[t])
                 unit.append(k)
                 impact.append(s / own)
         term, unit, impact = np.array(term, np.int64), np.array(unit, np.int64), np.array(impact, np.float64)
@@ -131,9 +158,11 @@ class Index:
         term, unit, impact = term[order], unit[order], impact[order]
         blocks = unit // block
         first = np.flatnonzero(np.concatenate([[True], (np.diff(term) != 0) | (np.diff(blocks) != 0)])) if len(term) else np.zeros(0, np.int64)
-        at = np.arange(len(terms) + 1)
+        at = np.arange(BANDS * len(terms) + 1)
         starts = np.searchsorted(term, at)
-        top, block_max = (np.maximum.reduceat(impact, x) if len(term) else impact for x in (starts[:-1], first))
+        block_max = np.maximum.reduceat(impact, first) if len(term) else impact
+        top = np.zeros(len(at) - 1)
+        np.maximum.at(top, term, impact)
         return cls([whole[k][0] for k, _ in split], [len(whole[k][1]) for k, _ in split], [parts[k] for k, _ in split], terms, starts, unit, impact, top, np.searchsorted(term[first], at), blocks[first], block_max)
 
     def _list(self, t: int) -> tuple[list[int], list[float], list[int], list[float], float]:
@@ -186,29 +215,51 @@ class Index:
                 cursors = [c for c in cursors if c[0] >= 0]
 
     def live(self, window: np.ndarray, term: np.ndarray, threshold: float = THRESHOLD, block: int = BLOCK) -> np.ndarray:
-        """Of passages with distinct (window, term) pairs, by window, those with a block whose maxima reach ``threshold``."""
-        n_blocks, out = -(-len(self.ids) // block), [np.zeros(0, np.int64)]
+        """Of passages with distinct (window, list) pairs of one band, those with a block that may reach ``threshold``.
+
+        A passage's lists are ordered by their maxima. Those that together stay under the threshold, the longest lists
+        of common words mostly, name no candidates: only the blocks of the others are read, and what the former can add is added to their bound.
+        """
+        least, n_blocks, lists = threshold - 1e-9, -(-len(self.ids) // block), len(self.top)
+        key = np.sort(window * lists + self._place[term])
+        window, term = key // lists, self._by_top[key % lists]
+        top = self.top[term]
+        total = np.cumsum(top)
+        first = np.flatnonzero(np.concatenate([[True], window[1:] != window[:-1]])) if len(window) else np.zeros(0, np.int64)
+        own = np.searchsorted(first, np.arange(len(window)), "right") - 1  # which passage, from 0
+        before = total[first] - top[first] if len(first) else total
+        rest = total - before[own] < least - 1e-7  # the sum up to here can't reach it; sums of long arrays are rounded
+        spare = np.bincount(own[rest], top[rest], len(first))
+        window, term, own = window[~rest], term[~rest], own[~rest]
+        out = [np.zeros(0, np.int64)]
         entries = np.concatenate([[0], np.cumsum(self.block_starts[term + 1] - self.block_starts[term])])
+        self.touched += int(entries[-1])
         a = 0
         while a < len(term):  # as many passages at once as have ENTRIES block maxima, one at least
             to = int(np.searchsorted(entries, entries[a] + ENTRIES, "right")) - 1
-            b = max(int(np.searchsorted(window, window[min(to, len(term) - 1)])) if to < len(term) else to, int(np.searchsorted(window, window[a], "right")))
+            b = max(int(np.searchsorted(own, own[min(to, len(term) - 1)])) if to < len(term) else to, int(np.searchsorted(own, own[a], "right")))
             rows, at = _expand(self.block_starts, term[a:b])
-            key = window[a:b][rows] * n_blocks + self.blocks[at]
+            key = own[a:b][rows] * n_blocks + self.blocks[at]
             order = np.argsort(key)
             key = key[order]
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            bound = np.add.reduceat(self.block_max[at[order]], first)
-            out.append(np.unique(key[first[bound >= threshold - 1e-9]] // n_blocks))
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            at_block = key[starts]
+            bound = np.add.reduceat(self.block_max[at[order]], starts) + spare[at_block // n_blocks]
+            found = np.unique(at_block[bound >= least] // n_blocks)
+            out.append(window[np.searchsorted(own, found)])
             a = b
         return np.concatenate(out)
 
     def retrieve(self, window: np.ndarray, term: np.ndarray, threshold: float = THRESHOLD) -> Iterator[tuple[int, int, float]]:
         """(window, unit, score) of all that reach ``threshold``, from passages' distinct (window, term) pairs, by window."""
-        live = self.live(window, term, threshold)
-        for w, a, b in zip(live.tolist(), np.searchsorted(window, live).tolist(), np.searchsorted(window, live, "right").tolist(), strict=True):
-            for unit, score in self.wand(term[a:b].tolist(), threshold):
-                yield w, unit, score
+        for band in range(BANDS):
+            lists = term + band * len(self.terms)
+            some = self.starts[lists + 1] > self.starts[lists]
+            own, lists = window[some], lists[some]
+            live = self.live(own, lists, threshold)
+            for w, a, b in zip(live.tolist(), np.searchsorted(own, live).tolist(), np.searchsorted(own, live, "right").tolist(), strict=True):
+                for unit, score in self.wand(lists[a:b].tolist(), threshold):
+                    yield w, unit, score
 
 
 def _unit(cursor: list) -> int:
@@ -282,8 +333,10 @@ def _clean(held, threshold: float, overlap: float, at: int):
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        words = [words_of(x) for x in texts(batch.column(1))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(words, pa.list_(pa.binary())), pa.array([units_of(w) if w else [] for w in words], pa.list_(pa.list_(pa.binary())))], names=["item_id", "g", "words", "units"])
+        whole = texts(batch.column(1))
+        words = [words_of(x) for x in whole]
+        cuts = pa.array([answer_from(x, len(w)) for x, w in zip(whole, words, strict=True)], pa.int32())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(words, pa.list_(pa.binary())), pa.array([units_of(w) if w else [] for w in words], pa.list_(pa.list_(pa.binary()))), cuts], names=["item_id", "g", "words", "units", "cut"])
 
 
 def _indexes(benchmark: DataFrame) -> Iterator:
@@ -293,7 +346,7 @@ def _indexes(benchmark: DataFrame) -> Iterator:
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     groups = max(1, -(-chars // INDEX_CHARS))
     dealt = items.withColumn("g", F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)).cast("int"))
-    split = materialise(dealt.mapInArrow(_split, "item_id long, g int, words array<binary>, units array<array<binary>>"), "benchmark")
+    split = materialise(dealt.mapInArrow(_split, "item_id long, g int, words array<binary>, units array<array<binary>>, cut int"), "benchmark")
     units = split.select("g", F.explode("units").alias("u"))
     total = units.agg(F.count("*").alias("n"), F.sum(F.size("u")).alias("words")).first()
     # of all items, for the terms of a group only: neither the items nor their terms meet in one place
@@ -301,8 +354,8 @@ def _indexes(benchmark: DataFrame) -> Iterator:
     frequency = terms.groupBy("t").agg(F.count("*").alias("n"))
     for g in range(groups):
         # a group holds about INDEX_CHARS characters
-        part = split.where(F.col("g") == g).select("item_id", "words").toLocalIterator()
-        held = [(r["item_id"], [bytes(w) for w in r["words"]]) for r in part]
+        part = split.where(F.col("g") == g).select("item_id", "words", "cut").toLocalIterator()
+        held = [(r["item_id"], [bytes(w) for w in r["words"]], r["cut"]) for r in part]
         own = terms.where(F.col("g") == g).select("t").distinct().join(frequency, "t").toLocalIterator()
         known = Statistics(total["n"], (total["words"] or 0) / max(1, total["n"]), {bytes(r["t"]): r["n"] for r in own})
         yield spark.sparkContext.broadcast(Index.build(held, known))
@@ -313,7 +366,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
     ``docs``: __id, text. score is the passage's BM25 score of the item over the item's own; question and answer are
     the shares of their shingles in the passage that starts at word ``passage`` (the best one; the first of equal
-    ones). A part of fewer words than a shingle must stand in the passage as a whole; an item of one word has no
+    ones). A question ends at the last question mark or else line feed that words follow, or else after two thirds of the
+    words. Of a part of fewer words than a shingle the single words count, in any place; an item of one word has no
     answer. Long texts and long items are read whole. Null and empty texts match nothing; null items and items without words match nothing; of items that
     share an id the best counts. Rows of ``docs`` that share an id each give their own. An empty table on either side gives an empty result.
     """
@@ -341,11 +395,12 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THR
     """``docs`` without the rows in which an item of ``benchmark`` is found; all columns are kept.
 
     Each row is decided by its own text, whatever rows share its doc_id; null and empty texts stay, repeated rows stay
-    or go together. Columns of any name pass through. Empty tables: an empty benchmark takes nothing away. One pass over the
+    or go together. Columns of any name pass through, as fields of a struct. Empty tables: an empty benchmark takes nothing away. One pass over the
     scan for each group of items, without a shuffle.
     """
     bounded_batches(docs.sparkSession)
-    at = docs.columns.index("text")
+    rest = [c for c in docs.columns if c != "text"]
+    rows = docs.select("text", F.struct(*(F.col(f"`{c}`").alias(c) for c in rest) if rest else [F.lit(None).alias("none")]).alias("__rest"))
     for held in _indexes(benchmark):
-        docs = docs.mapInArrow(_clean(held, threshold, overlap, at), docs.schema)
-    return docs
+        rows = rows.mapInArrow(_clean(held, threshold, overlap, 0), rows.schema)
+    return rows.select(*(F.col("text") if c == "text" else F.col("__rest").getField(c).alias(c) for c in docs.columns))

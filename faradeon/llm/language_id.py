@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ._shared import bounded_batches, texts
 
@@ -264,7 +265,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     held = spark.sparkContext.broadcast(model)  # bounded by the languages and their samples
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
     at = kept.index("text")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*(f"`{c}`" for c in kept)).schema), "lang_pred string", "score double"])
+    schema = StructType([*(f for f in docs.schema if f.name in kept), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
