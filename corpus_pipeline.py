@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faradeon.llm import decontaminate, language_id, line_dedup, near_dup, packing
@@ -18,17 +18,37 @@ from faradeon.llm._shared import materialise, packed, read
 WORDS, PERCENT = 5, 80
 
 
+def _carried(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and all other columns as fields of ``__rest``, where no name meets one of an operator's own."""
+    rest = [F.col(f"`{c}`").alias(c) for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*(rest or [F.lit(None).alias("none")])).alias("__rest"))
+
+
+def _own(docs: DataFrame, **changed: Column) -> list[Column]:
+    """The columns of ``docs`` out of rows like those of ``_carried``, but for those that are ``changed``."""
+    return [changed.get(c, F.col(c) if c in ("doc_id", "text") else F.col("__rest").getField(c)).alias(c) for c in docs.columns]
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language ('und': null, empty or without a letter) go; lang becomes the predicted one, if any could be learned."""
-    found = language_id.identify(docs, language_id.train(language_id.sample(docs)))
+    """Documents without a language ('und': null, empty or without a letter) go; lang becomes the predicted one, if any could be learned.
+
+    Each row is judged by its own text, of any length; equal texts, and so repeated rows, stay or go together, and of
+    equal code lengths the first language by name is taken. Null ids and null langs are kept. All other columns pass with
+    their values, whatever their names. An empty table gives an empty one.
+    """
+    found = language_id.identify(_carried(docs), language_id.train(language_id.sample(docs)))
     kept = found.where(F.col("lang_pred").isNull() | (F.col("lang_pred") != language_id.UNDETERMINED))
-    return kept.select(*(F.coalesce("lang_pred", "lang").alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns))
+    return kept.select(*_own(docs, lang=F.coalesce("lang_pred", F.col("__rest").getField("lang"))))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates go; documents of which no text is left go with them. n_chars follows the text."""
-    left = line_dedup.drop_recurring_lines(docs).where((F.col("lines_dropped") == 0) | (F.trim(F.coalesce("text", F.lit(""))) != ""))
-    return left.select(*(F.length("text").cast("long").alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
+    """Lines of recurring templates go; documents of which no text is left go with them. n_chars follows the text.
+
+    Null and empty texts, which have no lines to lose, stay; so does the first document of each template. Rows that share a doc_id, a null
+    one too, are one document. All other columns pass with their values, whatever their names. An empty table gives an empty one.
+    """
+    left = line_dedup.drop_recurring_lines(_carried(docs)).where((F.col("lines_dropped") == 0) | (F.trim(F.coalesce("text", F.lit(""))) != ""))
+    return left.select(*_own(docs, n_chars=F.length("text").cast("long")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,12 +70,20 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a benchmark item is found go."""
+    """Documents in which a benchmark item is found go, each row by its own text; null and empty texts stay.
+
+    Repeated rows stay or go together, ties play no part, and texts of any length are read whole. All columns pass with their values, whatever
+    their names. An empty table, or an empty benchmark, takes nothing away.
+    """
     return decontaminate.decontaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all documents' pieces in sequences of 1024 tokens."""
+    """Places of all documents' pieces in sequences of 1024 tokens.
+
+    Null and empty texts are documents of the end id alone; rows that share a doc_id, and repeated rows, are packed each. Columns other
+    than doc_id and text are ignored. An empty table gives no rows.
+    """
     return packing.pack_documents(docs)
 
 
