@@ -5,9 +5,9 @@ count of tags and their container. The text-to-tag ratios are smoothed over neig
 clusters by a threshold; lines that elements or names tell to be boilerplate (menus, page headers and footers,
 sidebars, notices, adverts, forms, reader comments) count as without text. The content region is the innermost
 container that holds the most of the high cluster's text: containers are followed from the page inwards as long as
-one child has nearly all of it, and the region is widened to the article it is part of and to the page's heading.
-Every line of the region that isn't boilerplate is kept, short ones too, so that no part of an article is dropped for
-its looks; what stands outside goes, however it is named.
+one child has nearly all of it, and the region is widened to the article it is part of, to blocks beside it whose text
+is mostly in the high cluster, and to the page's heading. Every line of the region that isn't boilerplate is kept, short
+ones too, so that no part of an article is dropped for its looks; what stands outside goes, however it is named.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ._shared import bounded_batches, texts
 
 # Elements of HTML by what they do to the text.
-SILENT = frozenset("script style template iframe object svg canvas audio video head title select textarea datalist button".split())
+SILENT = frozenset("script style template iframe object svg canvas audio video head title select textarea datalist".split())
 BOILERPLATE = frozenset("nav header footer aside form dialog menu".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -49,8 +49,15 @@ _SPACE = re.compile(r"\s+")
 _NO_DISPLAY = re.compile(r"display\s*:\s*none")
 #: Gaussian smoothing of the ratios: standard deviation in lines.
 SIGMA = 1.0
+#: Clusters of ratios whose means are within this factor are one.
+CLOSE = 2.0
 #: A container is entered if it has this share of its parent's text in the high cluster.
 SHARE = 0.9
+#: An element in an article is content, whatever its name, if it has this share of the article's text in the high cluster; named for readers' comments, this one.
+MOST, MOST_COMMENTS = 0.75, 0.95
+COMMENTS = frozenset("comment comments disqus respond replies reply reader".split())
+#: A block beside the region is part of it if this share of its text is in the high cluster.
+BESIDE = 0.5
 
 
 @dataclass(slots=True)
@@ -65,6 +72,8 @@ class Open:
     within: bool  # an article or main element
     nested: bool  # an article, main or section element
     linked: bool
+    scope: int  # the innermost article or main element; -1: none
+    pressed: bool  # in a button
 
 
 class Lines(HTMLParser):
@@ -78,22 +87,30 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, bool, int]] = []
         self.kinds, self.parents, self.last = [""], [0], [0]
-        self._stack = [Open("", 0, False, False, -1, False, False, False)]
+        self._stack = [Open("", 0, False, False, -1, False, False, False, -1, False)]
         self._open: list[Counter] = [Counter()]  # inline elements by name, for each open block
         self._blocks: Counter = Counter()  # open blocks by name
         self._named: list[dict] = []  # elements whose names tell boilerplate
         self._lines: list[int] = []  # innermost named element of each line
         self._articles: list[int] = []  # innermost named element about each article or main element without such a name
+        self._scopes: list[int] = []  # of each article or main element, the one about it
+        self._line_scopes: list[int] = []
         self._text: list[str] = []
-        self._tags = 0
+        self.links: list[int] = []  # characters in links of each line
+        self._tags = self._pressed = self._linked = 0
 
     def _break(self) -> None:
         text = _SPACE.sub(" ", "".join(self._text)).strip()
         if text:
             at = self._stack[-1]
-            self.lines.append((text, self._tags, at.excluded, at.container))
+            # a line of buttons alone is a control; one within a sentence is a word of it
+            controls = self._pressed and self._pressed == len(_SPACE.sub("", text))
+            self.lines.append((text, self._tags, at.excluded or bool(controls), at.container))
             self._lines.append(at.named)
+            self._line_scopes.append(at.scope)
+            self.links.append(self._linked)
             self._tags = 0
+        self._pressed = self._linked = 0
         self._text.clear()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -118,7 +135,7 @@ class Lines(HTMLParser):
         elif tag in BOILERPLATE and not (tag == "header" and at.nested):
             excluded = True
         if found and (tag not in BOILERPLATE or (tag == "header" and at.nested)) and tag not in ("html", "body"):
-            self._named.append({"own": at.within and found <= OWN, "text": 0, "links": 0, "about": named})
+            self._named.append({"own": at.within and found <= OWN, "most": MOST_COMMENTS if found & COMMENTS else MOST, "text": 0, "links": 0, "high": 0, "about": named, "scope": at.scope})
             named = len(self._named) - 1
         if tag in BLOCKS:
             self._blocks[tag] += 1
@@ -130,8 +147,11 @@ class Lines(HTMLParser):
                 container = len(self.kinds) - 1
         else:
             self._open[-1][tag] += 1
-        within = at.within or tag in ("article", "main")
-        self._stack.append(Open(tag, container, at.silent or tag in SILENT, excluded, named, within, within or at.nested or tag == "section", at.linked or tag == "a"))
+        within, scope = at.within or tag in ("article", "main"), at.scope
+        if tag in ("article", "main"):
+            self._scopes.append(scope)
+            scope = len(self._scopes) - 1
+        self._stack.append(Open(tag, container, at.silent or tag in SILENT, excluded, named, within, within or at.nested or tag == "section", at.linked or tag == "a", scope, at.pressed or tag == "button"))
 
     @staticmethod
     def _hidden(attrs: list[tuple[str, str | None]]) -> bool:
@@ -182,21 +202,34 @@ class Lines(HTMLParser):
         at = self._stack[-1]
         if not at.silent:
             self._text.append(data)
+            if at.pressed:
+                self._pressed += len(_SPACE.sub("", data))
+            if at.linked:
+                self._linked += len(data)
             if at.linked and at.named >= 0:
                 self._named[at.named]["links"] += len(data)
 
     def _judge(self) -> None:
         """Exclude lines of named elements, but for those that rather hold content.
 
-        These are the elements about all article and main elements of the page, and parts of an article whose name an
-        article may use (OWN) unless mostly links.
+        These are the elements about all article and main elements of the page, parts of an article whose name an
+        article may use (OWN) unless mostly links, and parts that hold most of an article's text in the high cluster.
         """
-        for (text, _, excluded, _), k in zip(self.lines, self._lines, strict=True):
-            if k >= 0 and not excluded:
+        scopes = [0] * len(self._scopes)
+        for (text, _, excluded, _), k, scope, on in zip(self.lines, self._lines, self._line_scopes, clusters(self.lines).tolist(), strict=True):
+            if excluded:
+                continue
+            if scope >= 0 and on:
+                scopes[scope] += len(text)
+            if k >= 0:
                 self._named[k]["text"] += len(text)
+                self._named[k]["high"] += len(text) * on
+        for k in range(len(scopes) - 1, -1, -1):
+            if self._scopes[k] >= 0:
+                scopes[self._scopes[k]] += scopes[k]
         for x in reversed(self._named):  # inner ones come later
             if x["about"] >= 0:
-                for what in ("text", "links"):
+                for what in ("text", "links", "high"):
                     self._named[x["about"]][what] += x[what]
         about: Counter = Counter()
         for k in self._articles:
@@ -207,7 +240,8 @@ class Lines(HTMLParser):
                 about[self._named[k]["about"]] += about[k]
         told: list[bool] = []
         for k, x in enumerate(self._named):
-            holds = (self._articles and about[k] == len(self._articles)) or (x["own"] and 2 * x["links"] < x["text"])
+            most = x["scope"] >= 0 and x["high"] >= x["most"] * scopes[x["scope"]] > 0 and 2 * x["links"] < x["text"]
+            holds = (self._articles and about[k] == len(self._articles)) or (x["own"] and 2 * x["links"] < x["text"]) or most
             told.append(not holds or (x["about"] >= 0 and told[x["about"]]))
         self.lines = [(text, tags, excluded or (k >= 0 and told[k]), c) for (text, tags, excluded, c), k in zip(self.lines, self._lines, strict=True)]
 
@@ -231,12 +265,13 @@ def smooth(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
 
 
 def threshold(values: np.ndarray) -> float:
-    """Two clusters of a line: the midpoint of their means, moved until it stays (at most 50 times)."""
+    """Two clusters of a line: the midpoint of their means, moved until it stays (at most 50 times). Clusters whose means
+    are within a factor of CLOSE are one, and its least value is the threshold."""
     t = float(values.mean())
     for _ in range(50):
         low, high = values[values < t], values[values >= t]
-        if not len(low) or not len(high):
-            return t
+        if not len(low) or not len(high) or high.mean() < CLOSE * low.mean():
+            return float(values.min())
         new = (low.mean() + high.mean()) / 2
         if abs(new - t) < 1e-9:
             return t
@@ -252,35 +287,78 @@ def _path(parents: list[int], c: int) -> list[int]:
     return out[::-1]
 
 
-def region_of(parser: Lines, lines: list[tuple[str, int, bool, int]], high: np.ndarray) -> int:
-    """The container that holds the content, told by the high cluster among ``lines`` (those that aren't boilerplate)."""
-    kinds, parents = parser.kinds, parser.parents
-    held = np.zeros(len(kinds), np.int64)
-    for (text, _, _, c), on in zip(lines, high.tolist(), strict=True):
-        if on:
-            held[c] += len(text)
+def clusters(lines: list[tuple[str, int, bool, int]]) -> np.ndarray:
+    """Which lines are in the high cluster of smoothed text-to-tag ratios; excluded ones count as without text and never are."""
+    if not lines:
+        return np.zeros(0, bool)
+    level = smooth(np.array([0.0 if excluded else len(text) / max(1, tags) for text, tags, excluded, _ in lines]))
+    return (level >= threshold(level)) & ~np.array([x[2] for x in lines])
+
+
+def region_of(parser: Lines, lines: list[tuple[str, int, bool, int]], high: np.ndarray, links: list[int]) -> np.ndarray:
+    """Which of ``lines`` (those that aren't boilerplate) are content, told by the high cluster among them.
+
+    The core is the innermost container with nearly all of the cluster's text. A page that marks an article up keeps
+    all of it; elsewhere, and beside an article within a main element, blocks beside the core on the way out are
+    content if most of their text is in the cluster, and so are lines between what is. Blocks of links before all text of
+    the cluster or after it are none.
+    """
+    kinds, parents, last = parser.kinds, parser.parents, parser.last
+    held, whole, linked = (np.zeros(len(kinds), np.int64) for _ in range(3))
+    for (text, _, _, c), on, n in zip(lines, high.tolist(), links, strict=True):
+        whole[c] += len(text)
+        linked[c] += n
+        held[c] += len(text) * on
     for c in range(len(kinds) - 1, 0, -1):  # children come after their parents
         held[parents[c]] += held[c]
+        whole[parents[c]] += whole[c]
+        linked[parents[c]] += linked[c]
     best = np.zeros(len(kinds), np.int64)  # of each container, the child that holds most
     for c in range(len(kinds) - 1, 0, -1):
         if kinds[c] not in HEADINGS and (not best[parents[c]] or held[c] >= held[best[parents[c]]]):
             best[parents[c]] = c
-    region = 0
-    while best[region] and held[best[region]] >= SHARE * held[region] > 0:
-        region = int(best[region])
-    above = _path(parents, region)
+    core = 0
+    while best[core] and held[best[core]] >= SHARE * held[core] > 0:
+        core = int(best[core])
+    above = _path(parents, core)
     # a page that marks its content up tells the whole region of which the cluster is a part
-    marked = next((c for kind in ("article", "main") for c in above if kinds[c] == kind), None)
-    if marked is not None:
-        return marked
-    # the heading may stand before the region: what holds both is taken, with the lead between them
-    headed = [(kinds[c], c) for _, _, _, c in lines if kinds[c] in HEADINGS]
-    if headed:
+    core = next((c for kind in ("article", "main") for c in above if kinds[c] == kind), core)
+    edge = next((c for kind in ("main", "article") for c in above if kinds[c] == kind), 0)
+    at = np.array([c for _, _, _, c in lines], np.int64)
+    kept = (at >= core) & (at <= last[core])
+    # smoothing lifts a link beside long text, so the first and the last line of the text are told without links
+    some = np.flatnonzero(kept & high & np.array([2 * n < len(text) for (text, *_), n in zip(lines, links, strict=True)], bool))
+    if kinds[core] not in ("article", "main") and len(some):
+        c = core + 1
+        while c <= last[core]:
+            if held[c] >= BESIDE * whole[c] or 2 * linked[c] <= whole[c]:
+                c += 1
+                continue
+            # a block of links, the outermost
+            own = (at >= c) & (at <= last[c])
+            if not own[some[0] : some[-1] + 1].any():
+                kept &= ~own
+            c = last[c] + 1
+    way = {core}  # from the core out to the edge
+    while core != edge and edge not in way:
+        way.add(parents[min(way)])
+    for c in range(edge + 1, last[edge] + 1):  # blocks beside the way, each in one piece
+        if c not in way and parents[c] in way and parents[c] != core and kinds[c] not in HEADINGS and held[c] >= max(1, BESIDE * whole[c]):
+            kept |= (at >= c) & (at <= last[c])
+    # lines of the containers on the way: of the cluster, or between what is kept
+    loose = np.isin(at, [c for c in way if c != core]) | np.array([kinds[c] in HEADINGS and parents[c] in way for c in at.tolist()], bool)
+    kept |= loose & high & (at >= edge) & (at <= last[edge])
+    some = np.flatnonzero(kept)
+    if len(some):
+        kept[some[0] : some[-1] + 1] |= loose[some[0] : some[-1] + 1]
+    # the heading may stand before the region: it is taken, with the lead between them
+    headed = [(kinds[c], k) for k, (_, _, _, c) in enumerate(lines) if kinds[c] in HEADINGS]
+    if headed and kinds[core] not in ("article", "main") and len(some):
         top = min(k for k, _ in headed)
-        if not any(k == top and region <= c <= parser.last[region] for k, c in headed):
-            path = _path(parents, next(c for k, c in headed if k == top))
-            region = [a for a, b in zip(above, path, strict=False) if a == b][-1]
-    return region
+        if not any(k == top and kept[j] for k, j in headed):
+            j = next(j for k, j in headed if k == top)
+            kept[min(j, some[0]) : max(j, some[-1]) + 1] = True
+    return kept
 
 
 def extract(html: str) -> str:
@@ -288,13 +366,12 @@ def extract(html: str) -> str:
     parser = Lines()
     parser.feed(html)
     parser.finish()
-    lines = [x for x in parser.lines if not x[2]]
+    keep = [not x[2] for x in parser.lines]
+    lines = [x for x, k in zip(parser.lines, keep, strict=True) if k]
     if not lines:
         return ""
-    level = smooth(np.array([0.0 if excluded else len(text) / max(1, tags) for text, tags, excluded, _ in parser.lines]))
-    high = (level >= threshold(level))[[not x[2] for x in parser.lines]]
-    region = region_of(parser, lines, high)
-    return " ".join(text for text, _, _, c in lines if region <= c <= parser.last[region])
+    content = region_of(parser, lines, clusters(parser.lines)[keep], [n for n, k in zip(parser.links, keep, strict=True) if k])
+    return " ".join(text for (text, *_), k in zip(lines, content.tolist(), strict=True) if k)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -773,6 +773,45 @@ def test_html_names_are_evidence_only(html, text):
     assert html_text.extract(html) == text
 
 
+SAID = "A sentence of the story that goes on for quite a while, as they do. "
+LINKS = "".join(f"<li><a href=/{k}>Link {k}</a></li>" for k in range(12))
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f"<article><h1>Cookies</h1><div class='cookies'><p>{SAID * 3}</p></div></article>", "Cookies " + SAID * 3),
+        (f"<article><p>{SAID * 3}</p><div class='comments'><p>{SAID * 4}</p></div></article>", SAID * 3),
+        (f"<body><ul>{LINKS}</ul><section><p>{SAID * 9}</p></section><section><p>{SAID * 2}</p></section><ul>{LINKS}</ul></body>", SAID * 11),
+        (f"<body><div><div><p>{SAID * 3}</p></div><div><p>{SAID * 3}</p></div></div></body>", SAID * 6),
+        (f"<ul>{LINKS}</ul><main><article><p>One. {SAID}</p></article><article><p>Two. {SAID * 2}</p></article></main>", f"One. {SAID}Two. {SAID * 2}"),
+        (f"<main><article><p>{SAID * 5}</p></article><div><ul>{LINKS}</ul></div></main>", SAID * 5),
+        ("<article><p>press <button>Save</button> now</p><button>Share</button></article>", "press Save now"),
+        (f"<body><ul>{LINKS}</ul><div><h2>Head</h2><p>{SAID * 4}</p><p>Short.</p><p>{SAID * 4}</p></div><div><ul>{LINKS}</ul></div></body>", f"Head {SAID * 4}Short. {SAID * 4}"),
+    ],
+)
+def test_content_is_told_by_clusters(html, text):
+    assert html_text.extract(html) == text.strip()
+
+
+def test_clusters_decide_pages_without_marks(monkeypatch):
+    """Of a mixed set of pages, making every line high, or taking the whole page, changes what is extracted."""
+    rng = random.Random(9)
+    pages, wants = [], []
+    for k in range(60):
+        story = [SAID * rng.randrange(2, 6) + f"Part {j} of page {k}." for j in range(rng.randrange(2, 9))]
+        before, after = (f"<div><ul>{LINKS}</ul></div>" * rng.randrange(1, 3) for _ in "ab")
+        wrap = rng.choice(["<div>{}</div>", "<section><div>{}</div></section>", "<article>{}</article>", "<div><div>{}</div></div>"])
+        pages.append(f"<html><body>{before}{wrap.format(''.join(f'<p>{p}</p>' for p in story))}{after}</body></html>")
+        wants.append(" ".join(" ".join(story).split()))
+    assert [html_text.extract(p) for p in pages] == wants
+    monkeypatch.setattr(html_text, "threshold", lambda values: -1.0)
+    assert sum(html_text.extract(p) != w for p, w in zip(pages, wants)) >= len(pages) / 3
+    monkeypatch.undo()
+    monkeypatch.setattr(html_text, "region_of", lambda parser, lines, high, links: np.ones(len(lines), bool))
+    assert sum(html_text.extract(p) != w for p, w in zip(pages, wants)) == len(pages)
+
+
 UNMARKED = (
     "<body><div>" + "".join(f"<div><a href=/{k}>Section number {k}</a></div>" for k in range(40)) + "</div><div><h1>A title</h1>"
     + "".join(f"<p>Paragraph {k} tells a part of the story at some length, as paragraphs do, and goes on.</p>" for k in range(8))
