@@ -125,11 +125,10 @@ def merge_join(lists: np.ndarray, ends: np.ndarray, postings: np.ndarray, words:
 
     ``lists``: numbers of phrases, ``ends``: the positions of their last words, rising; ``postings``: rising positions.
     """
-    at = np.searchsorted(postings, ends + 1)
-    ok = np.zeros(len(ends), bool)
-    inside = at < len(postings)
-    ok[inside] = postings[at[inside]] == ends[inside] + 1
-    return np.flatnonzero(ok), words[at[ok]]
+    at = np.searchsorted(postings, ends + 1).astype(np.int32)
+    ok = at < len(postings)
+    ok[ok] = postings[at[ok]] == ends[ok] + 1
+    return np.flatnonzero(ok).astype(np.int32), words[at[ok]]
 
 
 def grow(lang: str, words: list[str], lengths: np.ndarray, positions: np.ndarray, filters: list[Filter]) -> tuple[list[np.ndarray], np.ndarray]:
@@ -139,17 +138,20 @@ def grow(lang: str, words: list[str], lengths: np.ndarray, positions: np.ndarray
     """
     hashes = _hashes(lang, words)
     kept = filters[0].holds(hashes)
-    word = np.repeat(np.arange(len(words)), lengths)
+    word = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
     chosen = kept[word]
-    order = np.argsort(positions[chosen], kind="stable")
-    postings, word = positions[chosen][order], word[chosen][order]
-    phrases, lists, ends = [np.arange(len(words))], word, postings
+    postings, word = positions[chosen], word[chosen]
+    order = np.argsort(postings, kind="stable").astype(np.int32)
+    postings, word = postings[order], word[order]
+    del chosen, order
+    phrases, lists, ends = [np.arange(len(words), dtype=np.int32)], word, postings
     for size in range(2, len(filters) + 2):
         at, following = merge_join(lists, ends, postings, word)
-        code = lists[at] * len(words) + following
-        codes, lists = np.unique(code, return_inverse=True)
+        codes, lists = np.unique(lists[at].astype(np.int64) * len(words) + following, return_inverse=True)
+        lists = lists.astype(np.int32)
         ends = postings[np.searchsorted(postings, ends[at] + 1)] if len(at) else ends[:0]
-        phrases = [*(p[codes // len(words)] for p in phrases), codes % len(words)]
+        phrases = [*(p[codes // len(words)] for p in phrases), (codes % len(words)).astype(np.int32)]
+        del codes, at, following
         if size >= 3:  # the phrase without its first word must be frequent too
             tail = hashes[phrases[1]]
             for p in phrases[2:]:
@@ -167,7 +169,7 @@ def grow(lang: str, words: list[str], lengths: np.ndarray, positions: np.ndarray
 def _only(ok: np.ndarray, phrases: list[np.ndarray], lists: np.ndarray, ends: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """The phrases that are ``ok``, numbered anew, and their lists."""
     held = ok[lists]
-    return [p[ok] for p in phrases], (np.cumsum(ok) - 1)[lists[held]], ends[held]
+    return [p[ok] for p in phrases], (np.cumsum(ok, dtype=np.int32) - 1)[lists[held]], ends[held]
 
 
 def _extend(held, size: int):
