@@ -29,7 +29,9 @@ from ._shared import bounded_batches, materialise, texts, with_key
 K1, B = 1.2, 0.75
 #: Share of its own score that a unit must get from a passage to be retrieved, and units in a block.
 THRESHOLD = 0.5
-BLOCK = 4
+BLOCK = 2
+#: Share of the threshold that lists which aren't read for candidates may add up to.
+SPARED = 0.2
 #: Bands of units' lengths: up to 8 words, then 16, 32, 64 and more. A word's share of a unit's score falls with its length.
 BANDS = 5
 #: Words in a shingle, and the share of a part's shingles that a passage must hold.
@@ -228,7 +230,7 @@ class Index:
         first = np.flatnonzero(np.concatenate([[True], window[1:] != window[:-1]])) if len(window) else np.zeros(0, np.int64)
         own = np.searchsorted(first, np.arange(len(window)), "right") - 1  # which passage, from 0
         before = total[first] - top[first] if len(first) else total
-        rest = total - before[own] < least - 1e-7  # the sum up to here can't reach it; sums of long arrays are rounded
+        rest = total - before[own] < SPARED * least - 1e-7  # sums of long arrays are rounded
         spare = np.bincount(own[rest], top[rest], len(first))
         window, term, own = window[~rest], term[~rest], own[~rest]
         out = [np.zeros(0, np.int64)]
