@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .axes import C_MHZ
+
 Col = Column | str
 
 
@@ -119,6 +121,43 @@ def cyclic_shift(values: Col, by: int) -> Column:
     return F.when(n == 0, v).otherwise(F.concat(F.slice(v, n - k + 1, k), F.slice(v, F.lit(1), n - k)))
 
 
+# -- axes as arrays of a row's own numbers
+
+
+def channel_frequencies(crval: Col, crpix: Col, cdelt: Col, n: Col) -> Column:
+    """Frequencies in MHz of a row's ``n`` channels: a CRVAL in [30, 1e4] is in MHz, in [30e6, 10e9] in Hz, others give null."""
+    first = _c(crval) - (F.greatest(F.lit(1), _c(crpix).cast("int")) - 1) * _c(cdelt)
+    unit = F.when(_c(crval).between(30, 1e4), 1.0).when(_c(crval).between(30e6, 10e9), 1e-6)
+    return F.when(unit.isNotNull(), F.transform(F.sequence(F.lit(0), _c(n) - 1), lambda k: (first + _c(cdelt) * k) * unit))
+
+
+def lambda_squared(mhz: Col) -> Column:
+    return F.pow(C_MHZ / _c(mhz), F.lit(2.0))
+
+
+def rm_axis(beg: Col, end: Col, n: Col) -> Column:
+    """A row's ``n`` depths. A range over 0 gets an exact 0 and one step that fits both sides, so it may end before a far end."""
+    b, e, m = _c(beg), _c(end), _c(n)
+    below = F.least(F.greatest(F.floor((m - 1) * (-b / (e - b)) + 0.5), F.lit(1)), m - 2)
+    even = F.least(-b / below, e / (m - 1 - below))
+    k = F.sequence(F.lit(0), F.greatest(m, F.lit(1)) - 1)
+    return F.when(m <= 1, F.array(b)).when((m >= 3) & (b < 0) & (e > 0), F.transform(k, lambda j: (j - below) * even)).otherwise(F.transform(k, lambda j: b + (e - b) / (m - 1) * j))
+
+
+def auto_rm_half(mhz: Col, fac: float = math.pi) -> Column:
+    """Half of the range of depths that fits the frequencies of an array (two or more), with one depth a channel."""
+    f = F.array_sort(_c(mhz))
+    n = F.size(f)
+    lo, hi = F.element_at(f, 1), F.element_at(f, -1)
+    step = (hi - lo) / (n - 1)
+    return 0.5 * (n - 1) * fac / (lambda_squared(lo - step / 2) - lambda_squared(hi + step / 2))
+
+
+def rm_resolution(freq_hz: Col, bandwidth_hz: Col, c: float = 3e8) -> Column:
+    """Resolution in rad/m^2 of one of a row's channels."""
+    return math.pi * F.pow(_c(freq_hz), F.lit(3.0)) / (2 * c**2 * _c(bandwidth_hz))
+
+
 def _digits(seed: int, keys: tuple[Col, ...]) -> Column:
     """32 hexadecimal digits that belong to a seed and a row's keys; a null key is its own value."""
     text = [F.coalesce(F.concat(F.lit("k"), _c(k).cast("string")), F.lit("n")) for k in keys]

@@ -49,6 +49,7 @@ def cube(nx: int, ny: int, freq_mhz: np.ndarray, sources: Sequence[Source], nois
 
 def two_sources(noise: float = 0.01) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(frequencies in MHz, Q, U): 32 x 32 pixels, 200 channels, sources at (12, 10) and (22, 20)."""
+    # fixed values: frequencies, places, depths, intensities and angles of the test cube (FIXTURES.md, F1)
     freq = 550.0 + np.arange(200)
     q, u, _ = cube(32, 32, freq, [Source(12, 10, -5.0, 1.0), Source(22, 20, 22.0, 0.8, np.radians(30))], noise)
     return freq, q, u
@@ -67,6 +68,7 @@ def with_bad_channels(q: np.ndarray, u: np.ndarray, channel: int = 50, pixels=((
 
 def cube_header(nx: int, ny: int, freq0_hz: float, step_hz: float) -> dict[str, object]:
     """Cards of a four-axis cube: sky, frequency, Stokes."""
+    # fixed values: the cards of the test cube (FIXTURES.md, F1)
     return {
         "CTYPE1": "RA---SIN", "CRVAL1": 180.0, "CRPIX1": float(nx // 2 + 1), "CDELT1": -0.001, "CUNIT1": "deg", "CTYPE2": "DEC--SIN", "CRVAL2": 0.0, "CRPIX2": float(ny // 2 + 1), "CDELT2": 0.001, "CUNIT2": "deg",
         "CTYPE3": "FREQ", "CRVAL3": freq0_hz, "CRPIX3": 1.0, "CDELT3": step_hz, "CUNIT3": "Hz", "CTYPE4": "STOKES", "CRVAL4": 1.0, "CRPIX4": 1.0, "CDELT4": 1.0, "BUNIT": "Jy/beam", "OBJECT": "TEST", "EQUINOX": 2000.0,

@@ -7,33 +7,56 @@ from pyspark.sql import functions as F
 
 from .scan import running
 
-#: Patterns of log lines; fixed values.
-LINE = r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}).*?\[(\w+)\]\s+\[([^\]]+)\]\s+\[tid=(\d+)\]\s+(.*)$"
-ASYNC = r"async\s+(enqueue|start|done)\s+(compute|scatter)\s+slot=(\d+)\s+sub=(\d+)"
-SUBBLOCK = r"(prep|send|start|done)\s+(\d+)/(\d+)\s+y:\[(\d+),(\d+)\]"
-BOUNDS = r"\b(start|done)\b.*x:\[(\d+),(\d+)\]\s+y:\[(\d+),(\d+)\]"
-THREAD = r"thread_timing\s+stage=cpu_extract\s+event=(start|done)\s+tid=(\d+)\s+rm_block=(\d+)\s+nrm_now=(\d+)"
+#: Words of log messages, as FIXTURES.md (F8) has them; fixed values.
+BOUNDED, STEPS, QUEUED, TIMED, DEVICE, STARTED = ("start", "done"), ("prep", "send", "start", "done"), "async", "thread_timing", "gpu", "run started"
 
 #: Seconds of a log that one task orders.
 RANGE_SECONDS = 3600
 
 
-def _field(text: str, pattern: str, group: int, kind: str = "string") -> Column:
-    found = F.regexp_extract(text, pattern, group)
-    return F.when(found != "", found).cast(kind)
+def _first(words: Column, test) -> Column:
+    """The first word that passes; null if none does."""
+    return F.get(F.filter(words, test), F.lit(0))
+
+
+def _value(words: Column, key: str, kind: str = "string") -> Column:
+    """What stands after ``key=``."""
+    return F.substring_index(_first(words, lambda w: F.startswith(w, F.lit(f"{key}="))), "=", -1).try_cast(kind)
+
+
+def _bounds(words: Column, key: str) -> Column:
+    """[first, last] of a word like ``key:[first,last]``."""
+    return F.split(F.translate(F.substring_index(_first(words, lambda w: F.startswith(w, F.lit(f"{key}:["))), ":[", -1), "]", ""), ",")
 
 
 def parse(lines: DataFrame) -> DataFrame:
-    """Typed events of text rows (value); lines of another form are left out. Works on streams too."""
-    e = lines.where(F.col("value").rlike(LINE)).select(
-        F.to_timestamp_ntz(F.regexp_extract("value", LINE, 1), F.lit("yyyy-MM-dd'T'HH:mm:ss.SSS")).alias("ts"), F.regexp_extract("value", LINE, 2).alias("level"), F.regexp_extract("value", LINE, 3).alias("stage"),
-        F.regexp_extract("value", LINE, 4).cast("int").alias("tid"), F.regexp_extract("value", LINE, 5).alias("msg"),
+    """Typed events of text rows (value); lines of another form are left out. Works on streams too.
+
+    A line is a time, three bracketed fields (level, stage, tid=number) and a message; a message is words, key=value
+    pairs and ranges like y:[first,last], which are looked up by key wherever they stand.
+    """
+    fields = F.regexp_extract_all("value", F.lit(r"\[([^\[\]]*)\]"), 1)
+    tid = F.get("_f", F.lit(2))
+    time = F.substring_index("value", " ", 1)
+    lined = lines.select("value", fields.alias("_f")).where((F.size("_f") >= 3) & F.startswith(tid, F.lit("tid=")))
+    after = F.expr("locate(concat('[', get(_f, 2), ']'), value) + length(get(_f, 2)) + 2")
+    parts = lined.select(
+        F.when(time.rlike(r"^[0-9-]{10}T[0-9:]{8}\.[0-9]{3}$"), F.try_to_timestamp(time, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSS"))).cast("timestamp_ntz").alias("ts"), F.get("_f", F.lit(0)).alias("level"), F.get("_f", F.lit(1)).alias("stage"),
+        F.substring_index(tid, "=", -1).try_cast("int").alias("tid"), F.ltrim(F.substr("value", after)).alias("msg"),
+    ).where("ts is not null and tid is not null")
+    known = parts.withColumn("_w", F.filter(F.split("msg", r"\s+"), lambda w: w != "")).withColumn("_p", F.filter("_w", lambda w: ~F.contains(w, F.lit("=")) & ~F.contains(w, F.lit(":["))))
+    w, plain = F.col("_w"), lambda k: F.get("_p", F.lit(k))
+    part = F.split(_first(F.col("_p"), lambda x: x.rlike("^[0-9]+/[0-9]+$")), "/")
+    queued, device = plain(0) == QUEUED, (plain(0) == DEVICE) & plain(1).isin("send", "recv")
+    event = (
+        F.when(queued, plain(1)).when(plain(0) == TIMED, _value(w, "event")).when(device, F.concat_ws("_", plain(0), plain(1))).when(F.contains("msg", F.lit(STARTED)), "run_start")
+        .when(part.isNotNull(), _first(F.col("_p"), lambda x: x.isin(*STEPS))).when(_bounds(w, "x").isNotNull() & _bounds(w, "y").isNotNull(), _first(F.col("_p"), lambda x: x.isin(*BOUNDED)))
     )
-    sync = F.regexp_extract("msg", r"^\s*gpu (send|recv)\s*$", 1)
-    event = F.coalesce(_field("msg", ASYNC, 1), _field("msg", SUBBLOCK, 1), _field("msg", THREAD, 1), _field("msg", BOUNDS, 1), F.when(sync != "", F.concat(F.lit("gpu_"), sync)), F.when(F.col("msg").contains("run started"), "run_start"))
-    return e.select(
-        "ts", "level", "stage", "tid", event.alias("event"), *(_field("msg", BOUNDS, k, "int").alias(n) for k, n in ((2, "x_beg"), (3, "x_end"), (4, "y_beg"), (5, "y_end"))),
-        _field("msg", r"bytes=(\d+)", 1, "long").alias("bytes"), _field("msg", ASYNC, 2).alias("async_stage"), _field("msg", ASYNC, 3, "int").alias("slot"), F.coalesce(_field("msg", ASYNC, 4, "int"), _field("msg", SUBBLOCK, 2, "int"), _field("msg", THREAD, 3, "int")).alias("sub"), "msg",
+    bound = lambda key, k, name: F.get(_bounds(w, key), F.lit(k)).try_cast("int").alias(name)
+    sub = F.when(queued, _value(w, "sub", "int")).when(part.isNotNull(), F.get(part, F.lit(0)).try_cast("int")).otherwise(_value(w, "rm_block", "int"))
+    return known.select(
+        "ts", "level", "stage", "tid", event.alias("event"), bound("x", 0, "x_beg"), bound("x", 1, "x_end"), bound("y", 0, "y_beg"), bound("y", 1, "y_end"), _value(w, "bytes", "long").alias("bytes"),
+        F.when(queued, plain(2)).alias("async_stage"), F.when(queued, _value(w, "slot", "int")).alias("slot"), sub.alias("sub"), "msg",
     )
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import columns as C
-from .functions.axes import Axes, auto_rm_range, rm_axis, rm_resolution
+from .functions.axes import Axes, rm_axis
 from .operators import cubestat, images, mask, runlog, statistics, synthesis
 
 N_CHAN, BAD = 64, (11, 31)
@@ -180,14 +180,29 @@ def s9(s, d):
 # -- axes and the transform
 
 
-@query("p3_channel_axis", _with(_AXES) + "SELECT chan, round(freq, 6) AS freq, round(lsq, 9) AS lsq, CASE WHEN chan IN (11, 31) THEN 0 ELSE 1 END AS flag FROM chans")
+#: An observation for each part: frequencies of 6 to 13 channels from 700 MHz up, some in Hz, and a range of depths.
+_OBS = """obs AS (SELECT p_partkey, 6 + p_partkey % 8 AS n, CAST(700 + p_size AS DOUBLE) AS mhz, CAST(1 + p_partkey % 5 AS DOUBLE) AS width, CAST(-10 - p_size AS DOUBLE) AS beg, CAST(p_partkey % 70 - 5 AS DOUBLE) AS til FROM part),
+chan AS (SELECT p_partkey, n, width, k, mhz + (k - 1) * width AS f FROM (SELECT *, unnest(range(n)) AS k FROM obs))"""
+
+
+def _observations(s, d) -> DataFrame:
+    k = F.col("p_partkey")
+    unit = F.when(k % 3 == 0, 1e6).otherwise(1.0)
+    rows = read(s, d, "part").select("p_partkey", (6 + k % 8).cast("int").alias("n"), ((700.0 + F.col("p_size")) * unit).alias("crval"), ((1.0 + k % 5) * unit).alias("cdelt"), (-10.0 - F.col("p_size")).alias("beg"), (k % 70 - 5.0).alias("til"))
+    return rows.withColumn("mhz", C.channel_frequencies("crval", F.lit(2.7), "cdelt", F.col("n")))
+
+
+@query("p3_channel_axis", _with(_OBS) + "SELECT p_partkey, CAST(k AS INT) AS chan, round(f, 6) AS freq, round(pow(299.792458 / f, 2), 9) AS lsq FROM chan")
 def p3(s, d):
-    return rounded(rounded(AXES.channels(s), "freq"), "lsq", n=9)
+    """Channels of every row's own axis; the reference pixel is truncated to an integer."""
+    rows = _observations(s, d).select("p_partkey", F.posexplode("mhz").alias("chan", "freq"))
+    return rounded(rounded(rows.withColumn("lsq", C.lambda_squared("freq")), "freq"), "lsq", n=9)
 
 
-@query("p6_rm_axis", _with(_AXES) + "SELECT irm, rm FROM depths")
+@query("p6_rm_axis", _with(_OBS) + """, cut AS (SELECT *, least(greatest(floor((n - 1) * (-beg / (til - beg)) + 0.5), 1), n - 2) AS below FROM obs)
+SELECT p_partkey, CAST(k AS INT) AS irm, round(CASE WHEN til > 0 THEN (k - below) * least(-beg / below, til / (n - 1 - below)) ELSE beg + (til - beg) / (n - 1) * k END, 6) + 0.0 AS rm FROM (SELECT *, unnest(range(n)) AS k FROM cut)""")
 def p6(s, d):
-    return AXES.depths(s)
+    return rounded(_observations(s, d).select("p_partkey", F.posexplode(C.rm_axis("beg", "til", "n")).alias("irm", "rm")), "rm")
 
 
 @query("p4_mean_removed", _with(_CUBE) + "SELECT x, y, chan, round(w * (q - m), 6) + 0.0 AS q FROM cube JOIN (SELECT x, y, coalesce(sum(w * q) / nullif(sum(w), 0), 0) AS m FROM cube GROUP BY 1, 2) USING (x, y)")
@@ -250,14 +265,17 @@ def stream_sums(s, d):
     return rounded(finished(partial_sums(cube(s, d), AXES.channels(s), AXES.depths(s))).select("x", "y", "irm", "rm", "re", "im"), "re", "im")
 
 
-@query("p7_auto_rm_axis", "SELECT CAST(range AS INT) AS irm, round((range - 32) * (0.5 * 63 * pi() / (pow(299.792458 / 698, 2) - pow(299.792458 / 954, 2)) / 32), 6) + 0.0 AS rm FROM range(64)")
+@query("p7_auto_rm_axis", _with(_OBS) + """, ends AS (SELECT p_partkey, n, min(f) AS lo, max(f) AS hi, (max(f) - min(f)) / (n - 1) AS step FROM chan GROUP BY 1, 2)
+SELECT p_partkey, round(-0.5 * (n - 1) * pi() / (pow(299.792458 / (lo - step / 2), 2) - pow(299.792458 / (hi + step / 2), 2)), 6) AS first FROM ends""")
 def p7(s, d):
-    return rounded(Axes.of(FREQ, rm_axis(*auto_rm_range(FREQ), N_CHAN)).depths(s), "rm")
+    return rounded(_observations(s, d).select("p_partkey", (-C.auto_rm_half("mhz")).alias("first")), "first")
 
 
-@query("p15_rm_resolution", _with(_AXES) + "SELECT chan, round(pi() * pow(freq * 1e6, 3) / (2 * pow(3e8, 2) * 4e6), 6) AS step, round(64 * pi() * pow(freq * 1e6, 3) / (2 * pow(3e8, 2) * 4e6), 6) AS span FROM chans")
+@query("p15_rm_resolution", _with(_OBS) + "SELECT p_partkey, CAST(k AS INT) AS chan, round(pi() * pow(f * 1e6, 3) / (2 * pow(3e8, 2) * width * 1e6), 6) AS step, round(n * pi() * pow(f * 1e6, 3) / (2 * pow(3e8, 2) * width * 1e6), 6) AS span FROM chan")
 def p15(s, d):
-    return rounded(s.createDataFrame([(k, *map(float, rm_resolution(f * 1e6, 4e6, N_CHAN))) for k, f in enumerate(FREQ)], "chan int, step double, span double"), "step", "span")
+    width = (1.0 + F.col("p_partkey") % 5) * 1e6
+    rows = _observations(s, d).select("p_partkey", "n", F.posexplode("mhz").alias("chan", "f")).withColumn("step", C.rm_resolution(F.col("f") * 1e6, width))
+    return rounded(rows.select("p_partkey", "chan", "step", (F.col("n") * F.col("step")).alias("span")), "step", "span")
 
 
 def _beam(s, d, parts: str) -> DataFrame:
