@@ -1,7 +1,7 @@
 """FITS as Spark data sources, read and written in parallel.
 
 ``fits_cube``: Q and U cubes (and I, a mask) as one row a pixel with arrays by channel: x, y, q, u [, i, m]. Each
-partition is a strip of rows of the sky, so spectra need no shuffle. Ranges and strides of the sky and of channels
+partition is a strip of rows of the sky, or a part of one row that is too wide for a task, so spectra need no shuffle. Ranges and strides of the sky and of channels
 are options, so that what lies outside is never read. (Filters aren't taken over from queries: Spark 4.1 keeps what a
 Python reader took for later queries on the same DataFrame.) ``fits_image``: x, y, val of a plane. ``fits_table``: columns of a binary table.
 ``fits_output`` writes one product or several of one pass over the rows. Paths must be open to the driver and all
@@ -34,12 +34,19 @@ STAGED = ".staged"
 
 @dataclass
 class Strip(InputPartition):
+    """Rows of the sky; of a row that is too wide for a task, a part of its pixels (x1 = 0: all)."""
+
     y0: int
     y1: int
+    x0: int = 1
+    x1: int = 0
 
 
-def strips(y0: int, y1: int, row_bytes: int, target: int = STRIP_BYTES) -> list[Strip]:
-    """Strips of rows [y0, y1] of about ``target`` bytes; a row is never split."""
+def strips(y0: int, y1: int, row_bytes: int, target: int = STRIP_BYTES, nx: int = 0) -> list[Strip]:
+    """Strips of rows [y0, y1] of about ``target`` bytes. A row of more than that is split, if its ``nx`` pixels are given."""
+    if nx and row_bytes > target:
+        wide = max(1, nx * target // row_bytes)
+        return [Strip(y, y, a, min(a + wide - 1, nx)) for y in range(y0, y1 + 1) for a in range(1, nx + 1, wide)]
     high = max(1, target // max(1, row_bytes))
     return [Strip(a, min(a + high - 1, y1)) for a in range(y0, y1 + 1, high)]
 
@@ -78,14 +85,15 @@ class CubeReader(DataSourceReader):
         y0, y1, sy = box["y"]
         n = (y1 - y0) // sy + 1
         c0, c1, sc = box["chan"]
-        row = row_bytes((x1 - x0) // sx + 1, (c1 - c0) // sc + 1, len(self.names))
-        return strips(1, n, row, int(self.options.get("strip_bytes", STRIP_BYTES)))
+        nx = (x1 - x0) // sx + 1
+        return strips(1, n, row_bytes(nx, (c1 - c0) // sc + 1, len(self.names)), int(self.options.get("strip_bytes", STRIP_BYTES)), nx)
 
     def read(self, part: Strip) -> Iterator[pa.RecordBatch]:
         box, naxes = self._box(), self.header.naxes
         (x0, x1, sx), (y0, _, sy), chan = box["x"], box["y"], box["chan"]
-        n = (x1 - x0) // sx + 1
-        ranges = [(x0, x1, sx), (y0 + (part.y0 - 1) * sy, y0 + (part.y1 - 1) * sy, sy), *[(1, 1, 1)] * (len(naxes) - 2)]
+        first, last = part.x0, part.x1 or (x1 - x0) // sx + 1
+        n = last - first + 1
+        ranges = [(x0 + (first - 1) * sx, x0 + (last - 1) * sx, sx), (y0 + (part.y0 - 1) * sy, y0 + (part.y1 - 1) * sy, sy), *[(1, 1, 1)] * (len(naxes) - 2)]
         ranges[self.axis - 1] = chan
         columns = {}
         for name in self.names:
@@ -98,7 +106,7 @@ class CubeReader(DataSourceReader):
             data = np.moveaxis(data, len(naxes) - self.axis, -1).reshape(part.y1 - part.y0 + 1, n, -1)
             columns[name] = data
         for k in range(part.y1 - part.y0 + 1):
-            x, y = np.arange(1, n + 1, dtype=np.int32), np.full(n, part.y0 + k, np.int32)
+            x, y = np.arange(first, last + 1, dtype=np.int32), np.full(n, part.y0 + k, np.int32)
             out = {"x": pa.array(x), "y": pa.array(y)}
             for name, data in columns.items():
                 m = np.ascontiguousarray(data[k])
@@ -132,19 +140,21 @@ class ImageReader(DataSourceReader):
     def partitions(self) -> list[Strip]:
         y0, y1, step = _range(self.options, "y", self.header.naxes[1])
         x0, x1, sx = _range(self.options, "x", self.header.naxes[0])
-        return strips(1, (y1 - y0) // step + 1, ((x1 - x0) // sx + 1) * 8)
+        nx = (x1 - x0) // sx + 1
+        return strips(1, (y1 - y0) // step + 1, nx * 8, int(self.options.get("strip_bytes", STRIP_BYTES)), nx)
 
     def read(self, part: Strip) -> Iterator[pa.RecordBatch]:
         naxes = self.header.naxes
-        x, (y0, _, sy) = _range(self.options, "x", naxes[0]), _range(self.options, "y", naxes[1])
-        ranges = [x, (y0 + (part.y0 - 1) * sy, y0 + (part.y1 - 1) * sy, sy), *[(1, 1, 1)] * (len(naxes) - 2)]
+        (x0, x1, sx), (y0, _, sy) = _range(self.options, "x", naxes[0]), _range(self.options, "y", naxes[1])
+        first, last = part.x0, part.x1 or (x1 - x0) // sx + 1
+        ranges = [(x0 + (first - 1) * sx, x0 + (last - 1) * sx, sx), (y0 + (part.y0 - 1) * sy, y0 + (part.y1 - 1) * sy, sy), *[(1, 1, 1)] * (len(naxes) - 2)]
         if len(naxes) > 2:
             plane = int(self.options.get("plane", 1))
             ranges[2] = (plane, plane, 1)
         with open(self.options["path"], "rb") as f:
             data = read_box(f, self.header, Box(ranges)).reshape(part.y1 - part.y0 + 1, -1)
         for k, row in enumerate(data):
-            yield pa.RecordBatch.from_pydict({"x": pa.array(np.arange(1, len(row) + 1, dtype=np.int32)), "y": pa.array(np.full(len(row), part.y0 + k, np.int32)), "val": pa.array(row)})
+            yield pa.RecordBatch.from_pydict({"x": pa.array(np.arange(first, last + 1, dtype=np.int32)), "y": pa.array(np.full(len(row), part.y0 + k, np.int32)), "val": pa.array(row)})
 
 
 class FitsImage(DataSource):

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
+from ..functions.axes import templates
 from ..operators import runlog
 
 
@@ -32,6 +35,43 @@ def partial_sums(samples: DataFrame, channels: DataFrame, depths: DataFrame) ->
     return wide.groupBy("x", "y", "irm", "rm").agg(s(q * c + u * n, "a"), s(u * c - q * n, "b"), s(q, "sq"), s(u, "su"), s(c, "sc"), s(n, "ss"), F.sum("w").alias("n"))
 
 
+def live_spectra(samples: DataFrame, rm: np.ndarray) -> DataFrame:
+    """x, y, re, im (arrays by depth), w of pixels whenever samples (x, y, lsq, q, u, w) of theirs have come, in update mode.
+
+    A pixel's state is one row: its sums by depth as arrays, whatever the number of samples. It needs the RocksDB store
+    (``runs.keyed_state``).
+    """
+    out = "x int, y int, re array<double>, im array<double>, w double"
+    return samples.select("x", "y", "lsq", "q", "u", "w").groupBy("x", "y").transformWithStateInPandas(_Spectra(np.asarray(rm, np.float64)), out, "Update", "None")
+
+
+class _Spectra(StatefulProcessor):
+    def __init__(self, rm: np.ndarray):
+        self.rm = rm
+
+    def init(self, handle) -> None:
+        self.sums = handle.getValueState("sums", "re array<double>, im array<double>, w double")
+
+    def handleInputRows(self, key, rows, timerValues):
+        import pandas as pd
+
+        re, im, total = self.sums.get() if self.sums.exists() else (np.zeros(len(self.rm)), np.zeros(len(self.rm)), 0.0)
+        re, im = np.array(re), np.array(im)
+        for part in rows:
+            lsq, q, u, w = (part[c].to_numpy(np.float64) for c in ("lsq", "q", "u", "w"))
+            q, u = np.where(w > 0, q, 0), np.where(w > 0, u, 0)
+            c, s = templates(self.rm, lsq)
+            re += c @ (w * q) + s @ (w * u)
+            im += c @ (w * u) - s @ (w * q)
+            total += float(w.sum())
+        self.sums.update((re.tolist(), im.tolist(), total))
+        share = 1 / total if total else np.nan
+        yield pd.DataFrame({"x": [key[0]], "y": [key[1]], "re": [(re * share).tolist()], "im": [(im * share).tolist()], "w": [total]})
+
+    def close(self) -> None:
+        pass
+
+
 def finished(sums: DataFrame, remove_mean: bool = False) -> DataFrame:
     """re and im from ``partial_sums``."""
     n = F.nullif("n", F.lit(0))

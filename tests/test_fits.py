@@ -150,6 +150,21 @@ def test_sub_image_and_dry_run(spark, folder):
 def test_strips():
     assert [(s.y0, s.y1) for s in fits.strips(1, 10, 100, 400)] == [(1, 4), (5, 8), (9, 10)]
     assert len(fits.strips(1, 3, 10**12)) == 3
+    parts = fits.strips(1, 2, 1000, 300, 10)
+    assert [(s.y0, s.y1, s.x0, s.x1) for s in parts] == [(y, y, a, b) for y in (1, 2) for a, b in ((1, 3), (4, 6), (7, 9), (10, 10))]
+
+
+def test_rows_too_wide_for_a_task_are_split(spark, folder, tmp_path):
+    """The same pixels whether rows are split or not, of cubes with strides and of images."""
+    fits.register(spark)
+    read = lambda size: spark.read.format("fits_cube").option("q", str(folder / "q.fits")).option("x_first", 2).option("x_step", 3).option("y_last", 4).option("chan_step", 40).option("strip_bytes", size).load()
+    split, whole = read(100), read(1 << 26)
+    assert split.rdd.getNumPartitions() > 4 * whole.rdd.getNumPartitions()
+    assert sorted(map(str, split.collect())) == sorted(map(str, whole.collect())) and split.count() == 44
+    path = str(tmp_path / "v.fits")
+    sink(pixels(spark, 7, 5, 1).selectExpr("x", "y", "float(n) v"), [product(path, naxes=(7, 5))])
+    image = lambda size: spark.read.format("fits_image").option("path", path).option("x_first", 2).option("strip_bytes", size).load()
+    assert sorted(map(tuple, image(16).collect())) == sorted(map(tuple, image(1 << 20).collect())) and image(16).rdd.getNumPartitions() == 15
 
 
 @pytest.mark.parametrize(

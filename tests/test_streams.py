@@ -78,3 +78,22 @@ def test_later_than_the_delay_is_left_out(spark, events, tmp_path):
     q = runs.split_runs(stream, ["tid"], False, late="60 seconds").writeStream.foreachBatch(lambda df, _: rows.extend(df.collect())).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     q.awaitTermination(240)
     assert rows and all(r["event_id"] != 10**6 for r in rows)
+
+
+def test_spectra_grow_as_channels_arrive(spark, tables, tmp_path):
+    from faradeon.streaming import live_spectra
+
+    samples = queries.cube(spark, tables).join(queries.AXES.channels(spark).select("chan", "lsq"), "chan")
+    for k in range(4):
+        samples.where(F.col("chan") % 4 == k).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/{k}")
+    runs.keyed_state(spark)
+    stream = spark.readStream.schema(samples.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    seen, states = {}, []
+    q = live_spectra(stream, queries.RM).writeStream.outputMode("update").foreachBatch(lambda df, _: seen.update({(r["x"], r["y"]): r for r in df.collect()})).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    q.awaitTermination(240)
+    states = [o.numRowsTotal for p in q.recentProgress for o in p.stateOperators]
+    want = queries.far(spark, tables).collect()
+    assert len(seen) == 25 and max(states) == 25
+    for r in want:
+        got = seen[r["x"], r["y"]]
+        assert got["w"] == r["w"] and (r["re"] is None or (got["re"][r["irm"]] == pytest.approx(r["re"], abs=1e-9) and got["im"][r["irm"]] == pytest.approx(r["im"], abs=1e-9)))
