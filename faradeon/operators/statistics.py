@@ -24,9 +24,14 @@ def robust_moments(df: DataFrame, column: str, by: list[str], sigmas: float = 4.
     """
     rows = df.select(*by, nan_to_null(column).alias("_v")).where("_v is not null")
     found = rows.groupBy(*by).agg(F.avg("_v").alias("mean"), F.stddev_pop("_v").alias("rms"), F.count("_v").alias("n")).withColumn("done", F.lit(False))
+    kept, before = df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined(), None
     for _ in range(most):
-        found = found.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else found.persist()
-        if not found.where(~F.col("done")).limit(1).count():
+        found = found.checkpoint() if kept else found.persist()
+        some = found.where(~F.col("done")).limit(1).count()
+        if before is not None and not kept:
+            before.unpersist()
+        before = found
+        if not some:
             break
         left = rows.join(found.where(~F.col("done")), by).where(F.abs(F.col("_v") - F.col("mean")) <= sigmas * F.col("rms"))
         new = left.groupBy(*by).agg(F.avg("_v").alias("m2"), F.stddev_pop("_v").alias("r2"), F.count("_v").alias("n2"))
