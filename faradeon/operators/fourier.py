@@ -6,6 +6,8 @@ line. ``per_plane`` takes any kernel, with a whole plane in one group.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -83,19 +85,30 @@ def _planes(cube: DataFrame, index: str) -> DataFrame:
 
 
 def _along(planes: DataFrame, index: str, axis: str, inverse: bool = False) -> DataFrame:
-    """Transform of every line along an axis; places that no row has are 0."""
+    """Transform of every line along an axis; places that no row has are 0. Lines of one length are transformed together."""
     other = "y" if axis == "x" else "x"
-
-    def run(keys: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        n = table[f"n{axis}"][0].as_py()
-        line = np.zeros(n, complex)
-        line[table[axis].to_numpy()] = table["re"].to_numpy() + 1j * table["im"].to_numpy()
-        out = np.fft.ifft(line) if inverse else np.fft.fft(line)
-        found = {axis: pa.array(np.arange(n, dtype=np.int32)), "re": pa.array(out.real.copy()), "im": pa.array(out.imag.copy())}
-        # all else is the same in a line's rows
-        return pa.table([found[c] if c in found else pa.repeat(table[c][0], n) for c in table.column_names], names=table.column_names)
-
-    return planes.groupBy(index, other).applyInArrow(run, planes.schema)
+    same = [index, other, "x0", "nx", "y0", "ny"]  # all that a line's rows share
+    held = planes.groupBy(*same).agg(F.collect_list(F.struct(F.col(axis).alias("at"), "re", "im")).alias("_s"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size, lists = np.asarray(b.column(same.index(f"n{axis}"))), b.column(len(same))
+            row = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(lists.offsets)))
+            at, re, im = (np.asarray(x) for x in lists.flatten().flatten())
+            for n in np.unique(size).tolist():
+                own = np.flatnonzero(size == n)
+                place = np.full(b.num_rows, -1)
+                place[own] = np.arange(len(own))
+                ok = place[row] >= 0
+                lines = np.zeros((len(own), n), complex)
+                lines[place[row[ok]], at[ok]] = re[ok] + 1j * im[ok]
+                out = np.fft.ifft(lines) if inverse else np.fft.fft(lines)
+                parts = [pa.ListArray.from_arrays(np.arange(len(own) + 1, dtype=np.int32) * n, pa.array(np.ascontiguousarray(v).ravel())) for v in (out.real, out.imag)]
+                yield pa.RecordBatch.from_arrays([*(b.column(k).take(pa.array(own)) for k in range(len(same))), *parts], names=[*same, "re", "im"])
+
+    made = held.mapInArrow(run, ", ".join([*(f"{c} int" for c in same), "re array<double>", "im array<double>"]))
+    rows = made.select(*same, F.posexplode(F.arrays_zip("re", "im")).alias(axis, "_v"))
+    return rows.select(*((F.col(f"_v.{c}") if c in ("re", "im") else F.col(c)).alias(c) for c in planes.columns))
 
 
 def _power(cube: DataFrame, index: str) -> DataFrame:
