@@ -749,8 +749,13 @@ def _fits(spark: SparkSession, d: str, extra: str = "", bitpix: int = -32) -> st
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    folder = os.path.join((shared or tempfile.gettempdir()).removeprefix("file://"), f"faradeon-fits-{uuid.uuid4().hex}")
+    shared = shared or tempfile.gettempdir()
+    if ":/" in shared and not shared.startswith("file:/"):
+        raise ValueError(f"FITS files are read and written by byte ranges, which {shared} doesn't offer")
+    folder = os.path.join("/" + shared.removeprefix("file:").lstrip("/"), f"faradeon-fits-{uuid.uuid4().hex}")
     os.makedirs(folder)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"file://{folder}")
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     fits.register(spark)
     cards = {"CTYPE1": "RA---SIN", "CTYPE2": "DEC--SIN", "CTYPE3": "FREQ", "CRVAL3": float(FREQ[0]), "CRPIX3": 1.0, "CDELT3": float(FREQ[1] - FREQ[0]), "CRVAL1": 10.0, "CRVAL2": -30.0, "CRPIX1": 1.0, "CRPIX2": 1.0, "CDELT1": -0.01, "CDELT2": 0.01}
     masked = lambda c: F.zip_with(c, "w", lambda v, w: F.when(w > 0, v).otherwise(F.lit(mask.SENTINEL))).alias(c)
@@ -872,26 +877,34 @@ def x19_gmst(s, d):
     return rounded(_sky(s, d).select("o_orderkey", C.greenwich_sidereal_degrees("jd").alias("gmst")), "gmst", n=5)
 
 
-@query("x19_equatorial", _with(_SKY) + "SELECT o_orderkey, round(cos(ra), 6) + 0.0 AS c, round(sin(ra), 6) + 0.0 AS s, round(de, 6) + 0.0 AS de, round(cos(2.0), 6) AS lst FROM sky")
+_SEEN = """seen AS (SELECT o_orderkey, cos(0.5) * cos(za) - sin(0.5) * sin(za) * cos(az) AS m, -sin(za) * sin(az) AS w, sin(0.5) * cos(za) + cos(0.5) * sin(za) * cos(az) AS n FROM
+  (SELECT o_orderkey, radians(o_orderkey % 360) AS az, radians(o_orderkey % 80 + 5) AS za FROM orders))"""
+
+
+@query("x19_equatorial", _with(_SEEN) + "SELECT o_orderkey, round(cos(2.0) * m + sin(2.0) * w, 6) + 0.0 AS x, round(sin(2.0) * m - cos(2.0) * w, 6) + 0.0 AS y, round(n, 6) + 0.0 AS z, round(cos(1.1) * m - sin(1.1) * w, 6) + 0.0 AS t FROM seen")
 def x19_equatorial(s, d):
-    """From directions back to where they came from, and the sidereal time of both."""
-    az, za = C.azimuth_zenith(F.lit(2.0) - F.col("ra"), "de", F.lit(0.5))
-    seen = _sky(s, d).select("o_orderkey", "ra", az.alias("az"), za.alias("za"))
+    """Directions on the sky turned to right ascension and declination, and the sidereal time at which a source stands there;
+    SQL turns the vectors."""
+    k = F.col("o_orderkey")
+    seen = read(s, d, "orders").select("o_orderkey", F.radians((k % 360).cast("double")).alias("az"), F.radians((k % 80 + 5).cast("double")).alias("za"))
     ra, de = C.equatorial("az", "za", F.lit(0.5), F.lit(2.0))
-    lst = C.sidereal_time("az", "za", F.lit(0.5), "ra")
-    return rounded(seen.select("o_orderkey", F.cos(ra).alias("c"), F.sin(ra).alias("s"), de.alias("de"), F.cos(lst).alias("lst")), "c", "s", "de", "lst")
+    lst = C.sidereal_time("az", "za", F.lit(0.5), F.lit(1.1))
+    found = seen.select("o_orderkey", ra.alias("ra"), de.alias("de"), lst.alias("lst"))
+    return rounded(found.select("o_orderkey", (F.cos("de") * F.cos("ra")).alias("x"), (F.cos("de") * F.sin("ra")).alias("y"), F.sin("de").alias("z"), (F.cos("de") * F.cos("lst")).alias("t")), "x", "y", "z", "t")
 
 
-_TURN = "SELECT o_orderkey, round(cos(de) * sin(ra + {z0}), 6) + 0.0 AS a, round({c} * cos(de) * cos(ra + {z0}) - {s} * sin(de), 6) + 0.0 AS b, round({s} * cos(de) * cos(ra + {z0}) + {c} * sin(de), 6) + 0.0 AS c FROM sky"
-_Z0, _Z1, _TH = C.precession_angles(1950.0, 2000.0, "FK4")
+#: Newcomb's angles from 1950 to 2000 by their polynomials (seconds of arc), half a century from 1900 and half a century long.
+_NEWCOMB = """turn AS (SELECT radians(((2304.250 + 1.396 * 0.5) * 0.5 + 0.302 * 0.25 + 0.018 * 0.125) / 3600) AS zeta, radians(((2304.250 + 1.396 * 0.5) * 0.5 + 1.093 * 0.25 + 0.018 * 0.125) / 3600) AS z,
+  radians(((2004.682 - 0.853 * 0.5) * 0.5 - 0.426 * 0.25 - 0.042 * 0.125) / 3600) AS theta),
+turned AS (SELECT o_orderkey, z, cos(de) * sin(ra + zeta) AS a, cos(theta) * cos(de) * cos(ra + zeta) - sin(theta) * sin(de) AS b, sin(theta) * cos(de) * cos(ra + zeta) + cos(theta) * sin(de) AS c FROM sky CROSS JOIN turn)"""
 
 
-@query("x19_precession_fk4", _with(_SKY) + _TURN.format(z0=_Z0, c=float(np.cos(_TH)), s=float(np.sin(_TH))))
+@query("x19_precession_fk4", _with(_SKY, _NEWCOMB) + "SELECT o_orderkey, round(b * cos(z) - a * sin(z), 9) + 0.0 AS x, round(a * cos(z) + b * sin(z), 9) + 0.0 AS y, round(c, 9) + 0.0 AS z FROM turned")
 def x19_precession(s, d):
-    """Unit vectors of precessed places, turned back by z."""
+    """Unit vectors of precessed places."""
     ra, de = C.precessed("ra", "de", 1950.0, 2000.0, "FK4")
-    v = _sky(s, d).select("o_orderkey", (ra - _Z1).alias("ra"), de.alias("de"))
-    return rounded(v.select("o_orderkey", (F.cos("de") * F.sin("ra")).alias("a"), (F.cos("de") * F.cos("ra")).alias("b"), F.sin("de").alias("c")), "a", "b", "c")
+    v = _sky(s, d).select("o_orderkey", ra.alias("ra"), de.alias("de"))
+    return rounded(v.select("o_orderkey", (F.cos("de") * F.cos("ra")).alias("x"), (F.cos("de") * F.sin("ra")).alias("y"), F.sin("de").alias("z")), "x", "y", "z", n=9)
 
 
 @query("p19_clean_q")
