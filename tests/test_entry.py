@@ -59,3 +59,17 @@ def test_entry_without_the_training_data_part(tmp_path):
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'a6_peak_snr' in q and not any(n.startswith('op') or n == 'pipeline' for n in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
+
+
+def test_code_is_shipped_to_clusters_once():
+    import zipfile
+    from types import SimpleNamespace
+
+    seen = []
+    context = SimpleNamespace(master="spark://host:7077", addPyFile=lambda path: seen.append(zipfile.ZipFile(path).namelist()))
+    for _ in range(2):
+        entry._ship(SimpleNamespace(sparkContext=context))
+    assert len(seen) == 1 and {"faradeon/__init__.py", "faradeon/operators/scan.py"} <= set(seen[0])
+    local = SimpleNamespace(master="local-cluster[2,1,1024]", environment={})
+    entry._ship(SimpleNamespace(sparkContext=local))
+    assert local.environment["PYTHONPATH"] == str(ROOT)
