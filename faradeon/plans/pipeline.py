@@ -138,8 +138,11 @@ def outputs(cfg: RunConfig) -> dict[str, str]:
     return out
 
 
-def products(df: DataFrame, p: Plan, names: list[str], precision: str = "float") -> DataFrame:
-    """x, y and the named products of pixels with arrays q, u, w, all from one transform; maps are of the amplitude."""
+def products(df: DataFrame, p: Plan, names: list[str], precision: str = "float", timers: dict | None = None) -> DataFrame:
+    """x, y and the named products of pixels with arrays q, u, w, all from one transform; maps are of the amplitude.
+
+    ``timers``: accumulators for the seconds that tasks spend on tile_prep_sec, tile_compute_sec and tile_cubestat_sec, repeated attempts included.
+    """
     cfg, axes, real = p.cfg, p.axes, pa.float64() if precision == "double" else pa.float32()
     kinds = {k: f"array<{precision}>" for k in ("amp", "ang", "re", "im")} | {"w": "array<tinyint>", "nvalid": "int"} | {k: precision for k in MAPS}
     bounded_spectra(df.sparkSession, len(axes.lsq))
@@ -149,8 +152,11 @@ def products(df: DataFrame, p: Plan, names: list[str], precision: str = "float")
         for b in batches:
             if not b.num_rows:
                 continue
+            at = [time.perf_counter()]
             q, u, w = (matrix(b.column(k), None) for k in (2, 3, 4))
+            at.append(time.perf_counter())
             re, im, total = kernel(q, u, w, cfg.rem_mean > 0)
+            at.append(time.perf_counter())
             out: dict[str, pa.Array] = {"w": rows_of(np.where(axes.good, w, 0), pa.int8()), "nvalid": pa.array(total.astype(np.int32))}
             if cfg.output_mode == "ap" or cfg.cubestat:
                 amp, ang = np.hypot(re, im), np.arctan2(im, re) * (0.5 if cfg.ap_angle_mode == "pol" else 1)
@@ -158,6 +164,9 @@ def products(df: DataFrame, p: Plan, names: list[str], precision: str = "float")
                 if cfg.cubestat:
                     out |= {k: pa.array(v, real) for k, v in zip(MAPS, cubestat.peak_of(amp, ang, axes.rm), strict=True)}
             out |= {"re": rows_of(re, real), "im": rows_of(im, real)} if cfg.output_mode == "ri" else {}
+            at.append(time.perf_counter())
+            for k, timer in enumerate((timers or {}).values()):
+                timer.add(at[k + 1] - at[k])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(out[k] for k in names)], names=["x", "y", *names])
 
     return df.select(F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), "q", "u", "w").mapInArrow(make, ", ".join(["x int", "y int", *(f"{k} {kinds[k]}" for k in names)]))
@@ -190,13 +199,14 @@ def run(spark: SparkSession, cfg: RunConfig, compat: bool = False) -> dict[str,
         return {"path": targets[name], "column": name, "naxes": [nx, ny, n] if third else [nx, ny], "bitpix": bitpix, "cards": wcs.output_cards(head, x, y, third) | origin}
 
     planned = time.time()
-    made = products(load(spark, p, compat), p, list(targets))
+    timers = {k: spark.sparkContext.accumulator(0.0) for k in ("tile_prep_sec", "tile_compute_sec", "tile_cubestat_sec")} if cfg.timing_enabled else None
+    made = products(load(spark, p, compat), p, list(targets), timers=timers)
     made.write.format("fits_output").mode("append").option("products", json.dumps([product(name) for name in targets])).save()
     ended = time.time()
     write_axes(p, os.path.dirname(cfg.outfile) or ".")
     if cfg.timing_enabled and cfg.timing_csv_file:
         size = {"cube_nx": nx, "cube_ny": ny, "cube_nchan": len(p.axes.lsq), "cube_nrm": len(p.axes.rm), "tile_ra": nx, "tile_dec": strip_rows(p)}
-        times = {"stage_total_sec": time.time() - began, "header_sec": planned - began, "tile_total_sec": ended - planned, "finalize_sec": time.time() - ended}
+        times = {"stage_total_sec": time.time() - began, "header_sec": planned - began, "tile_total_sec": ended - planned, "finalize_sec": time.time() - ended} | {k: v.value for k, v in (timers or {}).items()}
         io = {"io_read_bytes": nx * ny * len(p.axes.lsq) * 4 * len(input_paths(cfg)), "io_write_bytes": sum(os.path.getsize(t) for t in targets.values())}
         append_timing(timing_record(spark, {"run_id": uuid.uuid4().hex, "mode": "spark"} | size | times | io), cfg.timing_csv_file)
     return targets

@@ -129,6 +129,7 @@ def test_timing_record_and_reports(spark, folder, tmp_path):
     assert {"re", "im", "peak"} <= set(targets)
     r = text.read_timing(spark, f"{tmp_path}/timing.csv").collect()
     assert len(r) == 1 and (r[0]["cube_nx"], r[0]["cube_nchan"], r[0]["cube_nrm"]) == (32, 200, 201) and r[0]["stage_total_sec"] >= r[0]["tile_total_sec"] > 0
+    assert r[0]["tile_compute_sec"] > 0 and r[0]["tile_cubestat_sec"] > 0 and r[0]["tile_prep_sec"] > 0
     dry = config.parse(BASE.format(d=folder).replace(f"{folder}/out", f"{tmp_path}/dry") + "dry_run = y\n")
     files = pipeline.run(spark, dry)
     hints = dict(x.strip().split("=") for x in open(files["tile_autotune"]) if x[0] != "#")
