@@ -137,26 +137,30 @@ def _running(rows: DataFrame, by: list[str], micros: Column, order: list, sums:
 
 
 def _levels(points: DataFrame, by: list[str], steps: list[str], order: list, range_seconds: int) -> DataFrame:
-    """by, seconds, and for each of ``steps`` (columns of +1, -1 or 0) how many are open then; one row a time range and level.
+    """by, us (microseconds), and for each of ``steps`` (columns of +1, -1 or 0) how many are open then; one row a time range and level.
 
     Within a time range one window gives each point's level, counted from the range's start, and the time to the next
-    point; both are summed by level in place. What is left, a row a range and level, is all that meets by group: it
-    gives the counts at a range's start and the time from its last point to the next range's first.
+    point, which is summed by level in place. What meets by group is a row a range, however many levels it has: it gives
+    the counts at a range's start and the time from its last point to the next range's first, which its last level takes.
     """
-    at = points.withColumn("_range", F.floor(F.col("t") / (range_seconds * 1_000_000)))
-    own = Window.partitionBy(*by, "_range").orderBy(*order)
-    local = at.select(*by, "_range", "t", *steps, (F.lead("t").over(own) - F.col("t")).alias("_to"), *(F.sum(c).over(own.rowsBetween(Window.unboundedPreceding, 0)).alias(f"_l{c}") for c in steps))
-    level = local.groupBy(*by, "_range", *(f"_l{c}" for c in steps)).agg(F.sum("_to").alias("_to"), F.min("t").alias("_first"), F.max("t").alias("_last"), *(F.sum(c).alias(f"_s{c}") for c in steps))
-    group = Window.partitionBy(*by).orderBy("_range")
-    here = group.rangeBetween(0, 0)
-    known = level.select(
-        "*", *(F.coalesce(F.sum(f"_s{c}").over(group.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"_b{c}") for c in steps), *(F.sum(f"_s{c}").over(here).alias(f"_t{c}") for c in steps),
-        (F.min("_first").over(group.rangeBetween(1, Window.unboundedFollowing)) - F.max("_last").over(here)).alias("_gap"), F.min(F.struct(*(f"_l{c}" for c in steps))).over(here).alias("_least"),
-    )
-    inside = F.struct(F.col("_to").alias("us"), *((F.col(f"_b{c}") + F.col(f"_l{c}")).alias(c) for c in steps))
-    after = F.struct(F.col("_gap").alias("us"), *((F.col(f"_b{c}") + F.col(f"_t{c}")).alias(c) for c in steps))
-    both = F.when(F.col("_least") == F.struct(*(f"_l{c}" for c in steps)), F.array(inside, after)).otherwise(F.array(inside))
-    return known.select(*by, F.explode(both).alias("v")).select(*by, (F.col("v.us") / 1e6).alias("seconds"), *(F.col(f"v.{c}").alias(c) for c in steps))
+    at = points.withColumn("_key", F.struct(*by, F.floor(F.col("t") / (range_seconds * 1_000_000)).alias("_range")))
+    own = Window.partitionBy("_key").orderBy(*order)
+    local = at.select("_key", (F.lead("t").over(own) - F.col("t")).alias("_to"), *(F.sum(c).over(own.rowsBetween(Window.unboundedPreceding, 0)).alias(f"_l{c}") for c in steps))
+    level = local.groupBy("_key", *(f"_l{c}" for c in steps)).agg(F.sum("_to").alias("_to"))
+    groups = [F.col("_key").getField(c) for c in by]
+    group = Window.partitionBy(*groups).orderBy(F.col("_key._range"))
+    # frames grow from the group's start: Spark adds up one that shrinks to the group's end anew for every row
+    before = group.rowsBetween(Window.unboundedPreceding, -1)
+    ranges = at.groupBy("_key").agg(F.min("t").alias("_first"), F.max("t").alias("_last"), *(F.sum(c).alias(f"_t{c}") for c in steps))
+    ranges = ranges.select("_key", (F.lead("_first").over(group) - F.col("_last")).alias("_gap"), *(f"_t{c}" for c in steps), *(F.coalesce(F.sum(f"_t{c}").over(before), F.lit(0)).alias(f"_b{c}") for c in steps))
+    last = F.struct(*(F.col(f"_l{c}") for c in steps)) == F.struct(*(F.col(f"_t{c}").alias(f"_l{c}") for c in steps))
+    us = F.coalesce("_to", F.lit(0)) + F.when(last, F.coalesce("_gap", F.lit(0))).otherwise(0)
+    return level.join(ranges, "_key").select(*(g.alias(c) for g, c in zip(groups, by, strict=True)), us.alias("us"), *((F.col(f"_b{c}") + F.col(f"_l{c}")).alias(c) for c in steps))
+
+
+def _seconds(rows: DataFrame, by: list[str], where: Column) -> DataFrame:
+    """by, seconds of ``_levels`` that pass; microseconds are added as integers, so no order of adding shows."""
+    return rows.groupBy(*by).agg((F.coalesce(F.sum(F.when(where, F.col("us"))), F.lit(0)) / 1e6).alias("seconds"))
 
 
 def active_counts(spans: DataFrame, by: list[str] = ("run",), range_seconds: int = RANGE_SECONDS) -> DataFrame:
@@ -168,7 +172,7 @@ def active_counts(spans: DataFrame, by: list[str] = ("run",), range_seconds: int
 def self_overlap(spans: DataFrame, by: list[str] = ("run",), range_seconds: int = RANGE_SECONDS) -> DataFrame:
     """Seconds during which two spans or more are open."""
     rows = _levels(_sweep(spans, list(by), []), list(by), ["d"], ["t", F.desc("d")], range_seconds)
-    return rows.groupBy(*by).agg(F.coalesce(F.sum(F.when(F.col("d") >= 2, F.col("seconds"))), F.lit(0.0)).alias("seconds"))
+    return _seconds(rows, list(by), F.col("d") >= 2)
 
 
 def cross_overlap(spans: DataFrame, kind: str, a: str, b: str, by: list[str] = ("run",), range_seconds: int = RANGE_SECONDS) -> DataFrame:
@@ -177,8 +181,7 @@ def cross_overlap(spans: DataFrame, kind: str, a: str, b: str, by: list[str] = (
     points = _sweep(tagged, list(by), [F.col("_tag")])
     step = lambda k: F.when(F.col("_tag") == k, F.col("d")).otherwise(0)
     rows = _levels(points.withColumn("na", step(a)).withColumn("nb", step(b)), list(by), ["na", "nb"], ["t", F.desc("d"), "_tag"], range_seconds)
-    both = (F.col("na") > 0) & (F.col("nb") > 0)
-    return rows.groupBy(*by).agg(F.coalesce(F.sum(F.when(both, F.col("seconds"))), F.lit(0.0)).alias("seconds"))
+    return _seconds(rows, list(by), (F.col("na") > 0) & (F.col("nb") > 0))
 
 
 def macro_timing(stages: DataFrame, total: str = "total") -> DataFrame:

@@ -281,6 +281,23 @@ def test_time_ranges_do_not_change_sweeps_and_ranks(spark):
     both(lambda n: runlog.cross_overlap(spans, "stage", "a", "b", range_seconds=n).select("run", F.round("seconds", 6)))
 
 
+def test_levels_of_a_time_range_do_not_meet_by_group(spark):
+    """Thousands of levels in each of a few ranges: seconds of brute force, and no frame that is added up anew for every row."""
+    rng = np.random.default_rng(11)
+    t0 = rng.integers(0, 9_000_000_000, 6000)
+    t1 = t0 + rng.integers(1, 5_000_000_000, 6000)
+    kinds = rng.integers(0, 2, 6000)
+    rows = spark.createDataFrame([(None, "ab"[k], int(a), int(b)) for k, a, b in zip(kinds, t0, t1)], "run int, stage string, a long, b long")
+    spans = rows.select("run", "stage", F.timestamp_micros("a").alias("t0"), F.timestamp_micros("b").alias("t1"))
+    t, kind, d = np.concatenate([t0, t1]), np.tile(kinds, 2), np.repeat([1, -1], 6000)
+    order = np.argsort(t, kind="stable")
+    t, a, b = t[order], np.cumsum((d * (kind == 0))[order]), np.cumsum((d * (kind == 1))[order])
+    gaps = np.diff(t)
+    for found, open_ in ((runlog.cross_overlap(spans, "stage", "a", "b"), (a > 0) & (b > 0)), (runlog.self_overlap(spans), a + b >= 2)):
+        assert found.first()["seconds"] == pytest.approx(int(gaps[open_[:-1]].sum()) / 1e6, abs=1e-6) and found.count() == 1
+        assert "unboundedfollowing" not in found._jdf.queryExecution().toString().lower().replace(" ", "")
+
+
 def test_clean_of_one_stokes_and_depolarisation(spark):
     ax = Axes.of(300 + 4 * np.arange(64), rm_axis(-100.0, 100.0, 201))
     angle = 2 * (0.2 + 40 * ax.lsq)
