@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,8 +46,9 @@ PASSAGE = 256
 INDEX_CHARS = 32 << 20
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if chr(c) in string.punctuation else c for c in range(256))
-#: Block maxima that are added up at once.
-ENTRIES = 1 << 20
+#: Block maxima that are added up at once, and bytes of texts whose passages are matched at once (one text at least); they bound memory only.
+ENTRIES = 1 << 17
+MATCHED_BYTES = 512 << 10
 
 
 def words_of(text: str) -> list[bytes]:
@@ -275,6 +277,15 @@ def _expand(starts: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return rows, np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[terms], n)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of (id, text) in slices of MATCHED_BYTES of text and one text more at most."""
+    for batch in batches:
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0)), dtype=np.int64)
+        last = np.append(np.flatnonzero(np.diff(ends // MATCHED_BYTES)) + 1, batch.num_rows)
+        for a, b in zip([0, *last.tolist()], last.tolist(), strict=False):
+            yield batch.slice(a, b - a)
+
+
 HITS = "__id long, item_id long, score double, question double, answer double, passage long"
 _HITS = pa.schema([("__id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("question", pa.float64()), ("answer", pa.float64()), ("passage", pa.int64())])
 
@@ -284,7 +295,7 @@ def _query(held, threshold: float, overlap: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = held.value
-        for batch in batches:
+        for batch in _slices(batches):
             ids = batch.column(0).to_pylist()
             split = [words_of(x) for x in texts(batch.column(1))]
             docs, pairs, base = [], [], 0

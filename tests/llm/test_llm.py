@@ -640,6 +640,31 @@ def test_short_and_long_items(spark):
     assert got == {(0, 1), (1, 1), (2, 2), (4, 3), (5, 4), (6, 4)}  # the answers of items 1 and 4 are short: their words count
 
 
+def test_passages_of_a_batch_are_matched_in_slices(monkeypatch):
+    """The memory of a batch stays far under what all of its words and passages take at once; hits don't depend on slices."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    items = [(k, decontaminate.words_of(words(rng, 40, 300)), 25) for k in range(60)]
+    held = SimpleNamespace(value=decontaminate.Index.build(items))
+    bodies = [None, ""] + [words(rng, 1500, 300) + (" " + b" ".join(items[k % 60][1]).decode() if k % 5 == 0 else "") for k in range(400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(bodies)), pa.int64()), pa.array(bodies, pa.string())], names=["__id", "text"])
+    assert batch.nbytes > 2 << 20
+    query = decontaminate._query(held, decontaminate.THRESHOLD, decontaminate.OVERLAP)
+    tracemalloc.start()
+    hits = [r for b in query(iter([batch])) for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {(r["__id"], r["item_id"]) for r in hits} >= {(k + 2, k % 60) for k in range(0, 400, 5)}
+    assert peak < 24 * batch.nbytes
+    for size in (1, 1 << 30):
+        monkeypatch.setattr(decontaminate, "MATCHED_BYTES", size)
+        assert [r for b in query(iter([batch, batch.slice(0, 0)])) for r in b.to_pylist()] == hits
+
+
 def test_contamination(spark, odd, empty):
     rng = random.Random(6)
     items = [(k, words(rng, 24, 10_000) + ".") for k in range(30)] + [(90, None), (None, "a b c"), (91, ""), (92, "two words")]
