@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 #: Bytes of one Arrow batch handed to a Python worker; bounds a worker's memory whatever the texts' lengths.
 BATCH_BYTES = 8 << 20
 BATCH_ROWS = 2000
+#: Parquet's options for tables with rows of megabytes. By default it looks at the size of a page and of a row group
+#: after 100 rows only, and holds, compresses and decodes them whole.
+LARGE_ROWS = {"parquet.block.size": str(8 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,15 +44,15 @@ def temporary(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it again.
+def materialise(df: DataFrame, label: str, options: dict[str, str] | None = None) -> DataFrame:
+    """Write ``df`` as Parquet, with its ``options``, into the shared folder and read it again.
 
     This cuts the lineage (a lost executor costs only the tasks that read the table) and keeps costly steps
     from running twice. The table is deleted when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = own_path(spark, label)
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     temporary(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -62,6 +66,19 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+@contextmanager
+def small_splits(spark: SparkSession, most: int) -> Iterator[None]:
+    """Queries run inside read at most so many bytes of files in a task; the session's own setting, if less, holds, and comes back."""
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before) > most:
+        spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def texts(column: pa.Array) -> list[str]:
     """Python strings of a text column; null counts as empty."""
     return ["" if x is None else x for x in column.to_pylist()]

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import bounded_batches, materialise, texts
+from ._shared import LARGE_ROWS, bounded_batches, materialise, small_splits, texts
 
 LEAST = 10
 LONGEST = 3
@@ -33,6 +33,8 @@ UNDETERMINED = "und"
 BITS, LARGEST_FILTER = 16, 1 << 28
 #: Parts in which a language's candidates are ranked first.
 SALTS = 64
+#: Bytes of stored blocks that a task reads: its phrases are held until it has combined their counts.
+SPLIT = 8 << 20
 
 _GAP = b"\xff"  # never a byte of a text
 _FOLD = bytes(0xFF if chr(c) in ".,;:!?\n\v\f\r" else 32 if c == 9 else c for c in range(256))
@@ -201,13 +203,15 @@ def frequent_phrases(blocks: DataFrame, least: int = LEAST, longest: int = LONGE
     """
     spark = blocks.sparkSession
     words = blocks.select("lang", F.explode(F.arrays_zip(F.col("words").alias("w1"), F.col("lengths").alias("n"))).alias("p")).select("lang", "p.w1", "p.n")
-    tables = [materialise(_frequent(words, ["w1"], 0), "words")]
+    with small_splits(spark, SPLIT):
+        tables = [materialise(_frequent(words, ["w1"], 0), "words")]
     filters = [Filter.of(tables[0].where(F.col("n") >= least), ["w1"])]
     for size in range(2, longest + 1):
         names = [f"w{k}" for k in range(1, size + 1)]
         held = spark.sparkContext.broadcast(filters)  # LARGEST_FILTER bits each at most
         counts = blocks.mapInArrow(_extend(held, size), f"lang string, {', '.join(f'{n} string' for n in names)}, n long")
-        tables.append(materialise(_frequent(counts, names, least), f"phrases-{size}"))
+        with small_splits(spark, SPLIT):
+            tables.append(materialise(_frequent(counts, names, least), f"phrases-{size}"))
         filters = [*filters, Filter.of(tables[-1], names)] if size < longest else filters
     return tables
 
@@ -239,7 +243,7 @@ def collocations(docs: DataFrame, least: int = LEAST, first: int = FIRST, longes
     occurrences, gives no rows. A phrase goes if a longer candidate of at most ``longest`` words holds it and has half
     of its occurrences or more, whether that one stays or goes.
     """
-    blocks = materialise(inverted_lists(docs), "positions")
+    blocks = materialise(inverted_lists(docs), "positions", LARGE_ROWS)
     tables = frequent_phrases(blocks, least, longest)
     out = None
     for size in range(2, longest + 1):

@@ -6,11 +6,12 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from faradeon.llm import collocations
+from faradeon.llm import _shared, collocations
 from faradeon.llm.queries import ORACLE_SQL, op12_collocations
 
 SCHEMA = "doc_id long, text string, lang string, w1 string, n int, phrase string, a int, salt int"
@@ -119,3 +120,47 @@ def test_filter_holds_all_that_it_was_built_of(spark):
     assert held.holds((a << np.uint64(1)) ^ b).all()
     other = collocations._hashes("de", [f"x{k}" for k in range(5000)])
     assert held.holds(other).mean() < 0.15
+
+
+def test_a_task_holds_little_of_what_it_stores_and_reads(spark, monkeypatch):
+    """Rows of blocks are large: 24 of a megabyte are neither written as one row group nor read by one task."""
+    seen = {}
+
+    class Stop(Exception):
+        pass
+
+    def keep(df, label, *options):
+        if label != "positions":
+            seen["tasks"] = seen["positions"].rdd.getNumPartitions()
+            raise Stop
+        seen[label] = _shared.materialise(df, label, *options)
+        return seen[label]
+
+    monkeypatch.setattr(collocations, "materialise", keep)
+    docs = spark.range(0, 24, 1, 1).selectExpr("string(id) AS lang", "array_join(transform(sequence(1, 200000), x -> concat('w', pmod(xxhash64(x, id), 30000))), ' ') AS text")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    try:
+        with pytest.raises(Stop):
+            collocations.collocations(docs)
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    (file,) = seen["positions"].inputFiles()
+    stored = pq.ParquetFile(file.removeprefix("file://")).metadata
+    assert stored.num_rows == 24
+    assert max(stored.row_group(k).total_byte_size for k in range(stored.num_row_groups)) < 16 << 20
+    assert seen["tasks"] >= 3
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+
+
+def test_small_splits_leave_smaller_ones(spark):
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    try:
+        for now, most, inside in (("1m", 8 << 20, "1m"), ("16m", 8 << 20, str(8 << 20)), ("134217728b", 1 << 20, str(1 << 20))):
+            spark.conf.set(key, now)
+            with _shared.small_splits(spark, most):
+                assert spark.conf.get(key) == inside
+            assert spark.conf.get(key) == now
+    finally:
+        spark.conf.set(key, before)
