@@ -125,10 +125,13 @@ def cyclic_shift(values: Col, by: int) -> Column:
 
 
 def channel_frequencies(crval: Col, crpix: Col, cdelt: Col, n: Col) -> Column:
-    """Frequencies in MHz of a row's ``n`` channels: a CRVAL in [30, 1e4] is in MHz, in [30e6, 10e9] in Hz, others give null."""
+    """Frequencies in MHz of a row's ``n`` channels: a CRVAL in [30, 1e4] is in MHz, in [30e6, 10e9] in Hz, others give null.
+
+    The unit is told once a row: within ``transform`` it would be told again for each channel.
+    """
     first = _c(crval) - (F.greatest(F.lit(1), _c(crpix).cast("int")) - 1) * _c(cdelt)
-    unit = F.when(_c(crval).between(30, 1e4), 1.0).when(_c(crval).between(30e6, 10e9), 1e-6)
-    return F.when(unit.isNotNull(), F.transform(F.sequence(F.lit(0), _c(n) - 1), lambda k: (first + _c(cdelt) * k) * unit))
+    axis = lambda unit: F.transform(F.sequence(F.lit(0), _c(n) - 1), lambda k: (first + _c(cdelt) * k) * unit)
+    return F.when(_c(crval).between(30, 1e4), axis(1.0)).when(_c(crval).between(30e6, 10e9), axis(1e-6))
 
 
 def lambda_squared(mhz: Col) -> Column:

@@ -88,6 +88,30 @@ def test_axes():
     assert span == pytest.approx(10 * step)
 
 
+def test_channel_frequencies_of_rows_are_those_of_numpy(spark):
+    nan, far = float("nan"), [30.0, 1e4, 30e6, 10e9, 701.3, 701.3e6]
+    rows = [(i, v, p, 1.7 if v < 1e6 else 1.7e6, n) for i, (v, p, n) in enumerate((v, p, n) for v in far for p in (0.9, 2.7, 5.0) for n in (1, 7))]
+    df = spark.createDataFrame(rows, "id int, crval double, crpix double, cdelt double, n int")
+    got = {r["id"]: r["mhz"] for r in df.select("id", C.channel_frequencies("crval", "crpix", "cdelt", "n").alias("mhz")).collect()}
+    assert got == {i: axes.channel_frequencies(v, p, d, n).tolist() for i, v, p, d, n in rows}
+    odd = [(nan, 1.0, 1.0, 3), (None, 1.0, 1.0, 3), (29.0, 1.0, 1.0, 3), (2e4, 1.0, 1.0, 3), (2e10, 1.0, 1.0, 3), (700.0, 1.0, 1.0, None)]
+    odd = spark.createDataFrame([*odd, *odd], "crval double, crpix double, cdelt double, n int").withColumn("mhz", C.channel_frequencies("crval", "crpix", "cdelt", "n"))
+    assert [r["mhz"] for r in odd.collect()] == [None] * 12 and odd.select(F.explode("mhz")).count() == 0
+    part = spark.createDataFrame([(700.0, None, None, 2), (700.0, 1.0, None, 2), (700.0, None, 1.0, 2)], "crval double, crpix double, cdelt double, n int")
+    assert [r[0] for r in part.select(C.channel_frequencies("crval", "crpix", "cdelt", "n")).collect()] == [[None, None], [None, None], [700.0, 701.0]]
+    whole = spark.createDataFrame([(700, 1, 2, 2)], "crval int, crpix int, cdelt int, n int").select(C.channel_frequencies("crval", "crpix", "cdelt", "n").alias("mhz"))
+    assert whole.dtypes == [("mhz", "array<double>")] and whole.first()["mhz"] == [700.0, 702.0]
+
+
+def test_the_unit_of_an_axis_is_not_told_channel_by_channel(spark, tables):
+    from faradeon.queries import QUERIES
+
+    for name in ("p15_rm_resolution",):
+        plan = QUERIES[name](spark, tables)._jdf.queryExecution().analyzed().toString()
+        each = [x.split(", lambda x")[0] for x in plan.split("lambdafunction(")[1:]]
+        assert each and not any("CASE" in x for x in each)
+
+
 def test_tail_snr_uses_order_statistics():
     amp = np.array([[3.0, 1.0, 2.0, 10.0, 4.0, np.nan], [1.0, 1.0, 1.0, 5.0, 1.0, 1.0], [np.nan] * 6])
     peak, rm, _, snr = cubestat.peak_of(amp, np.zeros_like(amp), np.arange(6.0))
