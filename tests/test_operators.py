@@ -106,7 +106,7 @@ def test_channel_frequencies_of_rows_are_those_of_numpy(spark):
 def test_the_unit_of_an_axis_is_not_told_channel_by_channel(spark, tables):
     from faradeon.queries import QUERIES
 
-    for name in ("p15_rm_resolution",):
+    for name in ("p3_channel_axis", "p15_rm_resolution"):
         plan = QUERIES[name](spark, tables)._jdf.queryExecution().analyzed().toString()
         each = [x.split(", lambda x")[0] for x in plan.split("lambdafunction(")[1:]]
         assert each and not any("CASE" in x for x in each)
